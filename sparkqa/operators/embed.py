@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import col_of, tokens
+from ..functions.text import tokens
+from ..session import spread
 
 DEFAULT_DIM = 64
 
@@ -28,21 +30,25 @@ def token_buckets(text: str | Column, dim: int = DEFAULT_DIM) -> Column:
         lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
 
 
-def bucket_counts(text: str | Column, dim: int = DEFAULT_DIM) -> Column:
-    """Dense count vector (array<double>) computed inside the row: no explode, no shuffle."""
-    bk = token_buckets(text, dim)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda b: F.size(F.filter(bk, lambda x: x == b)).cast("double"))
-
-
-def l2_normalize(v: str | Column) -> Column:
-    vec = col_of(v)
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(vec, lambda x: x / norm)).otherwise(vec)
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _unit_bincount(buckets: pd.Series, dim: pd.Series) -> pd.Series:
+    """Per-row bucket histogram, L2-normalised (numpy on an Arrow batch)."""
+    n = int(dim.iloc[0]) if len(dim) else DEFAULT_DIM
+    out = []
+    for b in buckets:
+        if b is None:
+            out.append(None)
+            continue
+        v = np.bincount(np.asarray(b, dtype=np.int64), minlength=n).astype(np.float64)
+        norm = np.sqrt(np.sum(v * v))
+        out.append(v / norm if norm > 0 else v)
+    return pd.Series(out)
 
 
 def hashed_embedding(text: str | Column, dim: int = DEFAULT_DIM) -> Column:
-    return l2_normalize(bucket_counts(text, dim))
+    """Unit bucket-count vector: md5 bucketing stays in the JVM; only the small int array
+    per row crosses to Python for the histogram."""
+    return _unit_bincount(token_buckets(text, dim), F.lit(dim))
 
 
 def _model_udf(embedder: Callable[[list[str]], list], dim: int):
@@ -56,14 +62,14 @@ def _model_udf(embedder: Callable[[list[str]], list], dim: int):
 
 def embed(df: DataFrame, text: str, dim: int = DEFAULT_DIM, embedder=None, out: str = "vector") -> DataFrame:
     """Add a vector column for ``text``. ``embedder(list_of_texts) -> list_of_vectors``."""
+    df = spread(df)
     if embedder is None:
         return df.withColumn(out, hashed_embedding(text, dim))
     return df.withColumn(out, _model_udf(embedder, dim)(F.col(text)))
 
 
 def bucket_table(df: DataFrame, key: str, text: str, dim: int = DEFAULT_DIM) -> DataFrame:
-    """Long form (key, bucket, n) of the default embedder's counts, non-zero buckets only."""
-    v = df.select(key, bucket_counts(text, dim).alias("v"))
-    x = v.select(key, F.posexplode("v").alias("bucket", "n"))
-    return x.filter(F.col("n") > 0).select(key, F.col("bucket").cast("int").alias("bucket"),
-                                           F.col("n").cast("bigint").alias("n"))
+    """Long form (key, bucket, n) of the default embedder's counts, non-zero buckets only.
+    The aggregate combines map-side: at most ``dim`` partial rows per document leave a task."""
+    x = spread(df.select(key, text)).select(key, F.explode(token_buckets(text, dim)).alias("bucket"))
+    return x.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))

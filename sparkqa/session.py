@@ -63,3 +63,30 @@ def local_session(cores: int | str = "*", app: str = "sparkqa") -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop file system, so shared stores work too."""
+    p, fs = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(p)]
+
+
+def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
+    """Spread a frame over the cores when its scan yields fewer partitions than cores
+    (one-row-group files). On a cluster reading many files this is a no-op, so the
+    round-robin shuffle only ever happens for small inputs."""
+    want = min_parts or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
