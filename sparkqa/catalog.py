@@ -15,7 +15,8 @@ from . import fixtures as fx
 from . import settings
 from .functions import arithmetic, dates, markdown, messages, text
 from .operators import checks, embed as emb, vectors
-from .plans import rag
+from .operators import evaluation as ev, keyword, routing
+from .plans import agent_loop, rag, structured
 from .session import scratch_path, table
 from .sources import changes, files
 
@@ -263,5 +264,265 @@ def rag_pipeline(spark, sf):
     return rag.answer_questions(reqs, idx, corpus).select("qid", "question", "model_response", "answer")
 
 
+# ---------------------------------------------------------------- 2.5 structured
+@query
+def count_by_status(spark, sf):
+    return structured.count_by(fx.trials(spark, sf), "status")
+
+
+@query
+def count_by_location(spark, sf):
+    return structured.count_contains(fx.trials(spark, sf), "locations", "Nation_7")
+
+
+def _region_lookup(spark, sf):
+    n = table(spark, sf, "nation")
+    r = table(spark, sf, "region")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("place"),
+                                                            F.col("n_name").alias("nation"))
+
+
+@query
+def count_status_and_place(spark, sf):
+    return structured.count_resolved_place(fx.trials(spark, sf), _region_lookup(spark, sf), "Completed")
+
+
+def stat_questions(spark, sf):
+    """Statistics questions generated from the nation and region tables."""
+    statuses = [v for _, v in settings.STATUS_BY_CODE]
+    n = table(spark, sf, "nation")
+    per_nation = [F.struct(F.lit(i + 1).alias("kind"), F.concat(F.lit(f"How many {s.lower()} trials were conducted in "),
+                                                              F.col("n_name"), F.lit("?")).alias("q"))
+                  for i, s in enumerate(statuses)]
+    per_nation.append(F.struct(F.lit(4).alias("kind"),
+                               F.concat(F.lit("How many trials were conducted in "), F.col("n_name"), F.lit("?")).alias("q")))
+    a = n.select(F.col("n_nationkey").cast("bigint").alias("k"), F.explode(F.array(*per_nation)).alias("x"))
+    r = table(spark, sf, "region")
+    per_region = [F.struct(F.lit(5 + i).alias("kind"), F.lit(f"How many trials are in {s} status?").alias("q"))
+                  for i, s in enumerate(statuses)]
+    per_region += [F.struct(F.lit(8).alias("kind"), F.lit("How many trials are there in total?").alias("q")),
+                   F.struct(F.lit(9).alias("kind"), F.concat(F.lit("Which trial in "), F.col("r_name"),
+                                                             F.lit(" has the longest title?")).alias("q"))]
+    b = r.select((F.col("r_regionkey").cast("bigint") + 10000).alias("k"), F.explode(F.array(*per_region)).alias("x"))
+    u = a.unionByName(b)
+    return u.select((F.col("k") * 100 + F.col("x.kind")).alias("question_id"), F.col("x.q").alias("question"))
+
+
+@query
+def answer_statistic_questions(spark, sf):
+    return structured.answer_stats(stat_questions(spark, sf), fx.trials(spark, sf))
+
+
+@query
+def question_prefix(spark, sf):
+    return text.prefix_question(messages.first_user_message(table(spark, sf, "conversations")))
+
+
+def _replies_ok(spark, sf):
+    return fx.replies(spark, sf).filter(F.col("reply").isNotNull()).select("conv_id", "reply")
+
+
+@query
+def markdown_table_rows(spark, sf):
+    r = markdown.markdown_rows(_replies_ok(spark, sf))
+    return r.select("conv_id", "row_no", F.explode("cells").alias("cell_name", "cell_value"))
+
+
+@query
+def markdown_table_json(spark, sf):
+    return markdown.markdown_json(_replies_ok(spark, sf))
+
+
+@query
+def structured_answer(spark, sf):
+    return markdown.format_structured(_replies_ok(spark, sf)).select("conv_id", "answer")
+
+
+# ---------------------------------------------------------------- 2.6 tools
+@query
+def solve_arithmetic(spark, sf):
+    return arithmetic.solve(fx.expressions(spark, sf))
+
+
+def _page_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", "url", text.html_text("html").alias("text"))
+
+
+@query
+def corpus_search_top1(spark, sf):
+    pages = _page_text(spark, sf)
+    b = table(spark, sf, "benchmark")
+    best = keyword.keyword_top1(b, "item_id", "text", pages, "page_id", "text")
+    hits = best.join(pages.select("page_id", "url", F.col("text").alias("snippet")), "page_id").withColumn(
+        "rank", F.lit(1))
+    out = vectors.with_empty_default(b, hits, "item_id", settings.NO_RECORDS)
+    return out.select("item_id", "page_id", F.round("score", 6).alias("score"), "url", "snippet", "message")
+
+
+@query
+def html_to_text(spark, sf):
+    return _page_text(spark, sf).select("page_id", "text")
+
+
+@query
+def format_date_long(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", dates.long_date("o_orderdate").alias("long_date"))
+
+
+# ---------------------------------------------------------------- 2.7 routing
+def _requests_state(spark, sf):
+    q = messages.first_user_message(table(spark, sf, "conversations"))
+    att = messages.with_defaults(messages.parse_requests(fx.request_json(spark, sf))).select(
+        "conv_id", "num_attempts", "max_attempts")
+    return q.join(att, "conv_id").withColumnRenamed("conv_id", "qid")
+
+
+@query
+def agent_catalog_text(spark, sf):
+    q = messages.first_user_message(table(spark, sf, "conversations")).withColumn(
+        "responses", F.array().cast("array<string>"))
+    return routing.plan_prompt(q).select("conv_id", "plan_prompt")
+
+
+def _assistant_history(spark, sf):
+    c = table(spark, sf, "conversations")
+    log = c.filter(F.col("role") == "assistant")
+    ids = c.select("conv_id").distinct()
+    return ids.join(routing.responses_from_log(log, "conv_id", "turn", "text"), "conv_id", "left")
+
+
+@query
+def history_text(spark, sf):
+    return _assistant_history(spark, sf).select("conv_id", routing.history_text("responses").alias("history"))
+
+
+@query
+def parse_plan(spark, sf):
+    return routing.parse_plan(fx.plans(spark, sf)).select("conv_id", "next_agent", "next_question")
+
+
+def _routed(spark, sf):
+    p = routing.parse_plan(fx.plans(spark, sf)).withColumnRenamed("conv_id", "qid")
+    st = _requests_state(spark, sf).select("qid", "num_attempts", "max_attempts")
+    x = p.join(st, "qid").withColumn("num_attempts", F.col("num_attempts") + 1)
+    return routing.route(x)
+
+
+@query
+def route_next_step(spark, sf):
+    return _routed(spark, sf).select("qid", "next_agent", "num_attempts", "max_attempts", "route")
+
+
+@query
+def dispatch_by_agent(spark, sf):
+    x = _routed(spark, sf).filter(F.col("route") == settings.NEXT_ACTION).withColumn(
+        "responses", F.array().cast("array<string>"))
+    d = routing.dispatch(x, agent_loop.rule_pipelines())
+    return d.select("qid", "next_agent", F.try_element_at("responses", F.lit(-1)).alias("last_response"), "error")
+
+
+@query
+def append_responses(spark, sf):
+    h = _assistant_history(spark, sf).filter(F.col("responses").isNotNull())
+    return h.select("conv_id", F.size("responses").alias("n_responses"), F.to_json("responses").alias("responses"))
+
+
+@query
+def max_tries_message(spark, sf):
+    x = _routed(spark, sf).withColumn("responses", F.array().cast("array<string>"))
+    m = routing.max_tries(x).filter(F.col("route") == settings.MAX_TRIES)
+    return m.select("qid", F.try_element_at("responses", F.lit(-1)).alias("error_response"))
+
+
+@query
+def bounded_agent_loop(spark, sf):
+    out = agent_loop.run_loop(_requests_state(spark, sf))
+    return out.select("qid", "num_attempts", "route", F.size("responses").alias("n_responses"), "final_response")
+
+
+@query
+def final_prompt(spark, sf):
+    q = messages.first_user_message(table(spark, sf, "conversations"))
+    h = _assistant_history(spark, sf)
+    return routing.final_prompt(q.join(h, "conv_id", "left")).select("conv_id", "final_prompt")
+
+
+@query
+def final_response_default(spark, sf):
+    r = fx.replies(spark, sf)
+    return routing.final_message(r, "reply").select("conv_id", "final_response")
+
+
+# ---------------------------------------------------------------- 2.8 evaluation
+def _eval_truth(spark, sf):
+    return ev.containing_docs(table(spark, sf, "benchmark"), "item_id", "text",
+                              table(spark, sf, "documents"), "doc_id", "text")
+
+
+def _eval_results(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("request"))
+    docs = table(spark, sf, "documents")
+    truth = _eval_truth(spark, sf).groupBy("item_id").agg(F.min("doc_id").alias("truth_doc"))
+    best = keyword.keyword_top1(b, "item_id", "request", docs, "doc_id", "text").select(
+        "item_id", F.col("doc_id").alias("best_doc"))
+    return b.join(truth, "item_id", "left").join(best, "item_id", "left")
+
+
+@query
+def eval_join(spark, sf):
+    r = _eval_results(spark, sf)
+    return r.select("item_id", "request", F.col("truth_doc").cast("string").alias("expected_response"),
+                    F.col("best_doc").cast("string").alias("response"))
+
+
+@query
+def eval_answer_match(spark, sf):
+    r = _eval_results(spark, sf)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    r = (r.join(docs.withColumnRenamed("doc_id", "truth_doc").withColumnRenamed("text", "expected_response"),
+                "truth_doc", "left")
+         .join(docs.withColumnRenamed("doc_id", "best_doc").withColumnRenamed("text", "response"), "best_doc", "left"))
+    m = ev.answer_match(r)
+    return m.select("item_id", "exact_match", "precision", "recall", "f1", "refusal_match")
+
+
+@query
+def eval_retrieval_recall(spark, sf):
+    b = table(spark, sf, "benchmark")
+    hits = keyword.keyword_topk(b, "item_id", "text", table(spark, sf, "documents"), "doc_id", "text", k=3)
+    return ev.retrieval_recall(hits, _eval_truth(spark, sf), "item_id", "doc_id")
+
+
+@query
+def eval_tokens_latency(spark, sf):
+    return ev.cost_metrics(fx.trace(spark, sf))
+
+
+@query
+def extract_citations(spark, sf):
+    reqs, corpus, idx = _rag_hits(spark, sf)
+    a = rag.answer_questions(reqs, idx, corpus)
+    return ev.citations(a, "answer", "qid")
+
+
+@query
+def trace_summary(spark, sf):
+    return ev.trace_summary(fx.trace(spark, sf))
+
+
+@query
+def user_prefix(spark, sf):
+    c = table(spark, sf, "customer")
+    email = F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@example.com"))
+    x = c.select("c_custkey", email.alias("email"))
+    return x.withColumn("user_prefix", text.user_prefix("email"))
+
+
+@query
+def run_label(spark, sf):
+    ev_ = table(spark, sf, "events")
+    return ev_.select("event_id", dates.run_label("ts", "US/Eastern").alias("label"))
+
+
 def entry_query(spark: SparkSession, sf: str) -> DataFrame:
     return rag_pipeline(spark, sf)

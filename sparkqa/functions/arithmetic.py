@@ -35,28 +35,38 @@ def _op(c: Column, pattern: str, i: int) -> Column:
     return F.regexp_extract(c, pattern, i)
 
 
-def solve_expr(c: Column) -> tuple[Column, Column]:
-    """(result, error) columns for an expression column."""
-    one = _apply(_num(c, ONE_OP, 1), _op(c, ONE_OP, 2), _num(c, ONE_OP, 3))
-    pw = _apply(F.pow(_num(c, POW_THEN, 1), _num(c, POW_THEN, 3)), _op(c, POW_THEN, 4), _num(c, POW_THEN, 5))
-    x, o1, y, o2, z = (_num(c, TWO_OPS, 1), _op(c, TWO_OPS, 2), _num(c, TWO_OPS, 3),
-                       _op(c, TWO_OPS, 4), _num(c, TWO_OPS, 5))
-    right_first = o2.isin("*", "/", "^", "**") & o1.isin("+", "-") | o2.isin("^", "**") & o1.isin("*", "/")
-    two = F.when(right_first, _apply(x, o1, _apply(y, o2, z))).otherwise(_apply(_apply(x, o1, y), o2, z))
-    lo = F.regexp_extract(c, SUM_RANGE, 1).cast("decimal(38,0)")
-    hi = F.regexp_extract(c, SUM_RANGE, 2).cast("decimal(38,0)")
-    # closed form of lo + (lo+1) + ... + (hi-1): no sequence is materialised
-    srange = F.when(hi > lo, (hi - lo) * (lo + hi - 1) / 2).otherwise(F.lit(0)).cast("double")
-    result = (F.when(F.startswith(c, F.lit("NA")), F.lit(None).cast("double"))
-              .when(c.rlike(SUM_RANGE), srange)
-              .when(c.rlike(POW_THEN), pw)
-              .when(c.rlike(ONE_OP), one)
-              .when(c.rlike(TWO_OPS), two))
-    error = (F.when(F.startswith(c, F.lit("NA")), F.lit(settings.NO_MATH))
-             .when(result.isNull(), F.lit("Cannot evaluate expression")))
-    return result, error
+def solve(df: DataFrame, col: str = "expression") -> DataFrame:
+    """Add ``result`` (double) and ``error`` for an expression column.
 
+    Staged projections: the regex pieces are extracted once into columns, then combined,
+    which keeps each generated method small enough for whole-stage codegen."""
+    c = F.col(col)
+    x = df.withColumns({
+        "_form": F.when(F.startswith(c, F.lit("NA")), F.lit(0)).when(c.rlike(SUM_RANGE), F.lit(1))
+        .when(c.rlike(POW_THEN), F.lit(2)).when(c.rlike(ONE_OP), F.lit(3)).when(c.rlike(TWO_OPS), F.lit(4)),
+    })
+    f = F.col("_form")
 
-def solve(df: DataFrame, col: str = "expression") -> DataFrame:
-    result, error = solve_expr(F.col(col))
-    return df.withColumns({"result": result, "error": error})
+    def groups(pattern: str, n: int) -> Column:
+        return F.array(*[F.regexp_extract(c, pattern, i) for i in range(1, n + 1)]
+                       + [F.lit("")] * (5 - n))
+
+    x = x.withColumn("_g", F.when(f == 1, groups(SUM_RANGE, 2)).when(f == 2, groups(POW_THEN, 5))
+                     .when(f == 3, groups(ONE_OP, 3)).when(f == 4, groups(TWO_OPS, 5)))
+    g = [F.get(F.col("_g"), i) for i in range(5)]
+    num = [v.try_cast("double") for v in g]
+    x = x.withColumns({"_a": num[0], "_o1": g[1], "_b": num[2], "_o2": g[3], "_c": num[4],
+                       "_lo": g[0].try_cast("decimal(38,0)"), "_hi": g[1].try_cast("decimal(38,0)")})
+    a, o1, b, o2, cc = F.col("_a"), F.col("_o1"), F.col("_b"), F.col("_o2"), F.col("_c")
+    lo, hi = F.col("_lo"), F.col("_hi")
+    # closed form of lo + (lo+1) + ... + (hi-1): no sequence is materialised
+    srange = F.when(hi > lo, (hi - lo) * (lo + hi - 1) / 2).otherwise(F.lit(0)).cast("double")
+    pw = _apply(F.pow(a, g[2].try_cast("double")), g[3], cc)
+    one = _apply(a, o1, b)
+    right_first = o2.isin("*", "/", "^", "**") & o1.isin("+", "-") | o2.isin("^", "**") & o1.isin("*", "/")
+    two = F.when(right_first, _apply(a, o1, _apply(b, o2, cc))).otherwise(_apply(_apply(a, o1, b), o2, cc))
+    x = x.withColumn("result", F.when(f == 1, srange).when(f == 2, pw).when(f == 3, one).when(f == 4, two)
+                     .cast("double"))
+    x = x.withColumn("error", F.when(f == 0, F.lit(settings.NO_MATH))
+                     .when(F.col("result").isNull(), F.lit("Cannot evaluate expression")))
+    return x.drop("_form", "_g", "_a", "_o1", "_b", "_o2", "_c", "_lo", "_hi")

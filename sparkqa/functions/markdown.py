@@ -21,13 +21,13 @@ def markdown_rows(df: DataFrame, col: str = "reply", key: str = "conv_id") -> Da
     null cells, extra cells are dropped. Output: key, row_no (1-based), ``cells`` map in
     header order."""
     lines = F.filter(F.split(F.col(col), "\n", -1), lambda l: strip_ws(l) != "")
-    x = df.select(key, _cells(F.element_at(lines, 1)).alias("hdr"),
+    x = df.select(key, _cells(F.try_element_at(lines, F.lit(1))).alias("hdr"),
                   F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))).alias("body"))
     x = x.select(key, "hdr", F.posexplode("body").alias("pos", "line"))
     cells = _cells(F.col("line"))
     idx = F.sequence(F.lit(1), F.size("hdr"))
-    named = F.filter(idx, lambda i: F.element_at(F.col("hdr"), i) != "")
-    keys = F.transform(named, lambda i: F.element_at(F.col("hdr"), i))
+    named = F.filter(idx, lambda i: F.try_element_at(F.col("hdr"), i) != "")
+    keys = F.transform(named, lambda i: F.try_element_at(F.col("hdr"), i))
     vals = F.transform(named, lambda i: F.get(cells, i - 1))
     return x.select(key, (F.col("pos") + 1).alias("row_no"), F.map_from_arrays(keys, vals).alias("cells"))
 
@@ -41,11 +41,11 @@ def markdown_json(df: DataFrame, col: str = "reply", key: str = "conv_id") -> Da
 def table_json_expr(col: str):
     """Markdown table -> JSON array text inside one row, without regrouping (used by op 39)."""
     lines = F.filter(F.split(F.col(col), "\n", -1), lambda l: strip_ws(l) != "")
-    hdr = _cells(F.element_at(lines, 1))
+    hdr = _cells(F.try_element_at(lines, F.lit(1)))
     body = F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0)))
     idx = F.sequence(F.lit(1), F.size(hdr))
-    named = F.filter(idx, lambda i: F.element_at(hdr, i) != "")
-    keys = F.transform(named, lambda i: F.element_at(hdr, i))
+    named = F.filter(idx, lambda i: F.try_element_at(hdr, i) != "")
+    keys = F.transform(named, lambda i: F.try_element_at(hdr, i))
 
     def row(line):
         cells = _cells(line)

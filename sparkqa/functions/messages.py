@@ -42,7 +42,7 @@ def parse_requests(df: DataFrame, col: str = "request") -> DataFrame:
 
 def first_user_content(messages: str = "messages"):
     """Content of the first message with role 'user' in an array column."""
-    return F.element_at(F.filter(F.col(messages), lambda m: m["role"] == "user"), 1)["content"]
+    return F.try_element_at(F.filter(F.col(messages), lambda m: m["role"] == "user"), F.lit(1))["content"]
 
 
 def first_user_message(conversations: DataFrame, key: str = "conv_id", turn: str = "turn",

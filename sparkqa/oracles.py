@@ -192,6 +192,9 @@ def with_views(body: str, *names: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
+    b = body.lstrip()
+    if b[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{b[5:]}"
     return f"WITH {ctes}\n{body}"
 
 
@@ -309,3 +312,283 @@ SELECT conv_id, CASE WHEN contains(mr, {lit(settings.IRRELEVANT)}) THEN {lit(set
 FROM (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN {lit(settings.IRRELEVANT + '.')} ELSE reply END AS mr
       FROM replies WHERE reply IS NOT NULL)""", "replies")
 oracle("rag_pipeline", "SELECT qid, question, model_response, answer FROM rag_answer", "rag_answer")
+
+
+# ---------------------------------------------------------------- 2.5 structured
+def html_sql(x: str) -> str:
+    from .functions.text import HTML_ENTITIES
+    s = x
+    for pat in [r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"<![^>]*>",
+                r"<[^>]*>"]:
+        s = f"regexp_replace({s}, {lit(pat)}, '', 'g')"
+    for pat, rep in HTML_ENTITIES:
+        s = f"regexp_replace({s}, {lit(pat)}, {lit(rep)}, 'g')"
+    return s
+
+
+oracle("count_by_status", "SELECT status, count(*) AS n FROM trials GROUP BY status", "trials")
+oracle("count_by_location", "SELECT 'Nation_7' AS needle, count(*) AS n FROM trials "
+       "WHERE contains(lower(locations), 'nation_7')", "trials")
+oracle("count_status_and_place", """
+SELECT lk.place, CAST(coalesce(sum(pn.n), 0) AS BIGINT) AS n
+FROM (SELECT r.r_name AS place, n.n_name AS nation FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey) lk
+LEFT JOIN (SELECT split_part(locations, ', ', 1) AS nation, count(*) AS n FROM trials WHERE status = 'Completed'
+           GROUP BY 1) pn ON lk.nation = pn.nation
+GROUP BY lk.place""", "trials")
+
+
+def _stat_questions_sql() -> str:
+    statuses = [v for _, v in settings.STATUS_BY_CODE]
+    parts = []
+    for i, s in enumerate(statuses):
+        parts.append(f"SELECT CAST(n_nationkey AS BIGINT) * 100 + {i + 1} AS question_id, "
+                     f"{lit(f'How many {s.lower()} trials were conducted in ')} || n_name || '?' AS question FROM nation")
+    parts.append("SELECT CAST(n_nationkey AS BIGINT) * 100 + 4, 'How many trials were conducted in ' || n_name || '?' "
+                 "FROM nation")
+    for i, s in enumerate(statuses):
+        parts.append(f"SELECT (CAST(r_regionkey AS BIGINT) + 10000) * 100 + {5 + i}, "
+                     f"{lit(f'How many trials are in {s} status?')} FROM region")
+    parts.append("SELECT (CAST(r_regionkey AS BIGINT) + 10000) * 100 + 8, 'How many trials are there in total?' "
+                 "FROM region")
+    parts.append("SELECT (CAST(r_regionkey AS BIGINT) + 10000) * 100 + 9, 'Which trial in ' || r_name || "
+                 "' has the longest title?' FROM region")
+    return " UNION ALL ".join(parts)
+
+
+def _rules_sql() -> str:
+    from .plans.structured import RULES
+    rule, status, place = [], [], []
+    for no, pat, sg, pg in RULES:
+        m = f"regexp_matches(q, {lit(pat)})"
+        rule.append(f"WHEN {m} THEN {no}")
+        status.append(f"WHEN {m} THEN " + (f"regexp_extract(q, {lit(pat)}, {sg})" if sg else "NULL"))
+        place.append(f"WHEN {m} THEN " + (f"regexp_extract(q, {lit(pat)}, {pg})" if pg else "NULL"))
+    return (f"CASE {' '.join(rule)} END AS rule_no, CASE {' '.join(status)} END AS q_status, "
+            f"CASE {' '.join(place)} END AS q_place")
+
+
+oracle("answer_statistic_questions", f"""
+WITH qs AS ({_stat_questions_sql()}),
+m AS (SELECT question_id, question, {_rules_sql()} FROM (SELECT *, lower(trim(question)) AS q FROM qs)),
+f AS (SELECT f_status, f_place, count(*) AS n, GROUPING(f_status, f_place) AS gid
+      FROM (SELECT lower(status) AS f_status, lower(split_part(locations, ', ', 1)) AS f_place FROM trials)
+      GROUP BY CUBE (f_status, f_place))
+SELECT m.question_id, m.question, m.rule_no, CASE WHEN m.rule_no IS NOT NULL THEN coalesce(f.n, 0) END AS answer
+FROM m LEFT JOIN f ON m.q_status IS NOT DISTINCT FROM f.f_status AND m.q_place IS NOT DISTINCT FROM f.f_place
+  AND (CASE WHEN m.q_status IS NULL THEN 2 ELSE 0 END + CASE WHEN m.q_place IS NULL THEN 1 ELSE 0 END) = f.gid""",
+       "trials")
+oracle("question_prefix", f"SELECT conv_id, {lit(settings.QUESTION_PREFIX)} || question AS question FROM requests",
+       "requests")
+
+_MD = f"""
+h AS (SELECT conv_id, reply, hdr, lines[3:] AS body, list_filter(range(1, len(hdr) + 1), lambda i: hdr[i] <> '') AS named
+      FROM (SELECT conv_id, reply, lines,
+                   list_transform(string_split(lines[1], '|'), lambda c: {strip_sql('c')}) AS hdr
+            FROM (SELECT conv_id, reply,
+                         list_filter(string_split(reply, {NL}), lambda x: {strip_sql('x')} <> '') AS lines
+                  FROM replies WHERE reply IS NOT NULL)))"""
+oracle("markdown_table_rows", f"""
+WITH {_MD},
+b AS (SELECT conv_id, hdr, named, unnest(body) AS line, unnest(generate_series(1, len(body))) AS row_no FROM h),
+c AS (SELECT conv_id, row_no, hdr, list_transform(string_split(line, '|'), lambda c: {strip_sql('c')}) AS cells,
+             unnest(named) AS i FROM b)
+SELECT conv_id, CAST(row_no AS INTEGER) AS row_no, hdr[i] AS cell_name, cells[i] AS cell_value FROM c""", "replies")
+_JSON = (f"CAST(to_json(list_transform(body, lambda line: map_from_entries(list_transform(named, lambda i: "
+         f"struct_pack(k := hdr[i], v := list_transform(string_split(line, '|'), lambda c: {strip_sql('c')})[i]))))) AS VARCHAR)")
+oracle("markdown_table_json", f"WITH {_MD} SELECT conv_id, {_JSON} AS json FROM h", "replies")
+oracle("structured_answer", f"""WITH {_MD}
+SELECT conv_id, {lit(settings.ANSWER_PREFIX)} || CASE WHEN length(reply) - length(replace(reply, '|', '')) > 1
+  THEN {_JSON} ELSE reply END AS answer FROM h""", "replies")
+
+
+# ---------------------------------------------------------------- 2.6 tools
+def _arith_sql() -> str:
+    from .functions import arithmetic as A
+
+    def num(p, i):
+        return f"TRY_CAST(regexp_extract(expression, {lit(p)}, {i}) AS DOUBLE)"
+
+    def op(p, i):
+        return f"regexp_extract(expression, {lit(p)}, {i})"
+
+    def ap(a, o, b):
+        return (f"(CASE {o} WHEN '+' THEN {a} + {b} WHEN '-' THEN {a} - {b} WHEN '*' THEN {a} * {b} "
+                f"WHEN '/' THEN CASE WHEN {b} = 0 THEN NULL ELSE {a} / {b} END "
+                f"WHEN '^' THEN pow({a}, {b}) WHEN '**' THEN pow({a}, {b}) END)")
+
+    one = ap(num(A.ONE_OP, 1), op(A.ONE_OP, 2), num(A.ONE_OP, 3))
+    pw = ap(f"pow({num(A.POW_THEN, 1)}, {num(A.POW_THEN, 3)})", op(A.POW_THEN, 4), num(A.POW_THEN, 5))
+    x, o1, y, o2, z = (num(A.TWO_OPS, 1), op(A.TWO_OPS, 2), num(A.TWO_OPS, 3), op(A.TWO_OPS, 4), num(A.TWO_OPS, 5))
+    rf = (f"(({o2} IN ('*', '/', '^', '**') AND {o1} IN ('+', '-')) OR ({o2} IN ('^', '**') AND {o1} IN ('*', '/')))")
+    two = f"(CASE WHEN {rf} THEN {ap(x, o1, ap(y, o2, z))} ELSE {ap(ap(x, o1, y), o2, z)} END)"
+    lo = f"CAST(regexp_extract(expression, {lit(A.SUM_RANGE)}, 1) AS HUGEINT)"
+    hi = f"CAST(regexp_extract(expression, {lit(A.SUM_RANGE)}, 2) AS HUGEINT)"
+    sr = f"CAST(CASE WHEN {hi} > {lo} THEN ({hi} - {lo}) * ({lo} + {hi} - 1) / 2 ELSE 0 END AS DOUBLE)"
+    return (f"CASE WHEN starts_with(expression, 'NA') THEN NULL "
+            f"WHEN regexp_matches(expression, {lit(A.SUM_RANGE)}) THEN {sr} "
+            f"WHEN regexp_matches(expression, {lit(A.POW_THEN)}) THEN {pw} "
+            f"WHEN regexp_matches(expression, {lit(A.ONE_OP)}) THEN {one} "
+            f"WHEN regexp_matches(expression, {lit(A.TWO_OPS)}) THEN {two} END")
+
+
+view("expressions", """
+SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN CAST(p_size AS VARCHAR) || '+' || CAST(p_partkey % 7 + 1 AS VARCHAR)
+  WHEN p_partkey % 6 = 1 THEN '(' || CAST(p_partkey % 7 + 1 AS VARCHAR) || '^3)*' || CAST(p_size AS VARCHAR)
+  WHEN p_partkey % 6 = 2 THEN 'sum(range(' || CAST(p_partkey % 7 + 1 AS VARCHAR) || ', ' || CAST(p_size AS VARCHAR) || '))'
+  WHEN p_partkey % 6 = 3 THEN CAST(p_size AS VARCHAR) || ' * ' || CAST(p_partkey % 7 + 1 AS VARCHAR) || ' - 1'
+  WHEN p_partkey % 6 = 4 THEN CAST(p_size AS VARCHAR) || '/' || CAST(p_partkey % 7 + 1 AS VARCHAR)
+  ELSE 'NA' END AS expression FROM part""")
+oracle("solve_arithmetic", f"""
+SELECT p_partkey, expression, result, CASE WHEN starts_with(expression, 'NA') THEN {lit(settings.NO_MATH)}
+  WHEN result IS NULL THEN 'Cannot evaluate expression' END AS error
+FROM (SELECT *, {_arith_sql()} AS result FROM expressions)""", "expressions")
+
+view("page_text", f"SELECT page_id, url, {html_sql('html')} AS text FROM pages")
+oracle("html_to_text", "SELECT page_id, text FROM page_text", "page_text")
+oracle("format_date_long", "SELECT o_orderkey, strftime(o_orderdate, '%B %d, %Y') AS long_date FROM orders")
+
+
+def _kw_scores(qsrc: str, qkey: str, qtext: str, dsrc: str, dkey: str, dtext: str) -> str:
+    return f"""(
+WITH p AS (SELECT {dkey} AS dk, t AS term, count(*) AS tf FROM {dsrc}, unnest({tokens_sql(dtext)}) AS u(t) GROUP BY ALL),
+nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {dsrc}),
+df AS (SELECT term, ln((SELECT n FROM nd) / count(*)) AS idf FROM p GROUP BY term
+       HAVING count(*) <= (SELECT n FROM nd) * 0.1),
+qt AS (SELECT DISTINCT {qkey} AS qk, t AS term FROM {qsrc}, unnest(list_distinct({tokens_sql(qtext)})) AS u(t))
+SELECT qt.qk, p.dk, sum(p.tf * df.idf) AS score FROM qt JOIN p USING (term) JOIN df USING (term) GROUP BY qt.qk, p.dk)"""
+
+
+oracle("corpus_search_top1", f"""
+WITH s AS {_kw_scores('benchmark', 'item_id', 'text', 'page_text', 'page_id', 'text')},
+best AS (SELECT qk, arg_max(dk, (round(score, 9), -dk)) AS page_id, arg_max(score, (round(score, 9), -dk)) AS score
+         FROM s GROUP BY qk)
+SELECT b.item_id, best.page_id, round(best.score, 6) AS score, pt.url, pt.text AS snippet,
+  CASE WHEN best.page_id IS NULL THEN {lit(settings.NO_RECORDS)} END AS message
+FROM benchmark b LEFT JOIN best ON b.item_id = best.qk LEFT JOIN page_text pt ON best.page_id = pt.page_id""",
+       "page_text")
+
+# ---------------------------------------------------------------- 2.7 routing
+view("plans", f"""
+SELECT conv_id, question, CASE WHEN conv_id % 5 = 0 THEN '  covid_rag_agent : ' || question || '  ' || {NL}
+  WHEN conv_id % 5 = 1 THEN 'covid_genie_agent' WHEN conv_id % 5 = 2 THEN ' DONE '
+  WHEN conv_id % 5 = 3 THEN 'helper_agent:' || question || ':tail'
+  ELSE 'Irrelevant Question:' || question END AS plan FROM requests""", ["requests"])
+view("parsed_plans", f"""
+SELECT conv_id, question, {strip_sql('parts[1]')} AS next_agent,
+  CASE WHEN len(parts) > 1 THEN {strip_sql('parts[2]')} END AS next_question
+FROM (SELECT conv_id, question, string_split({strip_sql('plan')}, ':') AS parts FROM plans)""", ["plans"])
+view("routed", f"""
+SELECT p.conv_id AS qid, p.question, p.next_agent, p.next_question,
+  CAST(CASE WHEN p.conv_id % 3 = 0 AND p.conv_id % 2 = 0 THEN 1 ELSE 0 END + 1 AS INTEGER) AS num_attempts,
+  CAST(CASE WHEN p.conv_id % 3 = 0 AND p.conv_id % 4 = 0 THEN 5 ELSE 3 END AS INTEGER) AS max_attempts
+FROM parsed_plans p""", ["parsed_plans"])
+view("routed2", f"""
+SELECT *, CASE WHEN next_agent = {lit(settings.DONE)} THEN {lit(settings.USER_RESPONSE)}
+  WHEN num_attempts >= max_attempts THEN {lit(settings.MAX_TRIES)} ELSE {lit(settings.NEXT_ACTION)} END AS route
+FROM routed""", ["routed"])
+view("history", f"""
+SELECT c.conv_id, h.lines, h.n, h.js FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (
+  SELECT conv_id, string_agg(' - ' || text, {NL} ORDER BY turn) AS lines, CAST(count(*) AS INTEGER) AS n,
+         to_json(list(text ORDER BY turn)) AS js
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id) h ON c.conv_id = h.conv_id""")
+
+
+def _fill_sql(template: str, values: dict[str, str]) -> str:
+    import re
+    parts = re.split(r"\{(\w+)\}", template)
+    out = []
+    for i, p in enumerate(parts):
+        if i % 2 == 0:
+            if p:
+                out.append(lit(p))
+        else:
+            out.append(f"coalesce(CAST({values[p]} AS VARCHAR), '')")
+    return " || ".join(out)
+
+
+def _catalog_text() -> str:
+    from .operators.routing import catalog_text
+    return catalog_text()
+
+
+oracle("agent_catalog_text", "SELECT conv_id, " + _fill_sql(settings.PLAN_PROMPT, {
+    "question": "question", "past_agent_responses_from_state": lit(settings.NO_HISTORY),
+    "agent_names_for_prompt": lit(_catalog_text())}) + " AS plan_prompt FROM requests", "requests")
+oracle("history_text", f"SELECT conv_id, coalesce(lines, {lit(settings.NO_HISTORY)}) AS history FROM history", "history")
+oracle("parse_plan", "SELECT conv_id, next_agent, next_question FROM parsed_plans", "parsed_plans")
+oracle("route_next_step", "SELECT qid, next_agent, num_attempts, max_attempts, route FROM routed2", "routed2")
+_ASK = "coalesce(next_question, question)"
+_REPLY = (f"CASE next_agent WHEN 'covid_rag_agent' THEN 'Found trials about: ' || {_ASK} "
+          f"WHEN 'covid_genie_agent' THEN {lit(settings.ANSWER_PREFIX)} || CAST(length({_ASK}) AS VARCHAR) "
+          f"WHEN 'helper_agent' THEN 'Words: ' || CAST(len({tokens_sql(_ASK)}) AS VARCHAR) END")
+oracle("dispatch_by_agent", f"""
+SELECT qid, next_agent, CASE WHEN reply IS NOT NULL THEN {_ASK} || ' :' || {strip_sql('reply')} END AS last_response,
+  CASE WHEN reply IS NULL THEN {lit(settings.UNKNOWN_AGENT)} || coalesce(next_agent, '') END AS error
+FROM (SELECT *, {_REPLY} AS reply FROM routed2 WHERE route = {lit(settings.NEXT_ACTION)})""", "routed2")
+oracle("append_responses", "SELECT conv_id, n AS n_responses, js AS responses FROM history WHERE n IS NOT NULL",
+       "history")
+oracle("max_tries_message", f"""
+SELECT qid, {lit(settings.MAX_TRIES_TEXT)} || CAST(max_attempts AS VARCHAR) AS error_response
+FROM routed2 WHERE route = {lit(settings.MAX_TRIES)}""", "routed2")
+oracle("final_prompt", "SELECT r.conv_id, " + _fill_sql(settings.FINAL_MESSAGE_PROMPT, {
+    "past_agent_responses_from_state": f"coalesce(h.lines, {lit(settings.NO_HISTORY)})", "question": "r.question"})
+       + " AS final_prompt FROM requests r LEFT JOIN history h ON r.conv_id = h.conv_id", "requests", "history")
+oracle("final_response_default", f"SELECT conv_id, coalesce(reply, {lit(settings.NO_FINAL_RESPONSE)}) AS final_response "
+       "FROM replies", "replies")
+
+# ---------------------------------------------------------------- 2.8 evaluation
+view("eval_truth", """
+SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
+view("eval_results", f"""
+WITH s AS {_kw_scores('benchmark', 'item_id', 'text', 'documents', 'doc_id', 'text')},
+best AS (SELECT qk, arg_max(dk, (round(score, 9), -dk)) AS best_doc FROM s GROUP BY qk),
+t AS (SELECT item_id, min(doc_id) AS truth_doc FROM eval_truth GROUP BY item_id)
+SELECT b.item_id, b.text AS request, t.truth_doc, best.best_doc
+FROM benchmark b LEFT JOIN t ON b.item_id = t.item_id LEFT JOIN best ON b.item_id = best.qk""", ["eval_truth"])
+oracle("eval_join", """SELECT item_id, request, CAST(truth_doc AS VARCHAR) AS expected_response,
+  CAST(best_doc AS VARCHAR) AS response FROM eval_results""", "eval_results")
+_r, _e = "list_distinct(" + tokens_sql("r.response") + ")", "list_distinct(" + tokens_sql("r.expected_response") + ")"
+oracle("eval_answer_match", f"""
+WITH r AS (SELECT e.item_id, dt.text AS expected_response, db.text AS response FROM eval_results e
+           LEFT JOIN documents dt ON e.truth_doc = dt.doc_id LEFT JOIN documents db ON e.best_doc = db.doc_id),
+m AS (SELECT r.*, CAST(len(list_intersect({_r}, {_e})) AS DOUBLE) AS inter, len({_r}) AS nr, len({_e}) AS ne FROM r),
+pr AS (SELECT *, CASE WHEN nr > 0 THEN inter / nr END AS p, CASE WHEN ne > 0 THEN inter / ne END AS rc FROM m)
+SELECT item_id,
+  CASE WHEN has THEN response = expected_response END AS exact_match,
+  CASE WHEN has THEN round(p, 6) END AS precision, CASE WHEN has THEN round(rc, 6) END AS recall,
+  CASE WHEN has THEN round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc)
+                                WHEN p IS NOT NULL AND rc IS NOT NULL THEN 0.0 END, 6) END AS f1,
+  CASE WHEN has THEN contains(response, {lit(settings.IRRELEVANT)}) = contains(expected_response,
+    {lit(settings.IRRELEVANT)}) END AS refusal_match
+FROM (SELECT *, expected_response IS NOT NULL AND response IS NOT NULL AS has FROM pr)""", "eval_results")
+oracle("eval_retrieval_recall", f"""
+WITH s AS {_kw_scores('benchmark', 'item_id', 'text', 'documents', 'doc_id', 'text')},
+h AS (SELECT qk AS item_id, dk AS doc_id FROM (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY round(score, 9) DESC,
+      dk) AS rn FROM s) WHERE rn <= 3),
+j AS (SELECT t.item_id, t.doc_id, h.doc_id AS hit FROM (SELECT DISTINCT item_id, doc_id FROM eval_truth) t
+      LEFT JOIN h ON t.item_id = h.item_id AND t.doc_id = h.doc_id)
+SELECT item_id, count(*) AS n_truth, count(hit) AS n_found, round(count(hit) / count(*), 6) AS recall
+FROM j GROUP BY item_id""", "eval_truth")
+view("trace", """
+SELECT event_id, user_id AS request_id, ts, event_type AS span, event_type = 'error' AS is_error, value AS latency_ms,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens FROM events""")
+_LAT = ("round(avg(latency_ms), 6) AS mean_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms, "
+        "round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms")
+oracle("eval_tokens_latency", f"""SELECT request_id, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, {_LAT}
+FROM trace GROUP BY ROLLUP (request_id)""", "trace")
+oracle("extract_citations", """
+SELECT qid, CAST(pos - 1 AS INTEGER) AS pos, cites[pos] AS citation FROM (
+  SELECT qid, cites, unnest(generate_series(1, len(cites))) AS pos FROM (
+    SELECT qid, regexp_extract_all(answer, '(https?://[^\\s"]+|NCT\\d{8})', 1) AS cites FROM rag_answer))""",
+       "rag_answer")
+oracle("trace_summary", f"""SELECT span, count(*) AS calls, count(*) FILTER (WHERE is_error) AS errors, {_LAT}
+FROM trace GROUP BY span""", "trace")
+oracle("user_prefix", """
+SELECT c_custkey, email, substr(nm, 1, 4) || CASE WHEN length(CAST(length(nm) AS VARCHAR)) < 3
+  THEN lpad(CAST(length(nm) AS VARCHAR), 3, '0') ELSE CAST(length(nm) AS VARCHAR) END AS user_prefix
+FROM (SELECT c_custkey, email, replace(split_part(email, '@', 1), '.', '_') AS nm
+      FROM (SELECT c_custkey, lower(replace(c_name, '#', '.')) || '@example.com' AS email FROM customer))""")
+oracle("run_label", """
+SELECT event_id, strftime(loc, '%Y-%m-%d-%H:%M:%S') || '-' ||
+  CASE WHEN epoch(loc) - epoch(ts) = -18000 THEN 'EST' ELSE 'EDT' END AS label
+FROM (SELECT event_id, ts, timezone('US/Eastern', ts AT TIME ZONE 'UTC') AS loc FROM events)""")
