@@ -9,9 +9,11 @@ Search never pairs every query with every vector:
 
 * each query is expanded to the cells it must visit (numpy on Arrow batches, against the
   ``nlist`` centroids, a size-checked local array);
-* candidate pairs come from an equi-join on ``(cell, part)``;
-* the k best per query come from ``row_number`` over a window, which Spark turns into a
-  WindowGroupLimit that trims each task's output before the shuffle.
+* queries and index rows are cogrouped on ``(cell, part, query chunk)`` and each group is
+  scored with numpy matrix multiplies (BLAS) in bounded query blocks; only the k best
+  per query and group leave the task;
+* the final k per query come from ``row_number`` over a window (a WindowGroupLimit that
+  trims before the shuffle).
 
 Approximate search (op 18) visits the ``nprobe`` nearest cells. Exact search (op 17)
 visits those first, takes the k-th best score per query as a threshold, and then visits
@@ -92,7 +94,7 @@ def _assign_fn(key: str, vector: str, centers: np.ndarray):
 
 
 def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16, seed: int = 7,
-                max_iter: int = 20, rows_per_part: int = 50_000, path: str | None = None) -> VectorIndex:
+                max_iter: int = 20, rows_per_part: int = 20_000, path: str | None = None) -> VectorIndex:
     """Cell-partitioned index over a keyed vector table (op 13).
 
     Raises if a key is null or repeated. Cells are KMeans centroids (``nlist == 1``
@@ -176,26 +178,67 @@ def _probe(queries: DataFrame, qkey: str, qvec: str, arrays, nprobe: int, phase:
     return p.withColumn("part", F.explode(F.sequence(F.lit(0), F.get(n_parts, F.col("cell")) - 1)))
 
 
-def _candidates(probes: DataFrame, index: VectorIndex, qkey: str, qvec: str, exclude_self: bool) -> DataFrame:
+QUERY_BLOCK = 512            # queries scored per matrix multiply inside a task
+QUERY_CHUNK_ROWS = 4096      # queries per cogroup chunk; the index part is replayed per chunk
+RANK_DECIMALS = 10           # scores are ranked at this precision, so summation order never reorders ties
+
+
+def _scan_fn(qkey: str, key: str, k: int, exclude_self: bool):
+    def scan(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        if len(q) == 0 or len(d) == 0:
+            return pd.DataFrame({qkey: q[qkey].iloc[:0], "hit_key": d[key].iloc[:0], "score": np.zeros(0)})
+        dm = np.vstack(d["_dvec"].map(lambda v: np.asarray(v, dtype=float)).to_numpy())
+        dk = d[key].to_numpy()
+        qm = np.vstack(q["qvec"].map(lambda v: np.asarray(v, dtype=float)).to_numpy())
+        qk = q[qkey].to_numpy()
+        kk = min(k, len(d))
+        outs = []
+        for s0 in range(0, len(q), QUERY_BLOCK):
+            sc = qm[s0:s0 + QUERY_BLOCK] @ dm.T
+            if exclude_self:
+                sc[qk[s0:s0 + QUERY_BLOCK][:, None] == dk[None, :]] = -np.inf
+            r = np.round(sc, RANK_DECIMALS)
+            kth = np.partition(r, -kk, axis=1)[:, -kk]
+            rows, cols = np.nonzero((r >= kth[:, None]) & np.isfinite(r))
+            outs.append(pd.DataFrame({qkey: qk[s0 + rows], "hit_key": dk[cols], "score": sc[rows, cols]}))
+        return pd.concat(outs, ignore_index=True)
+    return scan
+
+
+def _candidates(probes: DataFrame, index: VectorIndex, qkey: str, qvec: str, exclude_self: bool,
+                k: int, n_chunks: int) -> DataFrame:
+    """Per-(cell, part, query chunk) best-k candidates: both sides are cogrouped on the
+    cell key and each group is scored with one matrix multiply per query block; only
+    each block's k best per query leave the task (ties at the k-th score kept)."""
     v = index.vectors.select(index.key, F.col(index.vector).alias("_dvec"), "cell", "part")
-    cond = ["cell", "part"]
-    j = probes.join(v, cond)
-    if exclude_self:
-        j = j.filter(F.col(qkey) != F.col(index.key))
-    return j.select(qkey, F.col(index.key).alias("hit_key"), dot(qvec, "_dvec").alias("score"))
+    if n_chunks > 1:
+        v = v.withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+    else:
+        v = v.withColumn("qchunk", F.lit(0))
+    p = probes.select(qkey, F.col(qvec).alias("qvec"), "cell", "part").withColumn(
+        "qchunk", F.pmod(F.xxhash64(F.col(qkey)), F.lit(n_chunks)).cast("int"))
+    schema = T.StructType([probes.schema[qkey], T.StructField("hit_key", index.vectors.schema[index.key].dataType),
+                           T.StructField("score", T.DoubleType())])
+    g = ["cell", "part", "qchunk"]
+    return p.groupBy(*g).cogroup(v.groupBy(*g)).applyInPandas(_scan_fn(qkey, index.key, k, exclude_self), schema)
 
 
 def _top(c: DataFrame, qkey: str, k: int) -> DataFrame:
-    w = Window.partitionBy(qkey).orderBy(F.col("score").desc(), F.col("hit_key").asc())
+    w = Window.partitionBy(qkey).orderBy(F.round("score", RANK_DECIMALS).desc(), F.col("hit_key").asc())
     return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _n_chunks(queries: DataFrame) -> int:
+    return max(1, math.ceil(queries.count() / QUERY_CHUNK_ROWS))
+
+
 def topk_ann(queries: DataFrame, index: VectorIndex, k: int = 3, nprobe: int = 4, qkey: str = "qid",
              qvec: str = "qvec", exclude_self: bool = False) -> DataFrame:
     """Approximate k nearest by dot product, visiting the ``nprobe`` nearest cells (op 18).
     Output: qkey, rank, hit_key, score."""
     arrays = index.cell_arrays()
-    c = _candidates(_probe(queries, qkey, qvec, arrays, nprobe, 1), index, qkey, qvec, exclude_self)
+    m = _n_chunks(queries)
+    c = _candidates(_probe(queries, qkey, qvec, arrays, nprobe, 1), index, qkey, qvec, exclude_self, k, m)
     return _top(c, qkey, k).select(qkey, "rank", "hit_key", "score")
 
 
@@ -204,12 +247,20 @@ def topk_join(queries: DataFrame, index: VectorIndex, k: int = 3, nprobe: int =
     """Exact k best index rows per query by dot product (op 17); ties by key.
     Output: qkey, rank, hit_key, score."""
     arrays = index.cell_arrays()
-    first = _top(_candidates(_probe(queries, qkey, qvec, arrays, nprobe, 1), index, qkey, qvec, exclude_self),
+    live_cells = int((arrays[1] >= 0).sum())
+    if nprobe >= live_cells:
+        # every non-empty cell is visited in the first pass: that pass is already exact
+        return topk_ann(queries, index, k, nprobe, qkey, qvec, exclude_self)
+    # the query vectors feed both passes: materialise them once in the checkpoint folder
+    ensure_checkpoint_dir(queries.sparkSession)
+    queries = queries.select(qkey, qvec).checkpoint(eager=True)
+    m = _n_chunks(queries)
+    first = _top(_candidates(_probe(queries, qkey, qvec, arrays, nprobe, 1), index, qkey, qvec, exclude_self, k, m),
                  qkey, k)
     thr = first.groupBy(qkey).agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(NO_THRESHOLD)).alias("thr"))
-    q2 = queries.select(qkey, qvec).join(thr, qkey, "left").fillna({"thr": NO_THRESHOLD})
-    rest = _candidates(_probe(q2, qkey, qvec, arrays, nprobe, 2), index, qkey, qvec, exclude_self)
+    q2 = queries.join(thr, qkey, "left").fillna({"thr": NO_THRESHOLD})
+    rest = _candidates(_probe(q2, qkey, qvec, arrays, nprobe, 2), index, qkey, qvec, exclude_self, k, m)
     allc = first.select(qkey, "hit_key", "score").unionByName(rest)
     return _top(allc, qkey, k).select(qkey, "rank", "hit_key", "score")
 

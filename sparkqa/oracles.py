@@ -112,7 +112,7 @@ view("req_vec", "SELECT qid, question, v AS qv FROM (" + vec_select("qid", "ques
 view("rag_hits", """
 SELECT * FROM (
   SELECT q.qid, c.nct_number AS hit_key, list_dot_product(q.qv, c.v) AS score,
-         row_number() OVER (PARTITION BY q.qid ORDER BY list_dot_product(q.qv, c.v) DESC, c.nct_number) AS rank
+         row_number() OVER (PARTITION BY q.qid ORDER BY round(list_dot_product(q.qv, c.v), 10) DESC, c.nct_number) AS rank
   FROM req_vec q, corpus_vec c) WHERE rank <= 3""", ["req_vec", "corpus_vec"])
 
 view("rag_hit_rows", """
@@ -257,7 +257,7 @@ oracle("sync_index_triggered", f"SELECT nct_number, title, CAST(len({tokens_sql(
        "FROM corpus", "corpus")
 oracle("similarity_search", f"""
 SELECT CAST(rank AS INTEGER) AS rank, nct_number, title, interventions, url, round(score, 6) AS score FROM (
-  SELECT c.*, s.score, row_number() OVER (ORDER BY s.score DESC, s.nct_number) AS rank
+  SELECT c.*, s.score, row_number() OVER (ORDER BY round(s.score, 10) DESC, s.nct_number) AS rank
   FROM (SELECT c.nct_number, list_dot_product({vec_sql(lit(settings.SMOKE_QUERY))}, c.v) AS score
         FROM corpus_vec c) s JOIN corpus c USING (nct_number))
 WHERE rank <= {settings.SMOKE_NUM_RESULTS}""", "corpus_vec", "corpus")
@@ -270,7 +270,7 @@ oracle("similarity_topk_join", """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT a.vec_id AS qid, b.vec_id AS hit_key, list_dot_product(a.v, b.v) AS score
       FROM e a JOIN e b ON a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, hit_key) AS rank FROM p)
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, hit_key) AS rank FROM p)
 SELECT qid, CAST(rank AS INTEGER) AS rank, hit_key, round(score, 6) AS score FROM r WHERE rank <= 3""")
 oracle("retrieve_columns_with_key", "SELECT qid, rank, nct_number, title, interventions, url FROM rag_hit_rows",
        "rag_hit_rows")
