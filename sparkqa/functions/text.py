@@ -18,8 +18,9 @@ def col_of(c: str | Column) -> Column:
 
 
 def tokens(c: str | Column) -> Column:
-    """Lower-cased words of the whole text, empty pieces removed."""
-    return F.filter(F.split(F.lower(col_of(c)), WORD_SPLIT, -1), lambda t: t != F.lit(""))
+    """Lower-cased words of the whole text, empty pieces removed (no lambda, so plans
+    that share a tokenized input canonicalize equal and Spark can reuse their shuffle)."""
+    return F.array_remove(F.split(F.lower(col_of(c)), WORD_SPLIT, -1), F.lit(""))
 
 
 def strip_ws(c: str | Column) -> Column:

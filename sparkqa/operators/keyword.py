@@ -26,7 +26,9 @@ def weighted_postings(docs: DataFrame, key: str, text: str, max_df: float = 0.1)
     """(key, term, w) with w = tf * ln(N/df), rare enough terms only."""
     p = postings(docs, key, text)
     n_docs = F.lit(docs.count()).cast("double")          # one scalar, not a join
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # summing over tf keeps this subtree equal to the tf one, so Spark reuses
+    # that shuffle instead of tokenizing every document a second time
+    df = p.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
     df = df.filter(F.col("df") <= n_docs * max_df).select("term", F.log(n_docs / F.col("df")).alias("idf"))
     return p.join(df, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
 
