@@ -179,7 +179,7 @@ def _probe(queries: DataFrame, qkey: str, qvec: str, arrays, nprobe: int, phase:
 
 
 QUERY_BLOCK = 512            # queries scored per matrix multiply inside a task
-QUERY_CHUNK_ROWS = 4096      # queries per cogroup chunk; the index part is replayed per chunk
+QUERY_CHUNK_ROWS = 4096      # probing queries per cogroup chunk of one cell
 RANK_DECIMALS = 10           # scores are ranked at this precision, so summation order never reorders ties
 
 
@@ -206,17 +206,26 @@ def _scan_fn(qkey: str, key: str, k: int, exclude_self: bool):
 
 
 def _candidates(probes: DataFrame, index: VectorIndex, qkey: str, qvec: str, exclude_self: bool,
-                k: int, n_chunks: int) -> DataFrame:
+                k: int) -> DataFrame:
     """Per-(cell, part, query chunk) best-k candidates: both sides are cogrouped on the
     cell key and each group is scored with one matrix multiply per query block; only
-    each block's k best per query leave the task (ties at the k-th score kept)."""
+    each block's k best per query leave the task (ties at the k-th score kept).
+
+    Query chunks are sized per cell from the probe counts (one aggregate of at most
+    ``nlist`` rows), so an index part is replayed only as many times as its own cell's
+    probing queries need, and a hot cell's queries are split over many tasks."""
+    # probes feed both the per-cell count and the scan: materialise them once
+    ensure_checkpoint_dir(probes.sparkSession)
+    probes = probes.checkpoint(eager=True)
+    per_cell = {r["cell"]: r["n"] for r in probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ncell = max(per_cell) + 1 if per_cell else 1
+    chunks = [max(1, math.ceil(per_cell.get(c, 0) / QUERY_CHUNK_ROWS)) for c in range(ncell)]
+    chunk_of = F.array(*[F.lit(n) for n in chunks])
     v = index.vectors.select(index.key, F.col(index.vector).alias("_dvec"), "cell", "part")
-    if n_chunks > 1:
-        v = v.withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    else:
-        v = v.withColumn("qchunk", F.lit(0))
+    v = v.filter(F.col("cell") < ncell).withColumn(
+        "qchunk", F.explode(F.sequence(F.lit(0), F.get(chunk_of, F.col("cell")) - 1)))
     p = probes.select(qkey, F.col(qvec).alias("qvec"), "cell", "part").withColumn(
-        "qchunk", F.pmod(F.xxhash64(F.col(qkey)), F.lit(n_chunks)).cast("int"))
+        "qchunk", F.pmod(F.xxhash64(F.col(qkey)), F.get(chunk_of, F.col("cell")).cast("bigint")).cast("int"))
     schema = T.StructType([probes.schema[qkey], T.StructField("hit_key", index.vectors.schema[index.key].dataType),
                            T.StructField("score", T.DoubleType())])
     g = ["cell", "part", "qchunk"]
@@ -228,17 +237,12 @@ def _top(c: DataFrame, qkey: str, k: int) -> DataFrame:
     return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _n_chunks(queries: DataFrame) -> int:
-    return max(1, math.ceil(queries.count() / QUERY_CHUNK_ROWS))
-
-
 def topk_ann(queries: DataFrame, index: VectorIndex, k: int = 3, nprobe: int = 4, qkey: str = "qid",
              qvec: str = "qvec", exclude_self: bool = False) -> DataFrame:
     """Approximate k nearest by dot product, visiting the ``nprobe`` nearest cells (op 18).
     Output: qkey, rank, hit_key, score."""
     arrays = index.cell_arrays()
-    m = _n_chunks(queries)
-    c = _candidates(_probe(queries, qkey, qvec, arrays, nprobe, 1), index, qkey, qvec, exclude_self, k, m)
+    c = _candidates(_probe(queries, qkey, qvec, arrays, nprobe, 1), index, qkey, qvec, exclude_self, k)
     return _top(c, qkey, k).select(qkey, "rank", "hit_key", "score")
 
 
@@ -254,13 +258,12 @@ def topk_join(queries: DataFrame, index: VectorIndex, k: int = 3, nprobe: int =
     # the query vectors feed both passes: materialise them once in the checkpoint folder
     ensure_checkpoint_dir(queries.sparkSession)
     queries = queries.select(qkey, qvec).checkpoint(eager=True)
-    m = _n_chunks(queries)
-    first = _top(_candidates(_probe(queries, qkey, qvec, arrays, nprobe, 1), index, qkey, qvec, exclude_self, k, m),
+    first = _top(_candidates(_probe(queries, qkey, qvec, arrays, nprobe, 1), index, qkey, qvec, exclude_self, k),
                  qkey, k)
     thr = first.groupBy(qkey).agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(NO_THRESHOLD)).alias("thr"))
     q2 = queries.join(thr, qkey, "left").fillna({"thr": NO_THRESHOLD})
-    rest = _candidates(_probe(q2, qkey, qvec, arrays, nprobe, 2), index, qkey, qvec, exclude_self, k, m)
+    rest = _candidates(_probe(q2, qkey, qvec, arrays, nprobe, 2), index, qkey, qvec, exclude_self, k)
     allc = first.select(qkey, "hit_key", "score").unionByName(rest)
     return _top(allc, qkey, k).select(qkey, "rank", "hit_key", "score")
 
