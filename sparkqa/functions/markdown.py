@@ -13,6 +13,14 @@ def _cells(line):
     return F.transform(F.split(line, r"\|", -1), lambda c: strip_ws(c))
 
 
+def _named(hdr, idx):
+    """Header positions that name a column: non-empty, and the last of repeated names
+    (a repeated header keeps the value of its last column)."""
+    return F.filter(idx, lambda i: (F.try_element_at(hdr, i) != "")
+                    & ~F.array_contains(F.slice(hdr, i + 1, F.greatest(F.size(hdr), F.lit(1))),
+                                        F.try_element_at(hdr, i)))
+
+
 def markdown_rows(df: DataFrame, col: str = "reply", key: str = "conv_id") -> DataFrame:
     """One row per body line of a pipe table (op 37).
 
@@ -26,7 +34,7 @@ def markdown_rows(df: DataFrame, col: str = "reply", key: str = "conv_id") -> Da
     x = x.select(key, "hdr", F.posexplode("body").alias("pos", "line"))
     cells = _cells(F.col("line"))
     idx = F.sequence(F.lit(1), F.size("hdr"))
-    named = F.filter(idx, lambda i: F.try_element_at(F.col("hdr"), i) != "")
+    named = _named(F.col("hdr"), idx)
     keys = F.transform(named, lambda i: F.try_element_at(F.col("hdr"), i))
     vals = F.transform(named, lambda i: F.get(cells, i - 1))
     return x.select(key, (F.col("pos") + 1).alias("row_no"), F.map_from_arrays(keys, vals).alias("cells"))
@@ -44,7 +52,7 @@ def table_json_expr(col: str):
     hdr = _cells(F.try_element_at(lines, F.lit(1)))
     body = F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0)))
     idx = F.sequence(F.lit(1), F.size(hdr))
-    named = F.filter(idx, lambda i: F.try_element_at(hdr, i) != "")
+    named = _named(hdr, idx)
     keys = F.transform(named, lambda i: F.try_element_at(hdr, i))
 
     def row(line):

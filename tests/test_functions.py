@@ -166,3 +166,10 @@ def test_csv_quoted_newline_and_quotes(spark, tmp_path):
     from pyspark.sql.types import _parse_datatype_string
     back = files.read_csv(spark, path, _parse_datatype_string("id int, t string"))
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_markdown_repeated_header_last_wins(spark):
+    df = _one(spark, [(1, "| a | b | a |\n|---|---|---|\n| 1 | 2 | 3 |")], "conv_id int, reply string")
+    assert markdown.markdown_json(df).first().json == '[{"b":"2","a":"3"}]'
+    rows = markdown.markdown_rows(df).first().cells
+    assert rows == {"b": "2", "a": "3"}
