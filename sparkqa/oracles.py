@@ -592,3 +592,37 @@ oracle("run_label", """
 SELECT event_id, strftime(loc, '%Y-%m-%d-%H:%M:%S') || '-' ||
   CASE WHEN epoch(loc) - epoch(ts) = -18000 THEN 'EST' ELSE 'EDT' END AS label
 FROM (SELECT event_id, ts, timezone('US/Eastern', ts AT TIME ZONE 'UTC') AS loc FROM events)""")
+
+
+# ---------------------------------------------------------------- op 51, closed form of the rule loop
+def _loop_sql() -> str:
+    names = [n for n, _ in settings.AGENT_CATALOG]
+    agent_arr = "[" + ", ".join(lit(n) for n in names) + "]"
+    plan = f"({agent_arr})[((qid + t) % 3) + 1] || ':' || question"
+    parts = f"string_split({strip_sql(plan)}, ':')"
+    ask = f"coalesce(CASE WHEN len({parts}) > 1 THEN {strip_sql(parts + '[2]')} END, question)"
+    reply = (f"CASE ({agent_arr})[((qid + t) % 3) + 1] WHEN 'covid_rag_agent' THEN 'Found trials about: ' || ask "
+             f"WHEN 'covid_genie_agent' THEN {lit(settings.ANSWER_PREFIX)} || CAST(length(ask) AS VARCHAR) "
+             f"WHEN 'helper_agent' THEN 'Words: ' || CAST(len({tokens_sql('ask')}) AS VARCHAR) END")
+    return f"""
+WITH st AS (
+  SELECT r.conv_id AS qid, r.question,
+    CASE WHEN r.conv_id % 3 = 0 AND r.conv_id % 2 = 0 THEN 1 ELSE 0 END AS n0,
+    CASE WHEN r.conv_id % 3 = 0 AND r.conv_id % 4 = 0 THEN 5 ELSE 3 END AS m
+  FROM requests r),
+o AS (SELECT *, CAST(qid % 3 AS INTEGER) AS a, m - n0 - 1 AS b FROM st),
+f AS (SELECT *, CASE WHEN a <= b THEN a ELSE b END AS acts, a <= b AS done FROM o),
+l AS (SELECT *, acts - 1 AS t FROM f),
+x AS (SELECT *, {ask} AS ask FROM l),
+y AS (SELECT *, {reply} AS reply FROM x)
+SELECT qid,
+  CAST(CASE WHEN done THEN n0 + acts + 1 ELSE m END AS INTEGER) AS num_attempts,
+  CASE WHEN done THEN {lit(settings.USER_RESPONSE)} ELSE {lit(settings.MAX_TRIES)} END AS route,
+  CAST(acts + CASE WHEN done THEN 0 ELSE 1 END AS INTEGER) AS n_responses,
+  CASE WHEN NOT done THEN {lit(settings.MAX_TRIES_TEXT)} || CAST(m AS VARCHAR)
+       WHEN acts > 0 THEN ask || ' :' || {strip_sql('reply')}
+       ELSE {lit(settings.NO_FINAL_RESPONSE)} END AS final_response
+FROM y"""
+
+
+oracle("bounded_agent_loop", _loop_sql(), "requests")
