@@ -16,15 +16,20 @@ from ..functions.text import tokens
 from ..session import spread
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf) for every document word."""
+def postings(docs: DataFrame, key: str, text: str, vocab: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf) for every document word; with ``vocab`` only words in it are kept,
+    filtered by a semi-join right after tokenizing (before any shuffle)."""
     x = spread(docs.select(key, text)).select(key, F.explode(tokens(text)).alias("term"))
+    if vocab is not None:
+        x = x.join(vocab, "term", "left_semi")
     return x.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def weighted_postings(docs: DataFrame, key: str, text: str, max_df: float = 0.1) -> DataFrame:
-    """(key, term, w) with w = tf * ln(N/df), rare enough terms only."""
-    p = postings(docs, key, text)
+def weighted_postings(docs: DataFrame, key: str, text: str, max_df: float = 0.1,
+                      vocab: DataFrame | None = None) -> DataFrame:
+    """(key, term, w) with w = tf * ln(N/df), rare enough terms only. Restricting to a
+    vocabulary leaves every kept term's df and weight unchanged."""
+    p = postings(docs, key, text, vocab)
     n_docs = F.lit(docs.count()).cast("double")          # one scalar, not a join
     # summing over tf keeps this subtree equal to the tf one, so Spark reuses
     # that shuffle instead of tokenizing every document a second time
@@ -37,7 +42,8 @@ def keyword_scores(questions: DataFrame, qkey: str, qtext: str, docs: DataFrame,
                    max_df: float = 0.1) -> DataFrame:
     """(qkey, key, score) for every question/document pair sharing a kept word."""
     qt = spread(questions.select(qkey, qtext)).select(qkey, F.explode(F.array_distinct(tokens(qtext))).alias("term"))
-    wp = weighted_postings(docs, key, text, max_df)
+    # only words some question uses can score: prune the corpus postings to them up front
+    wp = weighted_postings(docs, key, text, max_df, vocab=qt.select("term").distinct())
     return (qt.join(wp, "term").groupBy(qkey, key).agg(F.sum("w").alias("score")))
 
 
