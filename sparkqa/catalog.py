@@ -130,14 +130,24 @@ def build_vector_index(spark, sf):
 
 @query
 def sync_index_triggered(spark, sf):
-    from .streaming.sync import sync_index_batch
-    corpus = fx.corpus(spark, sf)
-    old_src = corpus.filter(F.col("nct_number").cast("bigint") % 4 != 0).withColumn(
-        "title", F.when(F.col("nct_number").cast("bigint") % 4 == 1, F.concat(F.col("title"), F.lit(" (old)")))
-        .otherwise(F.col("title")))
-    old = sync_index_batch(None, old_src, "nct_number", "title")
-    new = sync_index_batch(old, corpus, "nct_number", "title")
-    return new.select("nct_number", "title", "n_terms")
+    """Two triggered syncs over change files: the first file holds an older corpus (a
+    quarter of the keys missing, a quarter with an older title); the second holds only
+    the rows that changed since. Each sync processes just the new file and stops."""
+    from pyspark.sql.types import StructField, StructType, StringType, BooleanType
+    from .streaming.sync import read_index, sync_index_stream
+    corpus = fx.corpus(spark, sf).select("nct_number", "title")
+    k = F.col("nct_number").cast("bigint")
+    old = corpus.filter(k % 4 != 0).withColumn(
+        "title", F.when(k % 4 == 1, F.concat(F.col("title"), F.lit(" (old)"))).otherwise(F.col("title")))
+    changed = corpus.filter((k % 4 == 0) | (k % 4 == 1))
+    root = scratch_path(spark, "sync")
+    schema = StructType([StructField("nct_number", StringType()), StructField("title", StringType()),
+                         StructField("deleted", BooleanType())])
+    for i, part in enumerate([old, changed]):
+        part.withColumn("deleted", F.lit(False)).write.parquet(f"{root}/changes/f{i}")
+        sync_index_stream(spark, f"{root}/changes/*", schema, f"{root}/index", f"{root}/checkpoint",
+                          "nct_number", "title", deleted_col="deleted")
+    return read_index(spark, f"{root}/index").select("nct_number", "title", "n_terms")
 
 
 @query
