@@ -32,16 +32,21 @@ def token_buckets(text: str | Column, dim: int = DEFAULT_DIM) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _unit_bincount(buckets: pd.Series, dim: pd.Series) -> pd.Series:
-    """Per-row bucket histogram, L2-normalised (numpy on an Arrow batch)."""
+    """Bucket histograms of a whole Arrow batch with one ``bincount`` (row offsets added to
+    the bucket ids), then L2-normalised rows."""
     n = int(dim.iloc[0]) if len(dim) else DEFAULT_DIM
-    out = []
-    for b in buckets:
-        if b is None:
-            out.append(None)
-            continue
-        v = np.bincount(np.asarray(b, dtype=np.int64), minlength=n).astype(np.float64)
-        norm = np.sqrt(np.sum(v * v))
-        out.append(v / norm if norm > 0 else v)
+    valid = buckets.notna().to_numpy()
+    arrs = [np.asarray(b, dtype=np.int64) for b in buckets[valid]]
+    rows = len(arrs)
+    lengths = np.fromiter((len(a) for a in arrs), dtype=np.int64, count=rows)
+    flat = np.concatenate(arrs) if rows and lengths.sum() else np.zeros(0, dtype=np.int64)
+    ids = np.repeat(np.arange(rows, dtype=np.int64), lengths) * n + flat
+    counts = np.bincount(ids, minlength=rows * n).astype(np.float64).reshape(rows, n)
+    norms = np.sqrt(np.sum(counts * counts, axis=1))
+    unit = np.divide(counts, norms[:, None], out=counts.copy(), where=norms[:, None] > 0)
+    out = [None] * len(buckets)
+    for j, i in enumerate(np.flatnonzero(valid)):
+        out[i] = unit[j]
     return pd.Series(out)
 
 

@@ -117,9 +117,15 @@ def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16
         feats = base.select(array_to_vector(F.col(vector)).alias("features"))
         model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
         centers = np.vstack([np.asarray(c, dtype=float) for c in model.clusterCenters()])
-    out_schema = T.StructType(base.schema.fields + [T.StructField("cell", T.IntegerType()),
-                                                    T.StructField("cdist", T.DoubleType())])
-    assigned = base.mapInPandas(_assign_fn(key, vector, centers), out_schema)
+    if nlist <= 1:
+        # one cell around the origin: the distance to its centre is the norm, no Python pass
+        assigned = base.withColumns({
+            "cell": F.lit(0),
+            "cdist": F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda acc, x: acc + x * x))})
+    else:
+        out_schema = T.StructType(base.schema.fields + [T.StructField("cell", T.IntegerType()),
+                                                        T.StructField("cdist", T.DoubleType())])
+        assigned = base.mapInPandas(_assign_fn(key, vector, centers), out_schema)
     if path:
         assigned.write.mode("overwrite").partitionBy("cell").parquet(path)
         assigned = spark.read.parquet(path)

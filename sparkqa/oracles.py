@@ -40,9 +40,17 @@ def vec_sql(x: str) -> str:
 
 
 def vec_select(key: str, text: str, src: str, extra: str = "") -> str:
-    """key + unit vector of a text column, counts computed once per row."""
-    return (f"SELECT {key}{extra}, {unit_sql('cv')} AS v FROM "
-            f"(SELECT {key}{extra}, {counts_sql(text)} AS cv FROM {src})")
+    """key (+ extra columns) + unit vector of a text column: bucket counts from one unnest
+    and group-by, laid out densely over the 64 buckets, then L2-normalised."""
+    ex = extra.lstrip(", ")
+    ex_cols = f", {ex}" if ex else ""
+    k_cols = f"k.{key}" + (", " + ", ".join(f"k.{c.strip()}" for c in ex.split(",")) if ex else "")
+    return f"""SELECT {key}{ex_cols}, {unit_sql('cv')} AS v FROM (
+  SELECT {k_cols}, list(coalesce(c.n, 0)::DOUBLE ORDER BY r.i) AS cv
+  FROM (SELECT {key}{ex_cols} FROM {src}) k CROSS JOIN range(64) r(i)
+  LEFT JOIN (SELECT {key}, b, count(*) AS n FROM (SELECT {key}, {bucket_sql('t')} AS b
+             FROM {src}, unnest({tokens_sql(text)}) AS u(t)) GROUP BY ALL) c ON c.{key} = k.{key} AND c.b = r.i
+  GROUP BY ALL)"""
 
 
 def parse_date_sql(x: str) -> str:
@@ -107,7 +115,8 @@ view("requests", """
 SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS question FROM conversations GROUP BY conv_id""")
 
 view("req_vec", "SELECT qid, question, v AS qv FROM (" + vec_select("qid", "question",
-     "(SELECT conv_id AS qid, question FROM requests)", ", question") + ")", ["requests"])
+     "(SELECT conv_id AS qid, question FROM requests WHERE question IS NOT NULL)", ", question") + ")",
+     ["requests"])
 
 view("rag_hits", """
 SELECT * FROM (

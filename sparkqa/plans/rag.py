@@ -98,7 +98,9 @@ def corpus_index(corpus: DataFrame, key: str = "nct_number", text: str = "title"
 def retrieve(questions: DataFrame, index: VectorIndex, corpus: DataFrame, qkey: str = "qid",
              question: str = "question", k: int = settings.RETRIEVE_K) -> DataFrame:
     """k best corpus rows per question with the retrieve columns and the key (ops 17 + 19)."""
-    q = embed(questions.select(qkey, question), question, out="qvec").select(qkey, "qvec")
+    # a request without a question has nothing to search for (op 23 reports it)
+    asked = questions.select(qkey, question).filter(F.col(question).isNotNull())
+    q = embed(asked, question, out="qvec").select(qkey, "qvec")
     hits = topk_join(q, index, k=k, qkey=qkey, qvec="qvec")
     return project_hits(hits, corpus, settings.RETRIEVE_COLUMNS, index.key)
 
