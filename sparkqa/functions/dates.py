@@ -42,3 +42,8 @@ def run_label(ts: str | Column, zone: str = "US/Eastern") -> Column:
     offset_sec = F.timestamp_diff("SECOND", utc, local)
     abbr = F.when(offset_sec == F.lit(std_hours * 3600), F.lit(std_abbr)).otherwise(F.lit(dst_abbr))
     return F.concat(F.date_format(local, "yyyy-MM-dd-HH:mm:ss"), F.lit("-"), abbr)
+
+
+def todays_date() -> Column:
+    """Today's date in the long form, as the date tool answers (op 43 with the clock)."""
+    return long_date(F.current_date())

@@ -173,3 +173,8 @@ def test_markdown_repeated_header_last_wins(spark):
     assert markdown.markdown_json(df).first().json == '[{"b":"2","a":"3"}]'
     rows = markdown.markdown_rows(df).first().cells
     assert rows == {"b": "2", "a": "3"}
+
+
+def test_todays_date_is_long_form(spark):
+    got = spark.range(1).select(dates.todays_date()).first()[0]
+    assert got == dt.date.today().strftime("%B %d, %Y") or got == (dt.datetime.utcnow().date()).strftime("%B %d, %Y")

@@ -84,3 +84,14 @@ def test_custom_embedder_runs_in_batches(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "c")], "id int, t string")
     out = embed(df, "t", embedder=lambda texts: [[float(len(t)), 1.0] for t in texts]).orderBy("id").collect()
     assert [r.vector for r in out] == [[3.0, 1.0], [1.0, 1.0]]
+
+
+def test_index_written_partitioned_by_cell(spark, tmp_path):
+    e, q = _emb(spark, SF_SMALL)
+    path = str(tmp_path / "idx")
+    idx = vectors.build_index(e, "vec_id", "vector", nlist=4, path=path)
+    import os
+    assert sorted(d for d in os.listdir(path) if d.startswith("cell=")) == [f"cell={i}" for i in range(4)]
+    a = vectors.topk_join(q, idx, k=3, exclude_self=True).collect()
+    b = vectors.topk_join(q, vectors.build_index(e, "vec_id", "vector", nlist=1), k=3, exclude_self=True).collect()
+    assert sorted((r.qid, r["rank"], r.hit_key) for r in a) == sorted((r.qid, r["rank"], r.hit_key) for r in b)
