@@ -269,7 +269,7 @@ def guardrail_route(spark, sf):
 
 
 @query
-def rag_pipeline(spark, sf):
+def retrieval_answers(spark, sf):
     reqs, corpus, idx = _rag_hits(spark, sf)
     return rag.answer_questions(reqs, idx, corpus).select("qid", "question", "model_response", "answer")
 
@@ -535,4 +535,4 @@ def run_label(spark, sf):
 
 
 def entry_query(spark: SparkSession, sf: str) -> DataFrame:
-    return rag_pipeline(spark, sf)
+    return retrieval_answers(spark, sf)

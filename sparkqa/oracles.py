@@ -320,7 +320,7 @@ SELECT conv_id, CASE WHEN contains(mr, {lit(settings.IRRELEVANT)}) THEN {lit(set
   ELSE mr || {lit(settings.REFERENCE_LINKS)} || 'doc-' || CAST(conv_id AS VARCHAR) END AS answer
 FROM (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN {lit(settings.IRRELEVANT + '.')} ELSE reply END AS mr
       FROM replies WHERE reply IS NOT NULL)""", "replies")
-oracle("rag_pipeline", "SELECT qid, question, model_response, answer FROM rag_answer", "rag_answer")
+oracle("retrieval_answers", "SELECT qid, question, model_response, answer FROM rag_answer", "rag_answer")
 
 
 # ---------------------------------------------------------------- 2.5 structured
