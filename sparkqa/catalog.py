@@ -39,10 +39,9 @@ RAW_SCHEMA = (
 
 @query
 def csv_scan_typed(spark, sf):
-    from pyspark.sql.types import _parse_datatype_string
     path = scratch_path(spark, "csv")
     files.write_csv(fx.trials_raw(spark, sf), path)
-    return files.read_csv(spark, path, _parse_datatype_string(RAW_SCHEMA))
+    return files.read_csv(spark, path, RAW_SCHEMA)
 
 
 @query

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> DataFrame:
-    """Headered, comma-delimited CSV with a declared schema, no inference (op 1).
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multiline: bool = True) -> DataFrame:
+    """Headered, comma-delimited CSV with a declared schema (StructType or DDL), no inference (op 1).
 
     ``multiLine`` + ``escape='"'`` read quoted newlines and doubled quotes correctly.
     A multi-line file cannot be split, so large inputs should arrive as many files;

@@ -163,8 +163,7 @@ def test_csv_quoted_newline_and_quotes(spark, tmp_path):
     path = str(tmp_path / "c")
     df = _one(spark, [(1, 'say "hi", then\nleave'), (2, None)], "id int, t string")
     files.write_csv(df, path)
-    from pyspark.sql.types import _parse_datatype_string
-    back = files.read_csv(spark, path, _parse_datatype_string("id int, t string"))
+    back = files.read_csv(spark, path, "id int, t string")
     assert sorted(back.collect()) == sorted(df.collect())
 
 
