@@ -498,7 +498,7 @@ FROM routed""", ["routed"])
 view("history", f"""
 SELECT c.conv_id, h.lines, h.n, h.js FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (
   SELECT conv_id, string_agg(' - ' || text, {NL} ORDER BY turn) AS lines, CAST(count(*) AS INTEGER) AS n,
-         to_json(list(text ORDER BY turn)) AS js
+         CAST(to_json(list(text ORDER BY turn)) AS VARCHAR) AS js
   FROM conversations WHERE role = 'assistant' GROUP BY conv_id) h ON c.conv_id = h.conv_id""")
 
 
