@@ -59,6 +59,7 @@ def local_session(cores: int | str = "*", app: str = "sparkqa") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARKQA_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
