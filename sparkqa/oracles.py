@@ -459,11 +459,12 @@ oracle("format_date_long", "SELECT o_orderkey, strftime(o_orderdate, '%B %d, %Y'
 
 def _kw_scores(qsrc: str, qkey: str, qtext: str, dsrc: str, dkey: str, dtext: str) -> str:
     return f"""(
-WITH p AS (SELECT {dkey} AS dk, t AS term, count(*) AS tf FROM {dsrc}, unnest({tokens_sql(dtext)}) AS u(t) GROUP BY ALL),
+WITH qt AS (SELECT DISTINCT {qkey} AS qk, t AS term FROM {qsrc}, unnest(list_distinct({tokens_sql(qtext)})) AS u(t)),
+p AS (SELECT {dkey} AS dk, t AS term, count(*) AS tf FROM {dsrc}, unnest({tokens_sql(dtext)}) AS u(t)
+      WHERE t IN (SELECT term FROM qt) GROUP BY ALL),
 nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {dsrc}),
 df AS (SELECT term, ln((SELECT n FROM nd) / count(*)) AS idf FROM p GROUP BY term
-       HAVING count(*) <= (SELECT n FROM nd) * 0.1),
-qt AS (SELECT DISTINCT {qkey} AS qk, t AS term FROM {qsrc}, unnest(list_distinct({tokens_sql(qtext)})) AS u(t))
+       HAVING count(*) <= (SELECT n FROM nd) * 0.1)
 SELECT qt.qk, p.dk, sum(p.tf * df.idf) AS score FROM qt JOIN p USING (term) JOIN df USING (term) GROUP BY qt.qk, p.dk)"""
 
 
