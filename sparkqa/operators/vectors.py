@@ -94,17 +94,23 @@ def _assign_fn(key: str, vector: str, centers: np.ndarray):
 
 
 def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16, seed: int = 7,
-                max_iter: int = 20, rows_per_part: int = 20_000, path: str | None = None) -> VectorIndex:
+                max_iter: int = 20, rows_per_part: int = 20_000, path: str | None = None,
+                max_train_rows: int = 1_000_000) -> VectorIndex:
     """Cell-partitioned index over a keyed vector table (op 13).
 
     Raises if a key is null or repeated. Cells are KMeans centroids (``nlist == 1``
     skips training: one cell around the origin). The assigned table is written to
     ``path`` (partitioned by cell) or checkpointed to the shared checkpoint folder,
-    so searches do not re-run training or assignment."""
+    so searches do not re-run training or assignment. Centroids are trained on at most
+    about ``max_train_rows`` sampled vectors; every row is still assigned to a cell."""
     spark = df.sparkSession
-    bad = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col(key).isNull() | (F.col("n") > 1))
-    if not bad.isEmpty():
+    # one job: per-key counts (map-side combined), then total rows and the key check
+    chk = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+           .agg(F.sum("n").alias("rows"), F.max("n").alias("max_n"),
+                F.count_if(F.col(key).isNull()).alias("null_keys")).first())
+    if (chk["max_n"] or 0) > 1 or (chk["null_keys"] or 0) > 0:
         raise ValueError(f"index key {key!r} has null or repeated values")
+    total_rows = chk["rows"] or 0
     base = df.withColumn(vector, F.col(vector).cast("array<double>"))
     if nlist > MAX_CELLS:
         raise ValueError(f"nlist {nlist} exceeds {MAX_CELLS}")
@@ -114,7 +120,10 @@ def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16
     else:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
-        feats = base.select(array_to_vector(F.col(vector)).alias("features"))
+        train = base
+        if total_rows > max_train_rows:
+            train = base.sample(fraction=max_train_rows / total_rows, seed=seed)
+        feats = train.select(array_to_vector(F.col(vector)).alias("features"))
         model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
         centers = np.vstack([np.asarray(c, dtype=float) for c in model.clusterCenters()])
     if nlist <= 1:
