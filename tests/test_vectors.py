@@ -95,3 +95,14 @@ def test_index_written_partitioned_by_cell(spark, tmp_path):
     a = vectors.topk_join(q, idx, k=3, exclude_self=True).collect()
     b = vectors.topk_join(q, vectors.build_index(e, "vec_id", "vector", nlist=1), k=3, exclude_self=True).collect()
     assert sorted((r.qid, r["rank"], r.hit_key) for r in a) == sorted((r.qid, r["rank"], r.hit_key) for r in b)
+
+
+def test_sampled_training_keeps_search_exact(spark):
+    e, q = _emb(spark, SF_CHECK)
+    idx = vectors.build_index(e, "vec_id", "vector", nlist=8, max_train_rows=100)
+    assert idx.vectors.count() == e.count()
+    got = {}
+    for r in sorted(vectors.topk_join(q, idx, k=3, nprobe=1, exclude_self=True).collect(),
+                    key=lambda r: (r.qid, r["rank"])):
+        got.setdefault(r.qid, []).append(r.hit_key)
+    assert got == _brute(e.collect(), 3)
