@@ -65,15 +65,21 @@ def retrieval_recall(hits: DataFrame, truth: DataFrame, qkey: str, dkey: str) ->
     return g.withColumn("recall", F.round(F.col("n_found") / F.col("n_truth"), 6))
 
 
-def cost_metrics(trace: DataFrame, key: str = "request_id") -> DataFrame:
+def _pct(col: str, p: float, approx: bool):
+    """Exact percentile (memory grows with a group's distinct values) or the mergeable
+    sketch ``percentile_approx`` (bounded memory for hot groups at scale)."""
+    return F.percentile_approx(col, p, 10000).cast("double") if approx else F.percentile(col, p)
+
+
+def cost_metrics(trace: DataFrame, key: str = "request_id", approx: bool = False) -> DataFrame:
     """Calls, tokens and latency per request plus one overall row with a null key (op 57).
-    ``rollup`` gives both levels from one aggregate; percentiles are exact."""
+    ``rollup`` gives both levels from one aggregate."""
     g = trace.rollup(key).agg(
         F.count(F.lit(1)).alias("calls"),
         F.sum("tokens").alias("tokens"),
         F.round(F.avg("latency_ms"), 6).alias("mean_ms"),
-        F.round(F.percentile("latency_ms", 0.5), 6).alias("p50_ms"),
-        F.round(F.percentile("latency_ms", 0.95), 6).alias("p95_ms"),
+        F.round(_pct("latency_ms", 0.5, approx), 6).alias("p50_ms"),
+        F.round(_pct("latency_ms", 0.95, approx), 6).alias("p95_ms"),
     )
     return g
 
@@ -87,14 +93,14 @@ def citations(df: DataFrame, col: str, key: str) -> DataFrame:
     return x
 
 
-def trace_summary(trace: DataFrame) -> DataFrame:
+def trace_summary(trace: DataFrame, approx: bool = False) -> DataFrame:
     """Per span name: calls, errors, mean and percentile time (op 59)."""
     return trace.groupBy("span").agg(
         F.count(F.lit(1)).alias("calls"),
         F.count_if(F.col("is_error")).alias("errors"),
         F.round(F.avg("latency_ms"), 6).alias("mean_ms"),
-        F.round(F.percentile("latency_ms", 0.5), 6).alias("p50_ms"),
-        F.round(F.percentile("latency_ms", 0.95), 6).alias("p95_ms"),
+        F.round(_pct("latency_ms", 0.5, approx), 6).alias("p50_ms"),
+        F.round(_pct("latency_ms", 0.95, approx), 6).alias("p95_ms"),
     )
 
 

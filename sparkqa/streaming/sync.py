@@ -48,8 +48,11 @@ def _latest_version(spark: SparkSession, index_path: str) -> DataFrame | None:
 
 
 def sync_index_stream(spark: SparkSession, source_dir: str, schema: T.StructType, index_path: str,
-                      checkpoint: str, key: str, text: str, deleted_col: str | None = None):
-    """Run one triggered sync over new change files under ``source_dir`` and stop.
+                      checkpoint: str, key: str, text: str, deleted_col: str | None = None,
+                      continuous_every: str | None = None):
+    """Run one triggered sync over new change files under ``source_dir`` and stop; with
+    ``continuous_every`` (e.g. ``"1 minute"``) the same query keeps running on that
+    processing-time trigger instead, and the running query is returned.
 
     Each change row is an upsert of ``(key, text)``; with ``deleted_col`` a true value
     deletes the key. Returns the finished streaming query."""
@@ -75,10 +78,12 @@ def sync_index_stream(spark: SparkSession, source_dir: str, schema: T.StructType
             out = prev.join(ch.select(key), key, "left_anti").unionByName(fresh)
         out.write.mode("overwrite").parquet(f"{index_path}/v={batch_id}")
 
-    q = (spark.readStream.schema(schema).parquet(source_dir)
+    w = (spark.readStream.schema(schema).parquet(source_dir)
          .writeStream.foreachBatch(upsert)
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+         .option("checkpointLocation", checkpoint))
+    if continuous_every:
+        return w.trigger(processingTime=continuous_every).start()
+    q = w.trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 

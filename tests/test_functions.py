@@ -177,3 +177,13 @@ def test_markdown_repeated_header_last_wins(spark):
 def test_todays_date_is_long_form(spark):
     got = spark.range(1).select(dates.todays_date()).first()[0]
     assert got == dt.date.today().strftime("%B %d, %Y") or got == (dt.datetime.utcnow().date()).strftime("%B %d, %Y")
+
+
+def test_trace_percentiles_exact_and_approx(spark):
+    from sparkqa.operators import evaluation as ev
+    tr = spark.createDataFrame([("a", i % 5 == 0, float(i)) for i in range(1, 101)],
+                               "span string, is_error boolean, latency_ms double")
+    exact = ev.trace_summary(tr).first()
+    approx = ev.trace_summary(tr, approx=True).first()
+    assert (exact.calls, exact.errors, exact.p50_ms) == (100, 20, 50.5)
+    assert abs(approx.p50_ms - 50.5) <= 1.0 and abs(approx.p95_ms - exact.p95_ms) <= 1.0
