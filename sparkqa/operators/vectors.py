@@ -111,7 +111,8 @@ def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16
     if (chk["max_n"] or 0) > 1 or (chk["null_keys"] or 0) > 0:
         raise ValueError(f"index key {key!r} has null or repeated values")
     total_rows = chk["rows"] or 0
-    base = df.withColumn(vector, F.col(vector).cast("array<double>"))
+    # a row without a vector has nothing to be found by: it is not indexed
+    base = df.withColumn(vector, F.col(vector).cast("array<double>")).filter(F.col(vector).isNotNull())
     if nlist > MAX_CELLS:
         raise ValueError(f"nlist {nlist} exceeds {MAX_CELLS}")
     if nlist <= 1:
@@ -186,6 +187,7 @@ def _probe_fn(qkey: str, qvec: str, cent: np.ndarray, rad: np.ndarray, nprobe: i
 
 def _probe(queries: DataFrame, qkey: str, qvec: str, arrays, nprobe: int, phase: int) -> DataFrame:
     cent, rad, parts = arrays
+    queries = queries.filter(F.col(qvec).isNotNull())       # no vector, nothing to search for
     fields = [queries.schema[qkey], T.StructField("cell", T.IntegerType()), queries.schema[qvec]]
     src = queries.select(qkey, qvec, *(["thr"] if phase == 2 else []))
     p = src.mapInPandas(_probe_fn(qkey, qvec, cent, rad, nprobe, phase), T.StructType(fields))
@@ -237,7 +239,8 @@ def _candidates(probes: DataFrame, index: VectorIndex, qkey: str, qvec: str, exc
     chunks = [max(1, math.ceil(per_cell.get(c, 0) / QUERY_CHUNK_ROWS)) for c in range(ncell)]
     chunk_of = F.array(*[F.lit(n) for n in chunks])
     v = index.vectors.select(index.key, F.col(index.vector).alias("_dvec"), "cell", "part")
-    v = v.filter(F.col("cell") < ncell).withColumn(
+    # cells no query visits never enter the shuffle
+    v = v.filter(F.col("cell").isin(sorted(per_cell))).withColumn(
         "qchunk", F.explode(F.sequence(F.lit(0), F.get(chunk_of, F.col("cell")) - 1)))
     p = probes.select(qkey, F.col(qvec).alias("qvec"), "cell", "part").withColumn(
         "qchunk", F.pmod(F.xxhash64(F.col(qkey)), F.get(chunk_of, F.col("cell")).cast("bigint")).cast("int"))
