@@ -60,18 +60,20 @@ def rule_model(prompt_col: str):
 
 def infer(df: DataFrame, prompt: str = "prompt", model: Callable[[list[str]], list[str]] | None = None,
           max_tokens: int = settings.RAG_MAX_TOKENS, temperature: float = settings.TEMPERATURE,
-          out: str = "model_response") -> DataFrame:
+          out: str = "model_response", model_factory: Callable[[], Callable] | None = None) -> DataFrame:
     """One model reply per prompt row (op 29).
 
     ``model(prompts, max_tokens=, temperature=) -> replies`` runs in ``mapInPandas`` over
-    the distinct prompts (repeated prompts are asked once), loaded once per task; the
-    replies are joined back on the prompt. Without a model the rule reply is used."""
-    if model is None:
+    the distinct prompts (repeated prompts are asked once); the replies are joined back on
+    the prompt. ``model_factory()`` instead builds the model inside each task, once, for
+    models that are heavy or not picklable. Without either, the rule reply is used."""
+    if model is None and model_factory is None:
         return df.withColumn(out, cap_tokens(rule_model(prompt), max_tokens))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = model_factory() if model_factory is not None else model      # once per task
         for pdf in batches:
-            replies = model(pdf[prompt].tolist(), max_tokens=max_tokens, temperature=temperature)
+            replies = m(pdf[prompt].tolist(), max_tokens=max_tokens, temperature=temperature)
             yield pd.DataFrame({prompt: pdf[prompt], out: list(replies)})
 
     schema = T.StructType([T.StructField(prompt, T.StringType()), T.StructField(out, T.StringType())])

@@ -74,3 +74,16 @@ def test_triggered_stream_sync(spark, tmp_path):
     # nothing new: a third trigger changes nothing
     sync_index_stream(spark, src + "/*", schema, idx, ck, "k", "t", deleted_col="gone")
     assert {r.k: r.t for r in read_index(spark, idx).collect()} == second
+
+
+def test_model_factory_builds_once_per_task(spark):
+    built = spark.sparkContext.accumulator(0)
+
+    def factory():
+        built.add(1)
+        return lambda prompts, max_tokens, temperature: [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([(i, f"p{i % 3}") for i in range(30)], "qid int, prompt string").coalesce(1)
+    out = {r.prompt: r.model_response for r in rag.infer(df, model_factory=factory).collect()}
+    assert out == {"p0": "P0", "p1": "P1", "p2": "P2"}
+    assert 1 <= built.value <= df.sparkSession.sparkContext.defaultParallelism
