@@ -87,3 +87,35 @@ def test_model_factory_builds_once_per_task(spark):
     out = {r.prompt: r.model_response for r in rag.infer(df, model_factory=factory).collect()}
     assert out == {"p0": "P0", "p1": "P1", "p2": "P2"}
     assert 1 <= built.value <= df.sparkSession.sparkContext.defaultParallelism
+
+
+def test_loop_over_real_agents(spark):
+    from conftest import SF_SMALL
+    from sparkqa import fixtures as fx
+    from sparkqa.plans.agents import agent_pipelines
+    from sparkqa.session import table
+    trials = fx.trials(spark, SF_SMALL)
+    corpus = fx.corpus(spark, SF_SMALL)
+    idx = rag.corpus_index(corpus)
+    pipes = agent_pipelines(trials, corpus, idx, table(spark, SF_SMALL, "pages"))
+    reqs = spark.createDataFrame([
+        (1, "How many trials were conducted in NATION_3?", 0, 3),
+        (2, "4+5", 0, 3),
+        (3, "Show me studies related to covid and pregnancy", 0, 3),
+        (4, "How many recruiting trials were conducted in NATION_3?", 0, 3)],
+        "qid long, question string, num_attempts int, max_attempts int")
+    route = {1: "covid_genie_agent", 2: "helper_agent", 3: "covid_rag_agent", 4: "covid_genie_agent"}
+
+    def planner(df):
+        agent = F.create_map(*[x for k, v in route.items() for x in (F.lit(k), F.lit(v))])[F.col("qid")]
+        return df.withColumn("plan", F.when(F.size("responses") >= 1, F.lit(settings.DONE))
+                             .otherwise(F.concat(agent, F.lit(":"), F.col("question"))))
+
+    out = {r.qid: r for r in agent_loop.run_loop(reqs, planner=planner, pipelines=pipes).collect()}
+    assert all(r.route == settings.USER_RESPONSE and len(r.responses) == 1 for r in out.values())
+    n3 = trials.filter(F.col("locations").startswith("NATION_3,")).count()
+    assert out[1].responses[0] == f"How many trials were conducted in NATION_3? :Answer is : {n3}"
+    assert out[2].responses[0] == "4+5 :9.0"
+    assert "Reference Links:" in out[3].responses[0] or settings.IRRELEVANT in out[3].responses[0]
+    n3r = trials.filter(F.col("locations").startswith("NATION_3,") & (F.col("status") == "Recruiting")).count()
+    assert out[4].responses[0].endswith(f"Answer is : {n3r}")
