@@ -89,6 +89,13 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
 def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
     """Spread a frame over the cores when its scan yields fewer partitions than cores
     (one-row-group files). On a cluster reading many files this is a no-op, so the
-    round-robin shuffle only ever happens for small inputs."""
+    round-robin shuffle only ever happens for small inputs.
+
+    A frame whose plan already shuffles is left alone (its partitions follow the shuffle
+    settings), and its partition count is never asked for: building the RDD of an
+    adaptive plan would run its shuffle stages just to count them."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan:
+        return df
     want = min_parts or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
