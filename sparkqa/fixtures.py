@@ -116,7 +116,7 @@ def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = (
         F.when(k % 3 == 0, F.to_json(F.struct(
             msgs.alias("messages"),
-            F.when(k % 2 == 0, F.lit(1)).alias("num_attempts"),
+            F.when(k % 2 == 0, F.lit(2)).alias("num_attempts"),
             F.when(k % 4 == 0, F.lit(5)).alias("max_attempts"))))
         .when(k % 3 == 1, F.to_json(msgs))
         .otherwise(F.to_json(F.try_element_at(msgs, F.lit(1))))

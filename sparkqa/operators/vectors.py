@@ -115,10 +115,8 @@ def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16
     base = df.withColumn(vector, F.col(vector).cast("array<double>")).filter(F.col(vector).isNotNull())
     if nlist > MAX_CELLS:
         raise ValueError(f"nlist {nlist} exceeds {MAX_CELLS}")
-    if nlist <= 1:
-        dim = len(base.select(vector).first()[0])
-        centers = np.zeros((1, dim))
-    else:
+    centers = None                      # nlist <= 1: one cell at the origin, sized below
+    if nlist > 1:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
         train = base
@@ -142,8 +140,13 @@ def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16
     else:
         ensure_checkpoint_dir(spark)
         assigned = assigned.checkpoint(eager=True)
-    stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("cdist").alias("radius"))
-    stat_rows = {r["cell"]: (r["n"], r["radius"]) for r in stats.collect()}   # <= nlist rows
+    # one pass over the written index: rows and radius per cell, and the vector width
+    stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("cdist").alias("radius"),
+                                         F.max(F.size(vector)).alias("dim"))
+    stat_list = stats.collect()                                          # <= nlist rows
+    stat_rows = {r["cell"]: (r["n"], r["radius"]) for r in stat_list}
+    if centers is None:
+        centers = np.zeros((1, max([r["dim"] for r in stat_list] + [0])))
     cell_rows = []
     for i, c in enumerate(centers):
         n, radius = stat_rows.get(i, (0, -1.0))

@@ -298,7 +298,7 @@ SELECT conv_id, question, CASE WHEN question IS NULL OR question = '' THEN {lit(
 FROM (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS question
       FROM conversations WHERE NOT (conv_id % 10 = 0 AND role = 'user') GROUP BY conv_id)""")
 oracle("request_defaults", """
-SELECT conv_id, CAST(CASE WHEN conv_id % 3 = 0 AND conv_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS num_attempts,
+SELECT conv_id, CAST(CASE WHEN conv_id % 3 = 0 AND conv_id % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS num_attempts,
   CAST(CASE WHEN conv_id % 3 = 0 AND conv_id % 4 = 0 THEN 5 ELSE 3 END AS INTEGER) AS max_attempts
 FROM (SELECT DISTINCT conv_id FROM conversations)""")
 oracle("session_transcript", "SELECT conv_id, turn, role, text AS content, role || ': ' || text AS line "
@@ -489,7 +489,7 @@ SELECT conv_id, question, {strip_sql('parts[1]')} AS next_agent,
 FROM (SELECT conv_id, question, string_split({strip_sql('plan')}, ':') AS parts FROM plans)""", ["plans"])
 view("routed", f"""
 SELECT p.conv_id AS qid, p.question, p.next_agent, p.next_question,
-  CAST(CASE WHEN p.conv_id % 3 = 0 AND p.conv_id % 2 = 0 THEN 1 ELSE 0 END + 1 AS INTEGER) AS num_attempts,
+  CAST(CASE WHEN p.conv_id % 3 = 0 AND p.conv_id % 2 = 0 THEN 2 ELSE 0 END + 1 AS INTEGER) AS num_attempts,
   CAST(CASE WHEN p.conv_id % 3 = 0 AND p.conv_id % 4 = 0 THEN 5 ELSE 3 END AS INTEGER) AS max_attempts
 FROM parsed_plans p""", ["parsed_plans"])
 view("routed2", f"""
@@ -617,7 +617,7 @@ def _loop_sql() -> str:
     return f"""
 WITH st AS (
   SELECT r.conv_id AS qid, r.question,
-    CASE WHEN r.conv_id % 3 = 0 AND r.conv_id % 2 = 0 THEN 1 ELSE 0 END AS n0,
+    CASE WHEN r.conv_id % 3 = 0 AND r.conv_id % 2 = 0 THEN 2 ELSE 0 END AS n0,
     CASE WHEN r.conv_id % 3 = 0 AND r.conv_id % 4 = 0 THEN 5 ELSE 3 END AS m
   FROM requests r),
 o AS (SELECT *, CAST(qid % 3 AS INTEGER) AS a, m - n0 - 1 AS b FROM st),
