@@ -26,6 +26,9 @@ def containing_docs(passages: DataFrame, pkey: str, ptext: str, docs: DataFrame,
     pick = F.try_element_at(longest_first, F.lit(1))
     p = passages.select(pkey, ptext, pick.alias("term"))
     post = spread(docs.select(dkey, dtext)).select(dkey, F.explode(F.array_distinct(tokens(dtext))).alias("term"))
+    # keep only postings of picked words, right after tokenizing: the picked-word set has
+    # at most one word per passage, so the corpus postings never enter a shuffle whole
+    post = post.join(p.select("term").distinct(), "term", "left_semi")
     cand = p.join(post, "term").select(pkey, ptext, dkey)
     full = cand.join(docs.select(dkey, F.col(dtext).alias("_dt")), dkey)
     return full.filter(F.instr(F.col("_dt"), F.col(ptext)) > 0).select(pkey, dkey)

@@ -6,9 +6,14 @@ Two forms:
   is unchanged are kept without re-embedding (left-semi join); new or edited rows are
   embedded (left-anti join); keys gone from the source drop out.
 * ``sync_index_stream(...)``: Structured Streaming over a folder of change files with
-  ``trigger(availableNow=True)``. Each micro-batch upserts into a new index version
-  ``v=<batch_id>`` built from the previous version; re-running a batch after a failure
-  rewrites the same version, so a retried ``foreachBatch`` never duplicates rows.
+  ``trigger(availableNow=True)``, merge-on-read. The first micro-batch writes the base
+  index ``base/upto=<batch_id>``; every later batch writes only its own changed rows
+  (embedded upserts and delete markers) to ``delta/batch=<batch_id>``, so a sync costs
+  O(changes), never a rewrite of the index. Both writes overwrite their own folder, so a
+  retried ``foreachBatch`` rewrites the same rows and never duplicates them.
+  ``read_index`` applies the latest change per key over the newest base (one grouped
+  aggregate over the deltas, one anti-join of the base with the changed keys);
+  ``compact_index`` folds the deltas into a new base when they pile up.
 """
 
 from __future__ import annotations
@@ -39,12 +44,49 @@ def sync_index_batch(old: DataFrame | None, source: DataFrame, key: str, text: s
     return kept.unionByName(fresh)
 
 
-def _latest_version(spark: SparkSession, index_path: str) -> DataFrame | None:
-    versions = [int(p.split("=", 1)[1]) for p in list_names(spark, index_path) if p.startswith("v=")]
-    done = [v for v in versions if path_exists(spark, f"{index_path}/v={v}/_SUCCESS")]
-    if not done:
+def _complete(spark: SparkSession, root: str, prefix: str) -> list[int]:
+    """Ids of the folders ``<root>/<prefix>=<id>`` whose write committed (``_SUCCESS``)."""
+    ids = [int(p.split("=", 1)[1]) for p in list_names(spark, root) if p.startswith(prefix + "=")]
+    return sorted(i for i in ids if path_exists(spark, f"{root}/{prefix}={i}/_SUCCESS"))
+
+
+def _latest_changes(deltas: DataFrame, key: str) -> DataFrame:
+    """Last change per key over all delta batches (``seq`` = batch id); the partial
+    aggregate combines map-side, so a key changed in many batches ships one row per task."""
+    rest = [c for c in deltas.columns if c != key]
+    g = deltas.groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("_r"))
+    return g.select(key, *[F.col("_r")[c].alias(c) for c in rest])
+
+
+def read_index(spark: SparkSession, index_path: str, key: str | None = None) -> DataFrame | None:
+    """Current index: the newest complete base with every later delta applied, or None
+    before the first sync. ``key`` defaults to the key recorded by the sync."""
+    bases = _complete(spark, f"{index_path}/base", "upto")
+    if not bases:
         return None
-    return spark.read.parquet(f"{index_path}/v={max(done)}")
+    upto = bases[-1]
+    base = spark.read.parquet(f"{index_path}/base/upto={upto}")
+    later = [b for b in _complete(spark, f"{index_path}/delta", "batch") if b > upto]
+    if not later:
+        return base
+    key = key or base.columns[0]
+    deltas = spark.read.parquet(*[f"{index_path}/delta/batch={b}" for b in later])
+    latest = _latest_changes(deltas, key)
+    # changed keys are few next to the base: AQE broadcasts them when its size check
+    # allows, else both sides shuffle on the key
+    kept = base.join(latest.select(key), key, "left_anti")
+    return kept.unionByName(latest.filter(~F.col("deleted")).drop("deleted", "seq"))
+
+
+def compact_index(spark: SparkSession, index_path: str, key: str | None = None) -> None:
+    """Fold every committed delta into a new base ``upto=<last delta>``; readers switch
+    to it once it is complete, and older folders can then be removed by retention."""
+    later = _complete(spark, f"{index_path}/delta", "batch")
+    bases = _complete(spark, f"{index_path}/base", "upto")
+    if not bases or not later or later[-1] <= bases[-1]:
+        return
+    merged = read_index(spark, index_path, key)
+    merged.write.mode("overwrite").parquet(f"{index_path}/base/upto={later[-1]}")
 
 
 def sync_index_stream(spark: SparkSession, source_dir: str, schema: T.StructType, index_path: str,
@@ -59,24 +101,22 @@ def sync_index_stream(spark: SparkSession, source_dir: str, schema: T.StructType
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         sess = batch.sparkSession
-        prev = None
-        for v in range(batch_id - 1, -1, -1):
-            p = f"{index_path}/v={v}"
-            if path_exists(sess, f"{p}/_SUCCESS"):
-                prev = sess.read.parquet(p)
-                break
         # last change per key within the batch wins (files carry a change sequence)
         ch = batch
         if "seq" in batch.columns:
             ch = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), "seq").alias("r"))
             ch = ch.select(key, "r.*")
-        live = ch.filter(~F.col(deleted_col)) if deleted_col else ch
-        fresh = index_rows(live.select(key, text), key, text)
-        if prev is None:
-            out = fresh
-        else:
-            out = prev.join(ch.select(key), key, "left_anti").unionByName(fresh)
-        out.write.mode("overwrite").parquet(f"{index_path}/v={batch_id}")
+        gone = F.col(deleted_col) if deleted_col else F.lit(False)
+        ch = ch.select(key, text, F.coalesce(gone, F.lit(False)).alias("deleted"))
+        fresh = index_rows(ch.filter(~F.col("deleted")).select(key, text), key, text)
+        if not _complete(sess, f"{index_path}/base", "upto"):
+            fresh.write.mode("overwrite").parquet(f"{index_path}/base/upto={batch_id}")
+            return
+        marks = ch.filter(F.col("deleted")).select(key)
+        rows = (fresh.withColumn("deleted", F.lit(False))
+                .unionByName(marks.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
+                .withColumn("seq", F.lit(batch_id).cast("bigint")))
+        rows.write.mode("overwrite").parquet(f"{index_path}/delta/batch={batch_id}")
 
     w = (spark.readStream.schema(schema).parquet(source_dir)
          .writeStream.foreachBatch(upsert)
@@ -86,8 +126,3 @@ def sync_index_stream(spark: SparkSession, source_dir: str, schema: T.StructType
     q = w.trigger(availableNow=True).start()
     q.awaitTermination()
     return q
-
-
-def read_index(spark: SparkSession, index_path: str) -> DataFrame | None:
-    """Latest complete index version written by ``sync_index_stream``."""
-    return _latest_version(spark, index_path)

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from sparkqa import settings
 from sparkqa.operators import routing
 from sparkqa.plans import agent_loop, rag
-from sparkqa.streaming.sync import read_index, sync_index_stream
+from sparkqa.streaming.sync import compact_index, read_index, sync_index_stream
 
 
 def test_loop_gives_at_most_n_minus_one_actions(spark):
@@ -71,9 +71,19 @@ def test_triggered_stream_sync(spark, tmp_path):
     sync_index_stream(spark, src + "/*", schema, idx, ck, "k", "t", deleted_col="gone")
     second = {r.k: r.t for r in read_index(spark, idx).collect()}
     assert second == {"b": "beta two", "c": "gamma"}
+    # the second sync wrote only its three changes (two upserts, one delete mark), not the index
+    deltas = spark.read.parquet(idx + "/delta/*")
+    assert sorted((r.k, r.deleted) for r in deltas.collect()) == [("a", True), ("b", False), ("c", False)]
     # nothing new: a third trigger changes nothing
     sync_index_stream(spark, src + "/*", schema, idx, ck, "k", "t", deleted_col="gone")
     assert {r.k: r.t for r in read_index(spark, idx).collect()} == second
+    # compaction folds the deltas into a new base; the view is unchanged, and later
+    # changes apply on top of the compacted base
+    compact_index(spark, idx)
+    assert {r.k: r.t for r in read_index(spark, idx).collect()} == second
+    spark.createDataFrame([("c", "gamma two", False)], schema).write.parquet(src + "/f3")
+    sync_index_stream(spark, src + "/*", schema, idx, ck, "k", "t", deleted_col="gone")
+    assert {r.k: r.t for r in read_index(spark, idx).collect()} == {"b": "beta two", "c": "gamma two"}
 
 
 def test_model_factory_builds_once_per_task(spark):
