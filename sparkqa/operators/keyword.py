@@ -1,10 +1,11 @@
 """Keyword search over a text table (op 41, also the retriever of the evaluation ops).
 
 tf-idf with ``tf(t, doc) * ln(N / df(t))`` summed over the question's distinct words.
-Words found in more than ``max_df`` of the documents are dropped: they carry almost no
-weight and are exactly the hot join keys that would skew the shuffle. Postings are
-pre-aggregated per (doc, word) before any join; the document-frequency table is joined
-by AQE's runtime size check (broadcast only when it is small).
+Words found in more than ``max_df`` of the documents are stop words by this definition
+(the oracle applies the same rule): they carry almost no weight. Postings are
+pre-aggregated per (doc, word) before any join and kept only for words some question
+uses; the document-frequency table is joined by AQE's runtime size check (broadcast
+only when it is small).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import spread
+from ..session import ensure_checkpoint_dir, spread
 
 
 def postings(docs: DataFrame, key: str, text: str, vocab: DataFrame | None = None) -> DataFrame:
@@ -29,11 +30,12 @@ def weighted_postings(docs: DataFrame, key: str, text: str, max_df: float = 0.1,
                       vocab: DataFrame | None = None) -> DataFrame:
     """(key, term, w) with w = tf * ln(N/df), rare enough terms only. Restricting to a
     vocabulary leaves every kept term's df and weight unchanged."""
-    p = postings(docs, key, text, vocab)
     n_docs = F.lit(docs.count()).cast("double")          # one scalar, not a join
-    # summing over tf keeps this subtree equal to the tf one, so Spark reuses
-    # that shuffle instead of tokenizing every document a second time
-    df = p.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
+    # the postings feed both the document frequencies and the weights: written once to
+    # the shared checkpoint folder, so the corpus is tokenized and shuffled only once
+    ensure_checkpoint_dir(docs.sparkSession)
+    p = postings(docs, key, text, vocab).checkpoint(eager=True)
+    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     df = df.filter(F.col("df") <= n_docs * max_df).select("term", F.log(n_docs / F.col("df")).alias("idf"))
     return p.join(df, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
 
