@@ -24,12 +24,13 @@ from . import rag, structured
 
 
 def agent_pipelines(trials: DataFrame, corpus: DataFrame, index: VectorIndex, pages: DataFrame,
-                    model=None) -> dict[str, Pipeline]:
-    """``pages`` is (page_id, url, html); ``index`` is the corpus search index."""
+                    model=None, nprobe: int | None = None) -> dict[str, Pipeline]:
+    """``pages`` is (page_id, url, html); ``index`` is the corpus search index; ``nprobe``
+    makes the retrieval agent's search approximate (see ``rag.retrieve``)."""
     page_text = pages.select("page_id", "url", text.html_text("html").alias("text"))
 
     def rag_agent(d: DataFrame) -> DataFrame:
-        a = rag.answer_questions(d.select("qid", "question"), index, corpus, model=model)
+        a = rag.answer_questions(d.select("qid", "question"), index, corpus, model=model, nprobe=nprobe)
         return a.select("qid", F.col("answer").alias("reply"))
 
     def stats_agent(d: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .. import settings
 from ..operators.embed import embed
-from ..operators.vectors import VectorIndex, build_index, project_hits, topk_join
+from ..operators.vectors import VectorIndex, build_index, project_hits, topk_ann, topk_join
 
 
 def format_context(hits: DataFrame, qkey: str = "qid", out: str = "supporting_documents") -> DataFrame:
@@ -98,20 +98,29 @@ def corpus_index(corpus: DataFrame, key: str = "nct_number", text: str = "title"
 
 
 def retrieve(questions: DataFrame, index: VectorIndex, corpus: DataFrame, qkey: str = "qid",
-             question: str = "question", k: int = settings.RETRIEVE_K) -> DataFrame:
-    """k best corpus rows per question with the retrieve columns and the key (ops 17 + 19)."""
+             question: str = "question", k: int = settings.RETRIEVE_K, nprobe: int | None = None) -> DataFrame:
+    """k best corpus rows per question with the retrieve columns and the key (ops 17 + 19).
+
+    ``nprobe=None`` is exact search (op 17). A number makes it approximate (op 18): each
+    question visits only its ``nprobe`` nearest cells of an index built with ``nlist``
+    cells, so the cost per question stays bounded as the corpus grows, as the hosted
+    approximate search does."""
     # a request without a question has nothing to search for (op 23 reports it)
     asked = questions.select(qkey, question).filter(F.col(question).isNotNull())
     q = embed(asked, question, out="qvec").select(qkey, "qvec")
-    hits = topk_join(q, index, k=k, qkey=qkey, qvec="qvec")
+    if nprobe is None:
+        hits = topk_join(q, index, k=k, qkey=qkey, qvec="qvec")
+    else:
+        hits = topk_ann(q, index, k=k, nprobe=nprobe, qkey=qkey, qvec="qvec")
     return project_hits(hits, corpus, settings.RETRIEVE_COLUMNS, index.key)
 
 
 def answer_questions(questions: DataFrame, index: VectorIndex, corpus: DataFrame, qkey: str = "qid",
-                     question: str = "question", k: int = settings.RETRIEVE_K, model=None) -> DataFrame:
+                     question: str = "question", k: int = settings.RETRIEVE_K, model=None,
+                     nprobe: int | None = None) -> DataFrame:
     """Whole chain (op 31): question -> hits -> context -> prompt -> reply -> answer.
-    Earlier columns are kept, like a passthrough assign."""
-    ctx = format_context(retrieve(questions, index, corpus, qkey, question, k), qkey)
+    Earlier columns are kept, like a passthrough assign. ``nprobe`` as in ``retrieve``."""
+    ctx = format_context(retrieve(questions, index, corpus, qkey, question, k, nprobe), qkey)
     x = questions.join(ctx, qkey, "left").fillna({"supporting_documents": ""})
     x = render(x, settings.RAG_PROMPT_TEMPLATE, {"supporting_documents": "supporting_documents", "query": question})
     x = x.withColumn("user_message", F.col(question))

@@ -106,3 +106,26 @@ def test_sampled_training_keeps_search_exact(spark):
                     key=lambda r: (r.qid, r["rank"])):
         got.setdefault(r.qid, []).append(r.hit_key)
     assert got == _brute(e.collect(), 3)
+
+
+def test_approximate_retrieval_in_the_answer_chain(spark):
+    """The chain's retrieval with every cell probed equals exact retrieval; with fewer
+    probes each question still gets at most k real corpus rows, best first."""
+    from sparkqa import fixtures as fx
+    from sparkqa.functions import messages
+    from sparkqa.plans import rag
+    from sparkqa.session import table
+    corpus = fx.corpus(spark, SF_SMALL)
+    idx = rag.corpus_index(corpus, nlist=4)
+    reqs = messages.first_user_message(table(spark, SF_SMALL, "conversations")).withColumnRenamed("conv_id", "qid")
+    cols = ["qid", "rank", "nct_number"]
+    exact = sorted(tuple(r) for r in rag.retrieve(reqs, idx, corpus).select(*cols).collect())
+    full = sorted(tuple(r) for r in rag.retrieve(reqs, idx, corpus, nprobe=4).select(*cols).collect())
+    assert full == exact
+    ann = rag.retrieve(reqs, idx, corpus, nprobe=1).select(*cols).collect()
+    keys = {r.nct_number for r in corpus.select("nct_number").collect()}
+    per_q = {}
+    for r in ann:
+        assert r.nct_number in keys
+        per_q.setdefault(r.qid, []).append(r.rank)
+    assert all(sorted(v) == list(range(1, len(v) + 1)) and len(v) <= 3 for v in per_q.values())
