@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import settings
 from ..functions.text import tokens
-from ..session import spread
+from ..session import ensure_checkpoint_dir, spread
 
 
 def containing_docs(passages: DataFrame, pkey: str, ptext: str, docs: DataFrame, dkey: str, dtext: str) -> DataFrame:
@@ -68,23 +68,78 @@ def retrieval_recall(hits: DataFrame, truth: DataFrame, qkey: str, dkey: str) ->
     return g.withColumn("recall", F.round(F.col("n_found") / F.col("n_truth"), 6))
 
 
-def _pct(col: str, p: float, approx: bool):
-    """Exact percentile (memory grows with a group's distinct values) or the mergeable
-    sketch ``percentile_approx`` (bounded memory for hot groups at scale)."""
-    return F.percentile_approx(col, p, 10000).cast("double") if approx else F.percentile(col, p)
+POS_BITS = 33                 # monotonically_increasing_id: partition id above, row number below
+
+
+def exact_percentiles(df: DataFrame, groups: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """Exact percentiles per group, as ``percentile`` computes them (linear interpolation
+    between the order statistics at ``(n - 1) * p``), without gathering any group.
+
+    One range-partitioned sort on ``(groups, value)`` spreads a hot group over many tasks;
+    numbering the sorted rows gives each a position. Per (partition, group) segment counts
+    (at most partitions + groups rows) locate, through a running sum, the segment and offset
+    of each needed rank, and only those rows are fetched back by position. Output: groups
+    plus one double column per entry of ``ps``; groups without values get none."""
+    spark = df.sparkSession
+    x = df.select(*groups, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = (x.repartitionByRange(n_parts, *groups, "_v").sortWithinPartitions(*groups, "_v")
+         .withColumn("_pos", F.monotonically_increasing_id()))
+    ensure_checkpoint_dir(spark)
+    s = s.checkpoint(eager=True)       # the positions must not change between the two reads
+    seg = s.groupBy(F.shiftright("_pos", POS_BITS).alias("_pid"), *groups).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_pos").alias("_p0"))
+    before = Window.partitionBy(*groups).orderBy("_pid") if groups else Window.orderBy("_pid")
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy()
+    seg = seg.withColumns({"_start": F.sum("_c").over(before) - F.col("_c"), "_n": F.sum("_c").over(whole)})
+    wanted = []
+    for name, p in ps.items():
+        pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        for side, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            wanted.append(F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), r.cast("bigint").alias("r"),
+                                   pos.alias("pos")))
+    t = seg.select(*groups, "_start", "_c", "_p0", F.explode(F.array(*wanted)).alias("t"))
+    t = t.filter((F.col("t.r") >= F.col("_start")) & (F.col("t.r") < F.col("_start") + F.col("_c")))
+    t = t.select(*groups, "t.q", "t.side", "t.r", "t.pos",
+                 (F.col("_p0") + F.col("t.r") - F.col("_start")).alias("_pos"))
+    # a few rows per group: AQE broadcasts them when small, else both sides shuffle on _pos
+    got = t.join(s.select("_pos", "_v"), "_pos")
+    aggs = []
+    for name in ps:
+        def pick(side, c, name=name):
+            return F.max(F.when((F.col("q") == name) & (F.col("side") == side), F.col(c)))
+        lo_r, hi_r, pos = pick("lo", "r"), pick("hi", "r"), pick("lo", "pos")
+        lo_v, hi_v = pick("lo", "_v"), pick("hi", "_v")
+        aggs.append(F.when(lo_r == hi_r, lo_v)
+                    .otherwise((hi_r - pos) * lo_v + (pos - lo_r) * hi_v).alias(name))
+    return got.groupBy(*groups).agg(*aggs)
+
+
+def _approx(col: str, p: float):
+    """Mergeable sketch: bounded memory per group, approximate ranks."""
+    return F.round(F.percentile_approx(col, p, 10000).cast("double"), 6)
 
 
 def cost_metrics(trace: DataFrame, key: str = "request_id", approx: bool = False) -> DataFrame:
     """Calls, tokens and latency per request plus one overall row with a null key (op 57).
-    ``rollup`` gives both levels from one aggregate."""
-    g = trace.rollup(key).agg(
-        F.count(F.lit(1)).alias("calls"),
-        F.sum("tokens").alias("tokens"),
-        F.round(F.avg("latency_ms"), 6).alias("mean_ms"),
-        F.round(_pct("latency_ms", 0.5, approx), 6).alias("p50_ms"),
-        F.round(_pct("latency_ms", 0.95, approx), 6).alias("p95_ms"),
-    )
-    return g
+    ``rollup`` gives both levels of the combinable measures from one aggregate; exact
+    percentiles come from ``exact_percentiles`` per level (the overall row is one group
+    holding every row, so it is never gathered), or from ``percentile_approx``."""
+    measures = [F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"),
+                F.round(F.avg("latency_ms"), 6).alias("mean_ms")]
+    if approx:
+        return trace.rollup(key).agg(*measures, _approx("latency_ms", 0.5).alias("p50_ms"),
+                                     _approx("latency_ms", 0.95).alias("p95_ms"))
+    g = trace.rollup(key).agg(*measures, F.grouping(key).alias("_level"))
+    ps = {"p50_ms": 0.5, "p95_ms": 0.95}
+    per_key = exact_percentiles(trace, [key], "latency_ms", ps).withColumn("_l", F.lit(0).cast("byte"))
+    overall = (exact_percentiles(trace, [], "latency_ms", ps)
+               .select(F.lit(None).cast(trace.schema[key].dataType).alias(key), "p50_ms", "p95_ms",
+                       F.lit(1).cast("byte").alias("_l")))
+    pct = per_key.unionByName(overall).withColumnRenamed(key, "_k")
+    j = g.join(pct, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_level") == F.col("_l")), "left")
+    return j.select(key, "calls", "tokens", "mean_ms", F.round("p50_ms", 6).alias("p50_ms"),
+                    F.round("p95_ms", 6).alias("p95_ms"))
 
 
 CITATION = r"(https?://[^\s\"]+|NCT\d{8})"
@@ -97,14 +152,18 @@ def citations(df: DataFrame, col: str, key: str) -> DataFrame:
 
 
 def trace_summary(trace: DataFrame, approx: bool = False) -> DataFrame:
-    """Per span name: calls, errors, mean and percentile time (op 59)."""
-    return trace.groupBy("span").agg(
-        F.count(F.lit(1)).alias("calls"),
-        F.count_if(F.col("is_error")).alias("errors"),
-        F.round(F.avg("latency_ms"), 6).alias("mean_ms"),
-        F.round(_pct("latency_ms", 0.5, approx), 6).alias("p50_ms"),
-        F.round(_pct("latency_ms", 0.95, approx), 6).alias("p95_ms"),
-    )
+    """Per span name: calls, errors, mean and percentile time (op 59). Span names are few,
+    so each is a hot group: counts combine map-side and percentiles never gather a span."""
+    measures = [F.count(F.lit(1)).alias("calls"), F.count_if(F.col("is_error")).alias("errors"),
+                F.round(F.avg("latency_ms"), 6).alias("mean_ms")]
+    if approx:
+        return trace.groupBy("span").agg(*measures, _approx("latency_ms", 0.5).alias("p50_ms"),
+                                         _approx("latency_ms", 0.95).alias("p95_ms"))
+    g = trace.groupBy("span").agg(*measures)
+    pct = exact_percentiles(trace, ["span"], "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
+    j = g.join(pct.withColumnRenamed("span", "_s"), F.col("span").eqNullSafe(F.col("_s")), "left")
+    return j.select("span", "calls", "errors", "mean_ms", F.round("p50_ms", 6).alias("p50_ms"),
+                    F.round("p95_ms", 6).alias("p95_ms"))
 
 
 def top_ranked(df: DataFrame, part: str, order, k: int) -> DataFrame:

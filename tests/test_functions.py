@@ -187,3 +187,23 @@ def test_trace_percentiles_exact_and_approx(spark):
     approx = ev.trace_summary(tr, approx=True).first()
     assert (exact.calls, exact.errors, exact.p50_ms) == (100, 20, 50.5)
     assert abs(approx.p50_ms - 50.5) <= 1.0 and abs(approx.p95_ms - exact.p95_ms) <= 1.0
+
+
+def test_exact_percentiles_equal_builtin_percentile(spark):
+    import random
+    from sparkqa.operators.evaluation import exact_percentiles
+    rnd = random.Random(3)
+    rows = [("hot", float(rnd.randint(0, 50))) for _ in range(3000)]            # spans many range partitions
+    rows += [(f"g{i % 40}", rnd.random() * 100) for i in range(1200)]
+    rows += [("one", 7.5), ("nulls", None), ("nulls", None), ("ties", 2.0), ("ties", 2.0), ("ties", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ps = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.g: tuple(r[k] for k in ps) for r in exact_percentiles(df, ["g"], "v", ps).collect()}
+    want = {r.g: tuple(r[k] for k in ps) for r in df.groupBy("g").agg(
+        *[F.percentile("v", p).alias(k) for k, p in ps.items()]).collect() if r.p50 is not None}
+    assert set(got) == set(want) and "nulls" not in got
+    for g, vals in want.items():
+        assert all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(got[g], vals)), g
+    total = exact_percentiles(df, [], "v", ps).first()
+    expect = df.agg(*[F.percentile("v", p).alias(k) for k, p in ps.items()]).first()
+    assert all(abs(total[k] - expect[k]) <= 1e-9 * max(1.0, abs(expect[k])) for k in ps)
