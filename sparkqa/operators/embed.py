@@ -50,10 +50,16 @@ def _unit_bincount(buckets: pd.Series, dim: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+# Marked nondeterministic so Catalyst never copies the call: a filter on the vector
+# (``vector IS NOT NULL``) would otherwise be pushed below the projection and the spread
+# repartition with the UDF inlined, embedding every text twice, once in the scan's tasks.
+_unit_bincount_once = _unit_bincount.asNondeterministic()
+
+
 def hashed_embedding(text: str | Column, dim: int = DEFAULT_DIM) -> Column:
     """Unit bucket-count vector: md5 bucketing stays in the JVM; only the small int array
     per row crosses to Python for the histogram."""
-    return _unit_bincount(token_buckets(text, dim), F.lit(dim))
+    return _unit_bincount_once(token_buckets(text, dim), F.lit(dim))
 
 
 def _model_udf(embedder: Callable[[list[str]], list], dim: int):
@@ -62,7 +68,7 @@ def _model_udf(embedder: Callable[[list[str]], list], dim: int):
         for texts in batches:
             vecs = embedder(texts.fillna("").tolist())
             yield pd.Series([[float(x) for x in v] for v in vecs])
-    return run
+    return run.asNondeterministic()          # never copied by filter pushdown (see above)
 
 
 def embed(df: DataFrame, text: str, dim: int = DEFAULT_DIM, embedder=None, out: str = "vector") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import settings
 from ..functions.text import tokens
-from ..session import ensure_checkpoint_dir, spread
+from ..session import materialize, spread
 
 
 def containing_docs(passages: DataFrame, pkey: str, ptext: str, docs: DataFrame, dkey: str, dtext: str) -> DataFrame:
@@ -85,8 +85,7 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, ps: dict[str
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = (x.repartitionByRange(n_parts, *groups, "_v").sortWithinPartitions(*groups, "_v")
          .withColumn("_pos", F.monotonically_increasing_id()))
-    ensure_checkpoint_dir(spark)
-    s = s.checkpoint(eager=True)       # the positions must not change between the two reads
+    s = materialize(s, "ranked")       # the positions must not change between the two reads
     seg = s.groupBy(F.shiftright("_pos", POS_BITS).alias("_pid"), *groups).agg(
         F.count(F.lit(1)).alias("_c"), F.min("_pos").alias("_p0"))
     before = Window.partitionBy(*groups).orderBy("_pid") if groups else Window.orderBy("_pid")

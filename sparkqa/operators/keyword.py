@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import ensure_checkpoint_dir, spread
+from ..session import materialize, spread
 
 
 def postings(docs: DataFrame, key: str, text: str, vocab: DataFrame | None = None) -> DataFrame:
@@ -32,9 +32,8 @@ def weighted_postings(docs: DataFrame, key: str, text: str, max_df: float = 0.1,
     vocabulary leaves every kept term's df and weight unchanged."""
     n_docs = F.lit(docs.count()).cast("double")          # one scalar, not a join
     # the postings feed both the document frequencies and the weights: written once to
-    # the shared checkpoint folder, so the corpus is tokenized and shuffled only once
-    ensure_checkpoint_dir(docs.sparkSession)
-    p = postings(docs, key, text, vocab).checkpoint(eager=True)
+    # the shared folder, so the corpus is tokenized and shuffled only once
+    p = materialize(postings(docs, key, text, vocab), "postings")
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     df = df.filter(F.col("df") <= n_docs * max_df).select("term", F.log(n_docs / F.col("df")).alias("idf"))
     return p.join(df, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))

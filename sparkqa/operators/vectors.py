@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 MAX_CELLS = 65536            # centroid table is collected to the driver: keep it bounded
 MAX_CENTROID_VALUES = 50_000_000
@@ -100,7 +100,7 @@ def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16
 
     Raises if a key is null or repeated. Cells are KMeans centroids (``nlist == 1``
     skips training: one cell around the origin). The assigned table is written to
-    ``path`` (partitioned by cell) or checkpointed to the shared checkpoint folder,
+    ``path`` (partitioned by cell) or as a table in the shared checkpoint folder,
     so searches do not re-run training or assignment. Centroids are trained on at most
     about ``max_train_rows`` sampled vectors; every row is still assigned to a cell."""
     spark = df.sparkSession
@@ -138,8 +138,7 @@ def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16
         assigned.write.mode("overwrite").partitionBy("cell").parquet(path)
         assigned = spark.read.parquet(path)
     else:
-        ensure_checkpoint_dir(spark)
-        assigned = assigned.checkpoint(eager=True)
+        assigned = materialize(assigned, "index")
     # one pass over the written index: rows and radius per cell, and the vector width
     stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("cdist").alias("radius"),
                                          F.max(F.size(vector)).alias("dim"))
@@ -235,8 +234,7 @@ def _candidates(probes: DataFrame, index: VectorIndex, qkey: str, qvec: str, exc
     ``nlist`` rows), so an index part is replayed only as many times as its own cell's
     probing queries need, and a hot cell's queries are split over many tasks."""
     # probes feed both the per-cell count and the scan: materialise them once
-    ensure_checkpoint_dir(probes.sparkSession)
-    probes = probes.checkpoint(eager=True)
+    probes = materialize(probes, "probes")
     per_cell = {r["cell"]: r["n"] for r in probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     ncell = max(per_cell) + 1 if per_cell else 1
     chunks = [max(1, math.ceil(per_cell.get(c, 0) / QUERY_CHUNK_ROWS)) for c in range(ncell)]
@@ -277,8 +275,7 @@ def topk_join(queries: DataFrame, index: VectorIndex, k: int = 3, nprobe: int =
         # every non-empty cell is visited in the first pass: that pass is already exact
         return topk_ann(queries, index, k, nprobe, qkey, qvec, exclude_self)
     # the query vectors feed both passes: materialise them once in the checkpoint folder
-    ensure_checkpoint_dir(queries.sparkSession)
-    queries = queries.select(qkey, qvec).checkpoint(eager=True)
+    queries = materialize(queries.select(qkey, qvec), "queries")
     first = _top(_candidates(_probe(queries, qkey, qvec, arrays, nprobe, 1), index, qkey, qvec, exclude_self, k),
                  qkey, k)
     thr = first.groupBy(qkey).agg(

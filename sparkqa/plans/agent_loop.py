@@ -4,7 +4,7 @@ All open questions are planned together, split by agent, answered by that agent'
 DataFrame pipeline, united, and the loop repeats on the rows still open. The number of
 rounds is bounded by the largest ``max_attempts - num_attempts`` (attempts rise in the
 plan step, so max N allows at most N-1 actions). Each round's open rows and finished
-rows are cut from the lineage with a reliable ``checkpoint()`` in the shared checkpoint
+rows are cut from the lineage by writing them as tables in the shared checkpoint
 folder, so a lost executor recomputes one round at most.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import settings
 from ..functions.text import tokens
 from ..operators import routing
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 Planner = Callable[[DataFrame], DataFrame]
 
@@ -56,7 +56,6 @@ def run_loop(requests: DataFrame, planner: Planner = rule_planner,
     """requests: (qid, question, num_attempts, max_attempts). Returns one row per
     question with responses, num_attempts, route and the final response."""
     spark = requests.sparkSession
-    ensure_checkpoint_dir(spark)
     pipelines = pipelines or rule_pipelines()
     state = requests.withColumns({"responses": F.array().cast("array<string>"),
                                   "response": F.lit(None).cast("string")})
@@ -67,11 +66,11 @@ def run_loop(requests: DataFrame, planner: Planner = rule_planner,
         planned = planned.withColumn("num_attempts", F.col("num_attempts") + 1)
         routed = routing.route(planned)
         done = routing.max_tries(routed.filter(F.col("route") != settings.NEXT_ACTION))
-        finished.append(done.checkpoint(eager=True))
+        finished.append(materialize(done, "loop-done"))
         acting = routed.filter(F.col("route") == settings.NEXT_ACTION)
         state = routing.dispatch(acting, pipelines).drop("error", "plan", "plan_prompt",
                                                          "next_agent", "next_question", "route")
-        state = state.checkpoint(eager=True)
+        state = materialize(state, "loop-open")
         if state.isEmpty():
             break
     out = finished[0]

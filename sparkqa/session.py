@@ -40,6 +40,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/sparkqa/{label}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as a Parquet table under the shared folder and read it back.
+
+    Cuts the lineage like a reliable checkpoint and survives lost executors, but runs the
+    plan once (checkpointing an unpersisted frame runs it twice: the eager count, then the
+    file write), and later reads prune columns and push filters into the scan. Tables live
+    under ``<spark.checkpoint.dir>/sparkqa/`` for the job's lifetime."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """``DataFrame.checkpoint`` needs the SparkContext's directory to be set."""
     if spark.sparkContext.getCheckpointDir() is None:
