@@ -119,6 +119,9 @@ def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16
     if nlist > 1:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
+        # training and assignment both read the vectors: write them once, so an upstream
+        # embedding (model inference) runs once per row, not once per reader
+        base = materialize(base, "vectors")
         train = base
         if total_rows > max_train_rows:
             train = base.sample(fraction=max_train_rows / total_rows, seed=seed)
