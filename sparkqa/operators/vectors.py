@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import materialize, path_exists
 
 MAX_CELLS = 65536            # centroid table is collected to the driver: keep it bounded
 MAX_CENTROID_VALUES = 50_000_000
@@ -100,10 +100,15 @@ def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16
 
     Raises if a key is null or repeated. Cells are KMeans centroids (``nlist == 1``
     skips training: one cell around the origin). The assigned table is written to
-    ``path`` (partitioned by cell) or as a table in the shared checkpoint folder,
-    so searches do not re-run training or assignment. Centroids are trained on at most
-    about ``max_train_rows`` sampled vectors; every row is still assigned to a cell."""
+    ``path`` (``vectors`` partitioned by cell, then the ``cells`` table, whose commit marks
+    the index complete) or as a table in the shared checkpoint folder, so searches do not
+    re-run training or assignment. Building at a ``path`` that already holds a complete
+    index is a no-op that opens it (``open_index``), so an index is built once and
+    searched by any later job. Centroids are trained on at most about ``max_train_rows``
+    sampled vectors; every row is still assigned to a cell."""
     spark = df.sparkSession
+    if path and path_exists(spark, f"{path}/cells/_SUCCESS"):
+        return open_index(spark, path, key, vector)
     # one job: per-key counts (map-side combined), then total rows and the key check
     chk = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
            .agg(F.sum("n").alias("rows"), F.max("n").alias("max_n"),
@@ -138,8 +143,8 @@ def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16
                                                         T.StructField("cdist", T.DoubleType())])
         assigned = base.mapInPandas(_assign_fn(key, vector, centers), out_schema)
     if path:
-        assigned.write.mode("overwrite").partitionBy("cell").parquet(path)
-        assigned = spark.read.parquet(path)
+        assigned.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+        assigned = spark.read.parquet(f"{path}/vectors")
     else:
         assigned = materialize(assigned, "index")
     # one pass over the written index: rows and radius per cell, and the vector width
@@ -154,12 +159,32 @@ def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16
         n, radius = stat_rows.get(i, (0, -1.0))
         cell_rows.append((i, [float(v) for v in c], float(radius), int(n),
                           max(1, math.ceil(n / rows_per_part))))
-    cells = spark.createDataFrame(
-        cell_rows, "cell int, centroid array<double>, radius double, n bigint, n_parts int")
-    n_parts = F.array(*[F.lit(r[4]) for r in cell_rows])
-    vectors = assigned.withColumn(
+    cells = spark.createDataFrame(cell_rows, CELLS_SCHEMA)
+    if path:
+        cells.write.mode("overwrite").parquet(f"{path}/cells")      # last: marks the index complete
+    return VectorIndex(vectors=_with_parts(assigned, key, [r[4] for r in cell_rows]), cells=cells,
+                       key=key, vector=vector)
+
+
+CELLS_SCHEMA = "cell int, centroid array<double>, radius double, n bigint, n_parts int"
+
+
+def _with_parts(assigned: DataFrame, key: str, parts_per_cell: list[int]) -> DataFrame:
+    """Sub-cell of every row: a key hash modulo its cell's part count (salting fixed at
+    build time, so a hot cell is spread over many tasks)."""
+    n_parts = F.array(*[F.lit(int(n)) for n in parts_per_cell])
+    return assigned.withColumn(
         "part", F.pmod(F.xxhash64(F.col(key)), F.get(n_parts, F.col("cell")).cast("bigint")).cast("int"))
-    return VectorIndex(vectors=vectors, cells=cells, key=key, vector=vector)
+
+
+def open_index(spark, path: str, key: str, vector: str = "vector") -> VectorIndex:
+    """Open an index written by ``build_index(path=...)``; the cells table is small
+    (one row per cell) and read once for the part counts."""
+    cells = spark.read.schema(CELLS_SCHEMA).parquet(f"{path}/cells")
+    parts = {r["cell"]: r["n_parts"] for r in cells.select("cell", "n_parts").collect()}   # <= nlist rows
+    ordered = [parts.get(i, 1) for i in range(max(parts) + 1)] if parts else [1]
+    vectors = spark.read.parquet(f"{path}/vectors")
+    return VectorIndex(vectors=_with_parts(vectors, key, ordered), cells=cells, key=key, vector=vector)
 
 
 def _probe_fn(qkey: str, qvec: str, cent: np.ndarray, rad: np.ndarray, nprobe: int, phase: int):

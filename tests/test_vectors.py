@@ -91,10 +91,16 @@ def test_index_written_partitioned_by_cell(spark, tmp_path):
     path = str(tmp_path / "idx")
     idx = vectors.build_index(e, "vec_id", "vector", nlist=4, path=path)
     import os
-    assert sorted(d for d in os.listdir(path) if d.startswith("cell=")) == [f"cell={i}" for i in range(4)]
+    assert sorted(d for d in os.listdir(path + "/vectors") if d.startswith("cell=")) == [f"cell={i}" for i in range(4)]
     a = vectors.topk_join(q, idx, k=3, exclude_self=True).collect()
     b = vectors.topk_join(q, vectors.build_index(e, "vec_id", "vector", nlist=1), k=3, exclude_self=True).collect()
     assert sorted((r.qid, r["rank"], r.hit_key) for r in a) == sorted((r.qid, r["rank"], r.hit_key) for r in b)
+    # building again at the same path opens the written index: no key check, no training
+    dup = e.unionByName(e)                       # would fail the key check if it were read
+    again = vectors.build_index(dup, "vec_id", "vector", nlist=4, path=path)
+    c = vectors.topk_join(q, again, k=3, exclude_self=True).collect()
+    assert sorted((r.qid, r["rank"], r.hit_key) for r in c) == sorted((r.qid, r["rank"], r.hit_key) for r in a)
+    assert sorted(tuple(r) for r in again.cells.collect()) == sorted(tuple(r) for r in idx.cells.collect())
 
 
 def test_sampled_training_keeps_search_exact(spark):
