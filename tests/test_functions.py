@@ -207,3 +207,16 @@ def test_exact_percentiles_equal_builtin_percentile(spark):
     total = exact_percentiles(df, [], "v", ps).first()
     expect = df.agg(*[F.percentile("v", p).alias(k) for k, p in ps.items()]).first()
     assert all(abs(total[k] - expect[k]) <= 1e-9 * max(1.0, abs(expect[k])) for k in ps)
+
+
+def test_change_feed_digest_only_narrows(spark):
+    """-0.0 and 0.0 have different digests but compare equal: no change. A null value
+    change is an update. Null keys never match: a delete and an insert."""
+    old = spark.createDataFrame([(1, -0.0, "a"), (2, 1.0, None), (None, 5.0, "x"), (4, 1.0, "same")],
+                                "k int, v double, s string")
+    new = spark.createDataFrame([(1, 0.0, "a"), (2, 1.0, "b"), (None, 5.0, "x"), (4, 1.0, "same")],
+                                "k int, v double, s string")
+    got = sorted(((r.k if r.k is not None else -1), r._change_type, r.s)
+                 for r in changes.change_feed(old, new, ["k"]).collect())
+    assert got == [(-1, "delete", "x"), (-1, "insert", "x"),
+                   (2, "update_postimage", "b"), (2, "update_preimage", None)]
