@@ -16,6 +16,7 @@ from . import settings
 from .functions import arithmetic, dates, markdown, messages, text
 from .operators import checks, embed as emb, vectors
 from .operators import evaluation as ev, keyword, routing
+from .operators.lookup import left_lookup
 from .plans import agent_loop, rag, structured
 from .session import scratch_path, table
 from .sources import changes, files
@@ -487,10 +488,12 @@ def eval_join(spark, sf):
 @query
 def eval_answer_match(spark, sf):
     r = _eval_results(spark, sf)
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    r = (r.join(docs.withColumnRenamed("doc_id", "truth_doc").withColumnRenamed("text", "expected_response"),
-                "truth_doc", "left")
-         .join(docs.withColumnRenamed("doc_id", "best_doc").withColumnRenamed("text", "response"), "best_doc", "left"))
+    docs = table(spark, sf, "documents")
+    # the evaluation rows are few, the documents many: attach texts without shuffling them
+    r = left_lookup(r, docs.select(F.col("doc_id").alias("_t"), F.col("text").alias("expected_response")),
+                    "truth_doc", "_t", "eval-truth").drop("_t")
+    r = left_lookup(r, docs.select(F.col("doc_id").alias("_b"), F.col("text").alias("response")),
+                    "best_doc", "_b", "eval-best").drop("_b")
     m = ev.answer_match(r)
     return m.select("item_id", "exact_match", "precision", "recall", "f1", "refusal_match")
 

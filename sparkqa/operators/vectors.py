@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize, path_exists
+from .lookup import left_lookup
 
 MAX_CELLS = 65536            # centroid table is collected to the driver: keep it bounded
 MAX_CENTROID_VALUES = 50_000_000
@@ -319,8 +320,9 @@ def project_hits(hits: DataFrame, source: DataFrame, columns: list[str], key: st
     """Attach the asked columns of each hit, always with the primary key (op 19).
     Only ranked hits (k per query) are joined back to the wide source rows."""
     cols = list(columns) + ([key] if key not in columns else [])
-    src = source.select(*cols)
-    return hits.join(src, hits[hit_key] == src[key], "left").drop(hit_key)
+    # k rows per query against the whole corpus: the hits are the broadcast side, the
+    # corpus rows (whole texts) are streamed past them, never shuffled
+    return left_lookup(hits, source.select(*cols), hit_key, key, "hits").drop(hit_key)
 
 
 def with_empty_default(queries: DataFrame, hits: DataFrame, qkey: str, message: str,

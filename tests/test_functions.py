@@ -220,3 +220,13 @@ def test_change_feed_digest_only_narrows(spark):
                  for r in changes.change_feed(old, new, ["k"]).collect())
     assert got == [(-1, "delete", "x"), (-1, "insert", "x"),
                    (2, "update_postimage", "b"), (2, "update_preimage", None)]
+
+
+def test_left_lookup_equals_left_join(spark):
+    from sparkqa.operators.lookup import left_lookup
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "z")], "id int, k string")
+    big = spark.createDataFrame([("a", 10), ("a", 11), ("b", 20), ("c", 30), (None, 99)], "kk string, v int")
+    want = sorted(tuple(r) for r in rows.join(big, rows.k == big.kk, "left").collect())
+    got = left_lookup(rows, big, "k", "kk")
+    assert got.columns == ["id", "k", "kk", "v"]
+    assert sorted(tuple(r) for r in got.select("id", "k", "kk", "v").collect()) == want
