@@ -30,6 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder is not shared by executors: never guess one on a cluster
+            raise ValueError("set spark.checkpoint.dir to a shared folder (written tables and checkpoints go there)")
         base = tempfile.mkdtemp(prefix="sparkqa-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
