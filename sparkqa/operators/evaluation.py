@@ -29,7 +29,9 @@ def containing_docs(passages: DataFrame, pkey: str, ptext: str, docs: DataFrame,
     # keep only postings of picked words, right after tokenizing: the picked-word set has
     # at most one word per passage, so the corpus postings never enter a shuffle whole
     post = post.join(p.select("term").distinct(), "term", "left_semi")
-    cand = p.join(post, "term").select(pkey, ptext, dkey)
+    # candidate pairs are written once: the planner then sees their size and broadcasts
+    # them against the document texts (which are streamed, never shuffled or broadcast)
+    cand = materialize(p.join(post, "term").select(pkey, ptext, dkey), "passage-candidates")
     full = cand.join(docs.select(dkey, F.col(dtext).alias("_dt")), dkey)
     return full.filter(F.instr(F.col("_dt"), F.col(ptext)) > 0).select(pkey, dkey)
 
