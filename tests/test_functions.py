@@ -230,3 +230,13 @@ def test_left_lookup_equals_left_join(spark):
     got = left_lookup(rows, big, "k", "kk")
     assert got.columns == ["id", "k", "kk", "v"]
     assert sorted(tuple(r) for r in got.select("id", "k", "kk", "v").collect()) == want
+
+
+def test_cost_metrics_null_key_apart_from_total(spark):
+    from sparkqa.operators.evaluation import cost_metrics
+    t = spark.createDataFrame([(None, 1, 10.0), (None, 1, 30.0), (7, 2, 100.0), (7, 2, 200.0), (7, 2, 300.0)],
+                              "request_id int, tokens int, latency_ms double")
+    rows = cost_metrics(t).collect()
+    assert len(rows) == 3                        # key 7, null key, overall (also null)
+    by = sorted((r.calls, r.p50_ms, r.p95_ms) for r in rows)
+    assert by == [(2, 20.0, 29.0), (3, 200.0, 290.0), (5, 100.0, 280.0)]
