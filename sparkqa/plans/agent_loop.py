@@ -55,7 +55,6 @@ def run_loop(requests: DataFrame, planner: Planner = rule_planner,
              final: Callable[[DataFrame], DataFrame] = rule_final) -> DataFrame:
     """requests: (qid, question, num_attempts, max_attempts). Returns one row per
     question with responses, num_attempts, route and the final response."""
-    spark = requests.sparkSession
     pipelines = pipelines or rule_pipelines()
     state = requests.withColumns({"responses": F.array().cast("array<string>"),
                                   "response": F.lit(None).cast("string")})
