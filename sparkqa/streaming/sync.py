@@ -2,9 +2,10 @@
 
 Two forms:
 
-* ``sync_index_batch(old, source)``: a snapshot diff. Rows whose ``(key, xxhash64(text))``
+* ``sync_index_batch(old, source)``: a snapshot diff. Rows whose ``(key, sha-256(text))``
   is unchanged are kept without re-embedding (left-semi join); new or edited rows are
-  embedded (left-anti join); keys gone from the source drop out.
+  embedded (left-anti join); keys gone from the source drop out. Only keys and 32-byte
+  digests are shuffled for the comparison, never the texts.
 * ``sync_index_stream(...)``: Structured Streaming over a folder of change files with
   ``trigger(availableNow=True)``, merge-on-read. The first micro-batch writes the base
   index ``base/upto=<batch_id>``; every later batch writes only its own changed rows
@@ -27,17 +28,23 @@ from ..operators.embed import embed
 from ..session import list_names, path_exists
 
 
+def text_digest(text: str):
+    """SHA-256 of the text: equal digests mean equal texts (no practical collisions)."""
+    return F.unhex(F.sha2(F.col(text), 256))
+
+
 def index_rows(source: DataFrame, key: str, text: str) -> DataFrame:
     """Embedded index rows for a keyed text table."""
-    x = source.select(key, text, F.xxhash64(F.col(text)).alias("text_hash"),
+    x = source.select(key, text, text_digest(text).alias("text_hash"),
                       F.size(tokens(text)).alias("n_terms"))
     return embed(x, text)
 
 
 def sync_index_batch(old: DataFrame | None, source: DataFrame, key: str, text: str) -> DataFrame:
+    """Index of ``source`` reusing the rows of ``old`` whose text is unchanged."""
     if old is None:
         return index_rows(source, key, text)
-    src = source.select(key, text, F.xxhash64(F.col(text)).alias("text_hash"))
+    src = source.select(key, text, text_digest(text).alias("text_hash"))
     kept = old.join(src.select(key, "text_hash"), [key, "text_hash"], "left_semi")
     changed = src.join(old.select(key, "text_hash"), [key, "text_hash"], "left_anti")
     fresh = index_rows(changed.select(key, text), key, text)

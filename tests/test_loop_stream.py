@@ -129,3 +129,14 @@ def test_loop_over_real_agents(spark):
     assert "Reference Links:" in out[3].responses[0] or settings.IRRELEVANT in out[3].responses[0]
     n3r = trials.filter(F.col("locations").startswith("NATION_3,") & (F.col("status") == "Recruiting")).count()
     assert out[4].responses[0].endswith(f"Answer is : {n3r}")
+
+
+def test_batch_sync_equals_fresh_index(spark):
+    from sparkqa.streaming.sync import index_rows, sync_index_batch
+    v1 = spark.createDataFrame([("a", "alpha text"), ("b", "beta"), ("c", "gamma")], "k string, t string")
+    v2 = spark.createDataFrame([("a", "alpha text"), ("b", "beta two"), ("d", "delta")], "k string, t string")
+    old = index_rows(v1, "k", "t")
+    got = sync_index_batch(old, v2, "k", "t")
+    want = index_rows(v2, "k", "t")
+    cols = ["k", "t", "text_hash", "n_terms", "vector"]
+    assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
