@@ -60,8 +60,10 @@ def keyword_topk(questions: DataFrame, qkey: str, qtext: str, docs: DataFrame, k
 def keyword_top1(questions: DataFrame, qkey: str, qtext: str, docs: DataFrame, key: str, text: str,
                  max_df: float = 0.1) -> DataFrame:
     """Best document per question as one partial aggregate (map-side combine keeps a
-    question with very many matches from landing in one task)."""
+    question with very many matches from landing in one task). The result, one row per
+    question, is written once: joins back to the wide document rows then see its real
+    size and broadcast it instead of shuffling the documents."""
     s = keyword_scores(questions, qkey, qtext, docs, key, text, max_df)
     best = s.groupBy(qkey).agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col(key)).alias("neg"),
                                               F.col("score").alias("score"))).alias("b"))
-    return best.select(qkey, (-F.col("b.neg")).alias(key), F.col("b.score").alias("score"))
+    return materialize(best.select(qkey, (-F.col("b.neg")).alias(key), F.col("b.score").alias("score")), "top1")
