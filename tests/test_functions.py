@@ -240,3 +240,25 @@ def test_cost_metrics_null_key_apart_from_total(spark):
     assert len(rows) == 3                        # key 7, null key, overall (also null)
     by = sorted((r.calls, r.p50_ms, r.p95_ms) for r in rows)
     assert by == [(2, 20.0, 29.0), (3, 200.0, 290.0), (5, 100.0, 280.0)]
+
+
+def test_approx_percentiles_close_to_exact(spark):
+    """percentile_approx returns an observed value; with few values per group its rank is
+    within one of the order statistics the exact interpolation uses."""
+    import math
+    from conftest import SF_SMALL
+    from sparkqa import fixtures as fx
+    from sparkqa.operators.evaluation import trace_summary
+    t = fx.trace(spark, SF_SMALL)
+    values = {}
+    for r in t.select("span", "latency_ms").collect():
+        if r.latency_ms is not None:
+            values.setdefault(r.span, []).append(r.latency_ms)
+    exact = {r.span: r for r in trace_summary(t).collect()}
+    for r in trace_summary(t, approx=True).collect():
+        v = sorted(values[r.span])
+        assert (r.calls, r.mean_ms) == (exact[r.span].calls, exact[r.span].mean_ms)
+        for p, got in ((0.5, r.p50_ms), (0.95, r.p95_ms)):
+            pos = (len(v) - 1) * p
+            lo, hi = max(0, math.floor(pos) - 1), min(len(v) - 1, math.ceil(pos) + 1)
+            assert any(abs(got - round(x, 6)) < 1e-9 for x in v[lo:hi + 1]), (r.span, p, got)
