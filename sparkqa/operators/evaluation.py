@@ -15,23 +15,28 @@ def containing_docs(passages: DataFrame, pkey: str, ptext: str, docs: DataFrame,
 
     Exact, without pairing every passage with every document: a document that contains
     the passage contains each of its interior words as a whole word (the first and last
-    may be cut mid-word), so candidates come from an equi-join on the passage's longest
-    interior word; ``instr`` then confirms. Passages of fewer than three words use their
-    longest word with the same confirmation."""
+    may be cut mid-word). Candidates are the documents holding both of the passage's two
+    longest distinct interior words (matches counted per (passage, document) pair, so a
+    common word spreads over many tasks and never reaches the text check on its own);
+    ``instr`` then confirms. Passages of fewer than three words use their own words."""
     w = tokens(ptext)
     interior = F.when(F.size(w) >= 3, F.slice(w, 2, F.size(w) - 2)).otherwise(w)
     longest_first = F.array_sort(interior, lambda a, b: F.when(F.length(a) > F.length(b), F.lit(-1))
                                  .when(F.length(a) < F.length(b), F.lit(1))
                                  .when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(F.lit(0)))
-    pick = F.try_element_at(longest_first, F.lit(1))
-    p = passages.select(pkey, ptext, pick.alias("term"))
+    picks = F.slice(F.array_distinct(longest_first), 1, 2)
+    p = passages.select(pkey, ptext, picks.alias("_terms"))
+    pw = p.select(pkey, F.size("_terms").alias("_need"), F.explode("_terms").alias("term"))
     post = spread(docs.select(dkey, dtext)).select(dkey, F.explode(F.array_distinct(tokens(dtext))).alias("term"))
-    # keep only postings of picked words, right after tokenizing: the picked-word set has
-    # at most one word per passage, so the corpus postings never enter a shuffle whole
-    post = post.join(p.select("term").distinct(), "term", "left_semi")
+    # keep only postings of picked words, right after tokenizing: at most two words per
+    # passage, so the corpus postings never enter a shuffle whole
+    post = post.join(pw.select("term").distinct(), "term", "left_semi")
+    both = (pw.join(post, "term").groupBy(pkey, dkey)
+            .agg(F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need"))
+            .filter(F.col("_n") == F.col("_need")).select(pkey, dkey))
     # candidate pairs are written once: the planner then sees their size and broadcasts
     # them against the document texts (which are streamed, never shuffled or broadcast)
-    cand = materialize(p.join(post, "term").select(pkey, ptext, dkey), "passage-candidates")
+    cand = materialize(both.join(p.select(pkey, ptext), pkey), "passage-candidates")
     full = cand.join(docs.select(dkey, F.col(dtext).alias("_dt")), dkey)
     return full.filter(F.instr(F.col("_dt"), F.col(ptext)) > 0).select(pkey, dkey)
 
