@@ -262,3 +262,15 @@ def test_approx_percentiles_close_to_exact(spark):
             pos = (len(v) - 1) * p
             lo, hi = max(0, math.floor(pos) - 1), min(len(v) - 1, math.ceil(pos) + 1)
             assert any(abs(got - round(x, 6)) < 1e-9 for x in v[lo:hi + 1]), (r.span, p, got)
+
+
+def test_materialize_writes_under_the_shared_folder(spark):
+    from sparkqa.session import materialize, shared_dir
+    df = spark.range(50).select((F.col("id") * 2).alias("x"), F.lit(None).cast("string").alias("s"))
+    m = materialize(df, "unit")
+    assert m.schema.simpleString() == df.schema.simpleString()
+    assert sorted(r.x for r in m.collect()) == list(range(0, 100, 2))
+    files = m.inputFiles()
+    assert files and all(shared_dir(spark) in f for f in files)
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Range" not in plan          # lineage cut
