@@ -4,10 +4,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from sparkqa import catalog, oracles
 from compare import compare, duck
 from conftest import SF_SMALL
 
-ORACLES = entry.oracle_sql()
+ORACLES = oracles.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, con, name):
-    df = entry.queries()[name](spark, SF_SMALL)
+    df = catalog.QUERIES[name](spark, SF_SMALL)
     s_cols, s_rows, d_cols, d_rows = compare(df, con, ORACLES[name])
     assert s_cols == d_cols
     assert len(s_rows) == len(d_rows)
@@ -25,9 +26,9 @@ def test_matches_oracle(spark, con, name):
 
 
 def test_every_query_registered_once():
-    q = entry.queries()
-    assert len(q) == 61
-    assert set(ORACLES) <= set(q)
+    assert len(catalog.QUERIES) == 61
+    assert set(catalog.QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_runs(spark):
