@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkqa.llm import exact_dedup, simhash
+from sparkqa.llm import exact_dedup, registry, simhash
 from sparkqa.llm.common import materialize, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,9 +24,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs)
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return registry.pack_documents(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("exact_copies", exact_copies),
     ("near_copies", near_copies),
+    ("packing", packing),
 ]
 
 #: Models and byte-level fingerprints cannot be written in SQL; a brute-force version tests the stages.

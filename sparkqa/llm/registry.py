@@ -8,16 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding, simhash
+from . import exact_dedup, packing, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SHARDS = 40
+END_ID = 2
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """Packing with the public 50k byte-level vocabulary (its rank file; the ids are the same) and end id 2."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, END_ID)
 
 
 def query(fn: Query) -> Query:
@@ -38,6 +45,11 @@ def op3_exact_duplicates(spark, sf):
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op4_best_fit_packing(spark, sf):
+    return pack_documents(table(spark, sf, "documents"))
+
+
 @query
 def op6_simhash_components(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
