@@ -10,12 +10,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkqa.llm import exact_dedup, registry, simhash
+from sparkqa.llm import exact_dedup, quality, registry, simhash, toxicity
 from sparkqa.llm.common import materialize, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    stats = materialize(quality.document_statistics(table(spark, sf_dir, "documents"), "doc_id", "text"), "document-statistics")
+    return quality.drop_poor(docs, quality.fit(stats, table(spark, sf_dir, "labels")))
+
+
+def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, model)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
@@ -29,6 +39,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("good_quality", good_quality),
+    ("clean_language", clean_language),
     ("exact_copies", exact_copies),
     ("near_copies", near_copies),
     ("packing", packing),

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, sharding, simhash
+from . import exact_dedup, packing, quality, sharding, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,16 @@ def op6_simhash_components(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op8_ordinal_toxicity(spark, sf):
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op10_quality_trees(spark, sf):
+    return quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 ORACLES: dict[str, str] = {
     "op3_exact_duplicates": """
         WITH d AS (
