@@ -1,8 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-A document's features are its distinct words and their first 4, 5 and 6 letters, hashed; one
-weight per feature, shared by all thresholds: P(grade >= j) = sigmoid(s - t_j) with t_1 < t_2 < ...
-The expected severity is the sum of these probabilities. A document's sum is additive over its
+A document's features are its distinct words and their first 4, 5 and 6 letters, hashed, each word
+counting 1 + ln(occurrences); one weight per feature, shared by all thresholds: P(grade >= j) = sigmoid(s - t_j) with t_1 < t_2 < ...
+Weights are never negative, so clean text around a few toxic words cannot outweigh them. The expected severity is the sum of these probabilities. A document's sum is additive over its
 distinct words, so scoring looks each word up in a bounded memo.
 
 Labels say toxic or not. Grades are made from them: 0 for clean documents, and for toxic ones 1, 2 or
@@ -26,18 +26,21 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, materialize
 
-SAMPLE_ROWS = 20_000  # bound on the labelled rows that the weights are fitted on
+SAMPLE_ROWS = 12_000  # bound on the labelled rows that the weights are fitted on
 PREFIXES = (4, 5, 6)
 GRADE_STEPS = (3, 6)  # distinct markers from which a toxic document has grade 2 and 3
 MEMO_WORDS = 400_000
 EDGES = ".,;:!?\"'()[]{}<>*#%&$|-_"
 
 
-def words_of(text: str) -> set[str]:
-    """Distinct words in lower case without punctuation at their ends."""
-    found = {w.strip(EDGES) for w in set(text.lower().split())}
-    found.discard("")
-    return found
+def words_of(text: str) -> dict[str, float]:
+    """Distinct words in lower case without punctuation at their ends: 1 + ln of the occurrences of each.
+    Spellings that differ in punctuation only add up."""
+    found: dict[str, float] = {}
+    for spelling, n in Counter(text.lower().split()).items():
+        if word := spelling.strip(EDGES):
+            found[word] = found.get(word, 0) + n
+    return {w: 1 + math.log(n) if n > 1 else 1.0 for w, n in found.items()}
 
 
 def word_features(word: str) -> list[int]:
@@ -63,7 +66,7 @@ class Severity:
         return got
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
-        return np.array([math.fsum(map(self.word, words_of(t or ""))) for t in texts], float)
+        return np.array([math.fsum(v * self.word(w) for w, v in words_of(t or "").items()) for t in texts], float)
 
     def at_least(self, sums: np.ndarray) -> np.ndarray:
         """P(grade >= j) for j = 1, 2, ...: one column each."""
@@ -74,11 +77,11 @@ def sigmoid(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(v, -500, 500)))
 
 
-def fit_ordinal(rows: np.ndarray, columns: np.ndarray, n: int, grades: np.ndarray, levels: int, width: int, rounds: int = 200,
-                l1: float = 2e-4, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds by proximal AdaGrad on the mean log loss with an L1 penalty.
+def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, grades: np.ndarray, levels: int, width: int, rounds: int = 300,
+                l1: float = 1e-4, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (not negative) and ascending thresholds by proximal AdaGrad on the mean log loss, L1 penalty.
 
-    ``rows``/``columns``: the ones of the sparse n x width matrix; ``grades``: 0 to levels-1."""
+    ``rows``/``columns``/``values``: cells of the sparse n x width matrix; ``grades``: 0 to levels-1."""
     share = np.array([(np.sum(grades < j) + 0.5) / (n + 1) for j in range(1, levels)])
     first, steps = np.log(share[0] / (1 - share[0])), np.diff(np.log(share / (1 - share)))
     free = np.concatenate([[first], np.log(np.maximum(steps, 0.1))])  # t_1 and the logs of the gaps
@@ -86,10 +89,10 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, n: int, grades: np.ndarra
     for _ in range(rounds):
         gaps = np.exp(free[1:])
         t = np.concatenate([[-np.inf], free[0] + np.concatenate([[0.0], np.cumsum(gaps)]), [np.inf]])
-        s = np.bincount(rows, w[columns], n)
+        s = np.bincount(rows, w[columns] * values, n)
         upper, lower = sigmoid(t[grades + 1] - s), sigmoid(t[grades] - s)
         p = np.maximum(upper - lower, 1e-12)
-        grad_w = np.bincount(columns, (1 - upper - lower)[rows], width) / n
+        grad_w = np.bincount(columns, (1 - upper - lower)[rows] * values, width) / n
         each = np.zeros(levels + 1)
         np.add.at(each, grades + 1, -upper * (1 - upper) / p)
         np.add.at(each, grades, lower * (1 - lower) / p)
@@ -99,50 +102,56 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, n: int, grades: np.ndarra
         seen += grad_w**2
         seen_t += grad_t**2
         step = rate / np.sqrt(seen)
-        w -= step * grad_w
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        w = np.maximum(w - step * (grad_w + l1), 0)
         free -= rate / np.sqrt(seen_t) * grad_t
     return w, free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
 
 
-def severity_grades(found: list[set[str]], toxic: np.ndarray) -> np.ndarray:
+def severity_grades(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
     """Grades 0 to 3: toxic documents by their number of distinct marker words. A stem is a marker if it is
     in at least 3 toxic documents and 20 times as common in toxic as in clean ones."""
     tallies = [Counter(), Counter()]
     stem = lambda w: w[:PREFIXES[0]]
-    for words, t in zip(found, toxic):
-        tallies[int(t > 0)].update({stem(w) for w in words})
+    for text, t in zip(texts, toxic):
+        tallies[int(t > 0)].update({stem(w) for w in words_of(text or "")})
     clean, bad = max(int((toxic == 0).sum()), 1), max(int((toxic > 0).sum()), 1)
     markers = {s for s, c in tallies[1].items() if c >= 3 and c / bad > 20 * tallies[0][s] / clean}
-    count = np.array([sum(stem(w) in markers for w in words) for words in found])
+    count = np.array([sum(stem(w) in markers for w in words_of(text or "")) if t else 0 for text, t in zip(texts, toxic)])
     return np.where(toxic == 0, 0, 1 + sum((count >= c).astype(int) for c in GRADE_STEPS))
 
 
 def fit_sample(texts: list[str | None], labels: np.ndarray) -> Severity:
     """Severity model of a bounded sample. Labels 0/1 become grades; larger labels are grades already.
-    Features of fewer than 3 documents are left out. Labels of one kind give no weights."""
-    found = [words_of(t or "") for t in texts]
-    grades = (severity_grades(found, labels) if labels.max(initial=0) <= 1 else labels).astype(int)
+    Labels of one kind give no weights."""
+    grades = (severity_grades(texts, labels) if labels.max(initial=0) <= 1 else labels).astype(int)
     levels = int(max(grades.max(initial=0) + 1, 2))
-    known: dict[str, list[int]] = {}
-    rows, hashed = [], []
-    for i, words in enumerate(found):
-        mine = set()
-        for w in words:
-            if w not in known:
-                known[w] = word_features(w)
-            mine.update(known[w])
-        hashed.append(np.fromiter(mine, np.int64, len(mine)))
-        rows.append(np.full(len(mine), i))
     if len(set(grades.tolist())) < 2:
         share = (np.sum(grades > 0) + 0.5) / (len(grades) + 1)
         return Severity({}, np.log((1 - share) / share) + np.arange(levels - 1))
-    ids, columns, counts = np.unique(np.concatenate(hashed), return_inverse=True, return_counts=True)
-    keep = (counts >= 3)[columns]
-    place = np.cumsum(counts >= 3) - 1
-    w, thresholds = fit_ordinal(np.concatenate(rows)[keep], place[columns[keep]], len(found), grades, levels, int((counts >= 3).sum()))
-    ids = ids[counts >= 3]
-    return Severity({int(f): float(v) for f, v in zip(ids[w != 0], w[w != 0])}, thresholds)
+    hashed, weighed = [], []
+    for text in texts:
+        cells: dict[int, float] = {}
+        for w, v in words_of(text or "").items():
+            for f in word_features(w):
+                cells[f] = cells.get(f, 0.0) + v
+        hashed.append(np.fromiter(cells, np.uint32, len(cells)))
+        weighed.append(np.fromiter(cells.values(), np.float32, len(cells)))
+    sizes = np.array([len(h) for h in hashed])
+    flat = np.concatenate(hashed)
+    keep = screened(flat, np.repeat(grades > 0, sizes), grades)
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[keep]
+    ids, columns = np.unique(flat[keep], return_inverse=True)
+    w, thresholds = fit_ordinal(rows, columns, np.concatenate(weighed)[keep], len(grades), grades, levels, len(ids))
+    return Severity({int(f): float(v) for f, v in zip(ids[w > 0], w[w > 0])}, thresholds)
+
+
+def screened(flat: np.ndarray, bad: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """True for features worth a weight: in 3 documents or more, and at least twice as common in
+    documents of grade 1 or more than in others (others could only get weight zero or fit noise)."""
+    slot = flat & np.uint32((1 << 22) - 1)
+    toxic, clean = np.bincount(slot[bad], minlength=1 << 22), np.bincount(slot[~bad], minlength=1 << 22)
+    share = max(int((grades > 0).sum()), 1) / max(int((grades == 0).sum()), 1)
+    return ((toxic >= 3) & (toxic >= 2 * share * clean))[slot]
 
 
 def fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
