@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, quality, sharding, simhash, toxicity
+from . import exact_dedup, lm, packing, quality, sharding, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,11 @@ def op8_ordinal_toxicity(spark, sf):
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op9_ppm_scores(spark, sf):
+    return lm.language_model_scores(table(spark, sf, "documents"))
+
+
 @query
 def op10_quality_trees(spark, sf):
     return quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
