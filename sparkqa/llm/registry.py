@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm, packing, quality, sharding, simhash, toxicity
+from . import curves, exact_dedup, lm, packing, quality, sharding, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op4_best_fit_packing(spark, sf):
     return pack_documents(table(spark, sf, "documents"))
 
 
+@query
+def op5_hilbert_neighbours(spark, sf):
+    return curves.nearest(table(spark, sf, "embeddings"))
+
+
 @query
 def op6_simhash_components(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
