@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, exact_dedup, lm, packing, quality, sharding, simhash, toxicity
+from . import curves, exact_dedup, licenses, lm, packing, pieces, quality, sharding, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_license_scan(spark, sf):
+    return licenses.licenses(table(spark, sf, "documents"))
+
+
 @query
 def op2_stratified_shards(spark, sf):
     sizes = sharding.document_sizes(table(spark, sf, "documents"))
@@ -60,6 +65,14 @@ def op6_simhash_components(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op7_sentencepiece_ids(spark, sf):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(table(spark, sf, "documents"), path, "bpe"), path, "bpe")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
+                       F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
 @query
 def op8_ordinal_toxicity(spark, sf):
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
