@@ -30,7 +30,7 @@ from .common import held_out, materialize
 
 ORDER = 4
 FOLDS = 10
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 GRAM_BLOCK = 2 << 20
 PAD = b"\n" * ORDER  # white space never occurs in words, so it can mark start and end
 END = b"\n"
@@ -183,9 +183,9 @@ def gram_model(counts: DataFrame) -> DataFrame:
 
 
 def score_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (chunk, kind): words with their counts, grams with their log10 P, then the texts.
-
-    A chunk's number of words that it is the first to hold, and of its training tokens, leave in a row of their own."""
+    """Rows sorted by (chunk, kind): words with their counts (kind 0; 1 in the first chunk that holds the word), grams with
+    their log10 P (2), then the texts (3, held out 4). How many known words a task was the first to hold leaves in a
+    row of its own."""
     unpack = zstandard.ZstdDecompressor().decompress
     chunk, words, codes, logs, table, texts = None, {}, [], [], None, []
     distinct = 0
@@ -204,15 +204,15 @@ def score_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for batch in batches:
         for at in range(0, batch.num_rows, 5000):
-            for mine, kind, key, number, value, held in zip(*(c.to_pylist() for c in batch.slice(at, 5000).columns)):
+            for mine, kind, key, number, value in zip(*(c.to_pylist() for c in batch.slice(at, 5000).columns)):
                 if mine != chunk:
                     if texts:
                         yield score()
                     chunk, words, codes, logs, table, size = mine, {}, [], [], None, 0
-                if kind == 0:
+                if kind <= 1:
                     words[key] = number
-                    distinct += value > 0
-                elif kind == 1:
+                    distinct += kind == 1 and number > 0
+                elif kind == 2:
                     codes.append(number)
                     logs.append(value)
                 else:
@@ -221,7 +221,7 @@ def score_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         table = np.array(codes, np.int64)[order], np.array(logs)[order]
                         codes, logs = [], []
                     text = unpack(key)
-                    texts.append((number, held, text))
+                    texts.append((number, kind == 4, text))
                     size += len(text)
                     if size > GRAM_BLOCK:
                         yield score()
@@ -247,16 +247,14 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # a word has one row per chunk at most: its corpus count is a sum over few rows, however frequent it is
     same = Window.partitionBy("word")
     words = local.where("word IS NOT NULL").select(
-        "chunk", F.lit(0).alias("kind"), F.col("word").alias("key"), F.sum("n").over(same).alias("number"),
-        F.when((F.sum("n").over(same) > 0) & (F.row_number().over(same.orderBy("chunk")) == 1), 1.0).otherwise(0.0).alias("value"),
-        F.lit(None).cast("boolean").alias("held"))
+        "chunk", (F.row_number().over(same.orderBy("chunk")) == 1).cast("int").alias("kind"), F.col("word").alias("key"),
+        F.sum("n").over(same).alias("number"), F.lit(None).cast("double").alias("value"))
     grams = local.where("gram IS NOT NULL")
     model = gram_model(materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams"))
-    wanted = grams.join(model, "gram").select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("key"),
-                                              F.col("gram").alias("number"), F.col("logp").alias("value"),
-                                              F.lit(None).cast("boolean").alias("held"))
-    rows = texts.select("chunk", F.lit(2).alias("kind"), F.col("packed").alias("key"), F.col("id").alias("number"),
-                        F.lit(0.0).alias("value"), "held")
+    wanted = grams.join(model, "gram").select("chunk", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("key"),
+                                              F.col("gram").alias("number"), F.col("logp").alias("value"))
+    rows = texts.select("chunk", F.when(F.col("held"), 4).otherwise(3).alias("kind"), F.col("packed").alias("key"),
+                        F.col("id").alias("number"), F.lit(None).cast("double").alias("value"))
     dealt = words.unionByName(wanted).unionByName(rows).repartition("chunk").sortWithinPartitions("chunk", "kind")
     scored = materialize(dealt.mapInArrow(score_chunks, ddl(SCORED)), "lm-scores")
     totals = scored.agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
