@@ -157,7 +157,7 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("conv_id")
     plan = (
         F.when(k % 5 == 0, F.concat(F.lit("  covid_rag_agent : "), F.col("question"), F.lit("  \n")))
-        .when(k % 5 == 1, F.lit("covid_genie_agent"))
+        .when(k % 5 == 1, F.lit(settings.STATS_AGENT))
         .when(k % 5 == 2, F.lit(" DONE "))
         .when(k % 5 == 3, F.concat(F.lit("helper_agent:"), F.col("question"), F.lit(":tail")))
         .otherwise(F.concat(F.lit("Irrelevant Question:"), F.col("question")))
@@ -166,19 +166,16 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Math expressions with operands from part sizes; the form is chosen by key % 6."""
+    """Math expressions with operands from part sizes; the form is chosen by key % 9."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     k = F.col("p_partkey")
     a = F.col("p_size").cast("string")
     b = (k % 7 + 1).cast("string")
-    e = (
-        F.when(k % 6 == 0, F.concat(a, F.lit("+"), b))
-        .when(k % 6 == 1, F.concat(F.lit("("), b, F.lit("^"), F.lit("3"), F.lit(")*"), a))
-        .when(k % 6 == 2, F.concat(F.lit("sum(range("), b, F.lit(", "), a, F.lit("))")))
-        .when(k % 6 == 3, F.concat(a, F.lit(" * "), b, F.lit(" - 1")))
-        .when(k % 6 == 4, F.concat(a, F.lit("/"), b))
-        .otherwise(F.lit("NA"))
-    )
+    forms = [(a, "+", b), ("(", b, "^3)*", a), ("sum(range(", b, ", ", a, "))"), (a, " * ", b, " - 1"), (a, "/", b), ("NA",),
+             ("(", a, "+", b, ")*3 - 2**2"), (a, " % ", b, " + ", a, " // ", b), ("-", b, "**2+2**3**2")]
+    e = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        e = F.when(k % len(forms) == i, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in form])).otherwise(e)
     return p.select("p_partkey", e.alias("expression"))
 
 

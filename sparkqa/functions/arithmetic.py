@@ -1,8 +1,14 @@
 """Arithmetic replies solved as native expressions (op 40).
 
-The model's reply is one of the forms it is prompted with: ``a op b``, ``(a^b) op c``,
-``a op b op c`` with the usual precedence, ``sum(range(a, b))``, or ``NA``. ``^`` and
-``**`` both mean power. No ``eval``: forms are matched by regex and computed in the JVM.
+The model's reply is arithmetic over numbers with ``+ - * / // %``, power (``^`` or ``**``), signs
+and brackets around plain chains (one level), or ``sum(range(a, b))``, or ``NA``. Rules are
+those of the usual calculator language: power binds tightest, to the right, and tighter than a sign on its
+left (-2**2 is -4); ``//`` and ``%`` round down. There is no ``eval`` and no interpreter: patterns cut a
+chain into terms, factors and powers, and array functions fold them in the JVM.
+
+Brackets are solved first and put back as numbers (``n`` marks a negative one, so that
+(-2)**2 keeps its sign inside). What is no such expression, divides by zero or leaves the range of doubles
+gives a null result and an error, never a failed job.
 """
 
 from __future__ import annotations
@@ -12,61 +18,100 @@ from pyspark.sql import functions as F
 
 from .. import settings
 
-_NUM = r"(-?\d+(?:\.\d+)?)"
-_OP = r"(\*\*|[-+*/^])"
-_S = r"\s*"
-ONE_OP = f"^{_S}{_NUM}{_S}{_OP}{_S}{_NUM}{_S}$"
-POW_THEN = rf"^{_S}\({_S}{_NUM}{_S}(\*\*|\^){_S}{_NUM}{_S}\){_S}{_OP}{_S}{_NUM}{_S}$"
-TWO_OPS = f"^{_S}{_NUM}{_S}{_OP}{_S}{_NUM}{_S}{_OP}{_S}{_NUM}{_S}$"
-SUM_RANGE = rf"^{_S}sum\({_S}range\({_S}(-?\d+){_S},{_S}(-?\d+){_S}\){_S}\){_S}$"
+NUM = r"n?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?"
+POWERS = rf"{NUM}(?:\^[-+]*{NUM})*"
+FACTOR = rf"[-+]*{POWERS}"
+CHAIN = rf"{FACTOR}(?:[-+*/%~]{FACTOR})*"
+WHOLE = rf"^{CHAIN}$"
+BRACKETS = rf"^(?:[^()]*\({CHAIN}\))*[^()]*$"
+SUM_RANGE = r"^sum\(range\((-?\d+),(-?\d+)\)\)$"
+#: Digits of a bound up to which the sum is exact in decimals; larger ones are summed as doubles.
+EXACT_DIGITS = 18
 
 
-def _apply(a: Column, op: Column, b: Column) -> Column:
-    return (F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b)
-            .when(op == "/", F.try_divide(a, b))
-            .when(op.isin("^", "**"), F.pow(a, b)))
+def _number(c: Column) -> Column:
+    return F.replace(c, F.lit("n"), F.lit("-")).try_cast("double")
 
 
-def _num(c: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(c, pattern, i).cast("double")
+def _sign(signs: Column) -> Column:
+    """1 or -1 for a run of sign characters."""
+    minus = F.length(signs) - F.length(F.replace(signs, F.lit("-"), F.lit("")))
+    return F.when(minus % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
 
 
-def _op(c: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(c, pattern, i)
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once and named (a lambda variable)."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def solve(df: DataFrame, col: str = "expression") -> DataFrame:
-    """Add ``result`` (double) and ``error`` for an expression column.
+def _finite(c: Column) -> Column:
+    """Null for NaN and infinities: their difference from themselves is NaN, which is no number equal to zero."""
+    return _let(c, lambda v: F.when((v - v) == 0, v))
+
+
+def _factor(c: Column) -> Column:
+    """Signs, then a power chain: ``-a^-b`` is -(a^(-b))."""
+    return _sign(F.regexp_extract(c, "^[-+]*", 0)) * F.aggregate(
+        F.reverse(F.split(F.regexp_replace(c, "^[-+]*", ""), r"\^")), F.lit(None).cast("double"),
+        lambda acc, p: _let(_sign(F.regexp_extract(p, "^[-+]*", 0)) * _number(F.regexp_replace(p, "^[-+]*", "")),
+                            lambda base: F.when(acc.isNull(), base).otherwise(_finite(F.pow(F.abs(base), acc) * _odd(base, acc)))))
+
+
+def _odd(base: Column, exponent: Column) -> Column:
+    """Sign of a power: that of an odd whole power of a negative base; null for a broken power of one."""
+    return F.when(base >= 0, F.lit(1.0)).when(exponent % 2 == 0, F.lit(1.0)).when(F.abs(exponent % 2) == 1, F.lit(-1.0))
+
+
+def _term(c: Column) -> Column:
+    """``* / % ~`` (``~`` is whole division) folded from the left."""
+    parts = F.regexp_extract_all(F.concat(F.lit("*"), c), F.lit(rf"[*/%~]{FACTOR}"), 0)
+
+    def step(acc: Column, part: Column) -> Column:
+        op = F.substring(part, 1, 1)
+        return _let(_factor(F.substring(part, F.lit(2), F.length(part))), lambda v: _finite(
+            F.when(op == "*", acc * v).when(op == "/", F.try_divide(acc, v)).when(op == "~", F.floor(F.try_divide(acc, v)).cast("double"))
+            .otherwise(acc - F.floor(F.try_divide(acc, v)) * v)))
 
-    Staged projections: the regex pieces are extracted once into columns, then combined,
-    which keeps each generated method small enough for whole-stage codegen."""
+    return F.aggregate(parts, F.lit(1.0), step)
+
+
+def _chain(c: Column) -> Column:
+    """Terms added up from the left; null if ``c`` is no chain."""
+    # a sign that follows a number separates terms; any other belongs to its factor
+    cut = F.split(F.regexp_replace(c, rf"({NUM})([-+])", "$1\n$2"), "\n")
+    total = F.aggregate(cut, F.lit(0.0), lambda acc, t: acc + _term(t))
+    return F.when(c.rlike(WHOLE), total)
+
+
+def _text(v: Column) -> Column:
+    """A value as a number inside a larger expression."""
+    return F.concat(F.when(v < 0, F.lit("n")).otherwise(F.lit("")), F.abs(v).cast("string"))
+
+
+def solve(df: DataFrame, col: str = "expression") -> DataFrame:
+    """Add ``result`` (double) and ``error`` for an expression column."""
     c = F.col(col)
-    x = df.withColumns({
-        "_form": F.when(F.startswith(c, F.lit("NA")), F.lit(0)).when(c.rlike(SUM_RANGE), F.lit(1))
-        .when(c.rlike(POW_THEN), F.lit(2)).when(c.rlike(ONE_OP), F.lit(3)).when(c.rlike(TWO_OPS), F.lit(4)),
-    })
-    f = F.col("_form")
-
-    def groups(pattern: str, n: int) -> Column:
-        return F.array(*[F.regexp_extract(c, pattern, i) for i in range(1, n + 1)]
-                       + [F.lit("")] * (5 - n))
-
-    x = x.withColumn("_g", F.when(f == 1, groups(SUM_RANGE, 2)).when(f == 2, groups(POW_THEN, 5))
-                     .when(f == 3, groups(ONE_OP, 3)).when(f == 4, groups(TWO_OPS, 5)))
-    g = [F.get(F.col("_g"), i) for i in range(5)]
-    num = [v.try_cast("double") for v in g]
-    x = x.withColumns({"_a": num[0], "_o1": g[1], "_b": num[2], "_o2": g[3], "_c": num[4],
-                       "_lo": g[0].try_cast("decimal(38,0)"), "_hi": g[1].try_cast("decimal(38,0)")})
-    a, o1, b, o2, cc = F.col("_a"), F.col("_o1"), F.col("_b"), F.col("_o2"), F.col("_c")
-    lo, hi = F.col("_lo"), F.col("_hi")
-    # closed form of lo + (lo+1) + ... + (hi-1): no sequence is materialised
-    srange = F.when(hi > lo, (hi - lo) * (lo + hi - 1) / 2).otherwise(F.lit(0)).cast("double")
-    pw = _apply(F.pow(a, g[2].try_cast("double")), g[3], cc)
-    one = _apply(a, o1, b)
-    right_first = o2.isin("*", "/", "^", "**") & o1.isin("+", "-") | o2.isin("^", "**") & o1.isin("*", "/")
-    two = F.when(right_first, _apply(a, o1, _apply(b, o2, cc))).otherwise(_apply(_apply(a, o1, b), o2, cc))
-    x = x.withColumn("result", F.when(f == 1, srange).when(f == 2, pw).when(f == 3, one).when(f == 4, two)
-                     .cast("double"))
-    x = x.withColumn("error", F.when(f == 0, F.lit(settings.NO_MATH))
+    spaced = F.when(~c.rlike(r"[\d.]\s+[\d.]"), F.regexp_replace(c, r"\s+", ""))       # "3 4" is no number
+    plain = F.replace(F.replace(spaced, F.lit("**"), F.lit("^")), F.lit("//"), F.lit("~"))
+    x = df.withColumn("_e", plain)
+    e = F.col("_e")
+    # pieces at even places lie in brackets: their values replace them
+    pieces = F.transform(F.split(e, "[()]"), lambda p, i: F.when(i % 2 == 1, _text(_chain(p))).otherwise(p))
+    flat = F.when(e.contains("("), F.when(e.rlike(BRACKETS) & ~F.exists(pieces, lambda p: p.isNull()), F.array_join(pieces, ""))) \
+        .otherwise(e)
+    lo, hi = F.regexp_extract("_e", SUM_RANGE, 1), F.regexp_extract("_e", SUM_RANGE, 2)
+    small = (F.length(lo) <= EXACT_DIGITS) & (F.length(hi) <= EXACT_DIGITS)
+
+    def total(kind: str) -> Column:
+        a, b = lo.try_cast(kind), hi.try_cast(kind)
+        # closed form of lo + (lo+1) + ... + (hi-1): no sequence is materialised
+        return F.when(b > a, (b - a) * (a + b - 1) / 2).otherwise(F.lit(0)).cast("double")
+
+    summed = F.when(small, total("decimal(19,0)")).otherwise(_finite(total("double")))
+    x = x.withColumn("_flat", flat)
+    # adding up may leave the range of doubles too
+    x = x.withColumn("result", F.when(F.startswith(c, F.lit("NA")), F.lit(None).cast("double"))
+                     .when(e.rlike(SUM_RANGE), summed).otherwise(_finite(_chain(F.col("_flat")))))
+    x = x.withColumn("error", F.when(F.startswith(c, F.lit("NA")), F.lit(settings.NO_MATH))
                      .when(F.col("result").isNull(), F.lit("Cannot evaluate expression")))
-    return x.drop("_form", "_g", "_a", "_o1", "_b", "_o2", "_c", "_lo", "_hi")
+    return x.drop("_e", "_flat")

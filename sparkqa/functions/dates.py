@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +38,31 @@ def run_label(ts: str | Column, zone: str = "US/Eastern") -> Column:
 
     The zone abbreviation comes from the offset in effect at that instant (standard or
     daylight time), since Spark's 'z' pattern prints the session zone instead."""
-    std_abbr, std_hours, dst_abbr = settings.ZONE_ABBREVIATIONS[zone]
     utc = col_of(ts).cast("timestamp_ntz")
     # convert_timezone works on wall-clock (NTZ) values, so the session zone plays no part
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
     offset_sec = F.timestamp_diff("SECOND", utc, local)
-    abbr = F.when(offset_sec == F.lit(std_hours * 3600), F.lit(std_abbr)).otherwise(F.lit(dst_abbr))
-    return F.concat(F.date_format(local, "yyyy-MM-dd-HH:mm:ss"), F.lit("-"), abbr)
+    abbr = F.lit(None).cast("string")
+    for seconds, name in zone_abbreviations(zone).items():
+        abbr = F.when(offset_sec == F.lit(seconds), F.lit(name)).otherwise(abbr)
+    sign = F.when(offset_sec < 0, F.lit("-")).otherwise(F.lit("+"))
+    minutes = F.abs(offset_sec / 60).cast("int")
+    shown = F.concat(sign, F.lpad((minutes / 60).cast("int").cast("string"), 2, "0"), F.lpad((minutes % 60).cast("string"), 2, "0"))
+    return F.concat(F.date_format(local, "yyyy-MM-dd-HH:mm:ss"), F.lit("-"), F.coalesce(abbr, shown))
+
+
+def zone_abbreviations(zone: str) -> dict[int, str]:
+    """UTC offset in seconds -> abbreviation of any named zone: what the time zone database
+    says at each half month from 1970 to 2037 (the latest name of an offset wins; others are
+    shown as +hhmm). An unknown zone raises ``ZoneInfoNotFoundError``."""
+    info = ZoneInfo(zone)
+    out = {}
+    for year in range(1970, 2038):
+        for month in range(1, 13):
+            for day in (1, 15):
+                at = dt.datetime(year, month, day, tzinfo=dt.timezone.utc).astimezone(info)
+                out[int(at.utcoffset().total_seconds())] = at.tzname()
+    return out
 
 
 def todays_date() -> Column:

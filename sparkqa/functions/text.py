@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,32 +55,64 @@ def prefix_question(df: DataFrame, col: str = "question", out: str = "question")
     return df.withColumn(out, F.concat(F.lit(settings.QUESTION_PREFIX), F.col(col)))
 
 
-# FIXED VALUES: HTML entities decoded by html_text, in decoding order ('&amp;' last so
-# that '&amp;lt;' stays '&lt;'). The trailing ';' is optional, as for legacy entities.
-HTML_ENTITIES = [
-    ("&lt;?", "<"),
-    ("&gt;?", ">"),
-    ("&quot;?", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;?", " "),
-    ("&copy;?", "©"),
-    ("&middot;?", "·"),
-    ("&amp;?", "&"),
-]
+# Named character references as the HTML standard lists them (the table of the Python library); those
+# that the standard also reads without ';' have an entry of their own without it.
+_NAMED = {name: chars for name, chars in html5.items() if name.endswith(";")}
+_LEGACY = {name: chars for name, chars in html5.items() if not name.endswith(";")}
+# FIXED VALUES: numeric references 128 to 159 mean the characters of Windows-1252.
+_CP1252 = {n: bytes([n]).decode("cp1252", "replace") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+_REFERENCE = r"^(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)"
+
+
+def _literal_map(table: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
+
+
+def _code_point(c: Column) -> Column:
+    """Character of a code point; 0, surrogates and what is beyond the last one give U+FFFD."""
+    bad = c.isNull() | (c == 0) | c.between(0xD800, 0xDFFF) | (c > 0x10FFFF)
+    safe = F.when(bad, F.lit(0xFFFD)).otherwise(c)
+    return F.coalesce(F.try_element_at(_literal_map(_CP1252), safe.cast("int")),
+                      F.decode(F.unhex(F.lpad(F.hex(safe.cast("bigint")), 8, "0")), "UTF-32"))
+
+
+def _decode_piece(p: Column) -> Column:
+    """Text after an '&': its reference decoded, or the '&' and the text as they are."""
+    ref = F.regexp_extract(p, _REFERENCE, 0)
+    rest = F.substring(p, F.length(ref) + 1, F.length(p))
+    digits = F.regexp_replace(ref, "[#xX;]", "")
+    number = F.when(ref.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+    named = F.try_element_at(_literal_map(_NAMED), ref)
+    legacy = F.regexp_extract(p, _LEGACY_NAME, 0)
+    return (F.when(F.startswith(ref, F.lit("#")), F.concat(_code_point(number), rest))
+            .when(named.isNotNull(), F.concat(named, rest))
+            .when(legacy != "", F.concat(F.try_element_at(_literal_map(_LEGACY), legacy),
+                                         F.substring(p, F.length(legacy) + 1, F.length(p))))
+            .otherwise(F.concat(F.lit("&"), p)))
+
+
+# of names without ';' the longest one wins
+_LEGACY_NAME = "^(?:" + "|".join(sorted(_LEGACY, key=lambda n: (-len(n), n))) + ")"
+
+
+def decode_references(c: Column) -> Column:
+    """Character references (named, decimal, hexadecimal) decoded once, left to right."""
+    pieces = F.split(c, "&", -1)
+    return F.when(c.contains("&"), F.concat(F.get(pieces, 0), F.array_join(
+        F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), _decode_piece), ""))).otherwise(c)
 
 
 def html_text(c: str | Column) -> Column:
     """Visible text of an HTML page (op 42): script/style bodies, comments, doctype and
-    tags removed, entities decoded, no separator added between elements."""
+    tags (with '>' inside quoted attributes) removed, character references decoded, no
+    separator added between elements."""
     x = col_of(c)
     x = F.regexp_replace(x, r"(?is)<script\b.*?</script\s*>", "")
     x = F.regexp_replace(x, r"(?is)<style\b.*?</style\s*>", "")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", "")
-    x = F.regexp_replace(x, r"<![^>]*>", "")
-    x = F.regexp_replace(x, r"<[^>]*>", "")
-    for pattern, repl in HTML_ENTITIES:
-        x = F.regexp_replace(x, pattern, repl)
-    return x
+    x = F.regexp_replace(x, r"<[/!?a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", "")
+    x = F.regexp_replace(x, r"<[/!?a-zA-Z][^>]*>", "")          # tags whose quotes don't close
+    return decode_references(x)
 
 
 def user_prefix(email: str | Column) -> Column:

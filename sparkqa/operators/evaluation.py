@@ -18,9 +18,26 @@ def containing_docs(passages: DataFrame, pkey: str, ptext: str, docs: DataFrame,
     may be cut mid-word). Candidates are the documents holding both of the passage's two
     longest distinct interior words (matches counted per (passage, document) pair, so a
     common word spreads over many tasks and never reaches the text check on its own);
-    ``instr`` then confirms. Passages of fewer than three words use their own words."""
+    ``instr`` then confirms. Passages of fewer than three words have no interior word (they may
+    begin and end inside words): this stated set of passages is checked against all documents,
+    block by block."""
     w = tokens(ptext)
-    interior = F.when(F.size(w) >= 3, F.slice(w, 2, F.size(w) - 2)).otherwise(w)
+    passages = passages.filter(F.col(ptext).isNotNull())
+    long = _by_words(passages.filter(F.size(w) >= 3), pkey, ptext, docs, dkey, dtext)
+    short = materialize(passages.filter(F.size(w) < 3).select(pkey, ptext), "short-passages")
+    if short.isEmpty():
+        return long
+    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select(dkey, F.col(dtext).alias("_dt"), F.pmod(F.xxhash64(dkey), F.lit(blocks)).alias("_block"))
+    asked = short.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    found = dealt.join(asked, "_block").filter(F.instr(F.col("_dt"), F.col(ptext)) > 0).select(pkey, dkey)
+    return long.unionByName(found)
+
+
+def _by_words(passages: DataFrame, pkey: str, ptext: str, docs: DataFrame, dkey: str, dtext: str) -> DataFrame:
+    """``containing_docs`` for passages of three words or more."""
+    w = tokens(ptext)
+    interior = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
     longest_first = F.array_sort(interior, lambda a, b: F.when(F.length(a) > F.length(b), F.lit(-1))
                                  .when(F.length(a) < F.length(b), F.lit(1))
                                  .when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(F.lit(0)))
@@ -41,11 +58,6 @@ def containing_docs(passages: DataFrame, pkey: str, ptext: str, docs: DataFrame,
     return full.filter(F.instr(F.col("_dt"), F.col(ptext)) > 0).select(pkey, dkey)
 
 
-def evaluate(eval_set: DataFrame, responses: DataFrame, key: str = "item_id") -> DataFrame:
-    """Put each pipeline reply next to the expected response, one row per request (op 54)."""
-    return eval_set.join(responses, key, "left")
-
-
 def answer_match(results: DataFrame, response: str = "response", expected: str = "expected_response") -> DataFrame:
     """Deterministic answer metrics (op 55): exact match, token precision/recall/F1 over
     distinct words, refusal agreement. Null when there is no expected answer."""
@@ -75,50 +87,57 @@ def retrieval_recall(hits: DataFrame, truth: DataFrame, qkey: str, dkey: str) ->
     return g.withColumn("recall", F.round(F.col("n_found") / F.col("n_truth"), 6))
 
 
-POS_BITS = 33                 # monotonically_increasing_id: partition id above, row number below
+def overall_recall(per_query: DataFrame) -> DataFrame:
+    """One row over all queries (op 56): their number, true and found pairs, mean recall per query and recall
+    over all pairs. No query with truth: counts of 0 and null recalls."""
+    return per_query.agg(F.count(F.lit(1)).alias("n_queries"), F.coalesce(F.sum("n_truth"), F.lit(0)).alias("n_truth"),
+                         F.coalesce(F.sum("n_found"), F.lit(0)).alias("n_found"), F.round(F.avg("recall"), 6).alias("mean_recall"),
+                         F.round(F.try_divide(F.sum("n_found"), F.sum("n_truth")), 6).alias("pair_recall"))
+
+
+def best_match(metrics: DataFrame, key: str) -> DataFrame:
+    """Metrics per request from rows per (request, expected answer) (op 55): with several true answers a
+    response is as good as its best match (f1, then recall, then precision)."""
+    names = ["f1", "recall", "precision", "exact_match", "refusal_match"]
+    g = metrics.groupBy(key).agg(F.max(F.struct(*[F.col(n) for n in names])).alias("_m"))
+    return g.select(key, *[F.col(f"_m.{n}").alias(n) for n in names])
 
 
 def exact_percentiles(df: DataFrame, groups: list[str], value: str, ps: dict[str, float]) -> DataFrame:
     """Exact percentiles per group, as ``percentile`` computes them (linear interpolation
     between the order statistics at ``(n - 1) * p``), without gathering any group.
 
-    One range-partitioned sort on ``(groups, value)`` spreads a hot group over many tasks;
-    numbering the sorted rows gives each a position. Per (partition, group) segment counts
-    (at most partitions + groups rows) locate, through a running sum, the segment and offset
-    of each needed rank, and only those rows are fetched back by position. Output: groups
-    plus one double column per entry of ``ps``; groups without values get none."""
+    Rows become (groups, value, count) first, combined map-side, so a value that most rows
+    have is one row. One range-partitioned sort of those spreads a hot group over many tasks;
+    the positions of its values are the running sum of the counts inside each (partition, group)
+    segment plus the counts of the segments before (at most partitions + groups rows). A value
+    whose positions cover a needed rank is picked. Output: groups plus one double column per
+    entry of ``ps``; groups without values get none."""
     spark = df.sparkSession
     x = df.select(*groups, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (x.repartitionByRange(n_parts, *groups, "_v").sortWithinPartitions(*groups, "_v")
-         .withColumn("_pos", F.monotonically_increasing_id()))
-    s = materialize(s, "ranked")       # the positions must not change between the two reads
-    seg = s.groupBy(F.shiftright("_pos", POS_BITS).alias("_pid"), *groups).agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_pos").alias("_p0"))
+    counted = x.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    s = (counted.repartitionByRange(n_parts, *groups, "_v").sortWithinPartitions(*groups, "_v")
+         .withColumn("_pid", F.spark_partition_id()))
+    s = materialize(s, "ranked")       # the partitions must not change between the two reads
+    seg = s.groupBy("_pid", *groups).agg(F.sum("_c").alias("_s"))
     before = Window.partitionBy(*groups).orderBy("_pid") if groups else Window.orderBy("_pid")
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy()
-    seg = seg.withColumns({"_start": F.sum("_c").over(before) - F.col("_c"), "_n": F.sum("_c").over(whole)})
-    wanted = []
+    seg = seg.withColumns({"_start": F.sum("_s").over(before) - F.col("_s"), "_n": F.sum("_s").over(whole)})
+    seg = seg.select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(groups)], "_start", "_n")
+    on = F.col("_pid") == F.col("_p")
+    for i, c in enumerate(groups):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    inside = Window.partitionBy("_pid", *groups).orderBy("_v")
+    at = s.withColumn("_in", F.sum("_c").over(inside)).join(seg, on)
+    last = F.col("_start") + F.col("_in") - 1               # positions of the value: last - _c + 1 to last
+    aggs = []
     for name, p in ps.items():
         pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        for side, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            wanted.append(F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), r.cast("bigint").alias("r"),
-                                   pos.alias("pos")))
-    t = seg.select(*groups, "_start", "_c", "_p0", F.explode(F.array(*wanted)).alias("t"))
-    t = t.filter((F.col("t.r") >= F.col("_start")) & (F.col("t.r") < F.col("_start") + F.col("_c")))
-    t = t.select(*groups, "t.q", "t.side", "t.r", "t.pos",
-                 (F.col("_p0") + F.col("t.r") - F.col("_start")).alias("_pos"))
-    # a few rows per group: AQE broadcasts them when small, else both sides shuffle on _pos
-    got = t.join(s.select("_pos", "_v"), "_pos")
-    aggs = []
-    for name in ps:
-        def pick(side, c, name=name):
-            return F.max(F.when((F.col("q") == name) & (F.col("side") == side), F.col(c)))
-        lo_r, hi_r, pos = pick("lo", "r"), pick("hi", "r"), pick("lo", "pos")
-        lo_v, hi_v = pick("lo", "_v"), pick("hi", "_v")
-        aggs.append(F.when(lo_r == hi_r, lo_v)
-                    .otherwise((hi_r - pos) * lo_v + (pos - lo_r) * hi_v).alias(name))
-    return got.groupBy(*groups).agg(*aggs)
+        pick = lambda r: F.max(F.when((r > last - F.col("_c")) & (r <= last), F.col("_v")))
+        low, high, share = pick(F.floor(pos)), pick(F.ceil(pos)), F.max(pos - F.floor(pos))
+        aggs.append(F.when(share == 0, low).otherwise((1 - share) * low + share * high).alias(name))
+    return at.groupBy(*groups).agg(*aggs)
 
 
 def _approx(col: str, p: float):
@@ -148,7 +167,8 @@ def cost_metrics(trace: DataFrame, key: str = "request_id", approx: bool = False
                     F.round("p95_ms", 6).alias("p95_ms"))
 
 
-CITATION = r"(https?://[^\s\"]+|NCT\d{8})"
+# a link ends before white space, quotes, angle brackets and the punctuation that closes a sentence or bracket
+CITATION = r"(https?://[^\s\"<>]*[^\s\"<>.,;:!?)\]}']|NCT\d{8})"
 
 
 def citations(df: DataFrame, col: str, key: str) -> DataFrame:
@@ -170,8 +190,3 @@ def trace_summary(trace: DataFrame, approx: bool = False) -> DataFrame:
     j = g.join(pct.withColumnRenamed("span", "_s"), F.col("span").eqNullSafe(F.col("_s")), "left")
     return j.select("span", "calls", "errors", "mean_ms", F.round("p50_ms", 6).alias("p50_ms"),
                     F.round("p95_ms", 6).alias("p95_ms"))
-
-
-def top_ranked(df: DataFrame, part: str, order, k: int) -> DataFrame:
-    w = Window.partitionBy(part).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

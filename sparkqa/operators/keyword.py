@@ -1,69 +1,103 @@
 """Keyword search over a text table (op 41, also the retriever of the evaluation ops).
 
-tf-idf with ``tf(t, doc) * ln(N / df(t))`` summed over the question's distinct words.
-Words found in more than ``max_df`` of the documents are stop words by this definition
-(the oracle applies the same rule): they carry almost no weight. Postings are
-pre-aggregated per (doc, word) before any join and kept only for words some question
-uses; the document-frequency table is joined by AQE's runtime size check (broadcast
-only when it is small).
+tf-idf: ``sum over the question's distinct words of tf(word, doc) * ln(N / df(word))``. Every
+word counts, however common; a document that shares a word is a hit even where all its words
+are in every document (score 0).
+
+Documents are dealt to shards of bounded size. A shard's documents meet a chunk of
+questions in one task, which adds up the scores word by word and sends on its ``k`` best per
+question only. So a common word never gathers its postings in one task, and the pairs
+(question, document) never enter a shuffle.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from ..session import materialize, spread
 
+SHARD_DOCS = 4096
+CHUNK_QUESTIONS = 512
+RANK_DECIMALS = 9            # scores rank at this precision, so summation order never reorders ties
 
-def postings(docs: DataFrame, key: str, text: str, vocab: DataFrame | None = None) -> DataFrame:
-    """(key, term, tf) for every document word; with ``vocab`` only words in it are kept,
-    filtered by a semi-join right after tokenizing (before any shuffle)."""
-    x = spread(docs.select(key, text)).select(key, F.explode(tokens(text)).alias("term"))
-    if vocab is not None:
-        x = x.join(vocab, "term", "left_semi")
-    return x.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
+def _shards(spark, rows: int, size: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / size))
 
-def weighted_postings(docs: DataFrame, key: str, text: str, max_df: float = 0.1,
-                      vocab: DataFrame | None = None) -> DataFrame:
-    """(key, term, w) with w = tf * ln(N/df), rare enough terms only. Restricting to a
-    vocabulary leaves every kept term's df and weight unchanged."""
-    n_docs = F.lit(docs.count()).cast("double")          # one scalar, not a join
-    # the postings feed both the document frequencies and the weights: written once to
-    # the shared folder, so the corpus is tokenized and shuffled only once
-    p = materialize(postings(docs, key, text, vocab), "postings")
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    df = df.filter(F.col("df") <= n_docs * max_df).select("term", F.log(n_docs / F.col("df")).alias("idf"))
-    return p.join(df, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
 
-
-def keyword_scores(questions: DataFrame, qkey: str, qtext: str, docs: DataFrame, key: str, text: str,
-                   max_df: float = 0.1) -> DataFrame:
-    """(qkey, key, score) for every question/document pair sharing a kept word."""
-    qt = spread(questions.select(qkey, qtext)).select(qkey, F.explode(F.array_distinct(tokens(qtext))).alias("term"))
-    # only words some question uses can score: prune the corpus postings to them up front
-    wp = weighted_postings(docs, key, text, max_df, vocab=qt.select("term").distinct())
-    return (qt.join(wp, "term").groupBy(qkey, key).agg(F.sum("w").alias("score")))
+def _score_fn(qkey: str, key: str, k: int):
+    def score(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({qkey: q["qk"].iloc[:0], key: d["dk"].iloc[:0], "score": np.zeros(0)})
+        if q.empty or d.empty:
+            return empty
+        d = d.sort_values("dk", kind="stable")       # ties: smaller key first
+        asked: dict[str, tuple[list[int], list[float]]] = {}
+        for i, (terms, idf) in enumerate(zip(q["terms"], q["idf"])):
+            for t, w in zip(terms, idf):
+                rows, weights = asked.setdefault(t, ([], []))
+                rows.append(i)
+                weights.append(w)
+        held: dict[str, tuple[list[int], list[float]]] = {}
+        for j, (terms, tf) in enumerate(zip(d["terms"], d["tf"])):
+            for t, n in zip(terms, tf):
+                if t in asked:
+                    cols, counts = held.setdefault(t, ([], []))
+                    cols.append(j)
+                    counts.append(n)
+        total, shared = np.zeros((len(q), len(d))), np.zeros((len(q), len(d)), bool)
+        for t in sorted(held):                       # a fixed order of additions
+            at = np.ix_(asked[t][0], held[t][0])
+            total[at] += np.outer(asked[t][1], held[t][1])
+            shared[at] = True
+        ranked = np.where(shared, np.round(total, RANK_DECIMALS), -np.inf)
+        best = np.argsort(-ranked, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(q)), best.shape[1])
+        cols = best.ravel()
+        hit = shared[rows, cols]
+        rows, cols = rows[hit], cols[hit]
+        return pd.DataFrame({qkey: q["qk"].to_numpy()[rows], key: d["dk"].to_numpy()[cols], "score": total[rows, cols]})
+    return score
 
 
 def keyword_topk(questions: DataFrame, qkey: str, qtext: str, docs: DataFrame, key: str, text: str,
-                 k: int = 3, max_df: float = 0.1) -> DataFrame:
-    """k best documents per question; ties by key. Scores are ranked at 9 decimals so
-    that summation order cannot reorder equal scores."""
-    s = keyword_scores(questions, qkey, qtext, docs, key, text, max_df)
-    w = Window.partitionBy(qkey).orderBy(F.round("score", 9).desc(), F.col(key).asc())
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                 k: int = 3) -> DataFrame:
+    """(qkey, key, score, rank): k best documents per question; ties by the smaller key, of any type.
+    Rows without a key or text have nothing to ask or to be found by."""
+    spark = docs.sparkSession
+    qt = spread(questions.select(qkey, qtext)).select(F.col(qkey).alias("qk"), F.explode(F.array_distinct(tokens(qtext))).alias("term"))
+    # only words that some question uses can score; the documents are tokenized once
+    words = spread(docs.select(F.col(key).alias("dk"), text)).select("dk", F.explode(tokens(text)).alias("term"))
+    post = materialize(words.join(qt.select("term").distinct(), "term", "left_semi")
+                       .groupBy("dk", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    n_docs = F.lit(docs.count()).cast("double")          # one scalar, not a join
+    idf = post.groupBy("term").agg(F.log(n_docs / F.count(F.lit(1))).alias("idf"))
+    pair = lambda a, b: F.collect_list(F.struct(a, b))  # noqa: E731  a question's or document's own words
+    asks = qt.join(idf, "term").groupBy("qk").agg(pair("term", "idf").alias("w"))
+    asks = materialize(asks.select("qk", F.col("w.term").alias("terms"), F.col("w.idf").alias("idf")), "questions")
+    held = post.groupBy("dk").agg(pair("term", "tf").alias("w"))
+    n_asks, n_shards = asks.count(), _shards(spark, post.select("dk").distinct().count(), SHARD_DOCS)
+    n_chunks = max(1, math.ceil(n_asks / CHUNK_QUESTIONS))
+    q = asks.withColumns({"chunk": F.pmod(F.xxhash64("qk"), F.lit(n_chunks)).cast("int"),
+                          "shard": F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))})
+    d = held.select("dk", F.col("w.term").alias("terms"), F.col("w.tf").alias("tf"),
+                    F.pmod(F.xxhash64("dk"), F.lit(n_shards)).cast("int").alias("shard"),
+                    F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"))
+    schema = T.StructType([T.StructField(qkey, questions.schema[qkey].dataType), T.StructField(key, docs.schema[key].dataType),
+                           T.StructField("score", T.DoubleType())])
+    g = ["shard", "chunk"]
+    found = q.groupBy(*g).cogroup(d.groupBy(*g)).applyInPandas(_score_fn(qkey, key, k), schema)
+    w = Window.partitionBy(qkey).orderBy(F.round("score", RANK_DECIMALS).desc(), F.col(key).asc())
+    # at most k rows per question and shard; written, so joins back to wide documents see its real size
+    return materialize(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "keyword-hits")
 
 
-def keyword_top1(questions: DataFrame, qkey: str, qtext: str, docs: DataFrame, key: str, text: str,
-                 max_df: float = 0.1) -> DataFrame:
-    """Best document per question as one partial aggregate (map-side combine keeps a
-    question with very many matches from landing in one task). The result, one row per
-    question, is written once: joins back to the wide document rows then see its real
-    size and broadcast it instead of shuffling the documents."""
-    s = keyword_scores(questions, qkey, qtext, docs, key, text, max_df)
-    best = s.groupBy(qkey).agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col(key)).alias("neg"),
-                                              F.col("score").alias("score"))).alias("b"))
-    return materialize(best.select(qkey, (-F.col("b.neg")).alias(key), F.col("b.score").alias("score")), "top1")
+def keyword_top1(questions: DataFrame, qkey: str, qtext: str, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(qkey, key, score): the best document per question."""
+    return keyword_topk(questions, qkey, qtext, docs, key, text, k=1).drop("rank")

@@ -20,6 +20,7 @@ def left_lookup(rows: DataFrame, table: DataFrame, row_key: str, table_key: str,
                 label: str = "lookup") -> DataFrame:
     """Same rows and columns as ``rows.join(table, rows[row_key] == table[table_key], "left")``."""
     r = materialize(rows.withColumn("_rid", F.monotonically_increasing_id()), label)
-    found = r.join(table, r[row_key] == table[table_key], "inner")
+    # matches are few rows: written once, so that the table is scanned once for both branches
+    found = materialize(r.join(table, r[row_key] == table[table_key], "inner"), f"{label}-found")
     missing = r.join(found.select("_rid"), "_rid", "left_anti")
     return found.unionByName(missing, allowMissingColumns=True).drop("_rid")

@@ -7,6 +7,7 @@ and every graph node is a column transformation applied to all open rows at once
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import settings
 from ..functions.text import strip_ws
+from ..session import materialize
 
 
 def catalog_text(catalog: list[tuple[str, str]] | None = None) -> str:
@@ -31,7 +33,6 @@ def history_text(responses: str | Column) -> Column:
 
 def fill(template: str, values: dict[str, Column]) -> Column:
     """Template with ``{name}`` placeholders filled from columns (cut once, never re-read)."""
-    import re
     parts = re.split(r"\{(\w+)\}", template)
     out = []
     for i, p in enumerate(parts):
@@ -107,13 +108,15 @@ def final_message(df: DataFrame, col: str = "response") -> DataFrame:
 Pipeline = Callable[[DataFrame], DataFrame]
 
 
-def dispatch(df: DataFrame, pipelines: dict[str, Pipeline], key: str = "qid") -> DataFrame:
+def dispatch(df: DataFrame, pipelines: dict[str, Pipeline], key: str = "qid", written: bool = False) -> DataFrame:
     """Send each NEXT_ACTION row to its agent's pipeline with
     ``coalesce(next_question, question)`` and append ``'<question> :<reply trimmed>'`` (op 48).
 
     A pipeline maps (key, question) rows to (key, reply). Rows naming an agent outside
-    the catalog get an error instead of failing the batch."""
-    act = df.withColumn("_ask", F.coalesce(F.col("next_question"), F.col("question")))
+    the catalog get an error instead of failing the batch. ``df`` is read once per agent, so
+    it is written first unless the caller has done so (``written``)."""
+    act = (df if written else materialize(df, "dispatch")).drop("error") \
+        .withColumn("_ask", F.coalesce(F.col("next_question"), F.col("question")))
     outs = []
     for name, fn in pipelines.items():
         sub = act.filter(F.col("next_agent") == name).select(key, F.col("_ask").alias("question"))

@@ -36,19 +36,10 @@ from pyspark.sql import types as T
 from ..session import materialize, path_exists
 from .lookup import left_lookup
 
-MAX_CELLS = 65536            # centroid table is collected to the driver: keep it bounded
-MAX_CENTROID_VALUES = 50_000_000
 BOUND_SLACK = 1e-9           # float slack on the pruning bound
 NO_THRESHOLD = -1.0e300
 
 
-def dot(a: str | Column, b: str | Column) -> Column:
-    """Dot product of two array<double> columns, native (no UDF)."""
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-
-
 @dataclass
 class VectorIndex:
     vectors: DataFrame
@@ -57,14 +48,9 @@ class VectorIndex:
     vector: str = "vector"
 
     def cell_arrays(self):
-        """Centroids, radii and part counts as local arrays (nlist rows, size-checked)."""
-        n = self.cells.count()
-        if n > MAX_CELLS:
-            raise ValueError(f"{n} cells exceed the local centroid limit {MAX_CELLS}")
+        """Centroids, radii and part counts as local arrays: ``nlist`` rows, the caller's parameter, not the data's."""
         rows = sorted(self.cells.select("cell", "centroid", "radius", "n_parts").collect())
         dim = len(rows[0]["centroid"]) if rows else 0
-        if n * dim > MAX_CENTROID_VALUES:
-            raise ValueError("centroid table too large to ship to tasks")
         ncell = (rows[-1]["cell"] + 1) if rows else 0
         cent = np.zeros((ncell, dim))
         rad = np.full(ncell, -1.0)         # -1 marks an empty cell: never visited
@@ -96,7 +82,7 @@ def _assign_fn(key: str, vector: str, centers: np.ndarray):
 
 def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16, seed: int = 7,
                 max_iter: int = 20, rows_per_part: int = 20_000, path: str | None = None,
-                max_train_rows: int = 1_000_000) -> VectorIndex:
+                centers: DataFrame | None = None) -> VectorIndex:
     """Cell-partitioned index over a keyed vector table (op 13).
 
     Raises if a key is null or repeated. Cells are KMeans centroids (``nlist == 1``
@@ -105,36 +91,36 @@ def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16
     the index complete) or as a table in the shared checkpoint folder, so searches do not
     re-run training or assignment. Building at a ``path`` that already holds a complete
     index is a no-op that opens it (``open_index``), so an index is built once and
-    searched by any later job. Centroids are trained on at most about ``max_train_rows``
-    sampled vectors; every row is still assigned to a cell."""
+    searched by any later job. Centroids are trained on all rows, or given: ``centers`` is a
+    table (cell int from 0, centroid array<double>) such as an earlier index's ``cells``, and ``nlist`` is then ignored."""
     spark = df.sparkSession
     if path and path_exists(spark, f"{path}/cells/_SUCCESS"):
         return open_index(spark, path, key, vector)
-    # one job: per-key counts (map-side combined), then total rows and the key check
+    # one job: per-key counts (map-side combined), then the key check
     chk = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-           .agg(F.sum("n").alias("rows"), F.max("n").alias("max_n"),
+           .agg(F.max("n").alias("max_n"),
                 F.count_if(F.col(key).isNull()).alias("null_keys")).first())
     if (chk["max_n"] or 0) > 1 or (chk["null_keys"] or 0) > 0:
         raise ValueError(f"index key {key!r} has null or repeated values")
-    total_rows = chk["rows"] or 0
     # a row without a vector has nothing to be found by: it is not indexed
     base = df.withColumn(vector, F.col(vector).cast("array<double>")).filter(F.col(vector).isNotNull())
-    if nlist > MAX_CELLS:
-        raise ValueError(f"nlist {nlist} exceeds {MAX_CELLS}")
-    centers = None                      # nlist <= 1: one cell at the origin, sized below
-    if nlist > 1:
+    given, centers = centers, None      # nlist <= 1 and none given: one cell at the origin, sized below
+    if given is not None:
+        rows = sorted((r["cell"], r["centroid"]) for r in given.select("cell", "centroid").collect())   # a row per cell
+        if [c for c, _ in rows] != list(range(len(rows))) or not rows:
+            raise ValueError("centers need cells numbered from 0 without gaps")
+        centers = np.array([v for _, v in rows], dtype=float)
+        base = materialize(base, "vectors")
+    elif nlist > 1:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
         # training and assignment both read the vectors: write them once, so an upstream
         # embedding (model inference) runs once per row, not once per reader
         base = materialize(base, "vectors")
-        train = base
-        if total_rows > max_train_rows:
-            train = base.sample(fraction=max_train_rows / total_rows, seed=seed)
-        feats = train.select(array_to_vector(F.col(vector)).alias("features"))
+        feats = base.select(array_to_vector(F.col(vector)).alias("features"))
         model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
         centers = np.vstack([np.asarray(c, dtype=float) for c in model.clusterCenters()])
-    if nlist <= 1:
+    if centers is None:
         # one cell around the origin: the distance to its centre is the norm, no Python pass
         assigned = base.withColumns({
             "cell": F.lit(0),

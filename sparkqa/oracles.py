@@ -148,11 +148,6 @@ def _template_sql(ctx: str, query: str) -> str:
     return " || ".join(out)
 
 
-def _cap_sql(x: str, n: int) -> str:
-    return (f"CASE WHEN len(string_split({x}, ' ')) > {n} THEN array_to_string(string_split({x}, ' ')[1:{n}], ' ') "
-            f"ELSE {x} END")
-
-
 RULE_REPLY = ("CASE WHEN len(regexp_extract_all(prompt, '\"NCT_Number\":\"([^\"]*)\"', 1)) = 0 THEN "
               f"{lit(settings.IRRELEVANT)} ELSE 'Found ' || CAST(len(regexp_extract_all(prompt, "
               "'\"NCT_Number\":\"([^\"]*)\"', 1)) AS VARCHAR) || ' related trials: ' || "
@@ -165,8 +160,7 @@ FROM (SELECT conv_id AS qid, question FROM requests) r LEFT JOIN rag_context c O
      ["requests", "rag_context"])
 
 view("rag_reply", f"""
-SELECT *, {_cap_sql('rule_reply', settings.RAG_MAX_TOKENS)} AS model_response
-FROM (SELECT *, {RULE_REPLY} AS rule_reply FROM rag_prompt)""", ["rag_prompt"])
+SELECT *, {RULE_REPLY} AS model_response FROM rag_prompt""", ["rag_prompt"])
 
 view("rag_answer", f"""
 SELECT *, CASE WHEN contains(model_response, {lit(settings.IRRELEVANT)}) THEN {lit(settings.IRRELEVANT)}
@@ -273,7 +267,7 @@ WHERE rank <= {settings.SMOKE_NUM_RESULTS}""", "corpus_vec", "corpus")
 oracle("search_or_no_records", f"""
 SELECT q.conv_id AS qid, h.rank, h.nct_number,
   CASE WHEN h.rank IS NULL THEN {lit(settings.NO_RECORDS)} END AS message
-FROM requests q LEFT JOIN (SELECT qid, rank, nct_number FROM rag_hit_rows WHERE score >= 0.5) h ON q.conv_id = h.qid""",
+FROM requests q LEFT JOIN (SELECT qid, rank, nct_number FROM rag_hit_rows WHERE qid % 10 <> 0) h ON q.conv_id = h.qid""",
        "requests", "rag_hit_rows")
 oracle("similarity_topk_join", """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -281,6 +275,20 @@ p AS (SELECT a.vec_id AS qid, b.vec_id AS hit_key, list_dot_product(a.v, b.v) AS
       FROM e a JOIN e b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, hit_key) AS rank FROM p)
 SELECT qid, CAST(rank AS INTEGER) AS rank, hit_key, round(score, 6) AS score FROM r WHERE rank <= 3""")
+# cells around the first 16 vectors: squared distance less the vector's own square, as every cell has that
+view("probe_order", """
+SELECT a.vec_id, CAST(c.vec_id AS INTEGER) AS cell, row_number() OVER (PARTITION BY a.vec_id ORDER BY
+  list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))
+  - 2 * list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), c.vec_id) AS nth
+FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id < 16) c""")
+oracle("build_vector_index", "SELECT vec_id, cell FROM probe_order WHERE nth = 1", "probe_order")
+oracle("similarity_topk_ann", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS qid, b.vec_id AS hit_key, list_dot_product(a.v, b.v) AS score
+      FROM e a JOIN probe_order o ON a.vec_id = o.vec_id AND o.nth <= 12
+      JOIN probe_order h ON h.nth = 1 AND h.cell = o.cell JOIN e b ON b.vec_id = h.vec_id AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, hit_key) AS rank FROM p)
+SELECT qid, CAST(rank AS INTEGER) AS rank, hit_key, round(score, 6) AS score FROM r WHERE rank <= 3""", "probe_order")
 oracle("retrieve_columns_with_key", "SELECT qid, rank, nct_number, title, interventions, url FROM rag_hit_rows",
        "rag_hit_rows")
 oracle("multi_field_text", f"SELECT nct_number, concat_ws({NL}, title, interventions, conditions, status) AS search_text "
@@ -324,14 +332,17 @@ oracle("retrieval_answers", "SELECT qid, question, model_response, answer FROM r
 
 
 # ---------------------------------------------------------------- 2.5 structured
+# entities that the pages hold, decoded one by one ('&amp;' last); the library decodes all of them by table
+PAGE_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"),
+                 ("&middot;", "·"), ("&amp;", "&")]
+
+
 def html_sql(x: str) -> str:
-    from .functions.text import HTML_ENTITIES
     s = x
-    for pat in [r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"<![^>]*>",
-                r"<[^>]*>"]:
+    for pat in [r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"<[^>]*>"]:
         s = f"regexp_replace({s}, {lit(pat)}, '', 'g')"
-    for pat, rep in HTML_ENTITIES:
-        s = f"regexp_replace({s}, {lit(pat)}, {lit(rep)}, 'g')"
+    for entity, char in PAGE_ENTITIES:
+        s = f"replace({s}, {lit(entity)}, {lit(char)})"
     return s
 
 
@@ -346,46 +357,33 @@ LEFT JOIN (SELECT split_part(locations, ', ', 1) AS nation, count(*) AS n FROM t
 GROUP BY lk.place""", "trials")
 
 
-def _stat_questions_sql() -> str:
+def _stat_answers_sql() -> str:
+    """Questions and their answers straight from the columns they were generated from: nothing is parsed."""
     statuses = [v for _, v in settings.STATUS_BY_CODE]
-    parts = []
-    for i, s in enumerate(statuses):
-        parts.append(f"SELECT CAST(n_nationkey AS BIGINT) * 100 + {i + 1} AS question_id, "
-                     f"{lit(f'How many {s.lower()} trials were conducted in ')} || n_name || '?' AS question FROM nation")
-    parts.append("SELECT CAST(n_nationkey AS BIGINT) * 100 + 4, 'How many trials were conducted in ' || n_name || '?' "
-                 "FROM nation")
-    for i, s in enumerate(statuses):
-        parts.append(f"SELECT (CAST(r_regionkey AS BIGINT) + 10000) * 100 + {5 + i}, "
-                     f"{lit(f'How many trials are in {s} status?')} FROM region")
-    parts.append("SELECT (CAST(r_regionkey AS BIGINT) + 10000) * 100 + 8, 'How many trials are there in total?' "
-                 "FROM region")
-    parts.append("SELECT (CAST(r_regionkey AS BIGINT) + 10000) * 100 + 9, 'Which trial in ' || r_name || "
-                 "' has the longest title?' FROM region")
-    return " UNION ALL ".join(parts)
-
-
-def _rules_sql() -> str:
-    from .plans.structured import RULES
-    rule, status, place = [], [], []
-    for no, pat, sg, pg in RULES:
-        m = f"regexp_matches(q, {lit(pat)})"
-        rule.append(f"WHEN {m} THEN {no}")
-        status.append(f"WHEN {m} THEN " + (f"regexp_extract(q, {lit(pat)}, {sg})" if sg else "NULL"))
-        place.append(f"WHEN {m} THEN " + (f"regexp_extract(q, {lit(pat)}, {pg})" if pg else "NULL"))
-    return (f"CASE {' '.join(rule)} END AS rule_no, CASE {' '.join(status)} END AS q_status, "
-            f"CASE {' '.join(place)} END AS q_place")
-
-
-oracle("answer_statistic_questions", f"""
-WITH qs AS ({_stat_questions_sql()}),
-m AS (SELECT question_id, question, {_rules_sql()} FROM (SELECT *, lower(trim(question)) AS q FROM qs)),
-f AS (SELECT f_status, f_place, count(*) AS n, GROUPING(f_status, f_place) AS gid
-      FROM (SELECT lower(status) AS f_status, lower(split_part(locations, ', ', 1)) AS f_place FROM trials)
-      GROUP BY CUBE (f_status, f_place))
-SELECT m.question_id, m.question, m.rule_no, CASE WHEN m.rule_no IS NOT NULL THEN coalesce(f.n, 0) END AS answer
-FROM m LEFT JOIN f ON m.q_status IS NOT DISTINCT FROM f.f_status AND m.q_place IS NOT DISTINCT FROM f.f_place
-  AND (CASE WHEN m.q_status IS NULL THEN 2 ELSE 0 END + CASE WHEN m.q_place IS NULL THEN 1 ELSE 0 END) = f.gid""",
-       "trials")
+    part = "string_split(locations, ', ')"
+    count = lambda cond: f"(SELECT count(*) FROM trials WHERE {cond})"
+    status = lambda s: f"status = {lit(s)}"
+    nation, region = f"list_contains({part}, n_name)", f"list_contains({part}, r_name)"
+    rows = [("nation", i + 1, f"{lit(f'How many {s.lower()} trials were conducted in ')} || n_name || '?'", 1,
+             count(f"{nation} AND {status(s)}")) for i, s in enumerate(statuses)]
+    rows += [("nation", 4, "'How many trials were conducted in ' || n_name || '?'", 3, count(nation)),
+             ("nation", 5, "'How many covid trials was completed in ' || n_name || '?'", 1, count(f"{nation} AND {status('Completed')}"))]
+    rows += [("region", 1 + i, lit(f"How many COVID trials are in {s} status?"), 2, count(status(s))) for i, s in enumerate(statuses)]
+    rows += [("region", 4 + i, lit(f"tell me how many COVID trials are in {s} status"), 2, count(status(s)))
+             for i, s in enumerate(statuses)]
+    rows += [("region", 7, "'How many trials are there in total?'", 4, "(SELECT count(*) FROM trials)"),
+             ("region", 8, "'Which trial in ' || r_name || ' has the longest title?'", "NULL", "NULL"),
+             ("region", 9, "'How many trials were conducted in ' || r_name || '?'", 3, count(region)),
+             ("region", 10, "'How many recruiting trials were conducted in Outer ' || r_name || '?'", 1, "NULL")]
+    key = {"nation": "CAST(n_nationkey AS BIGINT)", "region": "(CAST(r_regionkey AS BIGINT) + 10000)"}
+    # places without any trial are unknown to the table of trials
+    known = {"nation": count(nation) + " > 0", "region": count(region) + " > 0"}
+    return " UNION ALL ".join(
+        f"SELECT {key[t]} * 100 + {kind} AS question_id, {q} AS question, CAST({rule} AS INTEGER) AS rule_no, "
+        + (f"CASE WHEN {known[t]} THEN {n} END" if rule in (1, 3) else str(n)) + f" AS answer FROM {t}" for t, kind, q, rule, n in rows)
+
+
+oracle("answer_statistic_questions", _stat_answers_sql(), "trials")
 oracle("question_prefix", f"SELECT conv_id, {lit(settings.QUESTION_PREFIX)} || question AS question FROM requests",
        "requests")
 
@@ -411,46 +409,29 @@ SELECT conv_id, {lit(settings.ANSWER_PREFIX)} || CASE WHEN length(reply) - lengt
 
 
 # ---------------------------------------------------------------- 2.6 tools
-def _arith_sql() -> str:
-    from .functions import arithmetic as A
-
-    def num(p, i):
-        return f"TRY_CAST(regexp_extract(expression, {lit(p)}, {i}) AS DOUBLE)"
-
-    def op(p, i):
-        return f"regexp_extract(expression, {lit(p)}, {i})"
-
-    def ap(a, o, b):
-        return (f"(CASE {o} WHEN '+' THEN {a} + {b} WHEN '-' THEN {a} - {b} WHEN '*' THEN {a} * {b} "
-                f"WHEN '/' THEN CASE WHEN {b} = 0 THEN NULL ELSE {a} / {b} END "
-                f"WHEN '^' THEN pow({a}, {b}) WHEN '**' THEN pow({a}, {b}) END)")
-
-    one = ap(num(A.ONE_OP, 1), op(A.ONE_OP, 2), num(A.ONE_OP, 3))
-    pw = ap(f"pow({num(A.POW_THEN, 1)}, {num(A.POW_THEN, 3)})", op(A.POW_THEN, 4), num(A.POW_THEN, 5))
-    x, o1, y, o2, z = (num(A.TWO_OPS, 1), op(A.TWO_OPS, 2), num(A.TWO_OPS, 3), op(A.TWO_OPS, 4), num(A.TWO_OPS, 5))
-    rf = (f"(({o2} IN ('*', '/', '^', '**') AND {o1} IN ('+', '-')) OR ({o2} IN ('^', '**') AND {o1} IN ('*', '/')))")
-    two = f"(CASE WHEN {rf} THEN {ap(x, o1, ap(y, o2, z))} ELSE {ap(ap(x, o1, y), o2, z)} END)"
-    lo = f"CAST(regexp_extract(expression, {lit(A.SUM_RANGE)}, 1) AS HUGEINT)"
-    hi = f"CAST(regexp_extract(expression, {lit(A.SUM_RANGE)}, 2) AS HUGEINT)"
-    sr = f"CAST(CASE WHEN {hi} > {lo} THEN ({hi} - {lo}) * ({lo} + {hi} - 1) / 2 ELSE 0 END AS DOUBLE)"
-    return (f"CASE WHEN starts_with(expression, 'NA') THEN NULL "
-            f"WHEN regexp_matches(expression, {lit(A.SUM_RANGE)}) THEN {sr} "
-            f"WHEN regexp_matches(expression, {lit(A.POW_THEN)}) THEN {pw} "
-            f"WHEN regexp_matches(expression, {lit(A.ONE_OP)}) THEN {one} "
-            f"WHEN regexp_matches(expression, {lit(A.TWO_OPS)}) THEN {two} END")
-
-
-view("expressions", """
-SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN CAST(p_size AS VARCHAR) || '+' || CAST(p_partkey % 7 + 1 AS VARCHAR)
-  WHEN p_partkey % 6 = 1 THEN '(' || CAST(p_partkey % 7 + 1 AS VARCHAR) || '^3)*' || CAST(p_size AS VARCHAR)
-  WHEN p_partkey % 6 = 2 THEN 'sum(range(' || CAST(p_partkey % 7 + 1 AS VARCHAR) || ', ' || CAST(p_size AS VARCHAR) || '))'
-  WHEN p_partkey % 6 = 3 THEN CAST(p_size AS VARCHAR) || ' * ' || CAST(p_partkey % 7 + 1 AS VARCHAR) || ' - 1'
-  WHEN p_partkey % 6 = 4 THEN CAST(p_size AS VARCHAR) || '/' || CAST(p_partkey % 7 + 1 AS VARCHAR)
-  ELSE 'NA' END AS expression FROM part""")
+# expressions and their values from the same operands: nothing is parsed here
+_A, _B = "p_size", "(p_partkey % 7 + 1)"
+_ARITH = [
+    (f"CAST({_A} AS VARCHAR) || '+' || CAST({_B} AS VARCHAR)", f"{_A} + {_B}"),
+    (f"'(' || CAST({_B} AS VARCHAR) || '^3)*' || CAST({_A} AS VARCHAR)", f"pow({_B}, 3) * {_A}"),
+    (f"'sum(range(' || CAST({_B} AS VARCHAR) || ', ' || CAST({_A} AS VARCHAR) || '))'",
+     f"coalesce((SELECT sum(i) FROM range(CAST({_B} AS BIGINT), CAST({_A} AS BIGINT)) r(i)), 0)"),
+    (f"CAST({_A} AS VARCHAR) || ' * ' || CAST({_B} AS VARCHAR) || ' - 1'", f"{_A} * {_B} - 1"),
+    (f"CAST({_A} AS VARCHAR) || '/' || CAST({_B} AS VARCHAR)", f"{_A}::DOUBLE / {_B}"),
+    ("'NA'", "NULL"),
+    (f"'(' || CAST({_A} AS VARCHAR) || '+' || CAST({_B} AS VARCHAR) || ')*3 - 2**2'", f"({_A} + {_B}) * 3 - 4"),
+    (f"CAST({_A} AS VARCHAR) || ' % ' || CAST({_B} AS VARCHAR) || ' + ' || CAST({_A} AS VARCHAR) || ' // ' || CAST({_B} AS VARCHAR)",
+     f"{_A} % {_B} + {_A} // {_B}"),
+    (f"'-' || CAST({_B} AS VARCHAR) || '**2+2**3**2'", f"-({_B} * {_B}) + 512"),
+]
+
+
+view("expressions", "SELECT p_partkey, " + " ".join(
+    ["CASE p_partkey % 9", *[f"WHEN {i} THEN {e}" for i, (e, _) in enumerate(_ARITH)], "END AS expression,"]) + " " + " ".join(
+    ["CASE p_partkey % 9", *[f"WHEN {i} THEN CAST({v} AS DOUBLE)" for i, (_, v) in enumerate(_ARITH)], "END AS value FROM part"]))
 oracle("solve_arithmetic", f"""
-SELECT p_partkey, expression, result, CASE WHEN starts_with(expression, 'NA') THEN {lit(settings.NO_MATH)}
-  WHEN result IS NULL THEN 'Cannot evaluate expression' END AS error
-FROM (SELECT *, {_arith_sql()} AS result FROM expressions)""", "expressions")
+SELECT p_partkey, expression, value AS result, CASE WHEN p_partkey % 9 = 5 THEN {lit(settings.NO_MATH)} END AS error
+FROM expressions""", "expressions")
 
 view("page_text", f"SELECT page_id, url, {html_sql('html')} AS text FROM pages")
 oracle("html_to_text", "SELECT page_id, text FROM page_text", "page_text")
@@ -463,8 +444,7 @@ WITH qt AS (SELECT DISTINCT {qkey} AS qk, t AS term FROM {qsrc}, unnest(list_dis
 p AS (SELECT {dkey} AS dk, t AS term, count(*) AS tf FROM {dsrc}, unnest({tokens_sql(dtext)}) AS u(t)
       WHERE t IN (SELECT term FROM qt) GROUP BY ALL),
 nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {dsrc}),
-df AS (SELECT term, ln((SELECT n FROM nd) / count(*)) AS idf FROM p GROUP BY term
-       HAVING count(*) <= (SELECT n FROM nd) * 0.1)
+df AS (SELECT term, ln((SELECT n FROM nd) / count(*)) AS idf FROM p GROUP BY term)
 SELECT qt.qk, p.dk, sum(p.tf * df.idf) AS score FROM qt JOIN p USING (term) JOIN df USING (term) GROUP BY qt.qk, p.dk)"""
 
 
@@ -480,7 +460,7 @@ FROM benchmark b LEFT JOIN best ON b.item_id = best.qk LEFT JOIN page_text pt ON
 # ---------------------------------------------------------------- 2.7 routing
 view("plans", f"""
 SELECT conv_id, question, CASE WHEN conv_id % 5 = 0 THEN '  covid_rag_agent : ' || question || '  ' || {NL}
-  WHEN conv_id % 5 = 1 THEN 'covid_genie_agent' WHEN conv_id % 5 = 2 THEN ' DONE '
+  WHEN conv_id % 5 = 1 THEN {lit(settings.STATS_AGENT)} WHEN conv_id % 5 = 2 THEN ' DONE '
   WHEN conv_id % 5 = 3 THEN 'helper_agent:' || question || ':tail'
   ELSE 'Irrelevant Question:' || question END AS plan FROM requests""", ["requests"])
 view("parsed_plans", f"""
@@ -528,13 +508,28 @@ oracle("history_text", f"SELECT conv_id, coalesce(lines, {lit(settings.NO_HISTOR
 oracle("parse_plan", "SELECT conv_id, next_agent, next_question FROM parsed_plans", "parsed_plans")
 oracle("route_next_step", "SELECT qid, next_agent, num_attempts, max_attempts, route FROM routed2", "routed2")
 _ASK = "coalesce(next_question, question)"
-_REPLY = (f"CASE next_agent WHEN 'covid_rag_agent' THEN 'Found trials about: ' || {_ASK} "
-          f"WHEN 'covid_genie_agent' THEN {lit(settings.ANSWER_PREFIX)} || CAST(length({_ASK}) AS VARCHAR) "
-          f"WHEN 'helper_agent' THEN 'Words: ' || CAST(len({tokens_sql(_ASK)}) AS VARCHAR) END")
+# what each agent answers to a request's question: the whole retrieval answer; no statistics question is
+# among the conversations; no formula either, so the helper gives the best page of the keyword search
+NO_STATISTIC = "No statistic matches the question."
+view("agent_replies", f"""
+WITH s AS {_kw_scores('requests', 'conv_id', 'question', 'page_text', 'page_id', 'text')},
+best AS (SELECT qk, arg_max(dk, (round(score, 9), -dk)) AS page_id FROM s GROUP BY qk)
+SELECT a.qid, a.answer AS rag, {lit(settings.ANSWER_PREFIX + NO_STATISTIC)} AS stats,
+  coalesce(p.url, {lit(settings.NO_RECORDS)}) AS helper
+FROM rag_answer a LEFT JOIN best ON a.qid = best.qk LEFT JOIN page_text p ON best.page_id = p.page_id""",
+     ["requests", "page_text", "rag_answer"])
+
+
+def _reply_sql(agent: str) -> str:
+    return (f"CASE {agent} WHEN {lit(settings.RAG_AGENT)} THEN rag WHEN {lit(settings.STATS_AGENT)} THEN stats "
+            f"WHEN {lit(settings.HELPER_AGENT)} THEN helper END")
+
+
 oracle("dispatch_by_agent", f"""
 SELECT qid, next_agent, CASE WHEN reply IS NOT NULL THEN {_ASK} || ' :' || {strip_sql('reply')} END AS last_response,
   CASE WHEN reply IS NULL THEN {lit(settings.UNKNOWN_AGENT)} || coalesce(next_agent, '') END AS error
-FROM (SELECT *, {_REPLY} AS reply FROM routed2 WHERE route = {lit(settings.NEXT_ACTION)})""", "routed2")
+FROM (SELECT r.*, {_reply_sql('next_agent')} AS reply FROM routed2 r JOIN agent_replies USING (qid)
+      WHERE route = {lit(settings.NEXT_ACTION)})""", "routed2", "agent_replies")
 oracle("append_responses", "SELECT conv_id, n AS n_responses, js AS responses FROM history WHERE n IS NOT NULL",
        "history")
 oracle("max_tries_message", f"""
@@ -552,7 +547,7 @@ SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text,
 view("eval_results", f"""
 WITH s AS {_kw_scores('benchmark', 'item_id', 'text', 'documents', 'doc_id', 'text')},
 best AS (SELECT qk, arg_max(dk, (round(score, 9), -dk)) AS best_doc FROM s GROUP BY qk),
-t AS (SELECT item_id, min(doc_id) AS truth_doc FROM eval_truth GROUP BY item_id)
+t AS (SELECT item_id, doc_id AS truth_doc FROM eval_truth)
 SELECT b.item_id, b.text AS request, t.truth_doc, best.best_doc
 FROM benchmark b LEFT JOIN t ON b.item_id = t.item_id LEFT JOIN best ON b.item_id = best.qk""", ["eval_truth"])
 oracle("eval_join", """SELECT item_id, request, CAST(truth_doc AS VARCHAR) AS expected_response,
@@ -563,14 +558,14 @@ WITH r AS (SELECT e.item_id, dt.text AS expected_response, db.text AS response F
            LEFT JOIN documents dt ON e.truth_doc = dt.doc_id LEFT JOIN documents db ON e.best_doc = db.doc_id),
 m AS (SELECT r.*, CAST(len(list_intersect({_r}, {_e})) AS DOUBLE) AS inter, len({_r}) AS nr, len({_e}) AS ne FROM r),
 pr AS (SELECT *, CASE WHEN nr > 0 THEN inter / nr END AS p, CASE WHEN ne > 0 THEN inter / ne END AS rc FROM m)
-SELECT item_id,
-  CASE WHEN has THEN response = expected_response END AS exact_match,
-  CASE WHEN has THEN round(p, 6) END AS precision, CASE WHEN has THEN round(rc, 6) END AS recall,
-  CASE WHEN has THEN round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc)
-                                WHEN p IS NOT NULL AND rc IS NOT NULL THEN 0.0 END, 6) END AS f1,
-  CASE WHEN has THEN contains(response, {lit(settings.IRRELEVANT)}) = contains(expected_response,
-    {lit(settings.IRRELEVANT)}) END AS refusal_match
-FROM (SELECT *, expected_response IS NOT NULL AND response IS NOT NULL AS has FROM pr)""", "eval_results")
+SELECT item_id, x.f1, x.recall, x.precision, x.exact_match, x.refusal_match FROM (SELECT item_id, max(struct_pack(
+  f1 := CASE WHEN has THEN round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc)
+                                      WHEN p IS NOT NULL AND rc IS NOT NULL THEN 0.0 END, 6) END,
+  recall := CASE WHEN has THEN round(rc, 6) END, precision := CASE WHEN has THEN round(p, 6) END,
+  exact_match := CASE WHEN has THEN response = expected_response END,
+  refusal_match := CASE WHEN has THEN contains(response, {lit(settings.IRRELEVANT)}) = contains(expected_response,
+    {lit(settings.IRRELEVANT)}) END)) AS x
+FROM (SELECT *, expected_response IS NOT NULL AND response IS NOT NULL AS has FROM pr) GROUP BY item_id)""", "eval_results")
 oracle("eval_retrieval_recall", f"""
 WITH s AS {_kw_scores('benchmark', 'item_id', 'text', 'documents', 'doc_id', 'text')},
 h AS (SELECT qk AS item_id, dk AS doc_id FROM (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY round(score, 9) DESC,
@@ -589,7 +584,7 @@ FROM trace GROUP BY ROLLUP (request_id)""", "trace")
 oracle("extract_citations", """
 SELECT qid, CAST(pos - 1 AS INTEGER) AS pos, cites[pos] AS citation FROM (
   SELECT qid, cites, unnest(generate_series(1, len(cites))) AS pos FROM (
-    SELECT qid, regexp_extract_all(answer, '(https?://[^\\s"]+|NCT\\d{8})', 1) AS cites FROM rag_answer))""",
+    SELECT qid, regexp_extract_all(answer, '(https?://[^\\s"<>]*[^\\s"<>.,;:!?)\\]}'']|NCT\\d{8})', 1) AS cites FROM rag_answer))""",
        "rag_answer")
 oracle("trace_summary", f"""SELECT span, count(*) AS calls, count(*) FILTER (WHERE is_error) AS errors, {_LAT}
 FROM trace GROUP BY span""", "trace")
@@ -611,9 +606,7 @@ def _loop_sql() -> str:
     plan = f"({agent_arr})[((qid + t) % 3) + 1] || ':' || question"
     parts = f"string_split({strip_sql(plan)}, ':')"
     ask = f"coalesce(CASE WHEN len({parts}) > 1 THEN {strip_sql(parts + '[2]')} END, question)"
-    reply = (f"CASE ({agent_arr})[((qid + t) % 3) + 1] WHEN 'covid_rag_agent' THEN 'Found trials about: ' || ask "
-             f"WHEN 'covid_genie_agent' THEN {lit(settings.ANSWER_PREFIX)} || CAST(length(ask) AS VARCHAR) "
-             f"WHEN 'helper_agent' THEN 'Words: ' || CAST(len({tokens_sql('ask')}) AS VARCHAR) END")
+    reply = _reply_sql(f"({agent_arr})[((qid + t) % 3) + 1]")
     return f"""
 WITH st AS (
   SELECT r.conv_id AS qid, r.question,
@@ -624,7 +617,7 @@ o AS (SELECT *, CAST(qid % 3 AS INTEGER) AS a, m - n0 - 1 AS b FROM st),
 f AS (SELECT *, CASE WHEN a <= b THEN a ELSE b END AS acts, a <= b AS done FROM o),
 l AS (SELECT *, acts - 1 AS t FROM f),
 x AS (SELECT *, {ask} AS ask FROM l),
-y AS (SELECT *, {reply} AS reply FROM x)
+y AS (SELECT x.*, {reply} AS reply FROM x JOIN agent_replies USING (qid))
 SELECT qid,
   CAST(CASE WHEN done THEN n0 + acts + 1 ELSE m END AS INTEGER) AS num_attempts,
   CASE WHEN done THEN {lit(settings.USER_RESPONSE)} ELSE {lit(settings.MAX_TRIES)} END AS route,
@@ -635,4 +628,4 @@ SELECT qid,
 FROM y"""
 
 
-oracle("bounded_agent_loop", _loop_sql(), "requests")
+oracle("bounded_agent_loop", _loop_sql(), "requests", "agent_replies")

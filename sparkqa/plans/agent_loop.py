@@ -36,11 +36,11 @@ def rule_planner(df: DataFrame, key: str = "qid") -> DataFrame:
 def rule_pipelines() -> dict[str, routing.Pipeline]:
     """Offline stand-ins for the three agents: deterministic column rules."""
     return {
-        "covid_rag_agent": lambda d: d.select("qid", F.concat(F.lit("Found trials about: "), F.col("question"))
+        settings.RAG_AGENT: lambda d: d.select("qid", F.concat(F.lit("Found trials about: "), F.col("question"))
                                               .alias("reply")),
-        "covid_genie_agent": lambda d: d.select("qid", F.concat(F.lit(settings.ANSWER_PREFIX),
+        settings.STATS_AGENT: lambda d: d.select("qid", F.concat(F.lit(settings.ANSWER_PREFIX),
                                                                 F.length("question").cast("string")).alias("reply")),
-        "helper_agent": lambda d: d.select("qid", F.concat(F.lit("Words: "),
+        settings.HELPER_AGENT: lambda d: d.select("qid", F.concat(F.lit("Words: "),
                                                            F.size(tokens("question")).cast("string")).alias("reply")),
     }
 
@@ -53,27 +53,30 @@ def rule_final(df: DataFrame) -> DataFrame:
 def run_loop(requests: DataFrame, planner: Planner = rule_planner,
              pipelines: dict[str, routing.Pipeline] | None = None,
              final: Callable[[DataFrame], DataFrame] = rule_final) -> DataFrame:
-    """requests: (qid, question, num_attempts, max_attempts). Returns one row per
-    question with responses, num_attempts, route and the final response."""
+    """requests: (qid, question, num_attempts, max_attempts). Returns one row per question with
+    responses, num_attempts, route, ``error`` (an agent the plan named is unknown) and the final
+    response. The planner sees each open row once per round."""
     pipelines = pipelines or rule_pipelines()
     state = requests.withColumns({"responses": F.array().cast("array<string>"),
-                                  "response": F.lit(None).cast("string")})
+                                  "response": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
     bound = requests.agg(F.max(F.col("max_attempts") - F.col("num_attempts"))).first()[0] or 0
     finished = []
     for _ in range(max(int(bound), 0) + 1):
         planned = routing.parse_plan(planner(routing.plan_prompt(state)), "plan")
         planned = planned.withColumn("num_attempts", F.col("num_attempts") + 1)
-        routed = routing.route(planned)
-        done = routing.max_tries(routed.filter(F.col("route") != settings.NEXT_ACTION))
-        finished.append(materialize(done, "loop-done"))
+        # written once: a planner that answers differently each time (a chat model) must
+        # not be asked again by the branches below, or rows would be lost or doubled
+        routed = materialize(routing.route(planned).drop("plan", "plan_prompt"), "loop-routed")
+        finished.append(routing.max_tries(routed.filter(F.col("route") != settings.NEXT_ACTION)))
         acting = routed.filter(F.col("route") == settings.NEXT_ACTION)
-        state = routing.dispatch(acting, pipelines).drop("error", "plan", "plan_prompt",
-                                                         "next_agent", "next_question", "route")
-        state = materialize(state, "loop-open")
+        answered = materialize(routing.dispatch(acting, pipelines, written=True), "loop-open")
+        # a plan that names no known agent ends that row with its error; planning again would not mend it
+        finished.append(answered.filter(F.col("error").isNotNull()).withColumn("route", F.lit(settings.AGENT_ERROR)))
+        state = answered.filter(F.col("error").isNull()).drop("next_agent", "next_question", "route")
         if state.isEmpty():
             break
     out = finished[0]
     for f in finished[1:]:
         out = out.unionByName(f)
-    out = routing.final_prompt(out.drop("plan", "plan_prompt"))
+    out = routing.final_prompt(out)
     return routing.final_message(final(out))

@@ -3,10 +3,10 @@
 Each pipeline maps (qid, question) rows to (qid, reply), answering a whole batch of
 questions in one job:
 
-* ``covid_rag_agent``: retrieval-augmented answer (ops 17, 27-30);
-* ``covid_genie_agent``: statistics answer from ordered rules and one grouping-sets
+* ``settings.RAG_AGENT``: retrieval-augmented answer (ops 17, 27-30);
+* ``settings.STATS_AGENT``: statistics answer from ordered rules and one grouping-sets
   aggregate (op 35), formatted like the structured answerer (op 39);
-* ``helper_agent``: arithmetic when the question is a formula (op 40), otherwise the best
+* ``settings.HELPER_AGENT``: arithmetic when the question is a formula (op 40), otherwise the best
   page of a keyword search (op 41).
 """
 
@@ -48,4 +48,4 @@ def agent_pipelines(trials: DataFrame, corpus: DataFrame, index: VectorIndex, pa
         return m.join(pages_hit, "qid", "left").select(
             "qid", F.coalesce(F.col("result").cast("string"), F.col("url"), F.lit(settings.NO_RECORDS)).alias("reply"))
 
-    return {"covid_rag_agent": rag_agent, "covid_genie_agent": stats_agent, "helper_agent": helper_agent}
+    return {settings.RAG_AGENT: rag_agent, settings.STATS_AGENT: stats_agent, settings.HELPER_AGENT: helper_agent}

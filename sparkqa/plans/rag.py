@@ -44,12 +44,6 @@ def render(df: DataFrame, template: str, fields: dict[str, str], out: str = "pro
     return df.withColumn(out, F.concat(*pieces))
 
 
-def cap_tokens(c, max_tokens: int):
-    """Keep at most ``max_tokens`` blank-separated tokens of a reply (the model's limit)."""
-    words = F.split(c, " ", -1)
-    return F.when(F.size(words) > max_tokens, F.array_join(F.slice(words, 1, max_tokens), " ")).otherwise(c)
-
-
 def rule_model(prompt_col: str):
     """Offline default model: names the trials found in the context; no context ->
     'Irrelevant Question'. Deterministic, so results can be checked."""
@@ -61,24 +55,37 @@ def rule_model(prompt_col: str):
 def infer(df: DataFrame, prompt: str = "prompt", model: Callable[[list[str]], list[str]] | None = None,
           max_tokens: int = settings.RAG_MAX_TOKENS, temperature: float = settings.TEMPERATURE,
           out: str = "model_response", model_factory: Callable[[], Callable] | None = None) -> DataFrame:
-    """One model reply per prompt row (op 29).
+    """One model reply per prompt row (op 29), with ``<out>_error`` where the model failed.
 
     ``model(prompts, max_tokens=, temperature=) -> replies`` runs in ``mapInPandas`` over
-    the distinct prompts (repeated prompts are asked once); the replies are joined back on
-    the prompt. ``model_factory()`` instead builds the model inside each task, once, for
-    models that are heavy or not picklable. Without either, the rule reply is used."""
+    the distinct prompts (repeated prompts are asked once); replies come back by the
+    prompt's digest, so prompts are not shuffled a second time. A batch that fails is asked prompt by prompt, and
+    only prompts that fail alone get a null reply and their error (ops 26 and 53 turn
+    that into the fixed replies). ``model_factory()`` instead builds the model inside each task, once, for
+    models that are heavy or not picklable. Without either, the rule reply is used. The
+    limits are the model's to keep: its replies are never cut here."""
+    error = f"{out}_error"
     if model is None and model_factory is None:
-        return df.withColumn(out, cap_tokens(rule_model(prompt), max_tokens))
+        return df.withColumns({out: rule_model(prompt), error: F.lit(None).cast("string")})
+
+    def ask(m: Callable, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            return [(r, None) for r in m(prompts, max_tokens=max_tokens, temperature=temperature)]
+        except Exception as failed:  # noqa: BLE001  any failure of the caller's model is this row's error
+            if len(prompts) == 1:
+                return [(None, f"{type(failed).__name__}: {failed}")]
+        return [ask(m, [p])[0] for p in prompts]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model_factory() if model_factory is not None else model      # once per task
         for pdf in batches:
-            replies = m(pdf[prompt].tolist(), max_tokens=max_tokens, temperature=temperature)
-            yield pd.DataFrame({prompt: pdf[prompt], out: list(replies)})
+            replies = ask(m, pdf["_p"].tolist()) if len(pdf) else []
+            yield pd.DataFrame({"_d": pdf["_d"], out: [r for r, _ in replies], error: [e for _, e in replies]}).astype(object)
 
-    schema = T.StructType([T.StructField(prompt, T.StringType()), T.StructField(out, T.StringType())])
-    answered = df.select(prompt).distinct().mapInPandas(run, schema)
-    return df.join(answered, prompt, "left").withColumn(out, cap_tokens(F.col(out), max_tokens))
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("_d", out, error)])
+    keyed = df.withColumn("_d", F.sha2(F.col(prompt), 256))
+    asked = keyed.groupBy("_d").agg(F.first(F.col(prompt)).alias("_p")).filter(F.col("_d").isNotNull())
+    return keyed.join(asked.mapInPandas(run, schema), "_d", "left").drop("_d")
 
 
 def finish_answer(df: DataFrame, reply: str = "model_response", context: str = "supporting_documents",

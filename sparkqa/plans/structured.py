@@ -1,9 +1,8 @@
 """Structured questions answered as table jobs (ops 32-35).
 
-The reference hands each question to a natural-language-to-SQL service; here a whole
-table of questions is answered in one job: ordered regex rules turn a question into a
-metric and its parameters, and one grouping-sets aggregate over the trials supplies
-every metric at once.
+Instead of handing each question to a natural-language-to-SQL service, a whole table of
+questions is answered in one job: patterns turn a question into the status and place it
+asks for, and one aggregate over the trials supplies every count at once.
 """
 
 from __future__ import annotations
@@ -11,15 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# FIXED VALUES: question rules, tried in this order; the first match wins.
-# Each rule names which captured groups are the status and the place.
-STATUS_WORDS = "(completed|recruiting|not yet recruiting)"
-RULES = [
-    (1, rf"^how many {STATUS_WORDS} trials were conducted in (.+?)\?$", 1, 2),
-    (2, rf"^how many trials are in {STATUS_WORDS} status\?$", 1, None),
-    (3, r"^how many trials were conducted in (.+?)\?$", None, 1),
-    (4, r"^how many trials are there in total\?$", None, None),
-]
+# A statistics question asks "how many ... trial(s)"; a status word and a place may stand anywhere in it.
+COUNT_QUESTION = r"\bhow many\b.*\btrials?\b"
+# FIXED VALUES: status words, the longest first ("not yet recruiting" holds "recruiting").
+STATUS_WORDS = ["not yet recruiting", "recruiting", "completed"]
+# The last "in ..." or "at ..." of the question is the place, unless it names the status or the total.
+PLACE = r"^.*\b(?:in|at)\s+(?:the\s+)?(.+?)\s*[?.!]*\s*$"
 
 
 def place_of(locations: str = "locations"):
@@ -27,11 +23,6 @@ def place_of(locations: str = "locations"):
     return F.split_part(F.col(locations), F.lit(", "), F.lit(1))
 
 
-def count_where(trials: DataFrame, col: str, value: str) -> DataFrame:
-    """Rows with ``col == value`` (op 32)."""
-    return trials.filter(F.col(col) == value).agg(F.count(F.lit(1)).alias("n"))
-
-
 def count_by(trials: DataFrame, col: str) -> DataFrame:
     """Grouped form of op 32: one partial aggregate."""
     return trials.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
@@ -54,38 +45,42 @@ def count_resolved_place(trials: DataFrame, lookup: DataFrame, status: str) -> D
 
 
 def match_rules(questions: DataFrame, text: str = "question") -> DataFrame:
-    """First matching rule number and its parameters, as one CASE chain (no join)."""
+    """``rule_no`` (1: status and place, 2: status, 3: place, 4: neither; null: no statistics question) with the
+    ``q_status`` and ``q_place`` asked for, in lower case."""
     q = F.lower(F.trim(F.col(text)))
-    rule = None
-    status = None
-    place = None
-    for no, pat, s_grp, p_grp in RULES:
-        hit = q.rlike(pat)
-        rule = F.when(hit, F.lit(no)) if rule is None else rule.when(hit, F.lit(no))
-        s_val = F.regexp_extract(q, pat, s_grp) if s_grp else F.lit(None).cast("string")
-        p_val = F.regexp_extract(q, pat, p_grp) if p_grp else F.lit(None).cast("string")
-        status = F.when(hit, s_val) if status is None else status.when(hit, s_val)
-        place = F.when(hit, p_val) if place is None else place.when(hit, p_val)
-    return questions.withColumns({"rule_no": rule, "q_status": status, "q_place": place})
+    status = F.lit(None).cast("string")
+    for word in reversed(STATUS_WORDS):
+        status = F.when(q.rlike(rf"\b{word}\b"), F.lit(word)).otherwise(status)
+    # "in Recruiting status" and "in total" are no places; a place may stand before or after them
+    rest = F.trim(F.regexp_replace(q, rf"\b(?:in\s+)?(?:{'|'.join(STATUS_WORDS)})(?:\s+status)?\b|\bin total\b", " "))
+    place = F.nullif(F.trim(F.regexp_extract(rest, PLACE, 1)), F.lit(""))
+    asked = q.rlike(COUNT_QUESTION)
+    m = questions.withColumns({"q_status": F.when(asked, status), "q_place": F.when(asked, place)})
+    has_status, has_place = F.col("q_status").isNotNull(), F.col("q_place").isNotNull()
+    return m.withColumn("rule_no", F.when(~asked | asked.isNull(), F.lit(None).cast("int")).when(has_status & has_place, 1)
+                        .when(has_status, 2).when(has_place, 3).otherwise(4))
 
 
 def stats_facts(trials: DataFrame) -> DataFrame:
-    """All metrics in one aggregate: counts by (status, place), status, place and total.
-    ``cube`` over two keys is exactly those four grouping sets."""
-    t = trials.select(F.lower(F.col("status")).alias("f_status"), F.lower(place_of()).alias("f_place"))
-    return (t.cube("f_status", "f_place")
-            .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")))
+    """(f_status, f_place, n): trials by status (null: any) and place (null: any). A place is any part of the
+    comma-separated location, nation or region; rows are counted by (status, location) before the parts are dealt out."""
+    t = trials.groupBy(F.lower("status").alias("f_status"), F.lower("locations").alias("where")).agg(F.count(F.lit(1)).alias("n"))
+    parts = F.array_distinct(F.transform(F.split(F.coalesce("where", F.lit("")), ","), lambda x: F.trim(x)))
+    places = F.concat(F.array(F.lit(None).cast("string")), F.filter(parts, lambda x: x != ""))
+    # one row per (status, location) and place of it, and again for any status
+    x = t.select(F.explode(F.array_distinct(F.array("f_status", F.lit(None).cast("string")))).alias("f_status"), "n",
+                 places.alias("places")).select("f_status", "n", F.explode("places").alias("f_place"))
+    return x.groupBy("f_status", "f_place").agg(F.sum("n").alias("n"))
 
 
 def answer_stats(questions: DataFrame, trials: DataFrame, text: str = "question") -> DataFrame:
-    """Answer a table of statistics questions in one job (op 35). A question no rule
-    matches keeps a null answer; a matched metric with no rows answers 0."""
+    """Answer a table of statistics questions in one job (op 35). No statistics question, or a place that no
+    location has: null, for the question cannot be answered from the table. A known place (or none asked for)
+    without a trial of the status answers 0."""
     m = match_rules(questions, text)
-    gid = (F.when(F.col("q_status").isNull(), F.lit(2)).otherwise(F.lit(0))
-           + F.when(F.col("q_place").isNull(), F.lit(1)).otherwise(F.lit(0)))
-    m = m.withColumn("q_gid", gid)
     f = stats_facts(trials)
-    cond = ((m.q_status.eqNullSafe(f.f_status)) & (m.q_place.eqNullSafe(f.f_place)) & (m.q_gid == f.gid))
-    j = m.join(f, cond, "left")
-    return j.select(*questions.columns, "rule_no",
-                    F.when(F.col("rule_no").isNotNull(), F.coalesce(F.col("n"), F.lit(0))).alias("answer"))
+    known = f.filter("f_status IS NULL AND f_place IS NOT NULL").select(F.col("f_place").alias("k_place"))
+    j = m.join(f, m.q_status.eqNullSafe(f.f_status) & m.q_place.eqNullSafe(f.f_place), "left") \
+        .join(known, m.q_place == F.col("k_place"), "left")
+    answerable = F.col("rule_no").isNotNull() & (F.col("q_place").isNull() | F.col("k_place").isNotNull())
+    return j.select(*questions.columns, "rule_no", F.when(answerable, F.coalesce(F.col("n"), F.lit(0))).alias("answer"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,27 +22,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Shared folder for written tables and checkpoints.
-
-    Uses the cluster's ``spark.checkpoint.dir`` (a shared file system on a real
-    cluster). Only when nothing is configured (tests, local runs) a folder is
-    created and registered as the checkpoint directory.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """Shared folder for written tables and checkpoints: the session's ``spark.checkpoint.dir``
+    (a shared file system on a real cluster), else the context's checkpoint folder. Neither
+    set is an error: a machine-local folder is not seen by executors, so none is guessed."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            # a machine-local folder is not shared by executors: never guess one on a cluster
-            raise ValueError("set spark.checkpoint.dir to a shared folder (written tables and checkpoints go there)")
-        base = tempfile.mkdtemp(prefix="sparkqa-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a shared folder (written tables and checkpoints go there)")
     return base.rstrip("/")
 
 
+_SCOPES: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, never reused path under the shared folder."""
-    return f"{shared_dir(spark)}/sparkqa/{label}-{uuid.uuid4().hex}"
+    """A fresh, never reused path under the shared folder (inside the open ``scratch`` scope, if any)."""
+    return f"{_SCOPES[-1] if _SCOPES else shared_dir(spark) + '/sparkqa'}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written inside the block are removed when it ends. Results must be
+    written or collected before that: a DataFrame that reads them cannot be used afterwards."""
+    path = scratch_path(spark, "scope")
+    _SCOPES.append(path)
+    try:
+        yield path
+    finally:
+        _SCOPES.pop()
+        p, fs = _fs(spark, path)
+        fs.delete(p, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -56,18 +66,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """``DataFrame.checkpoint`` needs the SparkContext's directory to be set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def local_session(cores: int | str = "*", app: str = "sparkqa") -> SparkSession:
     """Local session with the settings the library is tuned for (AQE, UTC, no UI)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config(SPREAD, str(os.cpu_count() if cores == "*" else cores))
         .config("spark.sql.shuffle.partitions", os.environ.get("SPARKQA_SHUFFLE_PARTITIONS", "8"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -78,8 +83,13 @@ def local_session(cores: int | str = "*", app: str = "sparkqa") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARKQA_DRIVER_MEMORY", "16g"))
     )
+    if os.environ.get("SPARKQA_CHECKPOINT_DIR"):
+        builder = builder.config("spark.checkpoint.dir", os.environ["SPARKQA_CHECKPOINT_DIR"])
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        # one process on one machine: a temporary folder is shared by all of it
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkqa-"))
     return spark
 
 
@@ -102,16 +112,12 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)]
 
 
-def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
-    """Spread a frame over the cores when its scan yields fewer partitions than cores
-    (one-row-group files). On a cluster reading many files this is a no-op, so the
-    round-robin shuffle only ever happens for small inputs.
+SPREAD = "spark.sparkqa.spread"
+
 
-    A frame whose plan already shuffles is left alone (its partitions follow the shuffle
-    settings), and its partition count is never asked for: building the RDD of an
-    adaptive plan would run its shuffle stages just to count them."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    if "Exchange" in plan:
-        return df
-    want = min_parts or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a frame to as many tasks as the session's ``spark.sparkqa.spread`` says; without that setting
+    (as on a cluster, where inputs have many splits) it is ``df`` itself. ``local_session`` sets it, as
+    the small test files have one row group, and so one task, each."""
+    tasks = int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(tasks) if tasks else df

@@ -1,8 +1,8 @@
 """Fixed values that results depend on.
 
 FIXED VALUES: these texts, names and limits must stay exactly as written for
-answers, prompts and error rows to come out right. They are the behaviour
-being reproduced, kept together here in their natural order.
+answers, prompts and error rows to come out right (blanks at line ends of the prompts don't
+matter and are left out). They are kept together here in their natural order.
 """
 
 # --- retrieval answerer -------------------------------------------------------
@@ -19,9 +19,6 @@ RETRIEVE_COLUMNS = ["title", "interventions", "url"]
 RETRIEVE_K = 3
 SMOKE_NUM_RESULTS = 1
 RAG_MAX_TOKENS = 1500
-PLANNER_MAX_TOKENS = 2000
-MATH_MAX_TOKENS = 200
-UI_MAX_TOKENS = 400
 TEMPERATURE = 0.01
 SMOKE_QUERY = "What are pregnancy related complications in COVID-19 patients"
 NO_RECORDS = "No records"
@@ -38,7 +35,6 @@ ANSWER_PREFIX = "Answer is : "
 
 # --- tools --------------------------------------------------------------------
 NO_MATH = "Cannot formulate a math expression "
-TOOL_MAX_ITERATIONS = 10
 
 # --- multi-agent routing ------------------------------------------------------
 AGENT_CATALOG = [
@@ -50,10 +46,12 @@ AGENT_CATALOG = [
      "Can be used for questions related to finding general information, current date, for performing "
      "web search and executing mathematical calculations"),
 ]
+RAG_AGENT, STATS_AGENT, HELPER_AGENT = (name for name, _ in AGENT_CATALOG)
 DONE = "DONE"
 USER_RESPONSE = "USER_RESPONSE"
 MAX_TRIES = "MAX_TRIES"
 NEXT_ACTION = "NEXT_ACTION"
+AGENT_ERROR = "AGENT_ERROR"
 NO_HISTORY = " - None"
 MAX_TRIES_TEXT = "- error_response: Number of attempts to find answer exceeded max attempts of "
 NO_FINAL_RESPONSE = "No response provided by the multi agent."
@@ -97,12 +95,3 @@ TRIAL_URL_PREFIX = "https://ClinicalTrials.gov/show/"
 MONTH_DAY_YEAR = "MMMM d yyyy"
 MONTH_YEAR = "MMMM yyyy"
 LONG_DATE = "MMMM dd, yyyy"
-
-# --- run labels: zone -> (standard abbreviation, standard offset hours, daylight abbreviation)
-ZONE_ABBREVIATIONS = {
-    "US/Eastern": ("EST", -5, "EDT"),
-    "US/Central": ("CST", -6, "CDT"),
-    "US/Mountain": ("MST", -7, "MDT"),
-    "US/Pacific": ("PST", -8, "PDT"),
-    "UTC": ("UTC", 0, "UTC"),
-}

@@ -104,15 +104,19 @@ def sync_index_stream(spark: SparkSession, source_dir: str, schema: T.StructType
     processing-time trigger instead, and the running query is returned.
 
     Each change row is an upsert of ``(key, text)``; with ``deleted_col`` a true value
-    deletes the key. Returns the finished streaming query."""
+    deletes the key. A key changed several times in one batch keeps its last change (``seq``
+    column if there is one, then the time of the file), so the index holds one row per key; changes without a key
+    are left out. Returns the finished streaming query."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         sess = batch.sparkSession
-        # last change per key within the batch wins (files carry a change sequence)
-        ch = batch
-        if "seq" in batch.columns:
-            ch = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), "seq").alias("r"))
-            ch = ch.select(key, "r.*")
+        # one row per key: the last change wins, by its sequence number (if the files carry one), then by the
+        # time and name of its file; a deletion beats an upsert of the same file
+        order = [F.col("seq")] if "seq" in batch.columns else []
+        order += [F.col("_file_time"), F.col("_file"), F.coalesce(F.col(deleted_col), F.lit(False)) if deleted_col else F.lit(False),
+                  F.col(text)]
+        rest = F.struct(*[c for c in batch.columns if c != key])
+        ch = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(rest, F.struct(*order)).alias("r")).select(key, "r.*")
         gone = F.col(deleted_col) if deleted_col else F.lit(False)
         ch = ch.select(key, text, F.coalesce(gone, F.lit(False)).alias("deleted"))
         fresh = index_rows(ch.filter(~F.col("deleted")).select(key, text), key, text)
@@ -125,7 +129,8 @@ def sync_index_stream(spark: SparkSession, source_dir: str, schema: T.StructType
                 .withColumn("seq", F.lit(batch_id).cast("bigint")))
         rows.write.mode("overwrite").parquet(f"{index_path}/delta/batch={batch_id}")
 
-    w = (spark.readStream.schema(schema).parquet(source_dir)
+    source = spark.readStream.schema(schema).parquet(source_dir)
+    w = (source.select("*", F.col("_metadata.file_modification_time").alias("_file_time"), F.col("_metadata.file_path").alias("_file"))
          .writeStream.foreachBatch(upsert)
          .option("checkpointLocation", checkpoint))
     if continuous_every:

@@ -12,7 +12,7 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master("local[*]").appName("sparkqa-tests")
          .config("spark.sql.shuffle.partitions", "8")
@@ -22,4 +22,6 @@ def spark():
          .config("spark.driver.memory", "4g")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    if not s.conf.get("spark.checkpoint.dir", None):
+        s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield s

@@ -1,5 +1,8 @@
 """Agent loop bound, dispatch errors, triggered streaming sync."""
 
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,10 +56,56 @@ def test_model_path_dedupes_prompts(spark):
 
     df = spark.createDataFrame([(1, "p"), (2, "p"), (3, "z")], "qid int, prompt string")
     out = {r.qid: r.model_response for r in rag.infer(df, model=model, max_tokens=2).collect()}
-    assert out == {1: "echo p", 2: "echo p", 3: "echo z"}
+    assert out == {1: "echo p 2", 2: "echo p 2", 3: "echo z 2"}        # the limit is the model's: replies are not cut
     assert calls.value == 2
 
 
+def test_model_failure_is_a_row_error(spark):
+    def model(prompts, max_tokens, temperature):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("timeout")
+        return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c"), (4, None)], "qid int, prompt string").coalesce(1)
+    out = {r.qid: (r.model_response, r.model_response_error) for r in rag.infer(df, model=model).collect()}
+    assert out == {1: ("A", None), 2: (None, "RuntimeError: timeout"), 3: ("C", None), 4: (None, None)}
+    assert {r.qid: r.final_response for r in routing.final_message(rag.infer(df, model=model), "model_response").collect()}[2] \
+        == settings.NO_FINAL_RESPONSE
+
+
+def test_changing_planner_is_asked_once_per_row_and_round(spark):
+    """A planner that answers differently each time (as a chat model does) loses and doubles no question."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def planner(df):
+        @F.pandas_udf("string")
+        def plan(x: pd.Series) -> pd.Series:
+            asked.add(len(x))
+            return pd.Series([random.choice([settings.DONE, "helper_agent:q", settings.RAG_AGENT + ":q"]) for _ in x])
+        return df.withColumn("plan", plan.asNondeterministic()("question"))
+
+    reqs = spark.createDataFrame([(i, f"q{i}", 0, 4) for i in range(200)], "qid long, question string, num_attempts int, max_attempts int")
+    out = agent_loop.run_loop(reqs, planner=planner).collect()
+    assert sorted(r.qid for r in out) == list(range(200))
+    assert asked.value == sum(r.num_attempts for r in out)
+
+
+def test_unknown_agent_ends_the_row_with_its_error(spark):
+    reqs = spark.createDataFrame([(1, "q", 0, 5)], "qid long, question string, num_attempts int, max_attempts int")
+    (r,) = agent_loop.run_loop(reqs, planner=lambda df: df.withColumn("plan", F.lit("nobody:q"))).collect()
+    assert (r.route, r.error, r.num_attempts) == (settings.AGENT_ERROR, settings.UNKNOWN_AGENT + "nobody", 1)
+    assert r.final_response == settings.NO_FINAL_RESPONSE
+
+
+def test_repeated_keys_in_one_sync_leave_one_row(spark, tmp_path):
+    src, idx, ck = (str(tmp_path / n) for n in ("src", "idx", "ck"))
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("t", T.StringType()), T.StructField("seq", T.LongType())])
+    spark.createDataFrame([("a", "new", 2), ("b", "b", 1)], schema).write.parquet(src + "/f1")
+    spark.createDataFrame([("a", "old", 1), (None, "nobody", 1)], schema).write.parquet(src + "/f2")
+    sync_index_stream(spark, src + "/*", schema, idx, ck, "k", "t")
+    assert sorted((r.k, r.t) for r in read_index(spark, idx).collect()) == [("a", "new"), ("b", "b")]
+
+
 def test_triggered_stream_sync(spark, tmp_path):
     src = str(tmp_path / "src")
     schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("t", T.StringType()),

@@ -71,6 +71,13 @@ def test_ann_recall_rises_with_probes(spark):
     assert recalls[0] <= recalls[1] <= recalls[2] == 1.0
 
 
+def test_registered_approximate_search_has_its_recall(spark):
+    from sparkqa import catalog
+    truth = {(r.qid, r.hit_key) for r in catalog.QUERIES["similarity_topk_join"](spark, SF_CHECK).collect()}
+    got = {(r.qid, r.hit_key) for r in catalog.QUERIES["similarity_topk_ann"](spark, SF_CHECK).collect()}
+    assert len(got & truth) >= 0.9 * len(truth)
+
+
 def test_hot_cell_is_split_into_parts(spark):
     e, q = _emb(spark, SF_SMALL)
     idx = vectors.build_index(e, "vec_id", "vector", nlist=1, rows_per_part=100)
@@ -103,9 +110,12 @@ def test_index_written_partitioned_by_cell(spark, tmp_path):
     assert sorted(tuple(r) for r in again.cells.collect()) == sorted(tuple(r) for r in idx.cells.collect())
 
 
-def test_sampled_training_keeps_search_exact(spark):
+def test_given_centers_keep_search_exact(spark):
     e, q = _emb(spark, SF_CHECK)
-    idx = vectors.build_index(e, "vec_id", "vector", nlist=8, max_train_rows=100)
+    given = vectors.build_index(e, "vec_id", "vector", nlist=8)
+    idx = vectors.build_index(e, "vec_id", "vector", centers=given.cells)
+    assert sorted(tuple(r) for r in idx.vectors.select("vec_id", "cell").collect()) == \
+        sorted(tuple(r) for r in given.vectors.select("vec_id", "cell").collect())
     assert idx.vectors.count() == e.count()
     got = {}
     for r in sorted(vectors.topk_join(q, idx, k=3, nprobe=1, exclude_self=True).collect(),
