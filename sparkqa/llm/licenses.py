@@ -37,7 +37,7 @@ FINDING = pa.schema([("id", pa.int64()), ("license", pa.string()), ("start", pa.
 def align(block: list[str], wanted: list[str], limit: int) -> tuple[int, int, list[str]] | None:
     """(first, end, differences) of the stretch of ``block`` nearest to ``wanted``, or None if over ``limit``
     differences: edit distance over words, free at both ends of the block. Among equals the stretch that
-    ends first, and in it the one that keeps most words in place."""
+    ends last, read with as many words in place as can be."""
     width = len(block) + 1
     cost = [[0] * width]
     for i, w in enumerate(wanted, 1):
@@ -45,7 +45,7 @@ def align(block: list[str], wanted: list[str], limit: int) -> tuple[int, int, li
         for j in range(1, width):
             row.append(min(above[j - 1] + (block[j - 1] != w), above[j] + 1, row[j - 1] + 1))
         cost.append(row)
-    end = min(range(width), key=lambda j: (cost[-1][j], j))
+    end = min(range(width), key=lambda j: (cost[-1][j], -j))
     if cost[-1][end] > limit:
         return None
     i, j, notes = len(wanted), end, []

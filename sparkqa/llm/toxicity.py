@@ -146,12 +146,12 @@ def fit_sample(texts: list[str | None], labels: np.ndarray) -> Severity:
 
 
 def screened(flat: np.ndarray, bad: np.ndarray, grades: np.ndarray) -> np.ndarray:
-    """True for features worth a weight: in 3 documents or more, and at least twice as common in
-    documents of grade 1 or more than in others (others could only get weight zero or fit noise)."""
+    """True for features worth a weight: in at least 5 documents of grade 1 or more, and 4 times as common there
+    as in others (with fewer, chance alone sets some of the many rare words apart)."""
     slot = flat & np.uint32((1 << 22) - 1)
     toxic, clean = np.bincount(slot[bad], minlength=1 << 22), np.bincount(slot[~bad], minlength=1 << 22)
     share = max(int((grades > 0).sum()), 1) / max(int((grades == 0).sum()), 1)
-    return ((toxic >= 3) & (toxic >= 2 * share * clean))[slot]
+    return ((toxic >= 5) & (toxic >= 4 * share * clean))[slot]
 
 
 def fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
