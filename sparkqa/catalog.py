@@ -18,7 +18,7 @@ from .operators import checks, embed as emb, vectors
 from .operators import evaluation as ev, keyword, routing
 from .operators.lookup import left_lookup
 from .plans import agent_loop, agents, rag, structured
-from .session import scratch_path, table
+from .session import fingerprint, scratch_path, shared_dir, table
 from .sources import changes, files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,8 +106,10 @@ def change_feed(spark, sf):
 
 # ---------------------------------------------------------------- 2.2 vectors
 def _corpus_index(spark, sf, nlist=1):
+    """The corpus and its search index, which is built once for the same files and then opened."""
     corpus = fx.corpus(spark, sf)
-    return corpus, rag.corpus_index(corpus, nlist=nlist)
+    files = fingerprint(spark, f"{sf.rstrip('/')}/documents.parquet")
+    return corpus, rag.corpus_index(corpus, nlist=nlist, path=f"{shared_dir(spark)}/sparkqa/corpus-index-{nlist}-{files}")
 
 
 def _embedding_queries(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -105,6 +106,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Digest of the files under ``path`` (names, lengths, times): another digest means other data."""
+    p, fs = _fs(spark, path)
+    files, found = fs.listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:32]
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     p, fs = _fs(spark, path)
     if not fs.exists(p):
