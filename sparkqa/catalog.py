@@ -285,6 +285,12 @@ def retrieval_answers(spark, sf):
     return rag.answer_questions(reqs, idx, corpus).select("qid", "question", "model_response", "answer")
 
 
+@query
+def rag_pipeline(spark, sf):
+    """The whole chain under its survey key; ``retrieval_answers`` is the same query."""
+    return retrieval_answers(spark, sf)
+
+
 # ---------------------------------------------------------------- 2.5 structured
 @query
 def count_by_status(spark, sf):
@@ -524,6 +530,11 @@ def eval_retrieval_recall(spark, sf):
     return ev.retrieval_recall(hits, _eval_truth(spark, sf), "item_id", "doc_id")
 
 
+@query
+def eval_overall_recall(spark, sf):
+    return ev.overall_recall(eval_retrieval_recall(spark, sf))
+
+
 @query
 def eval_tokens_latency(spark, sf):
     return ev.cost_metrics(fx.trace(spark, sf))

@@ -574,6 +574,11 @@ j AS (SELECT t.item_id, t.doc_id, h.doc_id AS hit FROM (SELECT DISTINCT item_id,
       LEFT JOIN h ON t.item_id = h.item_id AND t.doc_id = h.doc_id)
 SELECT item_id, count(*) AS n_truth, count(hit) AS n_found, round(count(hit) / count(*), 6) AS recall
 FROM j GROUP BY item_id""", "eval_truth")
+ORACLES["eval_overall_recall"] = f"""
+SELECT count(*) AS n_queries, CAST(coalesce(sum(n_truth), 0) AS BIGINT) AS n_truth, CAST(coalesce(sum(n_found), 0) AS BIGINT) AS n_found,
+  round(avg(recall), 6) AS mean_recall, round(sum(n_found) / sum(n_truth), 6) AS pair_recall
+FROM ({ORACLES["eval_retrieval_recall"]})"""
+ORACLES["rag_pipeline"] = ORACLES["retrieval_answers"]
 view("trace", """
 SELECT event_id, user_id AS request_id, ts, event_type AS span, event_type = 'error' AS is_error, value AS latency_ms,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens FROM events""")
