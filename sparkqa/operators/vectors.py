@@ -174,6 +174,19 @@ def open_index(spark, path: str, key: str, vector: str = "vector") -> VectorInde
     return VectorIndex(vectors=_with_parts(vectors, key, ordered), cells=cells, key=key, vector=vector)
 
 
+def table_index(rows: DataFrame, key: str, vector: str = "vector", rows_per_part: int = 20_000) -> VectorIndex:
+    """A table that already holds vectors (such as a synced index) as a searchable index of one cell around the
+    origin, dealt into parts; nothing is written, one aggregate counts the rows. Keys must be unique."""
+    norm = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda acc, x: acc + x * x))
+    assigned = rows.withColumn(vector, F.col(vector).cast("array<double>")).filter(F.col(vector).isNotNull()) \
+        .withColumns({"cell": F.lit(0), "cdist": norm})
+    s = assigned.agg(F.count(F.lit(1)).alias("n"), F.max("cdist").alias("radius"), F.max(F.size(vector)).alias("dim")).first()
+    n_parts = max(1, math.ceil(s["n"] / rows_per_part))
+    cell = (0, [0.0] * (s["dim"] or 0), float(s["radius"] if s["n"] else -1.0), int(s["n"]), n_parts)
+    return VectorIndex(vectors=_with_parts(assigned, key, [n_parts]),
+                       cells=rows.sparkSession.createDataFrame([cell], CELLS_SCHEMA), key=key, vector=vector)
+
+
 def _probe_fn(qkey: str, qvec: str, cent: np.ndarray, rad: np.ndarray, nprobe: int, phase: int):
     c2 = (cent * cent).sum(axis=1)
     live = rad >= 0

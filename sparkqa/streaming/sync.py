@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from ..operators.embed import embed
+from ..operators.vectors import VectorIndex, table_index
 from ..session import list_names, path_exists
 
 
@@ -85,6 +86,13 @@ def read_index(spark: SparkSession, index_path: str, key: str | None = None) ->
     return kept.unionByName(latest.filter(~F.col("deleted")).drop("deleted", "seq"))
 
 
+def open_synced(spark: SparkSession, index_path: str, key: str) -> VectorIndex | None:
+    """The synced index, base and deltas together, ready for the searches of ``operators.vectors``; None before
+    the first sync."""
+    rows = read_index(spark, index_path, key)
+    return None if rows is None else table_index(rows, key)
+
+
 def compact_index(spark: SparkSession, index_path: str, key: str | None = None) -> None:
     """Fold every committed delta into a new base ``upto=<last delta>``; readers switch
     to it once it is complete, and older folders can then be removed by retention."""

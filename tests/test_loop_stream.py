@@ -135,6 +135,28 @@ def test_triggered_stream_sync(spark, tmp_path):
     assert {r.k: r.t for r in read_index(spark, idx).collect()} == {"b": "beta two", "c": "gamma two"}
 
 
+def test_search_on_the_synced_index_equals_a_fresh_build(spark, tmp_path):
+    from sparkqa.operators.embed import embed
+    from sparkqa.operators.vectors import build_index, topk_join
+    from sparkqa.streaming.sync import open_synced
+    src, idx, ck = (str(tmp_path / n) for n in ("src", "idx", "ck"))
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("t", T.StringType()), T.StructField("gone", T.BooleanType())])
+    assert open_synced(spark, idx, "k") is None
+    words = ["alpha", "beta", "gamma", "delta"]
+    first = [(f"k{i}", " ".join(words[(i + j) % 4] for j in range(i % 3 + 1)), False) for i in range(12)]
+    second = [("k3", "delta delta alpha", False), ("k5", None, True), ("k20", "gamma beta", False)]
+    for i, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, schema).write.parquet(f"{src}/f{i}")
+        sync_index_stream(spark, src + "/*", schema, idx, ck, "k", "t", deleted_col="gone")
+    now = {k: t for k, t, _ in first} | {k: t for k, t, _ in second}
+    now.pop("k5")
+    fresh = build_index(embed(spark.createDataFrame(sorted(now.items()), "k string, t string"), "t").select("k", "vector"), "k", nlist=1)
+    q = embed(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "qid int, question string"), "question", out="qvec")
+    got, want = (sorted(tuple(r) for r in topk_join(q, x, k=3).select("qid", "rank", "hit_key").collect())
+                 for x in (open_synced(spark, idx, "k"), fresh))
+    assert got == want and len(got) == 12
+
+
 def test_model_factory_builds_once_per_task(spark):
     built = spark.sparkContext.accumulator(0)
 
