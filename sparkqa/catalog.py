@@ -17,6 +17,7 @@ from .functions import arithmetic, dates, markdown, messages, text
 from .operators import checks, embed as emb, vectors
 from .operators import evaluation as ev, keyword, routing
 from .operators.lookup import left_lookup
+from .operators.order import with_position
 from .plans import agent_loop, agents, rag, structured
 from .session import fingerprint, scratch_path, shared_dir, table
 from .sources import changes, files
@@ -234,7 +235,8 @@ def request_defaults(spark, sf):
 
 @query
 def session_transcript(spark, sf):
-    return messages.transcript(table(spark, sf, "conversations"))
+    turns = with_position(table(spark, sf, "conversations"), "conv_id", ["turn", "role", "text"])
+    return messages.transcript(turns)
 
 
 @query

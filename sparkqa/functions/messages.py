@@ -71,13 +71,14 @@ def with_defaults(df: DataFrame) -> DataFrame:
     })
 
 
-def transcript(conversations: DataFrame) -> DataFrame:
+def transcript(turns: DataFrame) -> DataFrame:
     """Chat history replayed as role + content, one row per turn (op 25).
 
-    History stays in long form; replay order is (conv_id, turn), so nothing is gathered
-    into one row and a very long session never has to fit in one task."""
-    return conversations.select(
-        "conv_id", "turn", "role", F.col("text").alias("content"),
+    ``turns`` carries ``pos``, the replay position of each row in its session
+    (``operators.order.with_position``). History stays in long form: nothing is gathered into one
+    row, and a very long session never has to fit in one task."""
+    return turns.select(
+        "conv_id", "pos", "turn", "role", F.col("text").alias("content"),
         F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("line"))
 
 

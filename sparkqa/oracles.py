@@ -309,7 +309,7 @@ oracle("request_defaults", """
 SELECT conv_id, CAST(CASE WHEN conv_id % 3 = 0 AND conv_id % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS num_attempts,
   CAST(CASE WHEN conv_id % 3 = 0 AND conv_id % 4 = 0 THEN 5 ELSE 3 END AS INTEGER) AS max_attempts
 FROM (SELECT DISTINCT conv_id FROM conversations)""")
-oracle("session_transcript", "SELECT conv_id, turn, role, text AS content, role || ': ' || text AS line "
+oracle("session_transcript", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, turn, role, text AS content, role || ': ' || text AS line "
        "FROM conversations")
 oracle("failed_reply_default", f"""
 SELECT conv_id, turn, role, text FROM conversations

@@ -127,3 +127,14 @@ def test_scratch_tables_go_with_their_scope(spark):
         local = path.removeprefix("file:")
         assert os.listdir(local)
     assert not os.path.exists(local)
+
+
+def test_positions_in_a_session_of_most_rows(spark):
+    from sparkqa.operators.order import with_position
+    df = spark.range(6000).selectExpr("IF(id % 10 < 8, 1, id % 7) AS g", "(id * 7919) % 6007 AS turn", "IF(id % 10 = 9, NULL, 'x') AS t")
+    df = df.withColumn("g", F.expr("IF(t IS NULL, NULL, g)"))
+    found = with_position(df, "g", ["turn"]).collect()
+    assert len(found) == 6000
+    for g in {r.g for r in found}:
+        mine = sorted((r.turn, r.pos) for r in found if r.g == g)
+        assert [p for _, p in mine] == list(range(len(mine)))
