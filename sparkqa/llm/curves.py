@@ -81,16 +81,16 @@ class Grid:
         return out
 
 
-def matrix(column) -> np.ndarray:
-    """Vectors of an Arrow column of float64 bytes, all of one length."""
-    return np.stack([np.frombuffer(v, np.float64) for v in column.to_pylist()])
+def matrix(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length from their bytes, in double precision; ``kind``: f4 or f8, as they are stored."""
+    return np.stack([np.frombuffer(v, kind) for v in vectors]).astype(np.float64)
 
 
 def units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def valid_batch(width: int):
+def valid_batch(width: int, kind: str):
     """Keeps rows whose vector has ``width`` finite components, not all zero (nor of a norm that is not a positive number)."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, kept = [], []
@@ -100,15 +100,15 @@ def valid_batch(width: int):
             x = np.array(v, np.float64) + 0.0  # no negative zeros
             if np.isfinite(norm := float(np.sqrt((x * x).sum()))) and norm > 0:
                 ids.append(ident)
-                kept.append(x.tobytes())
+                kept.append(x.astype(kind).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.binary())], ["id", "vec"])
     return run
 
 
-def place_batch(grid: Grid):
+def place_batch(grid: Grid, kind: str):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ident, vec, asks = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-        keys = grid.keys(units(matrix(vec)))
+        keys = grid.keys(units(matrix(vec.to_pylist(), kind)))
         spare = 62 - grid.dimensions * grid.bits
         # rows of one cell are told apart by a hash, so that a crowded cell can be split
         mixed = (ident.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - spare)
@@ -140,15 +140,15 @@ def best_of(queries: np.ndarray, rows: np.ndarray, near: np.ndarray | None, keep
     return q, r, cosines(queries[q], rows[r])
 
 
-def search_block(keep: int, window: int):
+def search_block(keep: int, window: int, kind: str):
     """Scores the queries that reach a block of a curve against the block's rows."""
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
-            x, at, ids = np.stack([np.frombuffer(v, np.float64) for v in rows["vec"]]), rows["pos"].to_numpy(), rows["cls"].to_numpy()
+            x, at, ids = matrix(rows["vec"], kind), rows["pos"].to_numpy(), rows["cls"].to_numpy()
             for first in range(0, len(queries), 1024):
                 some = queries.iloc[first:first + 1024]
-                y, pos, asked = np.stack([np.frombuffer(v, np.float64) for v in some["vec"]]), some["pos"].to_numpy(), some["cls"].to_numpy()
+                y, pos, asked = matrix(some["vec"], kind), some["pos"].to_numpy(), some["cls"].to_numpy()
                 q, r, score = best_of(y, x, np.abs(pos[:, None] - at[None, :]) <= window, keep)
                 out.append(pd.DataFrame({"asked": asked[q], "cls": ids[r], "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"asked": pd.Series(dtype="int64"), "cls": pd.Series(dtype="int64"),
@@ -156,10 +156,10 @@ def search_block(keep: int, window: int):
     return run
 
 
-def brute_batch(queries: np.ndarray, asked: np.ndarray, keep: int):
+def brute_batch(queries: np.ndarray, asked: np.ndarray, keep: int, kind: str):
     """The best rows of a batch for each of a bounded set of queries."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        q, r, score = best_of(queries, matrix(batch.column(1)), None, keep)
+        q, r, score = best_of(queries, matrix(batch.column(1).to_pylist(), kind), None, keep)
         return pa.RecordBatch.from_arrays([pa.array(asked[q]), batch.column(0).take(pa.array(r)), pa.array(score)], ["asked", "cls", "score"])
     return run
 
@@ -169,13 +169,13 @@ def best_rows(found: DataFrame, keep: int) -> DataFrame:
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
-def measured_window(classes: DataFrame, placed: DataFrame, k: int, total: int, recall: float) -> int:
+def measured_window(classes: DataFrame, placed: DataFrame, k: int, total: int, recall: float, kind: str) -> int:
     """Gap along the curves that covers ``recall`` of the true neighbours of a bounded sample of queries."""
     asked = classes.where("asks").orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE_QUERIES).select("cls", "vec").toArrow()
     if not asked.num_rows:
         return 0
-    ids, vectors = asked["cls"].to_numpy(), matrix(asked["vec"])
-    true = best_rows(classes.select("cls", "vec").mapInArrow(by_batch(brute_batch(vectors, ids, k + 1)), "asked long, cls long, score double"),
+    ids, vectors = asked["cls"].to_numpy(), matrix(asked["vec"].to_pylist(), kind)
+    true = best_rows(classes.select("cls", "vec").mapInArrow(by_batch(brute_batch(vectors, ids, k + 1, kind)), "asked long, cls long, score double"),
                      k + 1).where("asked != cls").select("asked", "cls").toArrow().to_pylist()  # (k + 1) rows for each sample query
     wanted = sorted({t["cls"] for t in true} | set(ids.tolist()))
     at = {(r.curve, r.cls): r.pos for r in placed.where(F.col("cls").isin(wanted)).select("curve", "cls", "pos").collect()}
@@ -195,8 +195,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     table gives an empty result. ``window`` replaces the measured one."""
     spark = vectors.sparkSession
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # single precision holds float components exactly: half the bytes to carry along the curves
+    kind = "f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "f8"
     common = raw.where("v IS NOT NULL").groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    valid = materialize(raw.mapInArrow(by_batch(valid_batch(common.w if common else 0)), "id long, vec binary"), "vectors")
+    valid = materialize(raw.mapInArrow(by_batch(valid_batch(common.w if common else 0, kind)), "id long, vec binary"), "vectors")
     asks = F.pmod("id", F.lit(every)) == 0
     # equal vectors: one class, named by its smallest id, with the k + 1 smallest ids (cut before the shuffle)
     smallest = valid.distinct().withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= k + 1)
@@ -211,28 +213,29 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     share = min(1.0, SAMPLE_VECTORS / total)
     sample = classes.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)) \
         .orderBy("cls").limit(2 * SAMPLE_VECTORS).select("vec").toArrow()
-    grid = Grid(units(matrix(sample["vec"])), curves, DIMENSIONS, BITS, SEED)
-    ranged = classes.select("cls", "vec", "asks").mapInArrow(by_batch(place_batch(grid)), "curve int, place long, cls long, vec binary, asks boolean") \
+    grid = Grid(units(matrix(sample["vec"].to_pylist(), kind)), curves, DIMENSIONS, BITS, SEED)
+    ranged = classes.select("cls", "vec", "asks").mapInArrow(by_batch(place_batch(grid, kind)), "curve int, place long, cls long, vec binary, asks boolean") \
         .repartitionByRange(2 * parallelism(spark), "curve", "place").sortWithinPartitions("curve", "place", "cls")
     # the id that Spark gives to a row: its partition in the upper bits, its place in it in the lower 33
     numbered = materialize(ranged.withColumn("row", F.monotonically_increasing_id()), "curve-places")
     part, nth = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = numbered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row per range
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    placed = materialize(numbered.withColumn("part", part).join(F.broadcast(before), "part").select(
-        "curve", "cls", "vec", "asks", (F.col("before") + nth - F.col("curve").cast("long") * total).alias("pos")), "curve-positions")
-    reach = measured_window(classes, placed, k, total, recall) if window is None else window
+    before = materialize(sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")), "range-starts")
+    placed = numbered.withColumn("part", part).join(F.broadcast(before), "part").select(
+        "curve", "cls", "vec", "asks", (F.col("before") + nth - F.col("curve").cast("long") * total).alias("pos"))
+    reach = measured_window(classes, placed, k, total, recall, kind) if window is None else window
     # a block meets the queries of a whole window: dealt into so many parts that each stays small
     share_asked = classes.where("asks").count() / total
     parts = max(1, round((2 * reach + block) * share_asked / GROUP_QUERIES))
     rows = placed.select("curve", F.floor(F.col("pos") / block).cast("long").alias("block"), "cls", "vec", "pos",
                          F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     low, high = F.greatest(F.col("pos") - reach, F.lit(0)), F.least(F.col("pos") + reach, F.lit(total - 1))
-    asked = placed.where("asks").select("curve", F.explode(F.sequence(F.floor(low / block).cast("long"), F.floor(high / block).cast("long")))
-                                        .alias("block"), "cls", "vec", "pos",
-                                         F.pmod(F.xxhash64("cls"), F.lit(parts)).cast("int").alias("part"))
+    blocks = F.sequence(F.floor(low / block).cast("long"), F.floor(high / block).cast("long"))
+    # aliases tell the two sides apart: both come from the same table
+    asked = placed.where("asks").select(*[F.col(c).alias(c) for c in ("curve", "cls", "vec", "pos")], F.explode(blocks).alias("block"),
+                                        F.pmod(F.xxhash64("cls"), F.lit(parts)).cast("int").alias("part"))
     found = rows.groupBy("curve", "block", "part").cogroup(asked.groupBy("curve", "block", "part")) \
-        .applyInPandas(search_block(k + 1, reach), "asked long, cls long, score double")
+        .applyInPandas(search_block(k + 1, reach, kind), "asked long, cls long, score double")
     top = best_rows(found, k + 1)
     # back to ids: every query of a class, every small id of the classes found
     hits = top.select("asked", "cls", "score").join(classes.select("cls", "ids"), "cls") \
