@@ -16,6 +16,7 @@ are cut there; the ids of the units are remembered in a bounded memo.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -29,8 +30,9 @@ from pyspark.sql import types as T
 from .common import by_batch
 
 SPACE_MARK = "▁"
-MEMO_UNITS = 400_000
+MEMO_UNITS = 300_000  # units, and pairs of pieces, that a worker remembers
 UNKNOWN_PENALTY = 10.0
+PAIR = 1 << 32  # more than any piece id: a pair of pieces is one number
 KINDS = ("unigram", "bpe")
 
 
@@ -51,12 +53,17 @@ class Pieces:
         if self.ids:
             self.automaton.make_automaton()
         self.lowest = min((scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
-        self.byte_of = {i: b for b, i in enumerate(byte_ids)}
+        # what an id decodes to: whole characters, or one byte of some
+        self.raw = [(p or "").encode() for p in pieces]
+        for b, i in enumerate(byte_ids):
+            self.raw[i] = bytes([b])
+        if unknown_id < len(pieces) and pieces[unknown_id] is None:
+            self.raw[unknown_id] = " ⁇ ".encode()
         # a mark after other characters inside a piece would forbid cutting texts before it
         inner = any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.ids)
         self.units = re.compile("(?s).+" if inner else f"{SPACE_MARK}+[^{SPACE_MARK}]*|[^{SPACE_MARK}]+")
-        self.memo: dict[str, list[int]] = {}
-        self.apart: dict[tuple, bool] = {}
+        self.memo: dict[str, bytes] = {}
+        self.apart: dict[int, bool] = {}
 
     @classmethod
     def load(cls, path: str, kind: str) -> Pieces:
@@ -68,19 +75,30 @@ class Pieces:
                    byte_ids if model.is_byte(byte_ids[0]) else [], kind, model.unk_id())
 
     def encode(self, text: str) -> list[int]:
+        return array("i", self.encode_bytes(text)).tolist()
+
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids as 32-bit integers of the machine."""
         if not text:
-            return []
-        out, memo = [], self.memo
-        for unit in self.units.findall((self.prefix + text).replace(" ", SPACE_MARK)):
-            ids = memo.get(unit)
-            if ids is None:
-                ids = self.to_ids(self.segment(unit))
-                if len(unit) <= 64:
-                    if len(memo) >= MEMO_UNITS:
-                        memo.clear()
-                    memo[unit] = ids
-            out += ids
-        return out
+            return b""
+        memo = self.memo
+        units = self.units.findall((self.prefix + text).replace(" ", SPACE_MARK))
+        found = [memo.get(u) for u in units]
+        if None in found:
+            for n, known in enumerate(found):
+                if known is None:
+                    found[n] = self.unit(units[n])
+        return b"".join(found)
+
+    def unit(self, unit: str) -> bytes:
+        known = self.memo.get(unit)
+        if known is None:
+            known = array("i", self.to_ids(self.segment(unit))).tobytes()
+            if len(unit) <= 64:
+                if len(self.memo) >= MEMO_UNITS:
+                    self.memo.clear()
+                self.memo[unit] = known
+        return known
 
     def to_ids(self, segments: list[str]) -> list[int]:
         """Ids of segments; characters without a piece become bytes, or the unknown id without byte pieces
@@ -133,25 +151,29 @@ class Pieces:
 
     def by_merges(self, unit: str) -> list[str]:
         """Last piece that merging leaves of each prefix; '' where that is an unknown character."""
-        last, apart = [""] * (len(unit) + 1), self.apart
-        for end, (_, length) in self.matches(unit):
+        last, apart = [0] * (len(unit) + 1), self.apart  # id + 1 of the piece, -code point of an unknown character
+        for end, (piece, length) in self.matches(unit):
             e = end + 1
             if last[e]:
                 continue
             s = e - length
-            left, right = last[s] or unit[s - 1:s] if s else "", unit[s:e]
-            known = apart.get((left, right))
+            left = last[s]
+            if not left and s:
+                left = last[s] = -ord(unit[s - 1])  # no piece ended there
+            known = apart.get(left * PAIR + piece)
             if known is None:
-                known = self.stays(left, right)
+                known = self.stays(left, piece)
             if known:
-                last[e] = right
-        return last
+                last[e] = piece + 1
+        return [self.pieces[code - 1] if code > 0 else "" for code in last]
 
-    def stays(self, left: str, right: str) -> bool:
-        """True if merging the characters of both leaves exactly these two (``left`` may be empty)."""
+    def stays(self, left: int, piece: int) -> bool:
+        """True if merging the characters of both leaves exactly these two (``left`` 0: nothing before)."""
         if len(self.apart) >= MEMO_UNITS:
             self.apart.clear()
-        self.apart[left, right] = known = self.merged(left + right) == ([left, right] if left else [right])
+        before = [] if not left else [self.pieces[left - 1] if left > 0 else chr(-left)]
+        parts = [*before, self.pieces[piece]]
+        self.apart[left * PAIR + piece] = known = self.merged("".join(parts)) == parts
         return known
 
     def merged(self, text: str) -> list[str]:
@@ -168,18 +190,7 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         """Text of ids: byte pieces join to characters (invalid ones become U+FFFD), space marks become spaces,
         the dummy prefix goes, control ids say nothing, the unknown id is U+2047 between spaces."""
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw.clear()
-            out.append(" ⁇ " if i == self.unknown_id else self.pieces[i] or "")
-        if raw:
-            out.append(raw.decode(errors="replace"))
-        text = "".join(out).replace(SPACE_MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace").replace(SPACE_MARK, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -189,21 +200,29 @@ def pieces(path: str, kind: str) -> Pieces:
     return Pieces.load(path, kind)
 
 
-def _lists(values: list[list[int] | None]) -> pa.Array:
-    return pa.array(values, pa.list_(pa.int32()))
-
-
-def encode(docs: DataFrame, path: str, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, kind: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True,
+           verify: bool = False) -> DataFrame:
     """(id, text, ids array<int>) of every row; a null text has null ids, an empty one none. Rows without id and
-    repeated rows are encoded like any other; an empty table gives an empty result."""
+    repeated rows are encoded like any other; an empty table gives an empty result. ``keep_text=False`` leaves the text
+    out; ``verify`` adds ``round_trip``: the ids decode to the text (null text: true)."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table = pieces(path, kind)
-        ids = _lists([None if t is None else table.encode(t) for at in range(0, batch.num_rows, 500)
-                      for t in batch.column(1).slice(at, 500).to_pylist()])
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["id", "text", "ids"])
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(by_batch(run), "id long, text string, ids array<int>")
-    return found.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "ids")
+        table, found, null, same = pieces(path, kind), [], [], []
+        for at in range(0, batch.num_rows, 500):
+            for text in batch.column(1).slice(at, 500).to_pylist():
+                ids = table.encode_bytes(text or "")
+                found.append(ids)
+                null.append(text is None)
+                if verify:
+                    same.append(table.decode(array("i", ids).tolist()) == (text or ""))
+        offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)), mask=pa.array(null))
+        columns = {"id": batch.column(0), "text": batch.column(1), "ids": ids, "round_trip": pa.array(same, pa.bool_())}
+        names = ["id", *["text"] * keep_text, "ids", *["round_trip"] * verify]
+        return pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+
+    schema = "id long, " + "text string, " * keep_text + "ids array<int>" + ", round_trip boolean" * verify
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(by_batch(run), schema)
+    return found.withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
 
 
 def decode(encoded: DataFrame, path: str, kind: str) -> DataFrame:

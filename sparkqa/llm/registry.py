@@ -68,9 +68,8 @@ def op6_simhash_components(spark, sf):
 @query
 def op7_sentencepiece_ids(spark, sf):
     path = public_tokenizers.path("piece_bpe_32k.model")
-    both = pieces.decode(pieces.encode(table(spark, sf, "documents"), path, "bpe"), path, "bpe")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
-                       F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    found = pieces.encode(table(spark, sf, "documents"), path, "bpe", keep_text=False, verify=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
 @query
