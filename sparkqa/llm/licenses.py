@@ -9,7 +9,9 @@
 3. Confirmation. In that order, the first template whose wording is in the block with few enough
    differences (words left out, put in or replaced; block words around the template don't count) wins.
 
-Words are runs of ASCII letters and digits in lower case, so punctuation, line breaks and case don't matter.
+Words are runs of ASCII letters and digits in lower case, so punctuation, line breaks and case don't matter; a dotted
+number is one word, and ``2.0`` and ``v2`` read as ``2``. Words that tell one license from another (version numbers,
+Affero, Lesser, ShareAlike, ...) are no noise: they are never left out, put in or replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -26,7 +29,16 @@ from pyspark.sql import functions as F
 from .templates import TEMPLATES
 
 WORDS_PER_DIFFERENCE = 10
-WORD = re.compile(r"[A-Za-z0-9]+")
+WORD = re.compile(r"[A-Za-z0-9]+(?:(?<=[0-9])\.[0-9]+)*")
+#: Words that change which license is meant, alone or after the word given.
+VARIANTS = frozenset("attribution affero lesser noncommercial nc noderivatives noderivs nd sharealike sa".split())
+VARIANTS_AFTER = frozenset({("gnu", "library"), ("non", "commercial"), ("no", "derivatives"), ("no", "derivative"), ("no", "derivs"),
+                            ("share", "alike")})
+#: A version: a number of one or two digits, a dotted number, or one that ends a name (``gplv3``, ``gpl3``).
+VERSION = re.compile(r"\d{1,2}(?:\.\d+)*|(?:cc|[al]?gplv?)\d[\d.]*")
+#: In templates with more words, numbers other than those after "version" may be of sections, lists or years.
+NOTICE_WORDS = 40
+OVER = 1 << 20
 LEVEL = 3
 MEMO_BLOCKS = 20_000
 
@@ -34,28 +46,53 @@ FINDING = pa.schema([("id", pa.int64()), ("license", pa.string()), ("start", pa.
                      ("reduction", pa.float64()), ("n_differences", pa.int32()), ("differences", pa.string())])
 
 
+def normal(word: str) -> str:
+    """Lower case; versions without a leading ``v`` and closing zeros."""
+    word = word.lower()
+    if word[-1].isdigit():
+        word = re.sub(r"^v(?=\d)", "", word)
+        while word.endswith(".0"):
+            word = word[:-2]
+    return word
+
+
+def fixed_words(words: list[str], notice: bool) -> np.ndarray:
+    """Which of the (normal) words tell licenses apart."""
+    before = ["", *words]
+    return np.fromiter((w in VARIANTS or (b, w) in VARIANTS_AFTER
+                        or (notice or b in ("version", "versions", "v")) and VERSION.fullmatch(w) is not None
+                        for b, w in zip(before, words)), bool, len(words))
+
+
 def align(block: list[str], wanted: list[str], limit: int) -> tuple[int, int, list[str]] | None:
     """(first, end, differences) of the stretch of ``block`` nearest to ``wanted``, or None if over ``limit``
-    differences: edit distance over words, free at both ends of the block. Among equals the stretch that
-    ends last, read with as many words in place as can be."""
-    width = len(block) + 1
-    cost = [[0] * width]
-    for i, w in enumerate(wanted, 1):
-        above, row = cost[-1], [i]
-        for j in range(1, width):
-            row.append(min(above[j - 1] + (block[j - 1] != w), above[j] + 1, row[j - 1] + 1))
-        cost.append(row)
-    end = min(range(width), key=lambda j: (cost[-1][j], -j))
+    differences: edit distance over words, free at both ends of the block, in which words that tell licenses
+    apart have no part. Among equals the stretch that ends last, read with as many words in place as can be."""
+    block, wanted = list(map(normal, block)), list(map(normal, wanted))
+    notice, known = len(wanted) <= NOTICE_WORDS, {}
+    codes, wanted_codes = (np.array([known.setdefault(w, len(known)) for w in ws], np.int32) for ws in (block, wanted))
+    put_in = np.where(fixed_words(block, notice), OVER, 1)
+    left_out = np.where(fixed_words(wanted, notice), OVER, 1)
+    paid = np.concatenate([[0], np.cumsum(put_in)])
+    cost = np.zeros((len(wanted) + 1, len(block) + 1), np.int16)
+    over = limit + 1  # larger costs need not be told apart
+    row = np.zeros(len(block) + 1, np.int64)
+    for i, w in enumerate(wanted_codes):
+        here = row + left_out[i]
+        np.minimum(here[1:], row[:-1] + np.where(codes == w, 0, np.maximum(put_in, left_out[i])), out=here[1:])
+        row = np.minimum(np.minimum.accumulate(here - paid) + paid, over)
+        cost[i + 1] = row
+    end = len(block) - int(cost[-1][::-1].argmin())
     if cost[-1][end] > limit:
         return None
     i, j, notes = len(wanted), end, []
     while i:
         here = cost[i][j]
-        if j and here == cost[i - 1][j - 1] + (block[j - 1] != wanted[i - 1]):
+        if j and here == cost[i - 1][j - 1] + (0 if block[j - 1] == wanted[i - 1] else max(put_in[j - 1], left_out[i - 1])):
             i, j = i - 1, j - 1
             if block[j] != wanted[i]:
                 notes.append(f"{wanted[i]}>{block[j]}")
-        elif here == cost[i - 1][j] + 1:
+        elif here == cost[i - 1][j] + left_out[i - 1]:
             i -= 1
             notes.append(f"-{wanted[i]}")
         else:
@@ -79,7 +116,7 @@ class Scanner:
             self.primed[n] = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw)
         self.anchors: dict[tuple[str, ...], list[tuple[str, int]]] = {}
         for n in self.names:
-            words, pieces = self.words[n], self.limit(n) + 1
+            words, pieces = list(map(normal, self.words[n])), self.limit(n) + 1
             cuts = [len(words) * k // pieces for k in range(pieces + 1)]
             for low, high in zip(cuts, cuts[1:]):
                 size = min(3, high - low)
@@ -134,7 +171,7 @@ class Scanner:
         if not any(h in lowered for h in self.hints):
             return []
         spans = [m.span() for m in WORD.finditer(text)]
-        words = [text[a:b].lower() for a, b in spans]
+        words = [normal(text[a:b]) for a, b in spans]
         won = set()
         for first, end in self.blocks(words):
             if best := self.winner(words[first:end]):

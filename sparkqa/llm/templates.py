@@ -50,3 +50,46 @@ TEMPLATES: dict[str, str] = {
     "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     "All-rights-reserved": "All rights reserved.",
 }
+
+_GNU_HEADER = (
+    "This {what} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {name} as published "
+    "by the Free Software Foundation{comma} {version} This {what} is distributed in the hope that it will be useful, but "
+    "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.")
+_LATER = "either version {0} of the License, or (at your option) any later version."
+_ONLY = "version {0} of the License."
+_GPL, _AGPL, _LGPL = "General Public License", "Affero General Public License", "Lesser General Public License"
+_LIBRARY = "Library General Public License"
+
+
+def _gnu(what: str, name: str, version: str, later: str = _LATER) -> str:
+    return _GNU_HEADER.format(what=what, stop=":" if version == "3" else ";", name=name, comma="," if version == "3" else ";",
+                              version=later.format(version))
+
+
+TEMPLATES |= {
+    "GPL-1.0": _gnu("program", _GPL, "1"),
+    "GPL-2.0": _gnu("program", _GPL, "2"),
+    "GPL-2.0-only": _gnu("program", _GPL, "2", _ONLY),
+    "GPL-3.0-only": _gnu("program", _GPL, "3", _ONLY),
+    "AGPL-3.0": _gnu("program", _AGPL, "3"),
+    "LGPL-2.0": _gnu("library", _LIBRARY, "2").partition(" This library is distributed")[0],
+    "LGPL-3.0": _gnu("library", _LGPL, "3").partition(" This library is distributed")[0],
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-2.0-notice": "This work is licensed under the GNU Library General Public License, version 2.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "Apache-1.1-notice": "Licensed under the Apache License, Version 1.1.",
+}
+
+#: Creative Commons: the sentence of the deed, and the short form by abbreviation.
+for _kind, _words in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial",
+                      "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+                      "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items():
+    for _version, _area in {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0": "Generic"}.items():
+        _named = _words if _version == "4.0" else _words.replace("NoDerivatives", "NoDerivs")
+        for _name, _text in ((f"CC-{_kind}-{_version}-deed",
+                              f"This work is licensed under a Creative Commons {_named} {_version} {_area} License."),
+                             (f"CC-{_kind}-{_version}-short", f"Licensed under CC {_kind} {_version}.")):
+            if _text not in TEMPLATES.values():  # some have names above
+                TEMPLATES[_name] = _text

@@ -72,3 +72,38 @@ def test_edge_rows(spark):
     assert [r.license for r in licenses.licenses(extra.limit(1), templates={"own": "released under"}).collect()] == ["own"]
     with pytest.raises(ValueError):
         licenses.Scanner({"none": "..."})
+
+
+@pytest.mark.parametrize("text, name", [
+    (TEMPLATES["GPL-3.0"].replace("version 3", "version 2"), "GPL-2.0"),
+    (TEMPLATES["GPL-3.0"].replace("GNU General", "GNU Affero General"), "AGPL-3.0"),
+    (TEMPLATES["GPL-3.0"].replace("version 3", "version 2").replace("GNU General", "GNU Library General"), "LGPL-2.0"),
+    (TEMPLATES["LGPL-2.1"].replace("2.1", "3"), "LGPL-3.0"),
+    ("GNU General Public License, version 2.", "GPL-2.0-notice"),
+    ("GNU Lesser General Public License, version 2.1.", "LGPL-2.1-notice"),
+    ("Creative Commons Attribution 3.0 Unported License", "CC-BY-3.0-deed"),
+    ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0-deed"),
+    ("Creative Commons Attribution-NoDerivatives 4.0 International License", "CC-BY-ND-4.0-deed"),
+    ("Creative Commons Attribution-ShareAlike 2.5 Generic License", "CC-BY-SA-2.5-deed"),
+])
+def test_words_that_tell_licenses_apart_are_no_noise(text, name):
+    if len(text) < 100:
+        text = f"This work is licensed under {'the' if text.startswith('GNU') else 'a'} {text}"
+    assert [f[0] for f in SCANNER.scan("Some words before. " + text + " And after.")] == [name]
+    assert [n for n in SCANNER.names if holds(text, n)] == [name]
+
+
+@pytest.mark.parametrize("text", [
+    TEMPLATES["GPL-3.0"].replace("version 3", "version 9"), TEMPLATES["Apache-2.0"].replace("Version 2.0", "Version 1.0"),
+    "This work is licensed under a Creative Commons Attribution 9.0 International License.",
+    "This work is licensed under a Creative Commons 4.0 International License.",
+    TEMPLATES["GPL-3.0"].replace("version 3", "version"), TEMPLATES["GPL-2.0"].replace("version 2", "version 2.5"),
+])
+def test_unknown_versions_are_not_reported_as_known_ones(text):
+    assert SCANNER.scan(text) == []
+
+
+def test_versions_are_read_alike():
+    for version in ("version 2", "Version 2.0", "version v2"):
+        ((name, _, _, _, notes),) = SCANNER.scan(f"This work is licensed under the GNU General Public License, {version}.")
+        assert name == "GPL-2.0-notice" and not notes
