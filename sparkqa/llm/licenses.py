@@ -12,11 +12,15 @@
 Words are runs of ASCII letters and digits in lower case, so punctuation, line breaks and case don't matter; a dotted
 number is one word, and ``2.0`` and ``v2`` read as ``2``. Words that tell one license from another (version numbers,
 Affero, Lesser, ShareAlike, ...) are no noise: they are never left out, put in or replaced.
+
+Notices ("licensed under the X, version n", ``notice``) are found by their names: every word that isn't ``GENERIC`` has
+to be there, names in one piece, and about half as many generic words as the template has words may differ.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,8 +43,14 @@ VERSION = re.compile(r"\d{1,2}(?:\.\d+)*|(?:cc|[al]?gplv?)\d[\d.]*")
 #: In templates with more words, numbers other than those after "version" may be of sections, lists or years.
 NOTICE_WORDS = 40
 OVER = 1 << 20
+#: Notices have so many words at most; around their names these may be left out, put in or replaced.
+SHORT_WORDS = 15
+GENERIC = frozenset("""a all an and any are as available be by code conditions content copyright data distributed documentation file
+    files following generic has have in international is it its library licence licenced license licensed made material may of
+    offered package program project provided published redistributed released repository shared software source terms text that
+    the these this to unported used v version was were which work works""".split()) - {"by"}
 LEVEL = 3
-MEMO_BLOCKS = 20_000
+MEMO_WORDS = 1_000_000
 
 FINDING = pa.schema([("id", pa.int64()), ("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
                      ("reduction", pa.float64()), ("n_differences", pa.int32()), ("differences", pa.string())])
@@ -64,15 +74,30 @@ def fixed_words(words: list[str], notice: bool) -> np.ndarray:
                         for b, w in zip(before, words)), bool, len(words))
 
 
+def name_words(words: list[str]) -> np.ndarray | None:
+    """Which (normal) words of a notice are its names, or None if ``words`` are no notice: a short text
+    with "under" and a name. "License" is part of a name without version."""
+    if len(words) > SHORT_WORDS or "under" not in words:
+        return None
+    version = any(VERSION.fullmatch(w) for w in words)
+    names = np.array([w not in GENERIC or w in ("license", "licence") and not version for w in words])
+    names |= fixed_words(words, True)
+    return names if sum(names) > words.count("under") else None
+
+
 def align(block: list[str], wanted: list[str], limit: int) -> tuple[int, int, list[str]] | None:
     """(first, end, differences) of the stretch of ``block`` nearest to ``wanted``, or None if over ``limit``
     differences: edit distance over words, free at both ends of the block, in which words that tell licenses
-    apart have no part. Among equals the stretch that ends last, read with as many words in place as can be."""
+    apart (in notices: all but generic words) have no part. Among equals the stretch that ends last, read with
+    as many words in place as can be."""
     block, wanted = list(map(normal, block)), list(map(normal, wanted))
-    notice, known = len(wanted) <= NOTICE_WORDS, {}
+    notice, known, names = len(wanted) <= NOTICE_WORDS, {}, name_words(wanted)
     codes, wanted_codes = (np.array([known.setdefault(w, len(known)) for w in ws], np.int32) for ws in (block, wanted))
-    put_in = np.where(fixed_words(block, notice), OVER, 1)
-    left_out = np.where(fixed_words(wanted, notice), OVER, 1)
+    if names is None:
+        put_in, left_out = (np.where(fixed_words(ws, notice), OVER, 1) for ws in (block, wanted))
+    else:
+        put_in = np.where(fixed_words(block, True) | np.array([w not in GENERIC for w in block], bool), OVER, 1)
+        left_out = np.where(names, OVER, 1)
     paid = np.concatenate([[0], np.cumsum(put_in)])
     cost = np.zeros((len(wanted) + 1, len(block) + 1), np.int16)
     over = limit + 1  # larger costs need not be told apart
@@ -80,7 +105,9 @@ def align(block: list[str], wanted: list[str], limit: int) -> tuple[int, int, li
     for i, w in enumerate(wanted_codes):
         here = row + left_out[i]
         np.minimum(here[1:], row[:-1] + np.where(codes == w, 0, np.maximum(put_in, left_out[i])), out=here[1:])
-        row = np.minimum(np.minimum.accumulate(here - paid) + paid, over)
+        if names is None or not whole_names(wanted, names, i):
+            here = np.minimum.accumulate(here - paid) + paid
+        row = np.minimum(here, over)
         cost[i + 1] = row
     end = len(block) - int(cost[-1][::-1].argmin())
     if cost[-1][end] > limit:
@@ -101,6 +128,11 @@ def align(block: list[str], wanted: list[str], limit: int) -> tuple[int, int, li
     return j, end, notes[::-1]
 
 
+def whole_names(wanted: list[str], names: np.ndarray, i: int) -> bool:
+    """Whether nothing may stand between word ``i`` of a notice and the next one: both are of one name."""
+    return i + 1 < len(wanted) and names[i] and names[i + 1] and wanted[i] != "under"
+
+
 class Scanner:
     """Templates with their anchors and compressors."""
 
@@ -109,30 +141,41 @@ class Scanner:
         self.words = {n: [w.lower() for w in WORD.findall(templates[n])] for n in self.names}
         if not all(self.words.values()):
             raise ValueError("a template needs at least one word")
+        self.normal = {n: list(map(normal, self.words[n])) for n in self.names}
+        self.counts = {n: Counter(self.normal[n]) for n in self.names}
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
-        self.primed = {}
-        for n in self.names:
-            raw = zstandard.ZstdCompressionDict(" ".join(self.words[n]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.primed[n] = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw)
+        self.raw = {n: zstandard.ZstdCompressionDict(" ".join(self.words[n]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                    for n in self.names}
         self.anchors: dict[tuple[str, ...], list[tuple[str, int]]] = {}
+        self.notices = set()
         for n in self.names:
-            words, pieces = list(map(normal, self.words[n])), self.limit(n) + 1
-            cuts = [len(words) * k // pieces for k in range(pieces + 1)]
+            words, pieces, names = self.normal[n], self.limit(n) + 1, name_words(self.normal[n])
+            if names is None:
+                cuts = [len(words) * k // pieces for k in range(pieces + 1)]
+            else:  # the names are there whatever differs, so one anchor will do
+                self.notices.add(n)
+                cuts = max(name_runs(words, names), key=lambda r: (letters(words[r[0]:r[1]]), -r[0]))
             for low, high in zip(cuts, cuts[1:]):
                 size = min(3, high - low)
-                at = max(range(low, high - size + 1), key=lambda i: (sum(map(len, words[i:i + size])), -i))
+                at = max(range(low, high - size + 1), key=lambda i: (letters(words[i:i + size]), -i))
                 self.anchors.setdefault(tuple(words[at:at + size]), []).append((n, at))
+        self.limits = {n: self.limit(n) for n in self.names}
+        self.needed = {n: {w for w, k in zip(self.normal[n], name_words(self.normal[n])) if k} if n in self.notices else () for n in self.names}
+        self.places = {n: (at, len(a)) for a, found in self.anchors.items() for n, at in found if n in self.notices}
         self.sizes = sorted({len(a) for a in self.anchors})
-        # a document without the longest word of any anchor has no anchor
-        self.hints = sorted({max(a, key=len) for a in self.anchors})
-        self.memo: dict[tuple[str, ...], tuple | None] = {}
+        # a document without a word of each anchor has no anchor
+        self.hints = {max(a, key=lambda w: (w.isalpha(), len(w))) for a in self.anchors}
+        self.memo: dict[tuple, tuple | None] = {}
+        self.memo_words = 0
 
     def limit(self, name: str) -> int:
-        return len(self.words[name]) // WORDS_PER_DIFFERENCE
+        m = len(self.words[name])
+        return m // WORDS_PER_DIFFERENCE if name_words(list(map(normal, self.words[name]))) is None else (m + 3) // 2
 
-    def blocks(self, words: list[str]) -> set[tuple[int, int]]:
-        """Stretches (first, end) of ``words`` that may hold a template; of one template, those that overlap
-        by more than the room for differences are one stretch."""
+    def blocks(self, words: list[str]) -> set[tuple[int, int, tuple[str, ...]]]:
+        """Stretches (first, end, templates) of ``words`` that may hold one of the templates (notices of one name,
+        or any that is no notice); of one template, those that overlap by more than the room for differences are
+        one stretch. A notice holds its anchor once, so its stretch ends at the anchors beside it."""
         starts: dict[str, set[int]] = {}
         for size in self.sizes:
             for i, gram in enumerate(zip(*(words[k:] for k in range(size)))):
@@ -140,26 +183,52 @@ class Scanner:
                     starts.setdefault(name, set()).add(i - at)
         out = set()
         for name, found in starts.items():
-            room, m = self.limit(name), len(self.words[name])
+            room, m = self.limits[name], len(self.words[name])
+            if m - room > len(words):
+                continue
+            if name in self.notices:
+                at, size = self.places[name]
+                hits = [-size, *(s + at for s in sorted(found)), len(words)]
+                for before, hit, after in zip(hits, hits[1:], hits[2:]):
+                    low, high = max(hit - at - room, before + 1, 0), min(hit - at + m + room, after + size - 1, len(words))
+                    if self.possible(name, Counter(words[low:high])):
+                        out.add((low, high, (name,)))
+                continue
             for first, last in grouped(sorted(found), room):
-                out.add((max(first - room, 0), min(last + m + room, len(words))))
+                low, high = max(first - room, 0), min(last + m + room, len(words))
+                counts = Counter(words[low:high])
+                if self.possible(name, counts):
+                    out.add((low, high, tuple(n for n in self.names if n not in self.notices and self.possible(n, counts))))
         return out
 
-    def rank(self, block: list[str]) -> list[tuple[float, str]]:
+    def possible(self, name: str, counts: Counter) -> bool:
+        """Whether enough words of the template are among ``counts`` for it to be confirmed."""
+        missing = 0
+        for w, n in self.counts[name].items():
+            if n > (here := counts[w]):
+                missing += n - here
+                if missing > self.limits[name] or w in self.needed[name]:
+                    return False
+        return True
+
+    def rank(self, block: list[str], names: tuple[str, ...]) -> list[tuple[float, str]]:
         """(size reduction, template), largest first."""
         raw = " ".join(block).encode()
         alone = len(self.plain.compress(raw))
-        return sorted(((1 - len(self.primed[n].compress(raw)) / alone, n) for n in self.names), key=lambda r: (-r[0], r[1]))
+        sizes = {n: len(zstandard.ZstdCompressor(level=LEVEL, dict_data=self.raw[n]).compress(raw)) for n in names}
+        return sorted(((1 - sizes[n] / alone, n) for n in names), key=lambda r: (-r[0], r[1]))
 
-    def winner(self, block: list[str]) -> tuple | None:
+    def winner(self, block: list[str], names: tuple[str, ...]) -> tuple | None:
         """(template, first, end, reduction, differences) of the best ranked template that is confirmed."""
-        key = tuple(block)
+        key = (names, *block)
         if key not in self.memo:
-            if len(self.memo) >= MEMO_BLOCKS:
+            self.memo_words += len(key)
+            if self.memo_words > MEMO_WORDS:
                 self.memo.clear()
+                self.memo_words = len(key)
             self.memo[key] = None
-            for reduction, name in self.rank(block):
-                if found := align(block, self.words[name], self.limit(name)):
+            for reduction, name in self.rank(block, names):
+                if found := align(block, self.words[name], self.limits[name]):
                     self.memo[key] = (name, found[0], found[1], reduction, found[2])
                     break
         return self.memo[key]
@@ -167,14 +236,13 @@ class Scanner:
     def scan(self, text: str) -> list[tuple]:
         """Findings (template, start, end, reduction, differences) of a text in order, by character; of
         overlapping ones the one with more words stays, then the larger reduction."""
-        lowered = text.lower()
-        if not any(h in lowered for h in self.hints):
+        if self.hints.isdisjoint(map(str.lower, WORD.findall(text))):
             return []
         spans = [m.span() for m in WORD.finditer(text)]
         words = [normal(text[a:b]) for a, b in spans]
         won = set()
-        for first, end in self.blocks(words):
-            if best := self.winner(words[first:end]):
+        for first, end, names in self.blocks(words):
+            if best := self.winner(words[first:end], names):
                 name, low, high, reduction, notes = best
                 won.add((first + low, first + high, name, reduction, tuple(notes)))
         kept: list[tuple] = []
@@ -184,6 +252,22 @@ class Scanner:
         return [(name, spans[low][0], spans[high - 1][1], reduction, notes) for low, high, name, reduction, notes in sorted(kept)]
 
 
+def letters(words: list[str]) -> int:
+    return sum(map(len, words))
+
+
+def name_runs(words: list[str], names: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of the names of a notice, "under" apart."""
+    first = None
+    for i, w in enumerate([*words, "under"]):
+        inside = i < len(words) and names[i] and w != "under"
+        if inside and first is None:
+            first = i
+        elif not inside and first is not None:
+            yield first, i
+            first = None
+
+
 def grouped(starts: list[int], room: int) -> Iterator[tuple[int, int]]:
     """(first, last) of runs of sorted ``starts`` whose first and last lie at most 2 x ``room`` apart: what
     differences can move the anchors of one occurrence."""
@@ -200,9 +284,9 @@ def grouped(starts: list[int], room: int) -> Iterator[tuple[int, int]]:
 
 
 @lru_cache(maxsize=2)
-def scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
-    """One scanner per Python worker and set of templates."""
-    return Scanner(dict(templates))
+def scanner(templates: tuple[tuple[str, str], ...] | None) -> Scanner:
+    """One scanner per Python worker and set of templates (None: those of the package)."""
+    return Scanner(TEMPLATES if templates is None else dict(templates))
 
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
@@ -212,7 +296,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
 
     Null and empty texts have none. Rows without id and repeated rows are scanned like any other;
     an empty table gives an empty result. Texts are scanned where they are read: nothing is shuffled."""
-    known = tuple(sorted((TEMPLATES if templates is None else templates).items()))
+    known = None if templates is None else tuple(sorted(templates.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(known).scan

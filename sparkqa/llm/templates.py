@@ -1,7 +1,10 @@
-"""License texts that the scan knows: short notices and headers, by SPDX-like name.
+"""License texts that the scan knows, by SPDX-like name: notices and headers here, whole texts
+(``<name>-text``) in ``license_texts/``.
 
 Fixed values: public license wording."""
 
+from importlib import resources
+
 TEMPLATES: dict[str, str] = {
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -93,3 +96,30 @@ for _kind, _words in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "B
                              (f"CC-{_kind}-{_version}-short", f"Licensed under CC {_kind} {_version}.")):
             if _text not in TEMPLATES.values():  # some have names above
                 TEMPLATES[_name] = _text
+
+#: Licenses as notices call them: "licensed under [the] X [version n]" in any of its forms.
+for _name, _called in {
+    "BSD-2-Clause": "the BSD 2-Clause License", "BSD-3-Clause": "the BSD 3-Clause License", "BSD": "the BSD License",
+    "ISC": "the ISC License", "zlib": "the zlib License", "Unlicense": "the Unlicense", "BSL-1.0": "the Boost Software License, Version 1.0",
+    "MPL-1.1": "the Mozilla Public License, Version 1.1", "MPL-2.0": "the Mozilla Public License, Version 2.0",
+    "MPL-1.1-abbreviated": "the MPL 1.1", "MPL-2.0-abbreviated": "the MPL 2.0",
+    "EPL-1.0": "the Eclipse Public License, Version 1.0", "EPL-2.0": "the Eclipse Public License, Version 2.0",
+    "Artistic-1.0": "the Artistic License 1.0", "Artistic-2.0": "the Artistic License 2.0",
+    "GFDL-1.2": "the GNU Free Documentation License, Version 1.2", "GFDL-1.3": "the GNU Free Documentation License, Version 1.3",
+    "CC0-1.0-abbreviated": "CC0 1.0",
+    "GPL-1.0": "the GNU General Public License, version 1",
+}.items():
+    TEMPLATES[f"{_name}-notice"] = f"Licensed under {_called}."
+for _kind, _full, _versions in (("GPL", _GPL, "1 2 3"), ("AGPL", _AGPL, "3"), ("LGPL", _LGPL, "2.1 3")):
+    for _version in _versions.split():
+        _name = f"{_kind}-{_version if '.' in _version else _version + '.0'}"
+        TEMPLATES |= {
+            f"{_name}-notice-of": f"Licensed under version {_version} of the GNU {_full}.",
+            f"{_name}-notice-gnu": f"Licensed under the GNU {_kind}, version {_version}.",
+            f"{_name}-notice-abbreviated": f"Licensed under the {_kind}, version {_version}.",
+            f"{_name}-notice-gnu-v": f"Licensed under the GNU {_kind}v{_version}.",
+            f"{_name}-notice-v": f"Licensed under the {_kind}v{_version}.",
+        }
+
+for _file in sorted(resources.files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
+    TEMPLATES[_file.name.removesuffix(".txt") + "-text"] = _file.read_text(encoding="utf-8")

@@ -107,3 +107,49 @@ def test_versions_are_read_alike():
     for version in ("version 2", "Version 2.0", "version v2"):
         ((name, _, _, _, notes),) = SCANNER.scan(f"This work is licensed under the GNU General Public License, {version}.")
         assert name == "GPL-2.0-notice" and not notes
+
+
+@pytest.mark.parametrize("text, name", [
+    ("Licensed under the MIT License.", "MIT-notice"), ("Distributed under the terms of the MIT License", "MIT-notice"),
+    ("Licensed under the Apache License 2.0.", "Apache-2.0-notice"), ("released under Apache 2.0", "Apache-2.0-notice"),
+    ("Distributed under the Apache License, version 2", "Apache-2.0-notice"),
+    ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0-short"), ("Shared under the CC BY-NC-ND 3.0 license", "CC-BY-NC-ND-3.0-short"),
+    ("This file is released under the GNU General Public License v2", "GPL-2.0-notice"),
+    ("Released under version 2 of the GNU General Public License.", "GPL-2.0-notice-of"),
+    ("made available under the GPLv3", "GPL-3.0-notice-v"), ("licensed under the BSD 2-clause license", "BSD-2-Clause-notice"),
+    ("The content is published under the Mozilla Public License 2.0", "MPL-2.0-notice"),
+])
+def test_notices_are_found_in_any_form(text, name):
+    for around in ("{}", "Some words before. {} And after.", "{}\n{}\n{}"):
+        whole = around.format(*[text] * 3)
+        found = SCANNER.scan(whole)
+        assert [f[0] for f in found] == [name] * around.count("{}")
+        assert all("under" in whole[start:end].lower() for _, start, end, _, _ in found)
+
+
+@pytest.mark.parametrize("text", ["Some rights reserved.", "Released under the XYZ License.", "Under the bridge, the license of a poet.",
+                                  "Licensed under Apache 3.0", "Licensed under the CC BY license", "mit under license"])
+def test_other_words_are_no_notices(text):
+    assert SCANNER.scan(text) == []
+
+
+def test_notices_side_by_side_are_all_found():
+    text = "Licensed under CC BY 4.0. Released under the MIT License; distributed under Apache 2.0, under the MIT license"
+    assert [f[0] for f in SCANNER.scan(text)] == ["CC-BY-4.0-short", "MIT-notice", "Apache-2.0-notice", "MIT-notice"]
+
+
+def test_whole_texts_may_differ_within_the_limit():
+    rng = random.Random(6)
+    for name in ("MIT-text", "Apache-2.0-text", "GPL-2.0-text"):
+        words = list(SCANNER.words[name])
+        fixed = licenses.fixed_words(list(map(licenses.normal, words)), False)
+        free = [i for i, f in enumerate(fixed) if not f and 2 < i < len(words) - 3]
+        for at in rng.sample(free, SCANNER.limit(name)):
+            words[at] = "zzz" + str(at)
+        ((won, _, _, _, notes),) = SCANNER.scan("lead in " * 300 + " ".join(words) + " tail" * 300)
+        assert won == name and len(notes) == SCANNER.limit(name)
+
+
+def test_three_clauses_are_not_two():
+    assert [f[0] for f in SCANNER.scan(TEMPLATES["BSD-3-Clause-text"].replace("the copyright holder", "a " * 15))] != ["BSD-2-Clause-text"]
+    assert [f[0] for f in SCANNER.scan(TEMPLATES["GPL-3.0-text"])] == ["GPL-3.0-text"]
