@@ -74,14 +74,16 @@ def fingerprint_batch(words: int):
             each = [shingle_hashes(t, words) for t in batch.column(1).slice(at, 500).to_pylist()]
             flat = np.array([h for hashes in each for h in hashes], np.uint64)
             prints.append(majority(flat, np.array([len(hashes) for hashes in each])))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(prints).view(np.int64))], ["id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(prints).view(np.int64)), *batch.columns[2:]],
+                                          ["id", "fp", *batch.schema.names[2:]])
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = SHINGLE) -> DataFrame:
-    """(id long, fp long: the 64 bits as a signed number); null texts count as empty: fingerprint 0."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .mapInArrow(by_batch(fingerprint_batch(words)), "id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = SHINGLE, **longs: Column) -> DataFrame:
+    """(id long, fp long: the 64 bits as a signed number, ``longs``); null texts count as empty: fingerprint 0."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
+                       *[c.cast("long").alias(n) for n, c in longs.items()]) \
+        .mapInArrow(by_batch(fingerprint_batch(words)), ", ".join(f"{n} long" for n in ("id", "fp", *longs)))
 
 
 def _hook(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
@@ -175,6 +177,13 @@ def fingerprint_links(prints: DataFrame, bits: int = MAX_BITS, list_rows: int =
     return listed.repartition("list").sortWithinPartitions("list").mapInArrow(link_lists(bits), "a long, b long")
 
 
+def with_roots(classes: DataFrame, bits: int = MAX_BITS, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(fp, first, root) for ``classes`` (fp, first), one row per fingerprint: ``root`` names its component."""
+    roots = components(fingerprint_links(classes.select("fp"), bits, list_rows)) \
+        .select(F.col("node").alias("fp"), "root")
+    return classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE,
                     bits: int = MAX_BITS, list_rows: int = LIST_ROWS) -> DataFrame:
     """One row per row of ``docs``: id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest
@@ -185,9 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it has an id. Repeated rows are in the same component; an empty table gives an empty result."""
     rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
     classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "fingerprint-classes")
-    roots = components(fingerprint_links(classes.select("fp"), bits, list_rows)) \
-        .select(F.col("node").alias("fp"), "root")
-    placed = classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = with_roots(classes, bits, list_rows)
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.select("fp", "root").join(names, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -195,9 +202,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component (the smallest id) left; columns unchanged.
-    Rows without an id go unless no row of their component has one."""
-    key = fresh(docs, "_keep")
-    keep = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))) \
-        .select(F.col(id_col).alias(key)).distinct()
-    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_semi")
+    """``docs`` with one row of each component left: that of the smallest id, of rows with one id that of the
+    smallest text hash, of equal rows any; columns unchanged. A row without an id stays only if no row of its
+    component has one. Rows are written once with a key, so that the one left is the one decided on."""
+    key = fresh(docs, "_row")
+    written = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "near-rows")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = fingerprints(written, id_col, text_col, raw=F.xxhash64(text), row=F.col(key))
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "raw", "row")).alias("first")
+    classes = materialize(rows.groupBy("fp").agg(first), "fingerprint-classes")
+    keep = with_roots(classes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(key))
+    return written.join(keep, key, "left_semi").drop(key)

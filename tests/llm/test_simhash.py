@@ -52,6 +52,20 @@ def test_dropping_keeps_one_of_each_component(spark):
     assert {r.doc_id for r in left.collect()} == {c for _, _, c in brute([(r.doc_id, r.text) for r in docs.collect()])}
 
 
+def test_dropping_keeps_one_row_of_each_component(spark):
+    """One id on several texts, rows repeated with id and text, and rows without id."""
+    lorem = [f"word{i}" for i in range(400)]
+    near = [" ".join(lorem[:390] + [f"tail{n}"]) for n in range(3)]
+    assert len({fingerprint(t) for t in near}) > 1
+    docs = [(1, near[0]), (1, near[1]), (1, near[0]), (2, near[2]), (7, "alone here"), (7, "alone here"), (7, "quite another text"),
+            (None, near[0]), (None, "no name at all"), (None, "no name at all"), (None, "nor has this one a name")]
+    left = simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left if r.text not in near) == [
+        (0, "no name at all"), (0, "nor has this one a name"), (7, "alone here"), (7, "quite another text")]
+    assert len({c for _, _, c in brute([(1, t) for t in near])}) == 1
+    assert [r.doc_id for r in left if r.text in near] == [1]
+
+
 @pytest.mark.parametrize("list_rows", [simhash.LIST_ROWS, 8])
 def test_links_lose_no_component(spark, list_rows):
     """Dense and sparse fingerprints, with posting lists whole and cut into blocks."""
