@@ -80,3 +80,23 @@ def test_few_rows_and_none(spark):
     assert curves.nearest(spark.createDataFrame([], FLOATS)).collect() == []
     assert curves.nearest(spark.createDataFrame([(0, None, 1), (50, [0.0], 1)], FLOATS)).collect() == []
     assert curves.nearest(df.where("vec_id = 0")).collect() == []
+
+
+def test_scaled_copies_tie_to_the_smaller_id(spark):
+    rows = [(i, [(2.0 ** (i % 60)) * c for c in (1.0, 2.0, 3.0)]) for i in range(100, 40, -1)] + [(i, [1.0, float(i), 0.0]) for i in range(20)]
+    rows += [(i, [3.0 * i, 2.0 * i, float(i)]) for i in range(200, 260)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got, want = lists(curves.nearest(df, every=10, window=10_000, curves=2)), brute(rows, 10, 5)
+    assert {q: [i for i, _ in found] for q, found in got.items()} == {q: [i for i, _ in found] for q, found in want.items()}
+
+
+def test_ties_are_scored_in_bounded_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.standard_normal((4, 3)), 30, 0) * 2.0 ** rng.integers(-3, 4, (120, 1))
+    ids = rng.permutation(120)
+    whole = [a.tolist() for a in curves.best_of(x, x, ids, None, 6)]
+    monkeypatch.setattr(curves, "PAIRS", 50)
+    assert [a.tolist() for a in curves.best_of(x, x, ids, None, 6)] == whole
+    for n in range(120):
+        mine = [ids[r] for q, r in zip(*whole[:2]) if q == n]
+        assert mine == sorted(ids[n // 30 * 30:n // 30 * 30 + 30])[:6]
