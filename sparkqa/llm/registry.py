@@ -69,7 +69,7 @@ def op6_simhash_components(spark, sf):
 def op7_sentencepiece_ids(spark, sf):
     path = public_tokenizers.path("piece_bpe_32k.model")
     found = pieces.encode(table(spark, sf, "documents"), path, "bpe", keep_text=False, verify=True)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
+    return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
 @query

@@ -26,6 +26,12 @@ def test_documents_match_the_library(spark, library):
     assert len(found) == table(spark, SF_SMALL, "documents").count() and all(r.round_trip for r in found)
 
 
+def test_query_returns_the_ids(spark, library):
+    texts = {r.doc_id: r.text for r in table(spark, SF_SMALL, "documents").collect()}
+    for r in registry.QUERIES["op7_sentencepiece_ids"](spark, SF_SMALL).collect():
+        assert r.ids == library.encode(texts[r.doc_id]) and len(r.ids) == r.n_ids
+
+
 def test_random_texts_match_the_library(library):
     mine, rng = pieces.Pieces.load(PATH, "bpe"), random.Random(3)
     alphabet = list("   abcdeéü東🙂\n\t.<0x'\x00") + ["the", "ing", "  ", "tion"]
