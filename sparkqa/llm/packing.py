@@ -158,10 +158,11 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, id_col: st
     A document is its ids and ``end_id``; null and empty texts are one piece of length 1. Rows without
     an id and repeated rows are packed like any other; an empty table gives an empty result."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialize(texts.mapInArrow(cut_documents(ranks_path, pattern, end_id, capacity), PIECES), "pieces")
+    pieces = materialize(texts.mapInArrow(cut_documents(ranks_path, pattern, end_id, capacity), PIECES)
+                         .withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     where = places(plan(histogram, capacity))
-    mixed = pieces.withColumn("bucket", hash_bucket(F.xxhash64("id", "piece"), buckets_for(pieces, sum(histogram.values()))))
+    mixed = pieces.withColumn("bucket", hash_bucket(F.xxhash64("id", "piece", "row"), buckets_for(pieces, sum(histogram.values()))))
     ranked = rank_in_groups(mixed, ["length"], "bucket", ["id", "piece", "ids_crc32"]) \
         .select("id", "piece", "start", "length", "ids_crc32", "rank")
     placed = ranked.mapInArrow(by_batch(place_batch(where)), f"{PIECES}, sequence_id long, offset long")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import materialize, parallelism
 
 ROWS_PER_BUCKET = 100_000
 
@@ -28,10 +28,23 @@ def hash_bucket(hashed: Column, buckets: int) -> Column:
     return F.shiftright(top * F.lit(buckets), 32).cast("int")
 
 
+def split_hot(rows: DataFrame, buckets: int, total: int, hot_id: str, mix: str, row: str) -> DataFrame:
+    """``rows`` with ``bucket``: the hash bucket of ``mix``, and for an id with more rows than a bucket holds on
+    average, buckets of its own right behind that one, dealt by the written row number ``row``. Buckets order as structs, so ranks
+    depend on ``mix`` alone, but for the rows of one hot id among each other."""
+    size = max(total // buckets, 1)
+    hot = materialize(rows.groupBy(F.col(hot_id).alias("_hot")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > size), "hot-ids")
+    dealt = F.pmod(F.xxhash64(row), F.ceil(F.col("_rows") / size)).cast("int") + 1
+    split = F.col("_rows").isNotNull()
+    bucket = F.struct(hash_bucket(F.col(mix), buckets).alias("at"), F.when(split, F.col(mix)).otherwise(F.lit(-(1 << 63))).alias("mix"),
+                      F.when(split, dealt).otherwise(F.lit(0)).alias("part"))
+    return rows.join(hot, F.col(hot_id).eqNullSafe(F.col("_hot")), "left").withColumn("bucket", bucket).drop("_hot", "_rows")
+
+
 def rank_in_groups(df: DataFrame, groups: list[str], bucket: str, order: list[str]) -> DataFrame:
     """Adds ``rank`` (long, gapless from 0 inside each group) and ``group_rows`` (long).
 
-    ``bucket`` is a non-null integer column; rows rank by ``bucket`` first, then by ``order``.
+    ``bucket`` is a non-null column that can be ordered; rows rank by ``bucket`` first, then by ``order``.
     Null group values are a group of their own. ``df`` is read twice, so pass a written or
     otherwise cheap table."""
     counts = df.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias("n"))

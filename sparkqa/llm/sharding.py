@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .ranks import buckets_for, hash_bucket, rank_in_groups
+from .ranks import buckets_for, rank_in_groups, split_hot
 
 ROW_BYTES = 16
 
@@ -23,16 +23,18 @@ ROW_BYTES = 16
 def shard(df: DataFrame, shards: int, source_col: str, id_col: str, seed: int = 1) -> DataFrame:
     """``df`` with ``shard`` (int, 0 to shards-1) and ``slot`` (long, gapless from 0 inside a shard).
 
-    Law ``rows``: counts of any two shards differ by at most one. Rows without a source form a
+    Law ``rows``: counts of any two shards differ by at most one. An id on many rows gets buckets of its own. Rows without a source form a
     stratum of their own, rows without an id come first among equal hashes, repeated rows are rows
     like any other, and an empty table gives an empty result. The order depends on seed, source and id
     only; rows equal in both are interchangeable. Columns of ``df`` named ``shard`` or ``slot`` are
     replaced, all others are carried (written once and read back), so select those needed first."""
     carried = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")])
     rows = materialize(df.select(carried.alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"),
-                                 F.xxhash64(F.lit(seed), F.col(id_col)).alias("mix")), "shard-rows")
-    buckets = buckets_for(rows, rows.count())
-    ranked = rank_in_groups(rows.withColumn("bucket", hash_bucket(F.col("mix"), buckets)), ["source"], "bucket", ["mix", "id"])
+                                 F.xxhash64(F.lit(seed), F.col(id_col)).alias("mix"),
+                                 F.monotonically_increasing_id().alias("at")), "shard-rows")
+    total = rows.count()
+    buckets = buckets_for(rows, total)
+    ranked = rank_in_groups(split_hot(rows, buckets, total, "id", "mix", "at"), ["source"], "bucket", ["mix", "id"])
     # equal fractions of two sources: the seeded hash decides, so no source always comes first
     part = (2 * F.col("rank") + 1) / (2 * F.col("group_rows"))
     placed = materialize(ranked.select("row", "id", "mix", part.alias("part")).withColumn(
