@@ -136,20 +136,33 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFram
         .mapInArrow(by_batch(statistics_batch), "id long, x array<float>")
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
-        folds: int = FOLDS, sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Trees fitted on at most ``sample_rows`` labelled rows (those of smallest hashed id) outside fold 0.
-
-    Several labels of one id count as their largest; null labels and ids don't count."""
+def label_sample(labels: DataFrame, id_col: str, label_col: str, folds: int, sample_rows: int) -> DataFrame:
+    """(id, y) of at most ``sample_rows`` labelled ids (those of smallest hash) outside fold 0. Several labels of one id
+    count as their largest; null labels and ids don't count."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col, folds)) \
         .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = stats.join(sample, "id").select("id", "x", "y").toArrow()
+    return known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+
+
+def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
+        folds: int = FOLDS, sample_rows: int = SAMPLE_ROWS) -> Trees:
+    """Trees fitted on at most ``sample_rows`` rows: one for each id of ``label_sample``, the least statistics if the
+    id stands on several rows (reduced where they lie, before anything is gathered)."""
+    sample = label_sample(labels, id_col, label_col, folds, sample_rows)
+    rows = stats.join(sample, "id").groupBy("id").agg(F.min("x").alias("x"), F.max("y").alias("y")).toArrow()
     order = np.argsort(rows["id"].to_numpy(), kind="stable")
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))[order].astype(float)
     return fit_trees(x, rows["y"].to_numpy()[order].astype(float))
 
 
+def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+                  folds: int = FOLDS, sample_rows: int = SAMPLE_ROWS) -> Trees:
+    """``fit`` for documents whose statistics are not needed otherwise: only the sample's are computed."""
+    sample = materialize(label_sample(labels, id_col, label_col, folds, sample_rows), "label-sample")
+    known = docs.join(sample.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    return fit(document_statistics(known, id_col, text_col), labels, id_col, label_col, folds, sample_rows)
+
+
 def score_batch(model: Trees):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)

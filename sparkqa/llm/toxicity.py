@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import by_batch, materialize
 
 SAMPLE_ROWS = 12_000  # bound on the labelled rows that the weights are fitted on
+SAMPLE_BYTES = 200_000  # longer texts are scored like all others, but not fitted on
 PREFIXES = (4, 5, 6)
 GRADE_STEPS = (3, 6)  # distinct markers from which a toxic document has grade 2 and 3
 MEMO_WORDS = 400_000
@@ -164,15 +165,18 @@ def fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         sample_rows: int = SAMPLE_ROWS) -> Severity:
-    """Model fitted on at most ``sample_rows`` labelled rows (those of smallest hashed id), in one task.
+    """Model fitted on at most ``sample_rows`` labelled rows, in one task: those of smallest hashed id, one row an id (the text of
+    smallest hash if the id stands on several, reduced where the rows lie) of at most SAMPLE_BYTES.
 
     Several labels of one id count as their largest; null labels and ids don't count. The weights are
     few (L1), bounded by the sample, and travel with the scoring function."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()) \
         .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     sample = materialize(known.orderBy(F.xxhash64("id"), "id").limit(sample_rows), "label-sample")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    cells = texts.join(sample, "id").select("id", "text", "y").repartition(1).mapInArrow(fit_task, "kind string, at long, value double") \
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
+        .where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    one = texts.join(sample, "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
+    cells = one.select("id", "text", "y").repartition(1).mapInArrow(fit_task, "kind string, at long, value double") \
         .toArrow().to_pylist()
     weights = {c["at"]: c["value"] for c in cells if c["kind"] == "w"}
     thresholds = [c["value"] for c in sorted(cells, key=lambda c: c["at"]) if c["kind"] == "t"]
