@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.order import with_position
-from .common import crc_of_id, materialize, parallelism
+from .common import SPACE, crc_of_id, materialize, parallelism
 
 STRETCH = 4096  # rows of one key that a window sums in one task
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 27  # counters of a sketch row; at most 2 x 16 MB of bitmaps are sent out
@@ -39,7 +39,7 @@ NO_IDS = hashlib.sha256(b"").hexdigest()
 
 
 def word_count(text: str) -> Column:
-    trimmed = F.regexp_replace(F.col(text), f"^{SPACES}|{SPACES}$", "")
+    trimmed = F.btrim(F.col(text), F.lit(SPACE))
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, SPACES))).cast("long")
 
 
@@ -60,7 +60,8 @@ def turn_digests(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
         .select("conv", "turn", F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256).alias("digest"),
                 word_count("text").alias("words")) \
         .select("conv", "turn", half(F.col("digest"), 1).alias("a"), half(F.col("digest"), 17).alias("b"), "words")
-    placed = with_position(turns, "conv", ["turn", "a", "b"], "depth")
+    # written before they are sorted: sampling the order would digest every text twice
+    placed = with_position(materialize(turns, "turn-marks"), "conv", ["turn", "a", "b"], "depth")
     return materialize(placed.select("conv", (F.col("depth") + 1).alias("depth"), "a", "b", "words"), "turn-digests")
 
 
