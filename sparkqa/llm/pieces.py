@@ -9,8 +9,12 @@ that ends there, and each relaxes the best segmentation of the text so far:
   ends in the one piece that merging would leave beside the last piece before it, so a piece relaxes
   a position only if merging the two leaves them apart. Ids are those of the public library.
 
+Whether merging leaves two pieces apart is read off their merge trees: the last characters of the left one and
+the first ones of the right one grow step by step, and a piece across the border would have to come before the next step on
+either side.
+
 Unknown characters become byte pieces. No piece reaches over the start of a run of spaces, so texts
-are cut there; the ids of the units are remembered in a bounded memo.
+are cut there; the ids of the units are remembered in two generations of bounded size, of which the older is dropped.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import types as T
 from .common import by_batch
 
 SPACE_MARK = "▁"
-MEMO_UNITS = 300_000  # units, and pairs of pieces, that a worker remembers
+MEMO_UNITS = 400_000  # units of each of two generations, and pairs of pieces, that a worker remembers
 UNKNOWN_PENALTY = 10.0
 PAIR = 1 << 32  # more than any piece id: a pair of pieces is one number
 KINDS = ("unigram", "bpe")
@@ -62,8 +66,15 @@ class Pieces:
         # a mark after other characters inside a piece would forbid cutting texts before it
         inner = any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.ids)
         self.units = re.compile("(?s).+" if inner else f"{SPACE_MARK}+[^{SPACE_MARK}]*|[^{SPACE_MARK}]+")
+        self.lengths = [len(p or "") for p in pieces]
+        order = sorted(self.ids.values(), key=lambda i: (-scores[i], i))
+        self.turns: dict[str, int] = {}  # when a piece is merged: equal scores at the same time
+        for n, i in enumerate(order):
+            self.turns[pieces[i]] = self.turns[pieces[order[n - 1]]] if n and scores[order[n - 1]] == scores[i] else n
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.apart: dict[int, bool] = {}
+        self.grown: dict[str, tuple | None] = {}
 
     @classmethod
     def load(cls, path: str, kind: str) -> Pieces:
@@ -91,15 +102,31 @@ class Pieces:
         return b"".join(found)
 
     def unit(self, unit: str) -> bytes:
-        known = self.memo.get(unit)
+        known = self.memo.get(unit) or self.older.get(unit)
         if known is None:
-            known = array("i", self.to_ids(self.segment(unit))).tobytes()
-            if len(unit) <= 64:
-                if len(self.memo) >= MEMO_UNITS:
-                    self.memo.clear()
-                self.memo[unit] = known
+            known = array("i", self.merged_ids(unit) if self.kind == "bpe" else self.to_ids(self.segment(unit))).tobytes()
+        if len(unit) <= 64:
+            if len(self.memo) >= MEMO_UNITS:
+                self.older, self.memo = self.memo, {}
+            self.memo[unit] = known
         return known
 
+    def merged_ids(self, unit: str) -> list[int]:
+        """Ids of the pieces that merging leaves of ``unit``, from its end along the last pieces of its prefixes."""
+        last, out, e = self.last_merged(unit), [], len(unit)
+        while e:
+            code = last[e]
+            if code <= 0:
+                if not self.byte_ids:
+                    return self.to_ids(self.segment(unit))
+                e -= 1
+                out.extend(self.byte_ids[b] for b in reversed(unit[e].encode()))
+            else:
+                out.append(code - 1)
+                e -= self.lengths[code - 1]
+        out.reverse()
+        return out
+
     def to_ids(self, segments: list[str]) -> list[int]:
         """Ids of segments; characters without a piece become bytes, or the unknown id without byte pieces
         (a run of them once)."""
@@ -151,7 +178,11 @@ class Pieces:
 
     def by_merges(self, unit: str) -> list[str]:
         """Last piece that merging leaves of each prefix; '' where that is an unknown character."""
-        last, apart = [0] * (len(unit) + 1), self.apart  # id + 1 of the piece, -code point of an unknown character
+        return [self.pieces[code - 1] if code > 0 else "" for code in self.last_merged(unit)]
+
+    def last_merged(self, unit: str) -> list[int]:
+        """Id + 1 of the last piece that merging leaves of each prefix; not over 0 where that is an unknown character."""
+        last, apart = [0] * (len(unit) + 1), self.apart  # -code point of an unknown character
         for end, (piece, length) in self.matches(unit):
             e = end + 1
             if last[e]:
@@ -165,17 +196,49 @@ class Pieces:
                 known = self.stays(left, piece)
             if known:
                 last[e] = piece + 1
-        return [self.pieces[code - 1] if code > 0 else "" for code in last]
+        return last
 
     def stays(self, left: int, piece: int) -> bool:
         """True if merging the characters of both leaves exactly these two (``left`` 0: nothing before)."""
         if len(self.apart) >= MEMO_UNITS:
             self.apart.clear()
-        before = [] if not left else [self.pieces[left - 1] if left > 0 else chr(-left)]
-        parts = [*before, self.pieces[piece]]
-        self.apart[left * PAIR + piece] = known = self.merged("".join(parts)) == parts
+        before, text = None if not left else self.pieces[left - 1] if left > 0 else chr(-left), self.pieces[piece]
+        growth = self.growth(text), self.growth(before) if before else ((), ())
+        if None in growth:
+            parts = [before, text] if before else [text]
+            known = self.merged("".join(parts)) == parts
+        else:
+            known = bool(growth[0][0]) and not any(
+                (turn := self.turns.get(a + b)) is not None and turn < next_a and turn <= next_b
+                for a, next_a in growth[1][1] for b, next_b in growth[0][0])
+        self.apart[left * PAIR + piece] = known
         return known
 
+    def growth(self, text: str) -> tuple | None:
+        """How the first and the last characters of a piece grow by merging: (first parts, last parts), each (text, turn of its next merge).
+        Two empty lists: merging never leaves this piece whole. None: merges don't come in the order of
+        their turns, so nothing can be read off."""
+        if text in self.grown:
+            return self.grown[text]
+        parts, turns = [(c, -1, None, None) for c in text], self.turns  # text, turn, left part, right part
+        in_order = True
+        while len(parts) > 1:
+            found = [(turn, n) for n in range(len(parts) - 1) if (turn := turns.get(parts[n][0] + parts[n + 1][0])) is not None]
+            if not found:
+                break
+            turn, n = min(found)
+            in_order &= turn > parts[n][1] and turn > parts[n + 1][1]
+            parts[n:n + 2] = [(parts[n][0] + parts[n + 1][0], turn, parts[n], parts[n + 1])]
+        sides: list[list[tuple[str, float]]] = [[], []]
+        if len(parts) == 1:
+            for side, child in ((0, 2), (1, 3)):
+                node, later = parts[0], float("inf")
+                while node:
+                    sides[side].append((node[0], later))
+                    later, node = node[1], node[child]
+        self.grown[text] = (sides[0], sides[1]) if in_order else None
+        return self.grown[text]
+
     def merged(self, text: str) -> list[str]:
         """Merges of a short text, best score first, leftmost among equals."""
         parts = list(text)
