@@ -17,8 +17,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stats = materialize(quality.document_statistics(table(spark, sf_dir, "documents"), "doc_id", "text"), "document-statistics")
-    return quality.drop_poor(docs, quality.fit(stats, table(spark, sf_dir, "labels")))
+    model = quality.fit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.drop_poor(docs, model)
 
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
