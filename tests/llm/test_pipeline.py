@@ -18,7 +18,7 @@ import corpus_pipeline  # noqa: E402
 
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["good_quality", "clean_language", "exact_copies", "near_copies", "packing"]
     assert os.path.exists(os.path.join(ROOT, "corpus_pipeline.py"))
