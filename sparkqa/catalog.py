@@ -19,7 +19,7 @@ from .operators import evaluation as ev, keyword, routing
 from .operators.lookup import left_lookup
 from .operators.order import with_position
 from .plans import agent_loop, agents, rag, structured
-from .session import fingerprint, scratch_path, shared_dir, table
+from .session import fingerprint, scratch_path, shared_dir, spread, table
 from .sources import changes, files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -376,17 +376,31 @@ def solve_arithmetic(spark, sf):
     return arithmetic.solve(fx.expressions(spark, sf))
 
 
+def _keyword_index(spark, sf, name, docs, key, text):
+    """Search index over a driver table, built once for the same files and then opened."""
+    files = fingerprint(spark, f"{sf.rstrip('/')}/{name}.parquet")
+    return keyword.build_index(docs, key, text, path=f"{shared_dir(spark)}/sparkqa/keyword-index-{name}-{files}")
+
+
+def _page_index(spark, sf):
+    return _keyword_index(spark, sf, "pages", _page_text(spark, sf), "page_id", "text")
+
+
+def _document_index(spark, sf):
+    return _keyword_index(spark, sf, "documents", table(spark, sf, "documents"), "doc_id", "text")
+
+
 def _page_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", "url", text.html_text("html").alias("text"))
+    return spread(table(spark, sf, "pages")).select("page_id", "url", text.html_text("html").alias("text"))
 
 
 @query
 def corpus_search_top1(spark, sf):
-    pages = _page_text(spark, sf)
     b = table(spark, sf, "benchmark")
-    best = keyword.keyword_top1(b, "item_id", "text", pages, "page_id", "text")
-    hits = best.join(pages.select("page_id", "url", F.col("text").alias("snippet")), "page_id").withColumn(
-        "rank", F.lit(1))
+    best = keyword.keyword_top1(b, "item_id", "text", _page_index(spark, sf), "page_id")
+    # only pages that were hit are turned into text again
+    found = best.join(table(spark, sf, "pages").select("page_id", "url", "html"), "page_id")
+    hits = found.withColumn("snippet", text.html_text("html")).withColumn("rank", F.lit(1))
     out = vectors.with_empty_default(b, hits, "item_id", settings.NO_RECORDS)
     return out.select("item_id", "page_id", F.round("score", 6).alias("score"), "url", "snippet", "message")
 
@@ -499,9 +513,8 @@ def _eval_truth(spark, sf):
 
 def _eval_results(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("request"))
-    docs = table(spark, sf, "documents")
     truth = _eval_truth(spark, sf).select("item_id", F.col("doc_id").alias("truth_doc"))   # every true document
-    best = keyword.keyword_top1(b, "item_id", "request", docs, "doc_id", "text").select(
+    best = keyword.keyword_top1(b, "item_id", "request", _document_index(spark, sf), "doc_id").select(
         "item_id", F.col("doc_id").alias("best_doc"))
     return b.join(truth, "item_id", "left").join(best, "item_id", "left")
 
@@ -528,7 +541,7 @@ def eval_answer_match(spark, sf):
 @query
 def eval_retrieval_recall(spark, sf):
     b = table(spark, sf, "benchmark")
-    hits = keyword.keyword_topk(b, "item_id", "text", table(spark, sf, "documents"), "doc_id", "text", k=3)
+    hits = keyword.keyword_topk(b, "item_id", "text", _document_index(spark, sf), "doc_id", k=3)
     return ev.retrieval_recall(hits, _eval_truth(spark, sf), "item_id", "doc_id")
 
 

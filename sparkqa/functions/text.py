@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,11 @@ WORD_SPLIT = r"[^\p{L}\p{N}]+"
 _WS = r"[ \t\n\r\f\x0B]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once and named (a lambda variable)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def col_of(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -64,31 +70,53 @@ _CP1252 = {n: bytes([n]).decode("cp1252", "replace") for n in range(128, 160) if
 _REFERENCE = r"^(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)"
 
 
-def _literal_map(table: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
+#: Names that nearly all references use: found without the table.
+_COMMON = ("amp;", "lt;", "gt;", "quot;", "nbsp;")
+
+
+def _by_start(table: dict[str, str]) -> Column:
+    """The table as one literal: first two characters -> name -> text, so a look-up scans a few names only."""
+    grouped: dict[str, dict[str, str]] = {}
+    for name, chars in sorted(table.items()):
+        grouped.setdefault(name[:2], {})[name] = chars
+    return F.from_json(F.lit(json.dumps(grouped)), "map<string,map<string,string>>")
+
+
+def _look_up(table: dict[str, str], name: Column) -> Column:
+    return F.try_element_at(F.try_element_at(_by_start(table), F.substring(name, 1, 2)), name)
 
 
 def _code_point(c: Column) -> Column:
     """Character of a code point; 0, surrogates and what is beyond the last one give U+FFFD."""
     bad = c.isNull() | (c == 0) | c.between(0xD800, 0xDFFF) | (c > 0x10FFFF)
     safe = F.when(bad, F.lit(0xFFFD)).otherwise(c)
-    return F.coalesce(F.try_element_at(_literal_map(_CP1252), safe.cast("int")),
+    return F.coalesce(_look_up({str(n): chars for n, chars in _CP1252.items()}, safe.cast("string")),
                       F.decode(F.unhex(F.lpad(F.hex(safe.cast("bigint")), 8, "0")), "UTF-32"))
 
 
+def _number(ref: Column) -> Column:
+    digits = F.regexp_replace(ref, "[#xX;]", "")
+    return F.when(F.lower(F.substring(ref, 1, 2)) == "#x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+
+
+def _without_semicolon(p: Column) -> Column:
+    return let(F.regexp_extract(p, _LEGACY_NAME, 0), lambda name: F.when(name != "", F.concat(
+        _look_up(_LEGACY, name), F.substring(p, F.length(name) + 1, F.length(p)))).otherwise(F.concat(F.lit("&"), p)))
+
+
+def _decode_reference(p: Column, ref: Column) -> Column:
+    rest = F.substring(p, F.length(ref) + 1, F.length(p))
+    common = F.lit(None).cast("string")
+    for name in reversed(_COMMON):
+        common = F.when(ref == name, F.lit(_NAMED[name])).otherwise(common)
+    return (F.when(F.startswith(ref, F.lit("#")), F.concat(let(_number(ref), _code_point), rest))
+            .when(ref == "", _without_semicolon(p))
+            .otherwise(F.coalesce(F.concat(F.coalesce(common, _look_up(_NAMED, ref)), rest), _without_semicolon(p))))
+
+
 def _decode_piece(p: Column) -> Column:
     """Text after an '&': its reference decoded, or the '&' and the text as they are."""
-    ref = F.regexp_extract(p, _REFERENCE, 0)
-    rest = F.substring(p, F.length(ref) + 1, F.length(p))
-    digits = F.regexp_replace(ref, "[#xX;]", "")
-    number = F.when(ref.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
-    named = F.try_element_at(_literal_map(_NAMED), ref)
-    legacy = F.regexp_extract(p, _LEGACY_NAME, 0)
-    return (F.when(F.startswith(ref, F.lit("#")), F.concat(_code_point(number), rest))
-            .when(named.isNotNull(), F.concat(named, rest))
-            .when(legacy != "", F.concat(F.try_element_at(_literal_map(_LEGACY), legacy),
-                                         F.substring(p, F.length(legacy) + 1, F.length(p))))
-            .otherwise(F.concat(F.lit("&"), p)))
+    return let(F.regexp_extract(p, _REFERENCE, 0), lambda ref: _decode_reference(p, ref))
 
 
 # of names without ';' the longest one wins
@@ -105,11 +133,11 @@ def decode_references(c: Column) -> Column:
 def html_text(c: str | Column) -> Column:
     """Visible text of an HTML page (op 42): script/style bodies, comments, doctype and
     tags (with '>' inside quoted attributes) removed, character references decoded, no
-    separator added between elements."""
+    separator added between elements. A script, style or comment that never closes runs to the end."""
     x = col_of(c)
-    x = F.regexp_replace(x, r"(?is)<script\b.*?</script\s*>", "")
-    x = F.regexp_replace(x, r"(?is)<style\b.*?</style\s*>", "")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", "")
+    x = F.regexp_replace(x, r"(?is)<script\b.*?(?:</script\s*>|\z)", "")
+    x = F.regexp_replace(x, r"(?is)<style\b.*?(?:</style\s*>|\z)", "")
+    x = F.regexp_replace(x, r"(?s)<!--.*?(?:-->|\z)", "")
     x = F.regexp_replace(x, r"<[/!?a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", "")
     x = F.regexp_replace(x, r"<[/!?a-zA-Z][^>]*>", "")          # tags whose quotes don't close
     return decode_references(x)

@@ -4,100 +4,185 @@ tf-idf: ``sum over the question's distinct words of tf(word, doc) * ln(N / df(wo
 word counts, however common; a document that shares a word is a hit even where all its words
 are in every document (score 0).
 
-Documents are dealt to shards of bounded size. A shard's documents meet a chunk of
-questions in one task, which adds up the scores word by word and sends on its ``k`` best per
-question only. So a common word never gathers its postings in one task, and the pairs
-(question, document) never enter a shuffle.
+The index is written once and opened by any later search:
+
+* ``docs`` (doc, key, words): documents numbered inside the tasks that read them, in key order; the upper bits of a number
+  are its range of ``RANGE_DOCS`` documents;
+* ``blocks`` (term, range, max_tf, docs, tfs), sorted by term: a term's postings of one range, with the largest count. A common
+  word has one block a range, so no group gathers its postings;
+* ``terms`` (term, df, idf).
+
+A search adds up ``idf * max_tf`` per question and range: no document of the range can score more. The best
+``PROBES`` ranges of each question are scored first, and then only those whose bound reaches the question's
+k-th best score so far; all others are skipped unread. Results are exact. Scoring is one sparse product per
+range and chunk of questions, in numpy over whole blocks.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
-from ..session import materialize, spread
+from ..session import finish_folder, materialize, path_exists, scratch_path, spread
 
-SHARD_DOCS = 4096
-CHUNK_QUESTIONS = 512
+RANGE_BITS = 10
+RANGE_DOCS = 1 << RANGE_BITS
+PROBES = 2                   # ranges a question is scored on before its threshold is known
+FEW_RANGES = 24              # with no more ranges than that, all are scored at once
+CHUNK_QUESTIONS = 2048       # questions that meet a range in one task
+SLICE = 1 << 22              # additions done at once
+BOUND_SLACK = 1e-6
 RANK_DECIMALS = 9            # scores rank at this precision, so summation order never reorders ties
 
 
-def _shards(spark, rows: int, size: int) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / size))
+@dataclass
+class KeywordIndex:
+    docs: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
+    key: str
+
 
+def build_index(docs: DataFrame, key: str, text: str, path: str | None = None) -> KeywordIndex:
+    """Index over (key, text) rows, written to ``path`` (opened if it is there already) or to a fresh folder.
+
+    Every row is a document, rows that repeat a key too; rows without key or text are counted but never found."""
+    spark = docs.sparkSession
+    if path and path_exists(spark, f"{path}/terms/_SUCCESS"):
+        return open_index(spark, path)
+    folder = scratch_path(spark, "keyword-index")
+    # words are sorted once a row; the places where a new one begins give the counts
+    words = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("_text"))).sortWithinPartitions("key") \
+        .select(F.monotonically_increasing_id().alias("doc"), "key", F.sort_array(tokens("_text")).alias("_w"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_w") - 1),
+                      lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", F.greatest(i - 1, F.lit(0)))))
+    counted = words.withColumn("_s", F.when(F.size("_w") > 0, starts)).select("doc", "key", F.transform("_s", lambda s, j: F.struct(
+        F.get("_w", s).alias("term"), (F.coalesce(F.get("_s", j + 1), F.size("_w")) - s).alias("tf"))).alias("words"))
+    counted.write.parquet(f"{folder}/docs")
+    written = spark.read.parquet(f"{folder}/docs")
+    n_docs = written.count()
+    post = written.where("key IS NOT NULL").select("doc", F.explode("words").alias("w")).select(
+        F.col("w.term").alias("term"), F.shiftright("doc", RANGE_BITS).alias("range"),
+        F.col("doc").bitwiseAND(RANGE_DOCS - 1).cast("int").alias("at"), F.col("w.tf").alias("tf"))
+    # one range partitioning serves the grouping, the sort order of the files and the split of common words
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = post.repartitionByRange(tasks, "term", "range").groupBy("term", "range").agg(
+        F.max("tf").alias("max_tf"), F.sort_array(F.collect_list(F.struct("at", "tf"))).alias("p"))
+    blocks.select("term", "range", "max_tf", F.col("p.at").alias("docs"), F.col("p.tf").alias("tfs")) \
+        .sortWithinPartitions("term", "range").write.parquet(f"{folder}/blocks")
+    df = spark.read.parquet(f"{folder}/blocks").groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+    df.withColumn("idf", F.log(F.lit(float(n_docs)) / F.col("df"))).write.parquet(f"{folder}/terms")
+    return open_index(spark, finish_folder(spark, folder, path) if path else folder)
 
-def _score_fn(qkey: str, key: str, k: int):
+
+def open_index(spark: SparkSession, path: str) -> KeywordIndex:
+    docs, blocks, terms = (spark.read.parquet(f"{path}/{t}") for t in ("docs", "blocks", "terms"))
+    return KeywordIndex(docs.select("doc", "key"), blocks, terms, "key")
+
+
+def _score_fn(k: int):
     def score(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({qkey: q["qk"].iloc[:0], key: d["dk"].iloc[:0], "score": np.zeros(0)})
         if q.empty or d.empty:
-            return empty
-        d = d.sort_values("dk", kind="stable")       # ties: smaller key first
-        asked: dict[str, tuple[list[int], list[float]]] = {}
-        for i, (terms, idf) in enumerate(zip(q["terms"], q["idf"])):
-            for t, w in zip(terms, idf):
-                rows, weights = asked.setdefault(t, ([], []))
-                rows.append(i)
-                weights.append(w)
-        held: dict[str, tuple[list[int], list[float]]] = {}
-        for j, (terms, tf) in enumerate(zip(d["terms"], d["tf"])):
-            for t, n in zip(terms, tf):
-                if t in asked:
-                    cols, counts = held.setdefault(t, ([], []))
-                    cols.append(j)
-                    counts.append(n)
-        total, shared = np.zeros((len(q), len(d))), np.zeros((len(q), len(d)), bool)
-        for t in sorted(held):                       # a fixed order of additions
-            at = np.ix_(asked[t][0], held[t][0])
-            total[at] += np.outer(asked[t][1], held[t][1])
-            shared[at] = True
-        ranked = np.where(shared, np.round(total, RANK_DECIMALS), -np.inf)
-        best = np.argsort(-ranked, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(q)), best.shape[1])
-        cols = best.ravel()
-        hit = shared[rows, cols]
-        rows, cols = rows[hit], cols[hit]
-        return pd.DataFrame({qkey: q["qk"].to_numpy()[rows], key: d["dk"].to_numpy()[cols], "score": total[rows, cols]})
+            return pd.DataFrame({"qk": q["qk"].iloc[:0], "doc": np.zeros(0, np.int64), "score": np.zeros(0)})
+        d = d.sort_values("term")
+        sizes = d["docs"].map(len).to_numpy()
+        first = np.cumsum(sizes) - sizes
+        docs, tfs = np.concatenate(d["docs"].to_numpy()), np.concatenate(d["tfs"].to_numpy())
+        # the questions' words as rows (question, block), in the order of terms: a fixed order of additions
+        lengths = q["terms"].map(len).to_numpy()
+        asked = pd.Index(d["term"]).get_indexer(np.concatenate(q["terms"].to_numpy()))
+        who, idf = np.repeat(np.arange(len(q)), lengths), np.concatenate(q["idf"].to_numpy())
+        met = asked >= 0
+        who, block, idf = who[met], asked[met], idf[met]
+        order = np.lexsort((block, who))
+        who, block, idf = who[order], block[order], idf[order]
+        out = []
+        step = max(1, SLICE // RANGE_DOCS)
+        for low in range(0, len(q), step):
+            high = min(low + step, len(q))
+            a, b = np.searchsorted(who, [low, high])
+            total, shared = np.zeros((high - low) * RANGE_DOCS), np.zeros((high - low) * RANGE_DOCS, bool)
+            done = a
+            while done < b:                          # words whose blocks add up to about one slice
+                upto = min(b, done + max(1, int(np.searchsorted(np.cumsum(sizes[block[done:b]]), SLICE))))
+                n = sizes[block[done:upto]]
+                at = np.repeat(first[block[done:upto]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                cell = np.repeat((who[done:upto] - low) * RANGE_DOCS, n) + docs[at]
+                total += np.bincount(cell, np.repeat(idf[done:upto], n) * tfs[at], len(total))
+                shared[cell] = True
+                done = upto
+            ranked = np.where(shared, np.round(total, RANK_DECIMALS), -np.inf).reshape(high - low, RANGE_DOCS)
+            best = np.argsort(-ranked, axis=1, kind="stable")[:, :k]        # ties: smaller number, so smaller key
+            rows, cols = np.repeat(np.arange(high - low), best.shape[1]), best.ravel()
+            hit = shared.reshape(ranked.shape)[rows, cols]
+            rows, cols = rows[hit], cols[hit]
+            out.append(pd.DataFrame({"qk": q["qk"].to_numpy()[low + rows], "doc": (int(d["range"].iloc[0]) << RANGE_BITS) + cols,
+                                     "score": total.reshape(ranked.shape)[rows, cols]}))
+        return pd.concat(out, ignore_index=True)
     return score
 
 
-def keyword_topk(questions: DataFrame, qkey: str, qtext: str, docs: DataFrame, key: str, text: str,
-                 k: int = 3) -> DataFrame:
-    """(qkey, key, score, rank): k best documents per question; ties by the smaller key, of any type.
-    Rows without a key or text have nothing to ask or to be found by."""
-    spark = docs.sparkSession
-    qt = spread(questions.select(qkey, qtext)).select(F.col(qkey).alias("qk"), F.explode(F.array_distinct(tokens(qtext))).alias("term"))
-    # only words that some question uses can score; the documents are tokenized once
-    words = spread(docs.select(F.col(key).alias("dk"), text)).select("dk", F.explode(tokens(text)).alias("term"))
-    post = materialize(words.join(qt.select("term").distinct(), "term", "left_semi")
-                       .groupBy("dk", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    n_docs = F.lit(docs.count()).cast("double")          # one scalar, not a join
-    idf = post.groupBy("term").agg(F.log(n_docs / F.count(F.lit(1))).alias("idf"))
-    pair = lambda a, b: F.collect_list(F.struct(a, b))  # noqa: E731  a question's or document's own words
-    asks = qt.join(idf, "term").groupBy("qk").agg(pair("term", "idf").alias("w"))
-    asks = materialize(asks.select("qk", F.col("w.term").alias("terms"), F.col("w.idf").alias("idf")), "questions")
-    held = post.groupBy("dk").agg(pair("term", "tf").alias("w"))
-    n_asks, n_shards = asks.count(), _shards(spark, post.select("dk").distinct().count(), SHARD_DOCS)
-    n_chunks = max(1, math.ceil(n_asks / CHUNK_QUESTIONS))
-    q = asks.withColumns({"chunk": F.pmod(F.xxhash64("qk"), F.lit(n_chunks)).cast("int"),
-                          "shard": F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))})
-    d = held.select("dk", F.col("w.term").alias("terms"), F.col("w.tf").alias("tf"),
-                    F.pmod(F.xxhash64("dk"), F.lit(n_shards)).cast("int").alias("shard"),
-                    F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"))
-    schema = T.StructType([T.StructField(qkey, questions.schema[qkey].dataType), T.StructField(key, docs.schema[key].dataType),
-                           T.StructField("score", T.DoubleType())])
-    g = ["shard", "chunk"]
-    found = q.groupBy(*g).cogroup(d.groupBy(*g)).applyInPandas(_score_fn(qkey, key, k), schema)
-    w = Window.partitionBy(qkey).orderBy(F.round("score", RANK_DECIMALS).desc(), F.col(key).asc())
-    # at most k rows per question and shard; written, so joins back to wide documents see its real size
-    return materialize(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "keyword-hits")
-
-
-def keyword_top1(questions: DataFrame, qkey: str, qtext: str, docs: DataFrame, key: str, text: str) -> DataFrame:
+def _scored(visits: DataFrame, asks: DataFrame, index: KeywordIndex, n_asks: int, k: int, qtype: T.DataType) -> DataFrame:
+    """(qk, doc, score): up to ``k`` best documents per question and visited range."""
+    chunks = max(1, math.ceil(n_asks / CHUNK_QUESTIONS))
+    chunk = F.pmod(F.xxhash64("qk"), F.lit(chunks)).cast("int")
+    q = visits.join(asks, "qk").withColumn("chunk", chunk)
+    ranges = visits.select("range", chunk.alias("chunk")).distinct()
+    words = asks.select(F.explode("terms").alias("term")).distinct()
+    d = index.blocks.join(words, "term", "left_semi").join(ranges, "range").select("range", "chunk", "term", "docs", "tfs")
+    schema = T.StructType([T.StructField("qk", qtype), T.StructField("doc", T.LongType()), T.StructField("score", T.DoubleType())])
+    g = ["range", "chunk"]
+    return q.groupBy(*g).cogroup(d.groupBy(*g)).applyInPandas(_score_fn(k), schema)
+
+
+def _open_ranges(bounds: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """(qk, range) of the ranges not probed whose bound reaches the k-th best score of the probed ones, or any if there are fewer hits."""
+    nth = Window.partitionBy("qk").orderBy(F.desc("score"))
+    threshold = hits.withColumn("n", F.row_number().over(nth)).where(F.col("n") == k).select("qk", F.col("score").alias("least"))
+    rest = bounds.where(F.col("turn") > PROBES).join(threshold, "qk", "left") \
+        .where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - BOUND_SLACK))
+    return materialize(rest.select("qk", "range"), "open-ranges")
+
+
+def search(questions: DataFrame, qkey: str, qtext: str, index: KeywordIndex, k: int = 3, key: str = "key") -> DataFrame:
+    """(qkey, key, score, rank): k best documents per question; ties by the smaller key, of any type, then in the order of the
+    index. Rows of one question key ask together; rows without a text have nothing to ask."""
+    qtype = questions.schema[qkey].dataType
+    qt = questions.select(F.col(qkey).alias("qk"), F.explode(F.array_distinct(tokens(qtext))).alias("term")).distinct()
+    asked = materialize(qt.join(index.terms.select("term", "idf"), "term"), "question-terms")
+    pair = F.sort_array(F.collect_list(F.struct("term", "idf")))  # a question's own words
+    asks = asked.groupBy("qk").agg(pair.alias("w")).select("qk", F.col("w.term").alias("terms"), F.col("w.idf").alias("idf"))
+    asks = materialize(asks, "questions")
+    n_asks = asks.count()
+    likely = Window.partitionBy("qk").orderBy(F.desc("bound"), "range")
+    bounds = asked.join(index.blocks.select("term", "range", "max_tf"), "term") \
+        .groupBy("qk", "range").agg(F.sum(F.col("idf") * F.col("max_tf")).alias("bound"))
+    bounds = materialize(bounds.withColumn("turn", F.row_number().over(likely)), "range-bounds")
+    probes = PROBES if (bounds.agg(F.max("turn")).first()[0] or 0) > FEW_RANGES else FEW_RANGES
+    hits = _scored(bounds.where(F.col("turn") <= probes).select("qk", "range"), asks, index, n_asks, k, qtype)
+    if probes < FEW_RANGES:
+        hits = materialize(hits, "probe-hits")
+        hits = hits.unionByName(_scored(_open_ranges(bounds, hits, k), asks, index, n_asks, k, qtype))
+    # at most k rows per question and visited range; written, so the join to the document keys sees its real size
+    named = materialize(hits, "range-hits").join(index.docs.withColumnRenamed(index.key, "dk"), "doc")
+    w = Window.partitionBy("qk").orderBy(F.round("score", RANK_DECIMALS).desc(), F.col("dk").asc(), F.col("doc").asc())
+    best = named.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return materialize(best.select(F.col("qk").alias(qkey), F.col("dk").alias(key), "score", "rank"), "keyword-hits")
+
+
+def keyword_topk(questions: DataFrame, qkey: str, qtext: str, docs: DataFrame | KeywordIndex, key: str, text: str = "", k: int = 3) -> DataFrame:
+    """``search`` in an index, or in a table that is indexed for it."""
+    index = docs if isinstance(docs, KeywordIndex) else build_index(docs, key, text)
+    return search(questions, qkey, qtext, index, k, key)
+
+
+def keyword_top1(questions: DataFrame, qkey: str, qtext: str, docs: DataFrame | KeywordIndex, key: str, text: str = "") -> DataFrame:
     """(qkey, key, score): the best document per question."""
     return keyword_topk(questions, qkey, qtext, docs, key, text, k=1).drop("rank")

@@ -106,6 +106,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def finish_folder(spark: SparkSession, written: str, path: str) -> str:
+    """Gives a folder that is complete its final name. Of jobs that build the same path at once the first one wins; the
+    others' folders go, and all of them read the same one."""
+    src, fs = _fs(spark, written)
+    dst, _ = _fs(spark, path)
+    fs.mkdirs(dst.getParent())
+    if fs.exists(dst) or not fs.rename(src, dst):
+        fs.delete(src, True)
+    # a rename onto a folder that came into being meanwhile lands inside it
+    fs.delete(_fs(spark, f"{path}/{src.getName()}")[0], True)
+    return path
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Digest of the files under ``path`` (names, lengths, times): another digest means other data."""
     p, fs = _fs(spark, path)
