@@ -345,6 +345,45 @@ def answer_statistic_questions(spark, sf):
     return structured.answer_stats(stat_questions(spark, sf), fx.trials(spark, sf))
 
 
+def linked_questions(spark, sf):
+    """Questions whose conditions the trials must explain: conditions, years, and words that no value explains."""
+    seg = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("v")).distinct()
+    n = table(spark, sf, "nation").select(F.col("n_name").alias("v"))
+    forms = [(seg, "How many completed trials of {} are there?"), (seg, "How many trials with {} and follow-up started in 1995?"),
+             (seg, "How many trials of {} are not completed?"), (seg, "How many {} trials are recruiting or completed?"),
+             (n, "How many trials in {} are completed?"), (n, "How many terminated trials were conducted in {}?"),
+             (n, "How many trials in {} have a phase 3?"), (n, "How many trials in {} and EUROPE are there?"),
+             (n, "How many not yet recruiting trials are in {}")]
+    asked = None
+    for kind, (values, form) in enumerate(forms):
+        before, after = form.split("{}")
+        one = values.select(F.lit(kind).alias("kind"), "v", F.concat(F.lit(before), "v", F.lit(after)).alias("question"))
+        asked = one if asked is None else asked.unionByName(one)
+    return asked
+
+
+@query
+def link_statistic_values(spark, sf):
+    return structured.answer_stats(linked_questions(spark, sf), fx.trials(spark, sf)).select("kind", "v", "question", "answer")
+
+
+def _capitals(spark, sf):
+    """Each nation's capital lies in it; a region's seat is its own capital, so that way never ends."""
+    n = table(spark, sf, "nation").select(F.col("n_name").alias("v"))
+    r = table(spark, sf, "region").select(F.col("r_name").alias("v"))
+    row = lambda df, name, relation, target: df.select(name.alias("name"), F.lit(relation).alias("relation"), target.alias("target"))
+    v, city, seat = F.col("v"), F.concat("v", F.lit(" city")), F.concat("v", F.lit(" seat"))
+    return row(n, v, "capital", city).unionByName(row(n, city, "", v)).unionByName(row(r, v, "capital", seat)) \
+        .unionByName(row(r, seat, "", F.concat(F.lit("capital of "), v)))
+
+
+@query
+def count_alias_place(spark, sf):
+    names = table(spark, sf, "nation").select(F.col("n_name").alias("v")).unionByName(table(spark, sf, "region").select(F.col("r_name").alias("v")))
+    asked = names.select("v", F.concat(F.lit("How many trials in the capital of "), "v", F.lit(" are completed?")).alias("question"))
+    return structured.answer_stats(asked, fx.trials(spark, sf), aliases=_capitals(spark, sf)).select("v", "question", "answer")
+
+
 @query
 def question_prefix(spark, sf):
     return text.prefix_question(messages.first_user_message(table(spark, sf, "conversations")))

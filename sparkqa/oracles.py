@@ -384,6 +384,32 @@ def _stat_answers_sql() -> str:
 
 
 oracle("answer_statistic_questions", _stat_answers_sql(), "trials")
+
+
+def _linked_answers_sql() -> str:
+    """Questions and answers from the columns they were generated from; what no value explains has no answer."""
+    segment, place = "list_contains(string_split(conditions, chr(10)), v)", "list_contains(string_split(locations, ', '), v)"
+    rows = [("seg", "How many completed trials of ", " are there?", f"{segment} AND status = 'Completed'"),
+            ("seg", "How many trials with ", " and follow-up started in 1995?",
+             f"{segment} AND list_contains(string_split(conditions, chr(10)), 'follow-up') AND year(start_date) = 1995"),
+            ("seg", "How many trials of ", " are not completed?", None), ("seg", "How many ", " trials are recruiting or completed?", None),
+            ("n", "How many trials in ", " are completed?", f"{place} AND status = 'Completed'"),
+            ("n", "How many terminated trials were conducted in ", "?", None), ("n", "How many trials in ", " have a phase 3?", None),
+            ("n", "How many trials in ", " and EUROPE are there?", None),
+            ("n", "How many not yet recruiting trials are in ", "", f"{place} AND status = 'Not yet recruiting'")]
+    # two conditions at once are two values of one kind: no answer either
+    parts = [f"SELECT {i} AS kind, v, {lit(a)} || v || {lit(b)} AS question, "
+             + (f"(SELECT count(*) FROM trials WHERE {cond})" if cond and i != 1 else "NULL::BIGINT") + f" AS answer FROM {src}"
+             for i, (src, a, b, cond) in enumerate(rows)]
+    return ("WITH seg AS (SELECT DISTINCT c_mktsegment AS v FROM customer), n AS (SELECT n_name AS v FROM nation) " + " UNION ALL ".join(parts))
+
+
+oracle("link_statistic_values", _linked_answers_sql(), "trials")
+oracle("count_alias_place", """
+WITH names AS (SELECT n_name AS v, true AS nation FROM nation UNION ALL SELECT r_name, false FROM region)
+SELECT v, 'How many trials in the capital of ' || v || ' are completed?' AS question,
+  CASE WHEN nation THEN (SELECT count(*) FROM trials WHERE split_part(locations, ', ', 1) = v AND status = 'Completed') END AS answer
+FROM names""", "trials")
 oracle("question_prefix", f"SELECT conv_id, {lit(settings.QUESTION_PREFIX)} || question AS question FROM requests",
        "requests")
 

@@ -1,21 +1,32 @@
 """Structured questions answered as table jobs (ops 32-35).
 
 Instead of handing each question to a natural-language-to-SQL service, a whole table of
-questions is answered in one job: patterns turn a question into the status and place it
-asks for, and one aggregate over the trials supplies every count at once.
+questions is answered in one job by value linking: a dictionary of all values that the trials hold (statuses, places,
+conditions, years of start) is joined to the word n-grams of the questions, the longest match first, and what is linked becomes
+the condition of one aggregate. Every word must be explained, by a value or as one of the words that ask: what is not understood
+(a negation, an unknown status or place, "or") makes the answer null, never a count of something else.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A statistics question asks "how many ... trial(s)"; a status word and a place may stand anywhere in it.
-COUNT_QUESTION = r"\bhow many\b.*\btrials?\b"
-# FIXED VALUES: status words, the longest first ("not yet recruiting" holds "recruiting").
+from ..session import materialize
+
+# A statistics question asks "how many ... trial(s)"; values may stand anywhere in it.
+COUNT_QUESTION = r"\bhow many\b.*\b(?:trials?|stud(?:y|ies))\b"
+# FIXED VALUES: status words that are known even where no trial has the status.
 STATUS_WORDS = ["not yet recruiting", "recruiting", "completed"]
-# The last "in ..." or "at ..." of the question is the place, unless it names the status or the total.
-PLACE = r"^.*\b(?:in|at)\s+(?:the\s+)?(.+?)\s*[?.!]*\s*$"
+# FIXED VALUES: words that ask and say nothing about which trials are meant.
+ASKING_WORDS = ("19 a all and are been being conducted covid did do does find give had has have held how i in is know many me of on please "
+                "registered running show started status studies study tell that the there total trial trials us was were which with year you").split()
+WORD = r"[\p{L}\p{N}_]+(?:['’][\p{L}]+)*"
+MOST_WORDS = 8               # values of more words than that are not linked
+KINDS = ("status", "place", "condition", "year")    # of equal matches the first kind counts
+ALIAS_HOPS = 8
 
 
 def place_of(locations: str = "locations"):
@@ -44,43 +55,133 @@ def count_resolved_place(trials: DataFrame, lookup: DataFrame, status: str) -> D
     return j.groupBy("place").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
 
 
-def match_rules(questions: DataFrame, text: str = "question") -> DataFrame:
-    """``rule_no`` (1: status and place, 2: status, 3: place, 4: neither; null: no statistics question) with the
-    ``q_status`` and ``q_place`` asked for, in lower case."""
-    q = F.lower(F.trim(F.col(text)))
-    status = F.lit(None).cast("string")
-    for word in reversed(STATUS_WORDS):
-        status = F.when(q.rlike(rf"\b{word}\b"), F.lit(word)).otherwise(status)
-    # "in Recruiting status" and "in total" are no places; a place may stand before or after them
-    rest = F.trim(F.regexp_replace(q, rf"\b(?:in\s+)?(?:{'|'.join(STATUS_WORDS)})(?:\s+status)?\b|\bin total\b", " "))
-    place = F.nullif(F.trim(F.regexp_extract(rest, PLACE, 1)), F.lit(""))
-    asked = q.rlike(COUNT_QUESTION)
-    m = questions.withColumns({"q_status": F.when(asked, status), "q_place": F.when(asked, place)})
-    has_status, has_place = F.col("q_status").isNotNull(), F.col("q_place").isNotNull()
-    return m.withColumn("rule_no", F.when(~asked | asked.isNull(), F.lit(None).cast("int")).when(has_status & has_place, 1)
-                        .when(has_status, 2).when(has_place, 3).otherwise(4))
-
-
-def stats_facts(trials: DataFrame) -> DataFrame:
-    """(f_status, f_place, n): trials by status (null: any) and place (null: any). A place is any part of the
-    comma-separated location, nation or region; rows are counted by (status, location) before the parts are dealt out."""
-    t = trials.groupBy(F.lower("status").alias("f_status"), F.lower("locations").alias("where")).agg(F.count(F.lit(1)).alias("n"))
-    parts = F.array_distinct(F.transform(F.split(F.coalesce("where", F.lit("")), ","), lambda x: F.trim(x)))
-    places = F.concat(F.array(F.lit(None).cast("string")), F.filter(parts, lambda x: x != ""))
-    # one row per (status, location) and place of it, and again for any status
-    x = t.select(F.explode(F.array_distinct(F.array("f_status", F.lit(None).cast("string")))).alias("f_status"), "n",
-                 places.alias("places")).select("f_status", "n", F.explode("places").alias("f_place"))
-    return x.groupBy("f_status", "f_place").agg(F.sum("n").alias("n"))
-
-
-def answer_stats(questions: DataFrame, trials: DataFrame, text: str = "question") -> DataFrame:
-    """Answer a table of statistics questions in one job (op 35). No statistics question, or a place that no
-    location has: null, for the question cannot be answered from the table. A known place (or none asked for)
-    without a trial of the status answers 0."""
-    m = match_rules(questions, text)
-    f = stats_facts(trials)
-    known = f.filter("f_status IS NULL AND f_place IS NOT NULL").select(F.col("f_place").alias("k_place"))
-    j = m.join(f, m.q_status.eqNullSafe(f.f_status) & m.q_place.eqNullSafe(f.f_place), "left") \
-        .join(known, m.q_place == F.col("k_place"), "left")
-    answerable = F.col("rule_no").isNotNull() & (F.col("q_place").isNull() | F.col("k_place").isNotNull())
-    return j.select(*questions.columns, "rule_no", F.when(answerable, F.coalesce(F.col("n"), F.lit(0))).alias("answer"))
+def words(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD), 0)
+
+
+def phrase(c: Column) -> Column:
+    """Words of a value in lower case, one space between them: the form in which values are compared."""
+    return F.array_join(words(c), " ")
+
+
+def parts(c: Column, separators: str) -> Column:
+    """Distinct phrases of a text that lists several values."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(F.coalesce(c, F.lit("")), separators), phrase)), "")
+
+
+@dataclass
+class TrialFacts:
+    """``base``: (status, place array, condition array, year, n), trials counted by all that questions can ask for;
+    ``values``: (kind, phrase, value), what the words of a question can mean."""
+    base: DataFrame
+    values: DataFrame
+
+
+def resolve_aliases(aliases: DataFrame, places: DataFrame) -> DataFrame:
+    """(phrase, value): the place that each alias leads to, over any number of hops up to ``ALIAS_HOPS``.
+
+    ``aliases`` is (name, relation, target): "<relation> of <name>", or the name itself without a relation, stands for the
+    target, which may be an alias again. The first place (``value`` of ``places``) on the way counts; a way that leads back to
+    itself, or nowhere, gives no row."""
+    name = F.when(F.coalesce(F.col("relation"), F.lit("")) == "", F.col("name")).otherwise(F.concat("relation", F.lit(" of "), "name"))
+    edges = materialize(aliases.select(phrase(name).alias("phrase"), phrase(F.col("target")).alias("target")).distinct(), "alias-edges")
+    return aliases.sparkSession.sql(f"""
+        WITH RECURSIVE walk(phrase, target, path) AS (
+          SELECT phrase, target, array(phrase) FROM {{edges}}
+          UNION ALL
+          SELECT w.phrase, e.target, array_append(w.path, w.target) FROM walk w JOIN {{edges}} e ON w.target = e.phrase
+          WHERE NOT array_contains(w.path, w.target) AND size(w.path) < {ALIAS_HOPS})
+        SELECT phrase, min_by(target, size(path)) AS value FROM walk JOIN {{places}} p ON walk.target = p.value GROUP BY phrase""",
+                                    edges=edges, places=places)
+
+
+def trial_facts(trials: DataFrame, aliases: DataFrame | None = None) -> TrialFacts:
+    """Counts and dictionary of a table of trials, computed once for any number of questions. A place is any part of the comma-separated
+    location, a condition any line or part of ``conditions``, the year that of ``start_date``; columns that are absent can't be asked for."""
+    has = set(trials.columns)
+    nothing = F.lit(None).cast("string")
+    base = trials.groupBy(phrase(F.col("status")).alias("status"), F.col("locations"),
+                          (F.col("conditions") if "conditions" in has else nothing).alias("conditions"),
+                          (F.year("start_date").cast("string") if "start_date" in has else nothing).alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    base = materialize(base.select("status", parts(F.col("locations"), ",").alias("place"), parts(F.col("conditions"), r"[\n|,;]").alias("condition"),
+                                   "year", "n"), "trial-facts")
+    spark = trials.sparkSession
+    listed = spark.createDataFrame([(w,) for w in STATUS_WORDS], "value string")
+    own = {"status": listed.unionByName(base.select(F.col("status").alias("value"))), "place": base.select(F.explode("place").alias("value")),
+           "condition": base.select(F.explode("condition").alias("value")), "year": base.select(F.col("year").alias("value"))}
+    values = None
+    for kind, found in own.items():
+        one = found.where("value <> ''").distinct().select(F.lit(kind).alias("kind"), F.col("value").alias("phrase"), "value")
+        values = one if values is None else values.unionByName(one)
+    values = materialize(values.where(F.size(words(F.col("phrase"))) <= MOST_WORDS), "trial-values")
+    if aliases is not None:
+        known = values.where("kind = 'place'").select("value")
+        other = resolve_aliases(aliases, known).select(F.lit("place").alias("kind"), "phrase", "value")
+        values = materialize(values.unionByName(other), "trial-values")
+    return TrialFacts(base, values)
+
+
+def link_values(questions: DataFrame, values: DataFrame, text: str = "question") -> DataFrame:
+    """``questions`` with ``asked`` (a statistics question), the linked value of each of ``KINDS`` (``q_status`` ...) and
+    ``understood``: no word is left over and no kind was linked twice."""
+    w = F.when(F.lower(F.col(text)).rlike(COUNT_QUESTION), words(F.col(text)))
+    rows = materialize(questions.withColumns({"_row": F.monotonically_increasing_id(), "_w": w}), "linked-questions")
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), F.size("_w") - i + 1)),
+        lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("_w", i, n), " ").alias("phrase")))))
+    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    found = rows.where(F.size("_w") > 0).select("_row", F.explode(grams).alias("g")).select("_row", "g.*").join(values, "phrase") \
+        .groupBy("_row").agg(F.collect_list(F.struct((-F.col("n")).alias("short"), "at", "n", rank.alias("rank"), "kind", "value")).alias("m"))
+    # longest match first, then the one further left: a match gives way to a better one that shares a word with it
+    crossing = lambda a, b: (a["at"] < b["at"] + b["n"]) & (b["at"] < a["at"] + a["n"])
+    better = lambda a, b: F.struct(a["short"], a["at"], a["rank"]) < F.struct(b["short"], b["at"], b["rank"])
+    best = F.filter("m", lambda a: ~F.exists("m", lambda b: crossing(a, b) & better(b, a)))
+    linked = rows.join(found.select("_row", best.alias("m")), "_row", "left") \
+        .withColumn("m", F.coalesce("m", F.array().cast(found.schema["m"].dataType)))
+    covered = F.flatten(F.transform("m", lambda a: F.sequence(a["at"], a["at"] + a["n"] - 1)))
+    linked = linked.withColumn("_c", covered)
+    left = F.filter("_w", lambda x, i: ~F.array_contains("_c", i + 1) & ~x.isin(ASKING_WORDS))
+    def linked_to(kind: str) -> Column:
+        return F.filter("m", lambda a: a["kind"] == kind)
+
+    of = {k: linked_to(k) for k in KINDS}
+    single = F.lit(True)
+    for k in KINDS:
+        single = single & (F.size(of[k]) <= 1)
+    return linked.withColumns({"asked": F.col("_w").isNotNull(), "understood": F.coalesce((F.size(left) == 0) & single, F.lit(False)),
+                               **{f"q_{k}": F.get(of[k], 0)["value"] for k in KINDS}}).drop("_row", "_w", "_c", "m")
+
+
+def counts_asked(base: DataFrame, linked: DataFrame) -> DataFrame:
+    """(f_status, f_place, f_condition, f_year, n) for the combinations of conditions that some question has (null: any value):
+    one grouping of the base for each of them, at most 2 ** 4."""
+    masks = linked.select(*[F.col(f"q_{k}").isNotNull().alias(k) for k in KINDS]).distinct().collect()
+    out = None
+    for mask in masks:
+        t = base
+        for k in ("place", "condition"):
+            if mask[k]:
+                t = t.withColumn(k, F.explode(k))
+        on = [F.col(k).alias(f"f_{k}") if mask[k] else F.lit(None).cast("string").alias(f"f_{k}") for k in KINDS]
+        one = t.groupBy(*on).agg(F.sum("n").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else base.sparkSession.createDataFrame([], ", ".join(f"f_{k} string" for k in KINDS) + ", n long")
+
+
+def answer_stats(questions: DataFrame, trials: DataFrame | TrialFacts, text: str = "question", aliases: DataFrame | None = None) -> DataFrame:
+    """Answer a table of statistics questions in one job (op 35): ``rule_no`` (1: status and place, 2: status, 3: place, 4: neither; null: no
+    statistics question) and ``answer``. A question with a word that nothing explains, or with two values of one kind, is answered with
+    null; values that no trial has together count 0. Rows without a text, and repeated rows, get a row each."""
+    facts = trials if isinstance(trials, TrialFacts) else trial_facts(trials, aliases)
+    linked = materialize(link_values(questions, facts.values, text), "linked-values")
+    answerable = linked.where("asked AND understood")
+    counts = materialize(counts_asked(facts.base, answerable), "asked-counts")
+    same = None
+    for k in KINDS:
+        on = F.col(f"q_{k}").eqNullSafe(F.col(f"f_{k}"))
+        same = on if same is None else same & on
+    j = linked.join(counts, same, "left")
+    status, place = F.col("q_status").isNotNull(), F.col("q_place").isNotNull()
+    rule = F.when(F.col("asked"), F.when(status & place, 1).when(status, 2).when(place, 3).otherwise(4))
+    return j.select(*questions.columns, rule.alias("rule_no"),
+                    F.when(F.col("asked") & F.col("understood"), F.coalesce(F.col("n"), F.lit(0))).alias("answer"))
