@@ -501,7 +501,7 @@ def route_next_step(spark, sf):
 def _agents(spark, sf):
     """The three answering agents over the driver tables."""
     corpus, idx = _corpus_index(spark, sf)
-    return agents.agent_pipelines(fx.trials(spark, sf), corpus, idx, table(spark, sf, "pages"))
+    return agents.agent_pipelines(fx.trials(spark, sf), corpus, idx, table(spark, sf, "pages"), page_index=_page_index(spark, sf))
 
 
 @query

@@ -36,32 +36,46 @@ def long_date(c: str | Column) -> Column:
 def run_label(ts: str | Column, zone: str = "US/Eastern") -> Column:
     """UTC instant shown in a named zone as 'yyyy-MM-dd-HH:mm:ss-ZONE' (op 61).
 
-    The zone abbreviation comes from the offset in effect at that instant (standard or
-    daylight time), since Spark's 'z' pattern prints the session zone instead."""
+    The zone abbreviation is the one of the offset in effect at that instant (standard or
+    daylight time, by the rules of that year), since Spark's 'z' pattern prints the session zone instead."""
     utc = col_of(ts).cast("timestamp_ntz")
     # convert_timezone works on wall-clock (NTZ) values, so the session zone plays no part
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
     offset_sec = F.timestamp_diff("SECOND", utc, local)
     abbr = F.lit(None).cast("string")
-    for seconds, name in zone_abbreviations(zone).items():
-        abbr = F.when(offset_sec == F.lit(seconds), F.lit(name)).otherwise(abbr)
+    for seconds, names in zone_abbreviations(zone).items():
+        for until, name in reversed(names):
+            here = offset_sec == F.lit(seconds)
+            abbr = F.when(here if until is None else here & (utc < F.lit(until).cast("timestamp_ntz")), F.lit(name)).otherwise(abbr)
     sign = F.when(offset_sec < 0, F.lit("-")).otherwise(F.lit("+"))
     minutes = F.abs(offset_sec / 60).cast("int")
     shown = F.concat(sign, F.lpad((minutes / 60).cast("int").cast("string"), 2, "0"), F.lpad((minutes % 60).cast("string"), 2, "0"))
     return F.concat(F.date_format(local, "yyyy-MM-dd-HH:mm:ss"), F.lit("-"), F.coalesce(abbr, shown))
 
 
-def zone_abbreviations(zone: str) -> dict[int, str]:
-    """UTC offset in seconds -> abbreviation of any named zone: what the time zone database
-    says at each half month from 1970 to 2037 (the latest name of an offset wins; others are
+def zone_abbreviations(zone: str) -> dict[int, list[tuple[dt.datetime | None, str]]]:
+    """UTC offset in seconds -> its abbreviations in the order of time, each with the UTC instant at which it gives way to the next
+    (None: the last one), of any named zone: what the time zone database says from 1970 to 2037, looked at each half month (others are
     shown as +hhmm). An unknown zone raises ``ZoneInfoNotFoundError``."""
     info = ZoneInfo(zone)
-    out = {}
-    for year in range(1970, 2038):
-        for month in range(1, 13):
-            for day in (1, 15):
-                at = dt.datetime(year, month, day, tzinfo=dt.timezone.utc).astimezone(info)
-                out[int(at.utcoffset().total_seconds())] = at.tzname()
+
+    def at(t: dt.datetime) -> tuple[int, str]:
+        shown = t.replace(tzinfo=dt.timezone.utc).astimezone(info)
+        return int(shown.utcoffset().total_seconds()), shown.tzname()
+
+    out: dict[int, list[tuple[dt.datetime | None, str]]] = {}
+    seen: dict[int, dt.datetime] = {}                      # when an offset was last met
+    for t in (dt.datetime(year, month, day) for year in range(1970, 2038) for month in range(1, 13) for day in (1, 15)):
+        offset, name = at(t)
+        names = out.setdefault(offset, [(None, name)])
+        if names[-1][1] != name:
+            low, high = seen[offset], t                    # the new name begins somewhere between
+            while high - low > dt.timedelta(seconds=1):
+                middle = low + (high - low) // 2
+                low, high = (low, middle) if at(middle) == (offset, name) else (middle, high)
+            names[-1] = (high.replace(microsecond=0), names[-1][1])
+            names.append((None, name))
+        seen[offset] = t
     return out
 
 

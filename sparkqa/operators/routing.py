@@ -108,28 +108,31 @@ def final_message(df: DataFrame, col: str = "response") -> DataFrame:
 Pipeline = Callable[[DataFrame], DataFrame]
 
 
-def dispatch(df: DataFrame, pipelines: dict[str, Pipeline], key: str = "qid", written: bool = False) -> DataFrame:
+ROW = "_row"                 # written number of a state row: replies come back by it, whatever the question keys are
+
+
+def dispatch(df: DataFrame, pipelines: dict[str, Pipeline], key: str = "qid") -> DataFrame:
     """Send each NEXT_ACTION row to its agent's pipeline with
     ``coalesce(next_question, question)`` and append ``'<question> :<reply trimmed>'`` (op 48).
 
-    A pipeline maps (key, question) rows to (key, reply). Rows naming an agent outside
-    the catalog get an error instead of failing the batch. ``df`` is read once per agent, so
-    it is written first unless the caller has done so (``written``)."""
-    act = (df if written else materialize(df, "dispatch")).drop("error") \
-        .withColumn("_ask", F.coalesce(F.col("next_question"), F.col("question")))
-    outs = []
-    for name, fn in pipelines.items():
-        sub = act.filter(F.col("next_agent") == name).select(key, F.col("_ask").alias("question"))
-        outs.append(fn(sub).select(key, F.col("reply").cast("string").alias("_reply")))
-    known = F.col("next_agent").isin(list(pipelines))
-    unknown = act.filter(~known | F.col("next_agent").isNull()).select(
-        key, F.lit(None).cast("string").alias("_reply"),
+    A pipeline maps (``key``, question) rows to one (``key``, reply) row each; what it gets as ``key`` is the row's number, so null and
+    repeated keys of ``df`` are rows like any other. Rows naming an agent outside
+    the catalog get an error instead of failing the batch; an agent that no row names is not run. A ``df`` with a column ``_row`` (unique
+    numbers) is taken as written already, any other is written first, as it is read once per agent."""
+    written = ROW in df.columns
+    rows = df if written else materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "dispatch")
+    act = rows.drop("error").withColumn("_ask", F.coalesce(F.col("next_question"), F.col("question")))
+    known = F.coalesce(F.col("next_agent").isin(list(pipelines)), F.lit(False))
+    named = {r.next_agent for r in act.filter(known).select("next_agent").distinct().collect()}      # agents of the catalog only
+    replies = act.filter(~known).select(
+        ROW, F.lit(None).cast("string").alias("_reply"),
         F.concat(F.lit(settings.UNKNOWN_AGENT), F.coalesce(F.col("next_agent"), F.lit(""))).alias("error"))
-    replies = None
-    for o in outs:
-        replies = o if replies is None else replies.unionByName(o)
-    replies = replies.withColumn("error", F.lit(None).cast("string")).unionByName(unknown)
-    j = act.join(replies, key, "left")
+    for name, fn in pipelines.items():
+        if name in named:
+            sub = act.filter(F.col("next_agent") == name).select(F.col(ROW).alias(key), F.col("_ask").alias("question"))
+            replies = replies.unionByName(fn(sub).select(F.col(key).alias(ROW), F.col("reply").cast("string").alias("_reply"),
+                                                         F.lit(None).cast("string").alias("error")))
+    j = act.join(replies, ROW, "left")
     entry = F.when(F.col("_reply").isNotNull(),
                    F.concat(F.col("_ask"), F.lit(" :"), strip_ws(F.col("_reply"))))
-    return append_response(j, entry).drop("_ask", "_reply")
+    return append_response(j, entry).drop("_ask", "_reply", *([] if written else [ROW]))

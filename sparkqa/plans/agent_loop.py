@@ -55,11 +55,12 @@ def run_loop(requests: DataFrame, planner: Planner = rule_planner,
              final: Callable[[DataFrame], DataFrame] = rule_final) -> DataFrame:
     """requests: (qid, question, num_attempts, max_attempts). Returns one row per question with
     responses, num_attempts, route, ``error`` (an agent the plan named is unknown) and the final
-    response. The planner sees each open row once per round."""
+    response. The planner sees each open row once per round. Null and repeated question keys are rows like any other."""
     pipelines = pipelines or rule_pipelines()
-    state = requests.withColumns({"responses": F.array().cast("array<string>"),
+    state = requests.withColumns({routing.ROW: F.monotonically_increasing_id(), "responses": F.array().cast("array<string>"),
                                   "response": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
-    bound = requests.agg(F.max(F.col("max_attempts") - F.col("num_attempts"))).first()[0] or 0
+    state = materialize(state, "loop-requests")
+    bound = state.agg(F.max(F.col("max_attempts") - F.col("num_attempts"))).first()[0] or 0
     finished = []
     for _ in range(max(int(bound), 0) + 1):
         planned = routing.parse_plan(planner(routing.plan_prompt(state)), "plan")
@@ -69,7 +70,7 @@ def run_loop(requests: DataFrame, planner: Planner = rule_planner,
         routed = materialize(routing.route(planned).drop("plan", "plan_prompt"), "loop-routed")
         finished.append(routing.max_tries(routed.filter(F.col("route") != settings.NEXT_ACTION)))
         acting = routed.filter(F.col("route") == settings.NEXT_ACTION)
-        answered = materialize(routing.dispatch(acting, pipelines, written=True), "loop-open")
+        answered = materialize(routing.dispatch(acting, pipelines), "loop-open")
         # a plan that names no known agent ends that row with its error; planning again would not mend it
         finished.append(answered.filter(F.col("error").isNotNull()).withColumn("route", F.lit(settings.AGENT_ERROR)))
         state = answered.filter(F.col("error").isNull()).drop("next_agent", "next_question", "route")
@@ -78,5 +79,5 @@ def run_loop(requests: DataFrame, planner: Planner = rule_planner,
     out = finished[0]
     for f in finished[1:]:
         out = out.unionByName(f)
-    out = routing.final_prompt(out)
+    out = routing.final_prompt(out.drop(routing.ROW))
     return routing.final_message(final(out))
