@@ -169,7 +169,7 @@ def cost_metrics(trace: DataFrame, key: str = "request_id", approx: bool = False
 
 # a link ends before white space, quotes, angle brackets and the punctuation that closes a sentence or bracket; a closing
 # round bracket belongs to it if the link opened it
-CITATION = r"(https?://(?:\([^\s\"<>()]*\)|[^\s\"<>)])*(?:\([^\s\"<>()]*\)|[^\s\"<>.,;:!?)\]}'])|NCT\d{8})"
+CITATION = r"(https?://(?:\([^\s\"<>()]*\)|[^\s\"<>()]|\((?![^\s\"<>()]*\)))*(?:\([^\s\"<>()]*\)|[^\s\"<>.,;:!?()\]}'])|NCT\d{8})"
 
 
 def citations(df: DataFrame, col: str, key: str) -> DataFrame:

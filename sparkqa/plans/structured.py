@@ -122,8 +122,8 @@ def trial_facts(trials: DataFrame, aliases: DataFrame | None = None) -> TrialFac
 
 
 def link_values(questions: DataFrame, values: DataFrame, text: str = "question") -> DataFrame:
-    """``questions`` with ``asked`` (a statistics question), the linked value of each of ``KINDS`` (``q_status`` ...) and
-    ``understood``: no word is left over and no kind was linked twice."""
+    """``questions`` with ``_asked`` (a statistics question), the linked value of each of ``KINDS`` (``_q_status`` ...) and
+    ``_understood``: no word is left over and no kind was linked twice."""
     w = F.when(F.lower(F.col(text)).rlike(COUNT_QUESTION), words(F.col(text)))
     rows = materialize(questions.withColumns({"_row": F.monotonically_increasing_id(), "_w": w}), "linked-questions")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.transform(
@@ -136,36 +136,36 @@ def link_values(questions: DataFrame, values: DataFrame, text: str = "question")
     crossing = lambda a, b: (a["at"] < b["at"] + b["n"]) & (b["at"] < a["at"] + a["n"])
     better = lambda a, b: F.struct(a["short"], a["at"], a["rank"]) < F.struct(b["short"], b["at"], b["rank"])
     best = F.filter("m", lambda a: ~F.exists("m", lambda b: crossing(a, b) & better(b, a)))
-    linked = rows.join(found.select("_row", best.alias("m")), "_row", "left") \
-        .withColumn("m", F.coalesce("m", F.array().cast(found.schema["m"].dataType)))
-    covered = F.flatten(F.transform("m", lambda a: F.sequence(a["at"], a["at"] + a["n"] - 1)))
+    linked = rows.join(found.select("_row", best.alias("_m")), "_row", "left") \
+        .withColumn("_m", F.coalesce("_m", F.array().cast(found.schema["m"].dataType)))
+    covered = F.flatten(F.transform("_m", lambda a: F.sequence(a["at"], a["at"] + a["n"] - 1)))
     linked = linked.withColumn("_c", covered)
     left = F.filter("_w", lambda x, i: ~F.array_contains("_c", i + 1) & ~x.isin(ASKING_WORDS))
     def linked_to(kind: str) -> Column:
-        return F.filter("m", lambda a: a["kind"] == kind)
+        return F.filter("_m", lambda a: a["kind"] == kind)
 
     of = {k: linked_to(k) for k in KINDS}
     single = F.lit(True)
     for k in KINDS:
         single = single & (F.size(of[k]) <= 1)
-    return linked.withColumns({"asked": F.col("_w").isNotNull(), "understood": F.coalesce((F.size(left) == 0) & single, F.lit(False)),
-                               **{f"q_{k}": F.get(of[k], 0)["value"] for k in KINDS}}).drop("_row", "_w", "_c", "m")
+    return linked.withColumns({"_asked": F.col("_w").isNotNull(), "_understood": F.coalesce((F.size(left) == 0) & single, F.lit(False)),
+                               **{f"_q_{k}": F.get(of[k], 0)["value"] for k in KINDS}}).drop("_row", "_w", "_c", "_m")
 
 
 def counts_asked(base: DataFrame, linked: DataFrame) -> DataFrame:
-    """(f_status, f_place, f_condition, f_year, n) for the combinations of conditions that some question has (null: any value):
+    """(_f_status, _f_place, _f_condition, _f_year, _n) for the combinations of conditions that some question has (null: any value):
     one grouping of the base for each of them, at most 2 ** 4."""
-    masks = linked.select(*[F.col(f"q_{k}").isNotNull().alias(k) for k in KINDS]).distinct().collect()
+    masks = linked.select(*[F.col(f"_q_{k}").isNotNull().alias(k) for k in KINDS]).distinct().collect()
     out = None
     for mask in masks:
         t = base
-        for k in ("place", "condition"):
-            if mask[k]:
-                t = t.withColumn(k, F.explode(k))
-        on = [F.col(k).alias(f"f_{k}") if mask[k] else F.lit(None).cast("string").alias(f"f_{k}") for k in KINDS]
-        one = t.groupBy(*on).agg(F.sum("n").alias("n"))
+        for k in KINDS:
+            if mask[k]:     # trials without a value of the kind count for no value (null means any)
+                t = t.withColumn(k, F.explode(k)) if k in ("place", "condition") else t.where(F.col(k).isNotNull())
+        on = [F.col(k).alias(f"_f_{k}") if mask[k] else F.lit(None).cast("string").alias(f"_f_{k}") for k in KINDS]
+        one = t.groupBy(*on).agg(F.sum("n").alias("_n"))
         out = one if out is None else out.unionByName(one)
-    return out if out is not None else base.sparkSession.createDataFrame([], ", ".join(f"f_{k} string" for k in KINDS) + ", n long")
+    return out if out is not None else base.sparkSession.createDataFrame([], ", ".join(f"_f_{k} string" for k in KINDS) + ", _n long")
 
 
 def answer_stats(questions: DataFrame, trials: DataFrame | TrialFacts, text: str = "question", aliases: DataFrame | None = None) -> DataFrame:
@@ -174,14 +174,14 @@ def answer_stats(questions: DataFrame, trials: DataFrame | TrialFacts, text: str
     null; values that no trial has together count 0. Rows without a text, and repeated rows, get a row each."""
     facts = trials if isinstance(trials, TrialFacts) else trial_facts(trials, aliases)
     linked = materialize(link_values(questions, facts.values, text), "linked-values")
-    answerable = linked.where("asked AND understood")
+    answerable = linked.where("_asked AND _understood")
     counts = materialize(counts_asked(facts.base, answerable), "asked-counts")
     same = None
     for k in KINDS:
-        on = F.col(f"q_{k}").eqNullSafe(F.col(f"f_{k}"))
+        on = F.col(f"_q_{k}").eqNullSafe(F.col(f"_f_{k}"))
         same = on if same is None else same & on
     j = linked.join(counts, same, "left")
-    status, place = F.col("q_status").isNotNull(), F.col("q_place").isNotNull()
-    rule = F.when(F.col("asked"), F.when(status & place, 1).when(status, 2).when(place, 3).otherwise(4))
+    status, place = F.col("_q_status").isNotNull(), F.col("_q_place").isNotNull()
+    rule = F.when(F.col("_asked"), F.when(status & place, 1).when(status, 2).when(place, 3).otherwise(4))
     return j.select(*questions.columns, rule.alias("rule_no"),
-                    F.when(F.col("asked") & F.col("understood"), F.coalesce(F.col("n"), F.lit(0))).alias("answer"))
+                    F.when(F.col("_asked") & F.col("_understood"), F.coalesce(F.col("_n"), F.lit(0))).alias("answer"))

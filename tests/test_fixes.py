@@ -56,7 +56,7 @@ def test_passages_are_found_verbatim(spark, passage, holds):
 ARITHMETIC = {
     "2**3**2": 512, "-2**2": -4, "0**-1": None, "(1+2)*3": 9, "1+2+3+4": 10, "10%3": 1, "7//2": 3, "-7//2": -4, "-7 % 3": 2,
     "(-2)**2": 4, "2*-3": -6, "2--3": 5, "2^-1": 0.5, "1/0": None, "3 4": None, "100-10-5": 85, "2*3%4": 2, "(2+3)*(4-1)": 15,
-    "((1))": None, "": None, "x": None, "sum(range(1, 4))": 6, "sum(range(4, 1))": 0, "1e308*10": None, "-(2+3)": -5, "(-8)^(1/3)": None,
+    "((1))": 1.0, "": None, "x": None, "sum(range(1, 4))": 6, "sum(range(4, 1))": 0, "1e308*10": None, "-(2+3)": -5, "(-8)^(1/3)": None,
 }
 
 
@@ -138,3 +138,25 @@ def test_positions_in_a_session_of_most_rows(spark):
     for g in {r.g for r in found}:
         mine = sorted((r.turn, r.pos) for r in found if r.g == g)
         assert [p for _, p in mine] == list(range(len(mine)))
+
+
+def test_links_keep_their_own_brackets(spark):
+    df = spark.createDataFrame([(1, "see https://en.wikipedia.org/wiki/A_(b), (http://x.org/c) and [t](https://y.org/d_(e)_f). NCT12345678")], "k int, t string")
+    assert [r.citation for r in ev.citations(df, "t", "k").collect()] == [
+        "https://en.wikipedia.org/wiki/A_(b)", "http://x.org/c", "https://y.org/d_(e)_f", "NCT12345678"]
+
+
+def test_zone_names_of_their_time(spark):
+    import datetime as dt
+    from sparkqa.functions import dates
+    times = [dt.datetime(2005, 7, 1), dt.datetime(2005, 1, 1), dt.datetime(2012, 7, 1), dt.datetime(2020, 7, 1)]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    assert [r[0].split("-")[-1] for r in df.select(dates.run_label("ts", "Europe/Moscow")).collect()] == ["MSD", "MSK", "MSK", "MSK"]
+    assert [r[0].split("-")[-1] for r in df.select(dates.run_label("ts", "US/Eastern")).collect()] == ["EDT", "EST", "EDT", "EDT"]
+
+
+def test_what_never_closes_is_no_text(spark):
+    from sparkqa.functions import text
+    pages = ["<p>a</p><script>var x = '<b>'", "b<!-- c", "<style>p {}</style>d<style>e", "f&amp;g &lt;h&gt; &nbsp;&copy i &notit; &#x41;&#66; &#128; &bogus; & &NotEqualTilde;"]
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    assert [r[0] for r in df.select(text.html_text("html")).collect()] == ["a", "b", "d", "f&g <h> \xa0© i ¬it; AB € &bogus; & ≂̸"]

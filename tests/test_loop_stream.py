@@ -211,3 +211,42 @@ def test_batch_sync_equals_fresh_index(spark):
     want = index_rows(v2, "k", "t")
     cols = ["k", "t", "text_hash", "n_terms", "vector"]
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
+
+
+def test_dispatch_keeps_null_and_repeated_ids(spark):
+    rows = [(7, settings.RAG_AGENT, "a"), (7, settings.STATS_AGENT, "bb"), (None, settings.HELPER_AGENT, "c d"), (None, "nobody", "e"), (8, None, "f")]
+    df = spark.createDataFrame(rows, "qid long, next_agent string, question string").withColumns(
+        {"next_question": F.lit(None).cast("string"), "responses": F.array().cast("array<string>")})
+    out = routing.dispatch(df, agent_loop.rule_pipelines()).collect()
+    assert sorted((r.qid is None, r.question, bool(r.responses), r.error is None) for r in out) == [
+        (False, "a", True, True), (False, "bb", True, True), (False, "f", False, False), (True, "c d", True, True), (True, "e", False, False)]
+    assert "_row" not in out[0].asDict()
+
+
+def test_loop_keeps_null_and_repeated_ids(spark):
+    reqs = spark.createDataFrame([(1, "one", 0, 3), (1, "two", 0, 3), (None, "three", 0, 3)], "qid long, question string, num_attempts int, max_attempts int")
+
+    def planner(df):
+        return df.withColumn("plan", F.when(F.size("responses") > 0, F.lit(settings.DONE)).otherwise(F.lit(settings.RAG_AGENT + ":ask")))
+    out = agent_loop.run_loop(reqs, planner=planner).collect()
+    assert sorted((r.question, r.route, len(r.responses)) for r in out) == [(q, settings.USER_RESPONSE, 1) for q in ("one", "three", "two")]
+
+
+def test_agents_without_rows_are_not_run(spark):
+    def never(df):
+        raise AssertionError("no row names this agent")
+    df = spark.createDataFrame([(1, "a", "q")], "qid long, next_agent string, question string").withColumns(
+        {"next_question": F.lit(None).cast("string"), "responses": F.array().cast("array<string>")})
+    pipes = {"a": lambda d: d.select("qid", F.lit("yes").alias("reply")), "b": never}
+    assert [r.responses for r in routing.dispatch(df, pipes).collect()] == [["q :yes"]]
+
+
+def test_helper_answers_date_questions(spark):
+    import datetime as dt
+    from sparkqa.plans.agents import agent_pipelines
+    pages = spark.createDataFrame([(1, "http://a", "<p>vaccine dates of arrival</p>")], "page_id long, url string, html string")
+    helper = agent_pipelines(None, None, None, pages)[settings.HELPER_AGENT]
+    q = spark.createDataFrame([(1, "What is today's date?"), (2, "what date is it"), (3, "vaccine dates"), (4, "2*(3+4)")], "qid long, question string")
+    got = {r.qid: r.reply for r in helper(q).collect()}
+    today = dt.datetime.now(dt.timezone.utc).strftime("%B %d, %Y")
+    assert got == {1: today, 2: today, 3: "http://a", 4: "14.0"}
