@@ -8,7 +8,7 @@ that one hot cell never lands in a single task (salting fixed at build time).
 Search never pairs every query with every vector:
 
 * each query is expanded to the cells it must visit (numpy on Arrow batches, against the
-  ``nlist`` centroids, a size-checked local array);
+  ``nlist`` centroids, which travel with the function: their number is the caller's parameter);
 * queries and index rows are cogrouped on ``(cell, part, query chunk)`` and each group is
   scored with numpy matrix multiplies (BLAS) in bounded query blocks; only the k best
   per query and group leave the task;
@@ -48,18 +48,16 @@ class VectorIndex:
     vector: str = "vector"
 
     def cell_arrays(self):
-        """Centroids, radii and part counts as local arrays: ``nlist`` rows, the caller's parameter, not the data's."""
-        rows = sorted(self.cells.select("cell", "centroid", "radius", "n_parts").collect())
+        """Centroids and radii as local arrays: ``nlist`` rows, the caller's parameter, not the data's."""
+        rows = sorted(self.cells.select("cell", "centroid", "radius").collect())
         dim = len(rows[0]["centroid"]) if rows else 0
         ncell = (rows[-1]["cell"] + 1) if rows else 0
         cent = np.zeros((ncell, dim))
         rad = np.full(ncell, -1.0)         # -1 marks an empty cell: never visited
-        parts = np.zeros(ncell, dtype=np.int64)
         for r in rows:
             cent[r["cell"]] = np.asarray(r["centroid"], dtype=float)
             rad[r["cell"]] = r["radius"]
-            parts[r["cell"]] = r["n_parts"]
-        return cent, rad, parts
+        return cent, rad
 
 
 def _assign_fn(key: str, vector: str, centers: np.ndarray):
@@ -149,29 +147,24 @@ def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16
     cells = spark.createDataFrame(cell_rows, CELLS_SCHEMA)
     if path:
         cells.write.mode("overwrite").parquet(f"{path}/cells")      # last: marks the index complete
-    return VectorIndex(vectors=_with_parts(assigned, key, [r[4] for r in cell_rows]), cells=cells,
-                       key=key, vector=vector)
+    return VectorIndex(vectors=_with_parts(assigned, key, cells), cells=cells, key=key, vector=vector)
 
 
 CELLS_SCHEMA = "cell int, centroid array<double>, radius double, n bigint, n_parts int"
 
 
-def _with_parts(assigned: DataFrame, key: str, parts_per_cell: list[int]) -> DataFrame:
+def _with_parts(assigned: DataFrame, key: str, cells: DataFrame) -> DataFrame:
     """Sub-cell of every row: a key hash modulo its cell's part count (salting fixed at
-    build time, so a hot cell is spread over many tasks)."""
-    n_parts = F.array(*[F.lit(int(n)) for n in parts_per_cell])
-    return assigned.withColumn(
-        "part", F.pmod(F.xxhash64(F.col(key)), F.get(n_parts, F.col("cell")).cast("bigint")).cast("int"))
+    build time, so a hot cell is spread over many tasks). The counts are joined on the cell."""
+    sized = assigned.join(cells.select("cell", F.col("n_parts").alias("_parts")), "cell")
+    return sized.withColumn("part", F.pmod(F.xxhash64(F.col(key)), F.col("_parts").cast("bigint")).cast("int")).drop("_parts")
 
 
 def open_index(spark, path: str, key: str, vector: str = "vector") -> VectorIndex:
-    """Open an index written by ``build_index(path=...)``; the cells table is small
-    (one row per cell) and read once for the part counts."""
+    """Open an index written by ``build_index(path=...)``; nothing is read until it is searched."""
     cells = spark.read.schema(CELLS_SCHEMA).parquet(f"{path}/cells")
-    parts = {r["cell"]: r["n_parts"] for r in cells.select("cell", "n_parts").collect()}   # <= nlist rows
-    ordered = [parts.get(i, 1) for i in range(max(parts) + 1)] if parts else [1]
     vectors = spark.read.parquet(f"{path}/vectors")
-    return VectorIndex(vectors=_with_parts(vectors, key, ordered), cells=cells, key=key, vector=vector)
+    return VectorIndex(vectors=_with_parts(vectors, key, cells), cells=cells, key=key, vector=vector)
 
 
 def table_index(rows: DataFrame, key: str, vector: str = "vector", rows_per_part: int = 20_000) -> VectorIndex:
@@ -183,8 +176,8 @@ def table_index(rows: DataFrame, key: str, vector: str = "vector", rows_per_part
     s = assigned.agg(F.count(F.lit(1)).alias("n"), F.max("cdist").alias("radius"), F.max(F.size(vector)).alias("dim")).first()
     n_parts = max(1, math.ceil(s["n"] / rows_per_part))
     cell = (0, [0.0] * (s["dim"] or 0), float(s["radius"] if s["n"] else -1.0), int(s["n"]), n_parts)
-    return VectorIndex(vectors=_with_parts(assigned, key, [n_parts]),
-                       cells=rows.sparkSession.createDataFrame([cell], CELLS_SCHEMA), key=key, vector=vector)
+    cells = rows.sparkSession.createDataFrame([cell], CELLS_SCHEMA)
+    return VectorIndex(vectors=_with_parts(assigned, key, cells), cells=cells, key=key, vector=vector)
 
 
 def _probe_fn(qkey: str, qvec: str, cent: np.ndarray, rad: np.ndarray, nprobe: int, phase: int):
@@ -215,14 +208,14 @@ def _probe_fn(qkey: str, qvec: str, cent: np.ndarray, rad: np.ndarray, nprobe: i
     return probe
 
 
-def _probe(queries: DataFrame, qkey: str, qvec: str, arrays, nprobe: int, phase: int) -> DataFrame:
-    cent, rad, parts = arrays
+def _probe(queries: DataFrame, qkey: str, qvec: str, arrays, cells: DataFrame, nprobe: int, phase: int) -> DataFrame:
+    cent, rad = arrays
     queries = queries.filter(F.col(qvec).isNotNull())       # no vector, nothing to search for
     fields = [queries.schema[qkey], T.StructField("cell", T.IntegerType()), queries.schema[qvec]]
     src = queries.select(qkey, qvec, *(["thr"] if phase == 2 else []))
     p = src.mapInPandas(_probe_fn(qkey, qvec, cent, rad, nprobe, phase), T.StructType(fields))
-    n_parts = F.array(*[F.lit(int(x)) for x in parts])
-    return p.withColumn("part", F.explode(F.sequence(F.lit(0), F.get(n_parts, F.col("cell")) - 1)))
+    sized = p.join(cells.select("cell", F.col("n_parts").alias("_parts")), "cell")
+    return sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
 
 
 QUERY_BLOCK = 512            # queries scored per matrix multiply inside a task
@@ -258,21 +251,17 @@ def _candidates(probes: DataFrame, index: VectorIndex, qkey: str, qvec: str, exc
     cell key and each group is scored with one matrix multiply per query block; only
     each block's k best per query leave the task (ties at the k-th score kept).
 
-    Query chunks are sized per cell from the probe counts (one aggregate of at most
-    ``nlist`` rows), so an index part is replayed only as many times as its own cell's
+    Query chunks are sized per cell from the probe counts (an aggregate by cell, joined to both sides), so an index part is replayed only as many times as its own cell's
     probing queries need, and a hot cell's queries are split over many tasks."""
     # probes feed both the per-cell count and the scan: materialise them once
     probes = materialize(probes, "probes")
-    per_cell = {r["cell"]: r["n"] for r in probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ncell = max(per_cell) + 1 if per_cell else 1
-    chunks = [max(1, math.ceil(per_cell.get(c, 0) / QUERY_CHUNK_ROWS)) for c in range(ncell)]
-    chunk_of = F.array(*[F.lit(n) for n in chunks])
+    chunks = materialize(probes.groupBy("cell").agg(
+        F.ceil(F.count(F.lit(1)) / QUERY_CHUNK_ROWS).cast("int").alias("_chunks")), "probe-counts")
     v = index.vectors.select(index.key, F.col(index.vector).alias("_dvec"), "cell", "part")
-    # cells no query visits never enter the shuffle
-    v = v.filter(F.col("cell").isin(sorted(per_cell))).withColumn(
-        "qchunk", F.explode(F.sequence(F.lit(0), F.get(chunk_of, F.col("cell")) - 1)))
-    p = probes.select(qkey, F.col(qvec).alias("qvec"), "cell", "part").withColumn(
-        "qchunk", F.pmod(F.xxhash64(F.col(qkey)), F.get(chunk_of, F.col("cell")).cast("bigint")).cast("int"))
+    # cells no query visits never enter the shuffle: the inner join leaves them out
+    v = v.join(chunks, "cell").withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+    p = probes.select(qkey, F.col(qvec).alias("qvec"), "cell", "part").join(chunks, "cell").withColumn(
+        "qchunk", F.pmod(F.xxhash64(F.col(qkey)), F.col("_chunks").cast("bigint")).cast("int")).drop("_chunks")
     schema = T.StructType([probes.schema[qkey], T.StructField("hit_key", index.vectors.schema[index.key].dataType),
                            T.StructField("score", T.DoubleType())])
     g = ["cell", "part", "qchunk"]
@@ -289,7 +278,7 @@ def topk_ann(queries: DataFrame, index: VectorIndex, k: int = 3, nprobe: int = 4
     """Approximate k nearest by dot product, visiting the ``nprobe`` nearest cells (op 18).
     Output: qkey, rank, hit_key, score."""
     arrays = index.cell_arrays()
-    c = _candidates(_probe(queries, qkey, qvec, arrays, nprobe, 1), index, qkey, qvec, exclude_self, k)
+    c = _candidates(_probe(queries, qkey, qvec, arrays, index.cells, nprobe, 1), index, qkey, qvec, exclude_self, k)
     return _top(c, qkey, k).select(qkey, "rank", "hit_key", "score")
 
 
@@ -304,12 +293,12 @@ def topk_join(queries: DataFrame, index: VectorIndex, k: int = 3, nprobe: int =
         return topk_ann(queries, index, k, nprobe, qkey, qvec, exclude_self)
     # the query vectors feed both passes: materialise them once in the checkpoint folder
     queries = materialize(queries.select(qkey, qvec), "queries")
-    first = _top(_candidates(_probe(queries, qkey, qvec, arrays, nprobe, 1), index, qkey, qvec, exclude_self, k),
+    first = _top(_candidates(_probe(queries, qkey, qvec, arrays, index.cells, nprobe, 1), index, qkey, qvec, exclude_self, k),
                  qkey, k)
     thr = first.groupBy(qkey).agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(NO_THRESHOLD)).alias("thr"))
     q2 = queries.join(thr, qkey, "left").fillna({"thr": NO_THRESHOLD})
-    rest = _candidates(_probe(q2, qkey, qvec, arrays, nprobe, 2), index, qkey, qvec, exclude_self, k)
+    rest = _candidates(_probe(q2, qkey, qvec, arrays, index.cells, nprobe, 2), index, qkey, qvec, exclude_self, k)
     allc = first.select(qkey, "hit_key", "score").unionByName(rest)
     return _top(allc, qkey, k).select(qkey, "rank", "hit_key", "score")
 
