@@ -249,10 +249,6 @@ def cells_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
                                        pa.array([c.tobytes() for _, c in found], pa.binary())], ["lang", "mix", "at", "n"])
 
 
-def spark_rows(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    return like.sparkSession.createDataFrame(rows, schema)
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS,
         sample_rows: int = SAMPLE_ROWS, languages: int = MOST_LANGUAGES) -> Languages:
     """Machines fitted on at most ``sample_rows`` distinct texts with a letter outside fold 0: of each of the ``languages`` commonest
@@ -265,9 +261,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     common = distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     each = sample_rows // max(len(common), 1)
     # hashes are even: the smallest 2 * each + 100 of n lie below about that share of the range, so few rows are ranked
-    below = spark_rows(docs, [(r.lang, min(int((2 * each + 100) / r["count"] * 2**64), 2**64 - 1) - 2**63) for r in common], "lang string, below long")
-    sample = distinct.join(below, "lang").where("mix <= below").drop("below") \
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("mix"))).where(F.col("rank") <= each).select("lang", "mix")
+    low = F.lit(False)
+    for r in common:
+        low = low | ((F.col("lang") == r.lang) & (F.col("mix") <= min(int((2 * each + 100) / r["count"] * 2**64), 2**64 - 1) - 2**63))
+    sample = distinct.where(low).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("mix"))).where(F.col("rank") <= each).select("lang", "mix")
     sample = materialize(sample, "language-sample")
     # one row a text before anything is gathered: copies give the same features
     cells = known.join(sample, ["lang", "mix"]).groupBy("lang", "mix").agg(F.any_value("text").alias("text")) \
