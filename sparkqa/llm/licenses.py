@@ -14,7 +14,12 @@ number is one word, and ``2.0`` and ``v2`` read as ``2``. Words that tell one li
 Affero, Lesser, ShareAlike, ...) are no noise: they are never left out, put in or replaced.
 
 Notices ("licensed under the X, version n", ``notice``) are found by their names: every word that isn't ``GENERIC`` has
-to be there, names in one piece, and about half as many generic words as the template has words may differ.
+to be there, names in one piece, and about half as many generic words as the template has words may differ. A block
+of a notice is ranked against every notice that shares a name with it. Names without "license" or a version ("released
+under MIT") need a verb of licensing before and nothing after that they could belong to, names of a family ("the Apache
+License") the verb, and no version after. Further names of a list
+("under the Apache License 2.0, the MIT License or ...") are read as if "under" stood before them. A notice that its
+sentence denies ("not released under ...") has the denial among its differences, as ``!not``.
 """
 
 from __future__ import annotations
@@ -47,8 +52,16 @@ OVER = 1 << 20
 SHORT_WORDS = 15
 GENERIC = frozenset("""a all an and any are as available be by code conditions content copyright data distributed documentation file
     files following generic has have in international is it its library licence licenced license licensed made material may of
-    offered package program project provided published redistributed released repository shared software source terms text that
+    either offered package program project provided published redistributed released repository shared software source terms text that
     the these this to unported used v version was were which work works""".split()) - {"by"}
+#: What joins the licenses of a list, and what a notice without "license" and version needs before it.
+JOINING = frozenset("or and either both".split())
+LIST_MARKS = re.compile(r"[,/&+|]")
+VERBS = frozenset("available distributed licenced licensed offered provided published redistributed released shared".split())
+DENIALS = frozenset("cannot neither never no none nor not isn aren wasn weren".split())
+#: A denial counts so many words before a notice, in the same sentence.
+DENIAL_WORDS = 8
+SENTENCE_END = re.compile(r"[.!?;:\n](?:\s|$)")
 LEVEL = 3
 MEMO_WORDS = 1_000_000
 
@@ -57,10 +70,11 @@ FINDING = pa.schema([("id", pa.int64()), ("license", pa.string()), ("start", pa.
 
 
 def normal(word: str) -> str:
-    """Lower case; versions without a leading ``v`` and closing zeros."""
+    """Lower case; versions without a leading ``v`` and closing zeros; ``gpl3`` is ``gplv3``."""
     word = word.lower()
     if word[-1].isdigit():
         word = re.sub(r"^v(?=\d)", "", word)
+        word = re.sub(r"^([al]?gpl)(?=\d)", r"\1v", word)
         while word.endswith(".0"):
             word = word[:-2]
     return word
@@ -165,17 +179,29 @@ class Scanner:
         self.sizes = sorted({len(a) for a in self.anchors})
         # a document without a word of each anchor has no anchor
         self.hints = {max(a, key=lambda w: (w.isalpha(), len(w))) for a in self.anchors}
-        self.memo: dict[tuple, tuple | None] = {}
+        self.unversioned = {n for n in self.notices if not any(VERSION.fullmatch(w) for w in self.normal[n])}
+        self.bare = {n for n in self.unversioned if not any("licen" in w and w[-1] != "d" for w in self.normal[n])}
+        generic = {n: frozenset(self.needed[n] - {"license", "licence"}) for n in self.notices}
+        versioned = {frozenset(w for w in generic[n] if not VERSION.fullmatch(w)) for n in self.notices - self.unversioned}
+        #: a family whose versions are templates too, or names that may mean something else
+        self.loose = self.bare | {n for n in self.unversioned if generic[n] in versioned}
+        self.named: dict[str, set[str]] = {}
+        for n in self.notices:
+            for w in self.needed[n] - {"under", "license", "licence"}:
+                if not VERSION.fullmatch(w) or w[0].isalpha():
+                    self.named.setdefault(w, set()).add(n)
+        self.memo: dict[tuple, tuple[tuple, ...]] = {}
         self.memo_words = 0
 
     def limit(self, name: str) -> int:
         m = len(self.words[name])
         return m // WORDS_PER_DIFFERENCE if name_words(list(map(normal, self.words[name]))) is None else (m + 3) // 2
 
-    def blocks(self, words: list[str]) -> set[tuple[int, int, tuple[str, ...]]]:
-        """Stretches (first, end, templates) of ``words`` that may hold one of the templates (notices of one name,
-        or any that is no notice); of one template, those that overlap by more than the room for differences are
-        one stretch. A notice holds its anchor once, so its stretch ends at the anchors beside it."""
+    def blocks(self, words: list[str]) -> set[tuple[int, int, tuple[str, ...], tuple[int, int]]]:
+        """Stretches (first, end, templates, (first, end) of the words that a finding has to hold) of ``words`` that may
+        hold one of the templates: all notices that share a name with the stretch, or any that may be confirmed and is
+        no notice; of one template, those that overlap by more than the room for differences are one stretch. A notice
+        holds its anchor once, so its stretch ends at the anchors beside it, and its finding has to hold that anchor."""
         starts: dict[str, set[int]] = {}
         for size in self.sizes:
             for i, gram in enumerate(zip(*(words[k:] for k in range(size)))):
@@ -191,14 +217,16 @@ class Scanner:
                 hits = [-size, *(s + at for s in sorted(found)), len(words)]
                 for before, hit, after in zip(hits, hits[1:], hits[2:]):
                     low, high = max(hit - at - room, before + 1, 0), min(hit - at + m + room, after + size - 1, len(words))
-                    if self.possible(name, Counter(words[low:high])):
-                        out.add((low, high, (name,)))
+                    counts = Counter(words[low:high])
+                    if self.possible(name, counts):
+                        out.add((low, high, tuple(sorted(set().union(*(self.named.get(w, ()) for w in counts)))), (hit, hit + size)))
                 continue
             for first, last in grouped(sorted(found), room):
                 low, high = max(first - room, 0), min(last + m + room, len(words))
                 counts = Counter(words[low:high])
                 if self.possible(name, counts):
-                    out.add((low, high, tuple(n for n in self.names if n not in self.notices and self.possible(n, counts))))
+                    names = tuple(n for n in self.names if n not in self.notices and self.possible(n, counts))
+                    out.add((low, high, names, (high, low)))  # no word in particular
         return out
 
     def possible(self, name: str, counts: Counter) -> bool:
@@ -218,38 +246,118 @@ class Scanner:
         sizes = {n: len(zstandard.ZstdCompressor(level=LEVEL, dict_data=self.raw[n]).compress(raw)) for n in names}
         return sorted(((1 - sizes[n] / alone, n) for n in names), key=lambda r: (-r[0], r[1]))
 
-    def winner(self, block: list[str], names: tuple[str, ...]) -> tuple | None:
-        """(template, first, end, reduction, differences) of the best ranked template that is confirmed."""
+    def confirmed(self, block: list[str], names: tuple[str, ...]) -> tuple[tuple, ...]:
+        """(template, first, end, reduction, differences) of the templates that are confirmed, best ranked first."""
         key = (names, *block)
         if key not in self.memo:
             self.memo_words += len(key)
             if self.memo_words > MEMO_WORDS:
                 self.memo.clear()
                 self.memo_words = len(key)
-            self.memo[key] = None
+            counts, found = Counter(block), []
             for reduction, name in self.rank(block, names):
-                if found := align(block, self.words[name], self.limits[name]):
-                    self.memo[key] = (name, found[0], found[1], reduction, found[2])
-                    break
+                if self.possible(name, counts) and (at := align(block, self.words[name], self.limits[name])):
+                    found.append((name, at[0], at[1], reduction, at[2]))
+            self.memo[key] = tuple(found)
         return self.memo[key]
 
+    def winner(self, doc: Words, first: int, end: int, names: tuple[str, ...], held: tuple[int, int], listed: bool = False) -> tuple | None:
+        """(first, end, template, reduction, differences) of the best ranked template that is confirmed in the words from
+        ``first`` to ``end``, holds the words ``held`` and may stand there; ``listed``: as if "under" stood before them,
+        where it has to begin."""
+        block = doc.words[first:end]
+        for name, low, high, reduction, notes in self.confirmed(["under", *block] if listed else block, names):
+            if listed:
+                if low or high < 2:
+                    continue
+                high -= 1
+            low, high = first + low, first + high
+            if low > held[0] or high < held[1] or name in self.unversioned and doc.version_at(high):
+                continue
+            if name in self.loose and not listed and VERBS.isdisjoint(doc.words[max(low - 2, 0):high]):
+                continue
+            if name in self.bare and not doc.ends(high):
+                continue
+            return low, high, name, reduction, tuple(notes)
+        return None
+
+    def listed(self, doc: Words, end: int) -> Iterator[tuple]:
+        """Further notices of the list that goes on at word ``end``, if one does."""
+        while end < len(doc.words):
+            first = end
+            while first < len(doc.words) and doc.words[first] in JOINING:
+                first += 1
+            if first == end and not LIST_MARKS.fullmatch(doc.between(end).strip()):
+                return
+            window = doc.words[first:first + SHORT_WORDS]
+            found = {best for low, high, names, held in self.blocks(["under", *window]) if not low and set(names) <= self.notices
+                     if (best := self.winner(doc, first, first + high - 1, names, (first + held[0] - 1, first + held[1] - 1), listed=True))}
+            if not found:
+                return
+            best = min(found, key=lambda f: (f[0] - f[1], -f[3], f[2]))
+            yield best
+            end = best[1]
+
     def scan(self, text: str) -> list[tuple]:
         """Findings (template, start, end, reduction, differences) of a text in order, by character; of
         overlapping ones the one with more words stays, then the larger reduction."""
-        if self.hints.isdisjoint(map(str.lower, WORD.findall(text))):
+        if self.hints.isdisjoint(map(normal, WORD.findall(text))):
             return []
-        spans = [m.span() for m in WORD.finditer(text)]
-        words = [normal(text[a:b]) for a, b in spans]
-        won = set()
-        for first, end, names in self.blocks(words):
-            if best := self.winner(words[first:end], names):
-                name, low, high, reduction, notes = best
-                won.add((first + low, first + high, name, reduction, tuple(notes)))
+        doc = Words(text)
+        won = {best for block in self.blocks(doc.words) if (best := self.winner(doc, *block))}
         kept: list[tuple] = []
         for f in sorted(won, key=lambda f: (f[0] - f[1], -f[3], f[0], f[2])):
             if all(f[1] <= k[0] or k[1] <= f[0] for k in kept):
                 kept.append(f)
-        return [(name, spans[low][0], spans[high - 1][1], reduction, notes) for low, high, name, reduction, notes in sorted(kept)]
+        out = []
+        for f in sorted(kept):
+            denied = doc.denial(f[0]) if f[2] in self.notices else ()
+            group = [f]
+            if f[2] in self.notices:
+                for more in self.listed(doc, f[1]):
+                    if any(more[0] < k[1] and k[0] < more[1] for k in kept):
+                        break
+                    group.append(more)
+            out.extend((low, high, name, reduction, (*denied, *notes)) for low, high, name, reduction, notes in group)
+        return [(name, doc.spans[low][0], doc.spans[high - 1][1], reduction, list(notes)) for low, high, name, reduction, notes in sorted(out)]
+
+
+class Words:
+    """The (normal) words of a text and what stands between them."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.spans = [m.span() for m in WORD.finditer(text)]
+        self.words = [normal(text[a:b]) for a, b in self.spans]
+
+    def between(self, i: int) -> str:
+        """What stands before word ``i``, after the word before it."""
+        return self.text[self.spans[i - 1][1]:self.spans[i][0]] if 0 < i < len(self.spans) else ""
+
+    def version_at(self, i: int) -> bool:
+        """Whether a version begins at word ``i``, in the same sentence."""
+        for at in (i, i + 1):
+            if at >= len(self.words) or SENTENCE_END.search(self.between(at)):
+                return False
+            if VERSION.fullmatch(self.words[at]):
+                return True
+            if self.words[at] not in ("version", "v"):
+                return False
+        return False
+
+    def ends(self, i: int) -> bool:
+        """Whether names that stop before word ``i`` stop there: the text, a line, a list member or "license" follows."""
+        return (i >= len(self.words) or re.search(r"[^\w\s-]|\n", self.between(i)) is not None or self.words[i] in JOINING
+                or self.words[i] in ("license", "licenses", "licence", "licences"))
+
+    def denial(self, i: int) -> tuple[str, ...]:
+        """The nearest denial before word ``i`` in its sentence, as a difference."""
+        for at in range(i, max(i - DENIAL_WORDS, 0), -1):
+            if SENTENCE_END.search(self.between(at)):
+                break
+            if self.words[at - 1] in DENIALS:
+                return (f"!{self.words[at - 1]}",)
+        return ()
 
 
 def letters(words: list[str]) -> int:
@@ -292,9 +400,10 @@ def scanner(templates: tuple[tuple[str, str], ...] | None) -> Scanner:
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """One row per license text found in a row of ``docs``: id, ``license``, ``start`` and ``end`` (code points of the
     whole text), ``reduction`` (share of the compressed size that the template saves), ``n_differences`` and
-    ``differences`` (``-word`` left out, ``+word`` put in, ``a>b`` replaced).
+    ``differences`` (``-word`` left out, ``+word`` put in, ``a>b`` replaced, ``!word`` denied by its sentence).
 
-    Null and empty texts have none. Rows without id and repeated rows are scanned like any other;
+    Null and empty texts have none. Very long texts are scanned whole, block by block, in one task. Other columns are not
+    read, whatever their names, and don't come back. Rows without id and repeated rows are scanned like any other;
     an empty table gives an empty result. Texts are scanned where they are read: nothing is shuffled."""
     known = None if templates is None else tuple(sorted(templates.items()))
 

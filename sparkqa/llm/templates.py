@@ -121,5 +121,11 @@ for _kind, _full, _versions in (("GPL", _GPL, "1 2 3"), ("AGPL", _AGPL, "3"), ("
             f"{_name}-notice-v": f"Licensed under the {_kind}v{_version}.",
         }
 
+#: Names without version: the license is named, which version of it is not.
+TEMPLATES |= {"MIT-notice-bare": "Licensed under MIT.", "Apache-notice": "Licensed under the Apache License."}
+for _kind, _full in (("GPL", _GPL), ("AGPL", _AGPL), ("LGPL", _LGPL)):
+    TEMPLATES |= {f"{_kind}-notice": f"Licensed under the GNU {_full}.", f"{_kind}-notice-gnu": f"Licensed under the GNU {_kind}.",
+                  f"{_kind}-notice-abbreviated": f"Licensed under the {_kind}."}
+
 for _file in sorted(resources.files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
     TEMPLATES[_file.name.removesuffix(".txt") + "-text"] = _file.read_text(encoding="utf-8")
