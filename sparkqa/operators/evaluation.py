@@ -19,19 +19,73 @@ def containing_docs(passages: DataFrame, pkey: str, ptext: str, docs: DataFrame,
     longest distinct interior words (matches counted per (passage, document) pair, so a
     common word spreads over many tasks and never reaches the text check on its own);
     ``instr`` then confirms. Passages of fewer than three words have no interior word (they may
-    begin and end inside words): this stated set of passages is checked against all documents,
-    block by block."""
+    begin and end inside words) and go through ``_by_runs``; the empty passage is in every document."""
     w = tokens(ptext)
     passages = passages.filter(F.col(ptext).isNotNull())
-    long = _by_words(passages.filter(F.size(w) >= 3), pkey, ptext, docs, dkey, dtext)
+    found = _by_words(passages.filter(F.size(w) >= 3), pkey, ptext, docs, dkey, dtext)
     short = materialize(passages.filter(F.size(w) < 3).select(pkey, ptext), "short-passages")
-    if short.isEmpty():
-        return long
-    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(dkey, F.col(dtext).alias("_dt"), F.pmod(F.xxhash64(dkey), F.lit(blocks)).alias("_block"))
-    asked = short.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    found = dealt.join(asked, "_block").filter(F.instr(F.col("_dt"), F.col(ptext)) > 0).select(pkey, dkey)
-    return long.unionByName(found)
+    for pattern, those in ((r"(\S+)", F.col(ptext).rlike(r"\S")), (r"(\s+)", F.col(ptext).rlike(r"^\s+$"))):
+        if not (some := short.filter(those)).isEmpty():
+            found = found.unionByName(_by_runs(some, pkey, ptext, docs, dkey, dtext, pattern))
+    if not (empty := short.filter(F.col(ptext) == "")).isEmpty():
+        found = found.unionByName(_everywhere(empty, pkey, docs, dkey, dtext))
+    return found
+
+
+def _everywhere(passages: DataFrame, pkey: str, docs: DataFrame, dkey: str, dtext: str) -> DataFrame:
+    """Every passage with every document that has a text: the pairs are the result. Documents are dealt over as many
+    keys as there are shuffle partitions, so no task gathers them."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.filter(F.col(dtext).isNotNull()).select(dkey, F.pmod(F.xxhash64(dkey), F.lit(n)).alias("_part"))
+    return dealt.join(passages.select(pkey, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("_part")),
+                      "_part").select(pkey, dkey)
+
+
+GRAM = 3
+
+
+def _grams(text: str, size: int):
+    """All distinct runs of ``size`` characters of ``text``, in one pass (a match of no width at each place)."""
+    return F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
+
+
+def _by_runs(passages: DataFrame, pkey: str, ptext: str, docs: DataFrame, dkey: str, dtext: str, pattern: str) -> DataFrame:
+    """``containing_docs`` for passages with a match of ``pattern`` (a run of non-space characters, or of spaces in
+    passages of nothing else), without meeting every document.
+
+    A run of a passage lies inside a run of each document that contains the passage. So the passage's longest run is
+    looked up among the distinct runs of all documents (their vocabulary) by a gram index: character triples, of which
+    only those that some passage has are kept, and of a passage's triples only the rarest one makes candidates; ``instr``
+    decides on the run, and at last on the whole text of the documents that hold one of the found runs. Runs of one or
+    two characters are their own grams. Equal passages are looked up once."""
+    def runs(column: str):
+        return F.regexp_extract_all(F.col(column), F.lit(pattern), 1)
+
+    longest = F.array_max(F.transform(runs(ptext), lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))
+    asked = materialize(passages.select(ptext).distinct().select(ptext, longest["run"].alias("_run"))
+                        .withColumn("_size", F.least(F.length("_run"), F.lit(GRAM))), "short-texts")
+    sizes = sorted(r["_size"] for r in asked.select("_size").distinct().collect())   # of 1, 2 and 3
+    needed = [asked.filter(F.col("_size") == n).select("_run", F.explode(_grams("_run", n)).alias("_gram")).distinct() for n in sizes]
+    needed = materialize(_union(needed), "short-grams")
+    words = spread(docs.select(dkey, dtext)).select(dkey, F.explode(F.array_distinct(runs(dtext))).alias("_word"))
+    vocabulary = materialize(words.select("_word").distinct(), "run-vocabulary")
+    grams = _union([vocabulary.filter(F.length("_word") >= n).select("_word", F.explode(_grams("_word", n)).alias("_gram")) for n in sizes])
+    index = materialize(grams.join(needed.select("_gram").distinct(), "_gram", "left_semi"), "run-grams")
+    df = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = (needed.join(df, "_gram", "left").groupBy("_run")
+              .agg(F.min_by("_gram", F.struct(F.coalesce("_df", F.lit(0)), "_gram")).alias("_gram")))
+    pairs = materialize(rarest.join(index, "_gram").filter(F.instr(F.col("_word"), F.col("_run")) > 0).select("_run", "_word"), "run-words")
+    holding = words.join(pairs, "_word").select("_run", dkey).distinct()
+    cand = materialize(asked.select(ptext, "_run").join(holding, "_run").select(ptext, dkey), "short-candidates")
+    full = cand.join(docs.select(dkey, F.col(dtext).alias("_dt")), dkey).filter(F.instr(F.col("_dt"), F.col(ptext)) > 0)
+    return passages.join(full.select(ptext, dkey), ptext).select(pkey, dkey)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def _by_words(passages: DataFrame, pkey: str, ptext: str, docs: DataFrame, dkey: str, dtext: str) -> DataFrame:
