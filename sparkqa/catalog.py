@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from . import settings
 from .functions import arithmetic, dates, markdown, messages, text
-from .operators import checks, embed as emb, vectors
+from .operators import checks, embed as emb, quantised, vectors
 from .operators import evaluation as ev, keyword, routing
 from .operators.lookup import left_lookup
 from .operators.order import with_position
@@ -195,6 +195,15 @@ def similarity_topk_ann(spark, sf):
     return r.select("qid", "rank", "hit_key", F.round("score", 6).alias("score"))
 
 
+@query
+def similarity_topk_coded(spark, sf):
+    """As ``similarity_topk_ann``, by quantised codes and an exact rerank of what they leave."""
+    e, q = _embedding_queries(spark, sf)
+    coded = quantised.add_codes(vectors.build_index(e, "vec_id", "vector", centers=_fixed_centers(e)))
+    r = quantised.topk_coded(q, coded, k=settings.RETRIEVE_K, nprobe=ANN_PROBES, exclude_self=True)
+    return r.select("qid", "rank", "hit_key", F.round("score", 6).alias("score"))
+
+
 @query
 def retrieve_columns_with_key(spark, sf):
     corpus, idx = _corpus_index(spark, sf)

@@ -186,7 +186,7 @@ def _probe_fn(qkey: str, qvec: str, cent: np.ndarray, rad: np.ndarray, nprobe: i
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf) == 0:
+            if len(pdf) == 0 or not live.any():
                 continue
             q = np.vstack(pdf[qvec].map(lambda v: np.asarray(v, dtype=float)).to_numpy())
             s = q @ cent.T
@@ -245,6 +245,17 @@ def _scan_fn(qkey: str, key: str, k: int, exclude_self: bool):
     return scan
 
 
+def _query_chunks(probes: DataFrame, qkey: str, qvec: str) -> tuple[DataFrame, DataFrame]:
+    """Probes dealt into chunks of a cell's queries, and the number of chunks of every visited cell."""
+    # probes feed both the per-cell count and the scan: materialise them once
+    probes = materialize(probes, "probes")
+    chunks = materialize(probes.groupBy("cell").agg(
+        F.ceil(F.count(F.lit(1)) / QUERY_CHUNK_ROWS).cast("int").alias("_chunks")), "probe-counts")
+    p = probes.select(qkey, F.col(qvec).alias("qvec"), "cell", "part").join(chunks, "cell").withColumn(
+        "qchunk", F.pmod(F.xxhash64(F.col(qkey)), F.col("_chunks").cast("bigint")).cast("int")).drop("_chunks")
+    return p, chunks
+
+
 def _candidates(probes: DataFrame, index: VectorIndex, qkey: str, qvec: str, exclude_self: bool,
                 k: int) -> DataFrame:
     """Per-(cell, part, query chunk) best-k candidates: both sides are cogrouped on the
@@ -253,15 +264,10 @@ def _candidates(probes: DataFrame, index: VectorIndex, qkey: str, qvec: str, exc
 
     Query chunks are sized per cell from the probe counts (an aggregate by cell, joined to both sides), so an index part is replayed only as many times as its own cell's
     probing queries need, and a hot cell's queries are split over many tasks."""
-    # probes feed both the per-cell count and the scan: materialise them once
-    probes = materialize(probes, "probes")
-    chunks = materialize(probes.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / QUERY_CHUNK_ROWS).cast("int").alias("_chunks")), "probe-counts")
+    p, chunks = _query_chunks(probes, qkey, qvec)
     v = index.vectors.select(index.key, F.col(index.vector).alias("_dvec"), "cell", "part")
     # cells no query visits never enter the shuffle: the inner join leaves them out
     v = v.join(chunks, "cell").withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
-    p = probes.select(qkey, F.col(qvec).alias("qvec"), "cell", "part").join(chunks, "cell").withColumn(
-        "qchunk", F.pmod(F.xxhash64(F.col(qkey)), F.col("_chunks").cast("bigint")).cast("int")).drop("_chunks")
     schema = T.StructType([probes.schema[qkey], T.StructField("hit_key", index.vectors.schema[index.key].dataType),
                            T.StructField("score", T.DoubleType())])
     g = ["cell", "part", "qchunk"]

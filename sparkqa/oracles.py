@@ -282,7 +282,8 @@ SELECT a.vec_id, CAST(c.vec_id AS INTEGER) AS cell, row_number() OVER (PARTITION
   - 2 * list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), c.vec_id) AS nth
 FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id < 16) c""")
 oracle("build_vector_index", "SELECT vec_id, cell FROM probe_order WHERE nth = 1", "probe_order")
-oracle("similarity_topk_ann", """
+for _key in ("similarity_topk_ann", "similarity_topk_coded"):       # codes rule out only what cannot be a hit
+    oracle(_key, """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT a.vec_id AS qid, b.vec_id AS hit_key, list_dot_product(a.v, b.v) AS score
       FROM e a JOIN probe_order o ON a.vec_id = o.vec_id AND o.nth <= 12

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from .. import settings
 from ..operators.embed import embed
+from ..operators.quantised import CodedIndex, topk_coded
 from ..operators.vectors import VectorIndex, build_index, project_hits, topk_ann, topk_join
 
 
@@ -104,25 +105,29 @@ def corpus_index(corpus: DataFrame, key: str = "nct_number", text: str = "title"
     return build_index(vecs, key, "vector", nlist=nlist, path=path)
 
 
-def retrieve(questions: DataFrame, index: VectorIndex, corpus: DataFrame, qkey: str = "qid",
+def retrieve(questions: DataFrame, index: VectorIndex | CodedIndex, corpus: DataFrame, qkey: str = "qid",
              question: str = "question", k: int = settings.RETRIEVE_K, nprobe: int | None = None) -> DataFrame:
     """k best corpus rows per question with the retrieve columns and the key (ops 17 + 19).
 
     ``nprobe=None`` is exact search (op 17). A number makes it approximate (op 18): each
     question visits only its ``nprobe`` nearest cells of an index built with ``nlist``
     cells, so the cost per question stays bounded as the corpus grows, as the hosted
-    approximate search does."""
+    approximate search does. With a coded index (``operators.quantised.add_codes``) those cells are
+    scanned by their codes first; exact search then uses its vectors alone."""
+    codes, index = (index, index.index) if isinstance(index, CodedIndex) else (None, index)
     # a request without a question has nothing to search for (op 23 reports it)
     asked = questions.select(qkey, question).filter(F.col(question).isNotNull())
     q = embed(asked, question, out="qvec").select(qkey, "qvec")
     if nprobe is None:
         hits = topk_join(q, index, k=k, qkey=qkey, qvec="qvec")
+    elif codes is not None:
+        hits = topk_coded(q, codes, k=k, nprobe=nprobe, qkey=qkey, qvec="qvec")
     else:
         hits = topk_ann(q, index, k=k, nprobe=nprobe, qkey=qkey, qvec="qvec")
     return project_hits(hits, corpus, settings.RETRIEVE_COLUMNS, index.key)
 
 
-def answer_questions(questions: DataFrame, index: VectorIndex, corpus: DataFrame, qkey: str = "qid",
+def answer_questions(questions: DataFrame, index: VectorIndex | CodedIndex, corpus: DataFrame, qkey: str = "qid",
                      question: str = "question", k: int = settings.RETRIEVE_K, model=None,
                      nprobe: int | None = None) -> DataFrame:
     """Whole chain (op 31): question -> hits -> context -> prompt -> reply -> answer.
