@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from . import settings
 from .functions import arithmetic, dates, markdown, messages, text
-from .operators import checks, embed as emb, quantised, vectors
+from .operators import checks, embed as emb, quantised, sketches, vectors
 from .operators import evaluation as ev, keyword, routing
 from .operators.lookup import left_lookup
 from .operators.order import with_position
@@ -615,6 +615,16 @@ def trace_summary(spark, sf):
     return ev.trace_summary(fx.trace(spark, sf))
 
 
+@query
+def latency_by_month(spark, sf):
+    """Monthly latency by span, merged from the sketches of the days."""
+    path = scratch_path(spark, "latency-days")
+    sketches.write_days(sketches.day_sketches(fx.trace(spark, sf), ["span"], "latency_ms"), path)
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    r = sketches.percentiles(sketches.read_days(spark, path), [month, "span"], {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+    return r.select("month", "span", "calls", *[F.round(c, 6).alias(c) for c in ("p50_ms", "p95_ms", "p99_ms")])
+
+
 @query
 def user_prefix(spark, sf):
     c = table(spark, sf, "customer")

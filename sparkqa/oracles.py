@@ -620,6 +620,22 @@ SELECT qid, CAST(pos - 1 AS INTEGER) AS pos, cites[pos] AS citation FROM (
        "rag_answer")
 oracle("trace_summary", f"""SELECT span, count(*) AS calls, count(*) FILTER (WHERE is_error) AS errors, {_LAT}
 FROM trace GROUP BY span""", "trace")
+_BUCKETS = 8        # leading binary digits of a bucket of thousandths
+def _month_pct(p: float) -> str:
+    edge = f"min(CASE WHEN upto >= ceil(total * {p}) THEN edge END)"
+    return f"round(({edge} + sign({edge}) * ((1 << greatest(length(bin(abs({edge}))) - {_BUCKETS}, 0)) - 1) / 2) / 1000, 6)"
+
+
+oracle("latency_by_month", f"""SELECT month, span, CAST(sum(n) AS BIGINT) AS calls, {_month_pct(0.5)} AS p50_ms,
+  {_month_pct(0.95)} AS p95_ms, {_month_pct(0.99)} AS p99_ms
+FROM (SELECT *, sum(n) OVER (PARTITION BY month, span ORDER BY edge) AS upto, sum(n) OVER (PARTITION BY month, span) AS total
+  FROM (SELECT month, span, edge, count(*) AS n
+    FROM (SELECT month, span, CASE WHEN latency_ms < 0 THEN -1 ELSE 1 END * ((units >> cut) << cut) AS edge
+      FROM (SELECT *, CAST(greatest(length(bin(units)) - {_BUCKETS}, 0) AS BIGINT) AS cut
+        FROM (SELECT strftime(ts, '%Y-%m') AS month, span, latency_ms, CAST(floor(abs(latency_ms) * 1000) AS BIGINT) AS units
+              FROM trace)))
+    GROUP BY ALL))
+GROUP BY month, span""", "trace")
 oracle("user_prefix", """
 SELECT c_custkey, email, substr(nm, 1, 4) || CASE WHEN length(CAST(length(nm) AS VARCHAR)) < 3
   THEN lpad(CAST(length(nm) AS VARCHAR), 3, '0') ELSE CAST(length(nm) AS VARCHAR) END AS user_prefix
