@@ -20,7 +20,7 @@ from .operators.lookup import left_lookup
 from .operators.order import with_position
 from .plans import agent_loop, agents, rag, structured
 from .session import fingerprint, scratch_path, shared_dir, spread, table
-from .sources import changes, files
+from .sources import changes, files, unique
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,6 +90,15 @@ def append_table(spark, sf):
     return spark.read.parquet(path)
 
 
+@query
+def append_unique_keys(spark, sf):
+    path = scratch_path(spark, "append-unique")
+    t = fx.trials(spark, sf)
+    files.replace_table(t.filter(F.col("rank") % 2 == 0), path)
+    unique.append_unique(spark, t.filter(~(F.col("rank") % 2 == 0)), path, ["nct_number"])
+    return spark.read.parquet(path)
+
+
 @query
 def not_null_check(spark, sf):
     return checks.null_violations(fx.trials(spark, sf), fx.TRIAL_NOT_NULL + ["start_date", "interventions"])

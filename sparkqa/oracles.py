@@ -229,6 +229,7 @@ oracle("table_schema_report", " UNION ALL ".join(
 oracle("table_preview", "SELECT * FROM trials ORDER BY nct_number LIMIT 10", "trials")
 oracle("replace_table", "SELECT * FROM trials", "trials")
 oracle("append_table", "SELECT * FROM trials", "trials")
+oracle("append_unique_keys", "SELECT * FROM trials", "trials")
 _NN = ["rank", "nct_number", "title", "status", "conditions", "sponsor_collaborators", "enrollment", "url",
        "start_date", "interventions"]
 oracle("not_null_check", " UNION ALL ".join(

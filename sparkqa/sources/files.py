@@ -29,9 +29,8 @@ def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
-def append_table(spark: SparkSession, df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append rows, matching columns by name (op 8). Raises before writing on a missing,
-    extra or differently typed column."""
+def check_columns(spark: SparkSession, df: DataFrame, path: str, fmt: str = "parquet") -> list[str]:
+    """Columns of the table at ``path``; raises if the frame's differ in name or type."""
     target = spark.read.format(fmt).load(path).schema
     have = {f.name: f.dataType for f in df.schema.fields}
     want = {f.name: f.dataType for f in target.fields}
@@ -40,4 +39,10 @@ def append_table(spark: SparkSession, df: DataFrame, path: str, fmt: str = "parq
     wrong = sorted(n for n in set(want) & set(have) if want[n] != have[n])
     if missing or extra or wrong:
         raise ValueError(f"schema mismatch: missing={missing} extra={extra} type={wrong}")
-    df.select(*[f.name for f in target.fields]).write.mode("append").format(fmt).save(path)
+    return target.names
+
+
+def append_table(spark: SparkSession, df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Append rows, matching columns by name (op 8). Raises before writing on a missing,
+    extra or differently typed column."""
+    df.select(*check_columns(spark, df, path, fmt)).write.mode("append").format(fmt).save(path)
