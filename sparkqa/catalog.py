@@ -592,6 +592,8 @@ def eval_answer_match(spark, sf):
                     "truth_doc", "_t", "eval-truth").drop("_t")
     r = left_lookup(r, docs.select(F.col("doc_id").alias("_b"), F.col("text").alias("response")),
                     "best_doc", "_b", "eval-best").drop("_b")
+    # rows lie where their texts were read, all rows of one best document together: deal them to all tasks
+    r = r.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return ev.best_match(ev.answer_match(r), "item_id")
 
 
