@@ -10,8 +10,10 @@ Search never pairs every query with every vector:
 * each query is expanded to the cells it must visit (numpy on Arrow batches, against the
   ``nlist`` centroids, which travel with the function: their number is the caller's parameter);
 * queries and index rows are cogrouped on ``(cell, part, query chunk)`` and each group is
-  scored with numpy matrix multiplies (BLAS) in bounded query blocks; only the k best
-  per query and group leave the task;
+  scored with numpy matrix multiplies (BLAS) in bounded tiles; only the k best
+  per query and group leave the task, however many rows tie with them;
+* parts and chunks are large, and no more of them are cut than keep the tasks busy, as every part meets
+  all chunks of its cell: both sides are sent once per row of the other side's grid;
 * the final k per query come from ``row_number`` over a window (a WindowGroupLimit that
   trims before the shuffle).
 
@@ -29,7 +31,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +42,7 @@ from .lookup import left_lookup
 
 BOUND_SLACK = 1e-9           # float slack on the pruning bound
 NO_THRESHOLD = -1.0e300
+PART_ROWS = 65_536           # index rows of one part: what a task holds of the index
 
 
 @dataclass
@@ -79,7 +84,7 @@ def _assign_fn(key: str, vector: str, centers: np.ndarray):
 
 
 def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16, seed: int = 7,
-                max_iter: int = 20, rows_per_part: int = 20_000, path: str | None = None,
+                max_iter: int = 20, rows_per_part: int = PART_ROWS, path: str | None = None,
                 centers: DataFrame | None = None) -> VectorIndex:
     """Cell-partitioned index over a keyed vector table (op 13).
 
@@ -167,7 +172,7 @@ def open_index(spark, path: str, key: str, vector: str = "vector") -> VectorInde
     return VectorIndex(vectors=_with_parts(vectors, key, cells), cells=cells, key=key, vector=vector)
 
 
-def table_index(rows: DataFrame, key: str, vector: str = "vector", rows_per_part: int = 20_000) -> VectorIndex:
+def table_index(rows: DataFrame, key: str, vector: str = "vector", rows_per_part: int = PART_ROWS) -> VectorIndex:
     """A table that already holds vectors (such as a synced index) as a searchable index of one cell around the
     origin, dealt into parts; nothing is written, one aggregate counts the rows. Keys must be unique."""
     norm = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda acc, x: acc + x * x))
@@ -180,15 +185,25 @@ def table_index(rows: DataFrame, key: str, vector: str = "vector", rows_per_part
     return VectorIndex(vectors=_with_parts(assigned, key, cells), cells=cells, key=key, vector=vector)
 
 
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of a list column as a matrix over Arrow's own buffer."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError("vectors differ in length")
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    return flat.reshape(len(lists), int(lengths[0]) if len(lengths) else 0)
+
+
 def _probe_fn(qkey: str, qvec: str, cent: np.ndarray, rad: np.ndarray, nprobe: int, phase: int):
     c2 = (cent * cent).sum(axis=1)
     live = rad >= 0
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf) == 0 or not live.any():
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0 or not live.any():
                 continue
-            q = np.vstack(pdf[qvec].map(lambda v: np.asarray(v, dtype=float)).to_numpy())
+            q = matrix(batch.column(qvec))
             s = q @ cent.T
             d2 = np.where(live[None, :], c2[None, :] - 2.0 * s, np.inf)
             order = np.argsort(d2, axis=1, kind="stable")
@@ -199,71 +214,121 @@ def _probe_fn(qkey: str, qvec: str, cent: np.ndarray, rad: np.ndarray, nprobe: i
             else:
                 qn = np.sqrt((q * q).sum(axis=1))
                 bound = s + qn[:, None] * np.maximum(rad, 0)[None, :]
-                thr = pdf["thr"].to_numpy(dtype=float)
+                thr = batch.column("thr").to_numpy(zero_copy_only=False)
                 keep = (rank >= nprobe) & live[None, :] & (bound >= thr[:, None] - BOUND_SLACK)
-            qi, ci = np.nonzero(keep)
-            out = pd.DataFrame({qkey: pdf[qkey].to_numpy()[qi], "cell": ci.astype("int32")})
-            out[qvec] = pdf[qvec].to_numpy()[qi]
-            yield out
+            ends = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype("int32")
+            cells = pa.ListArray.from_arrays(ends, np.nonzero(keep)[1].astype("int32"))
+            yield pa.RecordBatch.from_arrays([batch.column(qkey), batch.column(qvec), cells], names=[qkey, qvec, "cells"])
     return probe
 
 
 def _probe(queries: DataFrame, qkey: str, qvec: str, arrays, cells: DataFrame, nprobe: int, phase: int) -> DataFrame:
+    """(qkey, qvec, cell, _parts): one row per query and cell it visits, with the number of the cell's parts."""
     cent, rad = arrays
     queries = queries.filter(F.col(qvec).isNotNull())       # no vector, nothing to search for
-    fields = [queries.schema[qkey], T.StructField("cell", T.IntegerType()), queries.schema[qvec]]
+    fields = [queries.schema[qkey], queries.schema[qvec], T.StructField("cells", T.ArrayType(T.IntegerType()))]
     src = queries.select(qkey, qvec, *(["thr"] if phase == 2 else []))
-    p = src.mapInPandas(_probe_fn(qkey, qvec, cent, rad, nprobe, phase), T.StructType(fields))
-    sized = p.join(cells.select("cell", F.col("n_parts").alias("_parts")), "cell")
-    return sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    p = src.mapInArrow(_probe_fn(qkey, qvec, cent, rad, nprobe, phase), T.StructType(fields))
+    p = p.select(qkey, qvec, F.explode("cells").alias("cell"))
+    return p.join(cells.select("cell", F.col("n_parts").alias("_parts")), "cell")
 
 
-QUERY_BLOCK = 512            # queries scored per matrix multiply inside a task
-QUERY_CHUNK_ROWS = 4096      # probing queries per cogroup chunk of one cell
+QUERY_BLOCK = 512            # queries and
+ROW_BLOCK = 2048             # index rows of one matrix multiply inside a task
+QUERY_CHUNK_ROWS = 65_536    # queries of a chunk of one cell at most: what a task holds of the queries
+SMALL_CHUNK_ROWS = 1024      # no chunk is cut smaller to give all tasks work
+GROUPS = 64                  # groups that keep the tasks busy: more of them only send the index more often
 RANK_DECIMALS = 10           # scores are ranked at this precision, so summation order never reorders ties
 
 
+def own_rows(qk: pa.ChunkedArray, dk: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (query, row) with the same key, sorted by query."""
+    q, d = qk.to_pandas(), dk.to_pandas()
+    if (q.dtype == object) != (d.dtype == object):
+        return np.zeros(0, int), np.zeros(0, int)
+    pairs = pd.DataFrame({"k": q, "i": np.arange(len(q))}).merge(pd.DataFrame({"k": d, "j": np.arange(len(d))}), on="k").sort_values("i")
+    return pairs["i"].to_numpy(), pairs["j"].to_numpy()
+
+
+def tiles(qm: np.ndarray, dm: np.ndarray, own: tuple[np.ndarray, np.ndarray] | None):
+    """(first query, first row, scores) of bounded blocks, all rows of one block of queries in turn; a query's
+    own row scores minus infinity."""
+    for q0 in range(0, len(qm), QUERY_BLOCK):
+        mine = None
+        if own is not None:
+            a, b = np.searchsorted(own[0], [q0, q0 + QUERY_BLOCK])
+            mine = own[0][a:b] - q0, own[1][a:b]
+        for d0 in range(0, len(dm), ROW_BLOCK):
+            score = qm[q0:q0 + QUERY_BLOCK] @ dm[d0:d0 + ROW_BLOCK].T
+            if mine is not None:
+                here = (mine[1] >= d0) & (mine[1] < d0 + ROW_BLOCK)
+                score[mine[0][here], mine[1][here] - d0] = -np.inf
+            yield q0, d0, score
+
+
+def best_rows(qm: np.ndarray, dm: np.ndarray, k: int, own=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the ``k`` best rows per query, ties at ``RANK_DECIMALS`` to the earlier row."""
+    out, least = [], np.zeros(0)
+    rows, cols, vals = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    for q0, d0, score in tiles(qm, dm, own):
+        if d0 == 0:
+            score[~np.isfinite(score)] = -np.inf
+            at = max(score.shape[1] - k, 0)
+            # rows of the first tile may tie with the k-th best; later ones tie only to lose
+            least = np.partition(score, at, axis=1)[:, at] - 10.0 ** -RANK_DECIMALS
+        r, c = np.nonzero(score > least[:, None])
+        v = score[r, c]
+        ok = np.isfinite(v)
+        rows, cols = np.concatenate([rows, r[ok]]), np.concatenate([cols, c[ok] + d0])
+        vals = np.concatenate([vals, v[ok]])
+        ranked = np.round(vals, RANK_DECIMALS)
+        order = np.lexsort((cols, -ranked, rows))
+        rows = rows[order]
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        order, rows, nth = order[nth < k], rows[nth < k], nth[nth < k]
+        cols, vals, ranked = cols[order], vals[order], ranked[order]
+        least[:] = -np.inf
+        least[rows[nth == k - 1]] = ranked[nth == k - 1] + 0.4 * 10.0 ** -RANK_DECIMALS
+        if d0 + ROW_BLOCK >= len(dm):
+            out.append((rows + q0, cols, vals))
+            rows, cols, vals = rows[:0], cols[:0], vals[:0]
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _scan_fn(qkey: str, key: str, k: int, exclude_self: bool):
-    def scan(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(d) == 0:
-            return pd.DataFrame({qkey: q[qkey].iloc[:0], "hit_key": d[key].iloc[:0], "score": np.zeros(0)})
-        dm = np.vstack(d["_dvec"].map(lambda v: np.asarray(v, dtype=float)).to_numpy())
-        dk = d[key].to_numpy()
-        qm = np.vstack(q["qvec"].map(lambda v: np.asarray(v, dtype=float)).to_numpy())
-        qk = q[qkey].to_numpy()
-        kk = min(k, len(d))
-        outs = []
-        for s0 in range(0, len(q), QUERY_BLOCK):
-            sc = qm[s0:s0 + QUERY_BLOCK] @ dm.T
-            if exclude_self:
-                sc[qk[s0:s0 + QUERY_BLOCK][:, None] == dk[None, :]] = -np.inf
-            r = np.round(sc, RANK_DECIMALS)
-            kth = np.partition(r, -kk, axis=1)[:, -kk]
-            rows, cols = np.nonzero((r >= kth[:, None]) & np.isfinite(r))
-            outs.append(pd.DataFrame({qkey: qk[s0 + rows], "hit_key": dk[cols], "score": sc[rows, cols]}))
-        return pd.concat(outs, ignore_index=True)
+    def scan(q: pa.Table, d: pa.Table) -> pa.Table:
+        qk, dk = q.column(qkey), d.column(key)
+        if q.num_rows == 0 or d.num_rows == 0:
+            return pa.table({qkey: qk.slice(0, 0), "hit_key": dk.slice(0, 0), "score": pa.array([], pa.float64())})
+        by_key = pc.sort_indices(dk)                # so that ties go to the smaller key
+        dk = dk.take(by_key)
+        own = own_rows(qk, dk) if exclude_self else None
+        rows, cols, vals = best_rows(matrix(q.column("qvec")), matrix(d.column("_dvec"))[by_key.to_numpy()], k, own)
+        return pa.table({qkey: qk.take(pa.array(rows)), "hit_key": dk.take(pa.array(cols)), "score": pa.array(vals)})
     return scan
 
 
 def _query_chunks(probes: DataFrame, qkey: str, qvec: str) -> tuple[DataFrame, DataFrame]:
-    """Probes dealt into chunks of a cell's queries, and the number of chunks of every visited cell."""
+    """Probes dealt into the parts of their cell and chunks of the cell's queries, and (cell, _chunks) of every visited cell."""
     # probes feed both the per-cell count and the scan: materialise them once
     probes = materialize(probes, "probes")
-    chunks = materialize(probes.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / QUERY_CHUNK_ROWS).cast("int").alias("_chunks")), "probe-counts")
-    p = probes.select(qkey, F.col(qvec).alias("qvec"), "cell", "part").join(chunks, "cell").withColumn(
-        "qchunk", F.pmod(F.xxhash64(F.col(qkey)), F.col("_chunks").cast("bigint")).cast("int")).drop("_chunks")
-    return p, chunks
+    visited = materialize(probes.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.max("_parts").alias("_parts")), "probe-counts")
+    work = visited.agg(F.sum(F.col("_n") * F.col("_parts"))).first()[0] or 0
+    rows = min(QUERY_CHUNK_ROWS, max(SMALL_CHUNK_ROWS, math.ceil(work / GROUPS)))
+    chunks = visited.select("cell", F.ceil(F.col("_n") / rows).cast("int").alias("_chunks"))
+    p = probes.select(qkey, F.col(qvec).alias("qvec"), "cell", "_parts").join(chunks, "cell").withColumn(
+        "qchunk", F.pmod(F.xxhash64(F.col(qkey)), F.col("_chunks").cast("bigint")).cast("int"))
+    p = p.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return p.drop("_chunks", "_parts"), chunks
 
 
 def _candidates(probes: DataFrame, index: VectorIndex, qkey: str, qvec: str, exclude_self: bool,
                 k: int) -> DataFrame:
     """Per-(cell, part, query chunk) best-k candidates: both sides are cogrouped on the
-    cell key and each group is scored with one matrix multiply per query block; only
-    each block's k best per query leave the task (ties at the k-th score kept).
+    cell key and each group is scored tile by tile; only k rows per query leave the task.
 
-    Query chunks are sized per cell from the probe counts (an aggregate by cell, joined to both sides), so an index part is replayed only as many times as its own cell's
-    probing queries need, and a hot cell's queries are split over many tasks."""
+    Query chunks are sized from the probe counts (an aggregate by cell, joined to both sides), so an index part is
+    replayed only as many times as its own cell's queries need, and a hot cell's queries are split over many tasks."""
     p, chunks = _query_chunks(probes, qkey, qvec)
     v = index.vectors.select(index.key, F.col(index.vector).alias("_dvec"), "cell", "part")
     # cells no query visits never enter the shuffle: the inner join leaves them out
@@ -271,7 +336,7 @@ def _candidates(probes: DataFrame, index: VectorIndex, qkey: str, qvec: str, exc
     schema = T.StructType([probes.schema[qkey], T.StructField("hit_key", index.vectors.schema[index.key].dataType),
                            T.StructField("score", T.DoubleType())])
     g = ["cell", "part", "qchunk"]
-    return p.groupBy(*g).cogroup(v.groupBy(*g)).applyInPandas(_scan_fn(qkey, index.key, k, exclude_self), schema)
+    return p.groupBy(*g).cogroup(v.groupBy(*g)).applyInArrow(_scan_fn(qkey, index.key, k, exclude_self), schema)
 
 
 def _top(c: DataFrame, qkey: str, k: int) -> DataFrame:
@@ -299,8 +364,8 @@ def topk_join(queries: DataFrame, index: VectorIndex, k: int = 3, nprobe: int =
         return topk_ann(queries, index, k, nprobe, qkey, qvec, exclude_self)
     # the query vectors feed both passes: materialise them once in the checkpoint folder
     queries = materialize(queries.select(qkey, qvec), "queries")
-    first = _top(_candidates(_probe(queries, qkey, qvec, arrays, index.cells, nprobe, 1), index, qkey, qvec, exclude_self, k),
-                 qkey, k)
+    first = _top(_candidates(_probe(queries, qkey, qvec, arrays, index.cells, nprobe, 1), index, qkey, qvec, exclude_self, k), qkey, k)
+    first = materialize(first, "first-hits")            # k rows per query, read for the thresholds and the result
     thr = first.groupBy(qkey).agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(NO_THRESHOLD)).alias("thr"))
     q2 = queries.join(thr, qkey, "left").fillna({"thr": NO_THRESHOLD})
