@@ -4,11 +4,12 @@ A coded row is ``(key, cell, part, code, err)``: the vector less its cell's cent
 components, each run replaced by the number of its nearest codebook entry (one byte), and the length of what the code
 leaves out. A scan shuffles these bytes in place of the vectors (64 doubles become 32 bytes).
 
-``topk_coded`` scans the codes of the visited cells, keeps what may still be among the k best, and scores only these
-survivors by their vectors. What survives is not a number but a bound: a row's true score lies within ``|q| * err`` of its
-coded score, so a row whose upper end is below the k-th best lower end cannot be a hit. The result therefore equals
-``vectors.topk_ann`` with the same cells; no candidate is lost to the codes. The survivors' vectors are read by a join on
-(cell, key), which prunes the cells' folders and broadcasts the survivors only while they are small.
+``topk_coded`` scans the codes of the visited cells twice. The first scan keeps the k best coded scores a query; the
+least of their true scores is the query's threshold. The second keeps what may still reach it, and only these survivors are scored
+by their vectors. What survives is not a number but a bound: a row's true score lies within ``|q| * err`` of its
+coded score, so a row whose upper end is below the threshold cannot be a hit, and as the threshold is known before the
+scan, no others leave a task. The result therefore equals ``vectors.topk_ann`` with the same cells; no candidate is lost to the
+codes. The survivors' vectors are read by a join on (cell, key).
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .vectors import BOUND_SLACK, NO_THRESHOLD, QUERY_BLOCK, VectorIndex, _probe, _query_chunks, _top
+from .vectors import BOUND_SLACK, NO_THRESHOLD, QUERY_BLOCK, ROW_BLOCK, VectorIndex, _probe, _query_chunks, _top, best_rows, matrix, own_rows, tiles
 
 ENTRIES = 256                # a code of one part is one byte
 FIT_ROWS = 8192              # rows the codebooks are fitted on, at most; every row is coded
@@ -123,45 +125,64 @@ def decode(cells: np.ndarray, codes: pd.Series, centers: np.ndarray, books: list
     return centers[cells] + np.concatenate([book[code[:, run]] for run, book in enumerate(books)], axis=1)
 
 
-def _scan_codes(qkey: str, key: str, k: int, exclude_self: bool, centers: np.ndarray, books: list[np.ndarray]):
-    def scan(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(d) == 0:
-            return pd.DataFrame({qkey: q[qkey].iloc[:0], "hit_key": d[key].iloc[:0], "cell": np.zeros(0, "int32"),
-                                 "low": np.zeros(0), "high": np.zeros(0)})
-        cell, dk, err = d["cell"].to_numpy(), d[key].to_numpy(), d["err"].to_numpy()
-        near = decode(cell, d["code"], centers, books)
-        qm, qk = _matrix(q["qvec"]), q[qkey].to_numpy()
-        outs = []
-        for s0 in range(0, len(q), QUERY_BLOCK):
-            block, keys = qm[s0:s0 + QUERY_BLOCK], qk[s0:s0 + QUERY_BLOCK]
-            score = block @ near.T
-            slack = np.sqrt((block * block).sum(axis=1))[:, None] * err[None, :] + BOUND_SLACK
-            low = score - slack
-            if exclude_self:
-                low[keys[:, None] == dk[None, :]] = -np.inf
-            bound = np.partition(low, -k, axis=1)[:, -k] if len(d) >= k else np.full(len(block), -np.inf)
-            rows, cols = np.nonzero((score + slack >= bound[:, None]) & np.isfinite(low))
-            outs.append(pd.DataFrame({qkey: keys[rows], "hit_key": dk[cols], "cell": cell[cols],
-                                      "low": low[rows, cols], "high": (score + slack)[rows, cols]}))
-        return pd.concat(outs, ignore_index=True)
+def _scan_codes(qkey: str, key: str, k: int, exclude_self: bool, centers: np.ndarray, books: list[np.ndarray], bounded: bool):
+    """A scan of one group of codes: the ``k`` best coded scores of every query, or (``bounded``) every row whose coded score and
+    error reach the query's ``_bound``."""
+    def scan(q: pa.Table, d: pa.Table) -> pa.Table:
+        qk, dk = q.column(qkey), d.column(key)
+        if q.num_rows == 0 or d.num_rows == 0:
+            rows = cols = np.zeros(0, int)
+            coded = np.zeros(0)
+        else:
+            qm, near = matrix(q.column("qvec")), decode(d.column("cell").to_numpy(), d.column("code").to_pylist(), centers, books)
+            own = own_rows(qk, dk) if exclude_self else None
+            if bounded:
+                rows, cols, coded = _reaching(qm, near, d.column("err").to_numpy(), q.column("_bound").to_numpy(), own)
+            else:
+                rows, cols, coded = best_rows(qm, near, k, own)
+        at = pa.array(cols)
+        return pa.table({qkey: qk.take(pa.array(rows)), "hit_key": dk.take(at), "cell": d.column("cell").take(at), "score": pa.array(coded)})
     return scan
 
 
+def _reaching(qm: np.ndarray, near: np.ndarray, err: np.ndarray, bound: np.ndarray, own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score that the row may have at most) of the rows that may reach the bound of their query."""
+    norm, found = np.sqrt((qm * qm).sum(axis=1)), []
+    for q0, d0, score in tiles(qm, near, own):
+        score += norm[q0:q0 + QUERY_BLOCK, None] * err[None, d0:d0 + ROW_BLOCK]
+        r, c = np.nonzero((score >= bound[q0:q0 + QUERY_BLOCK, None] - BOUND_SLACK) & np.isfinite(score))
+        found.append((r + q0, c + d0, score[r, c]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _scanned(p: DataFrame, chunks: DataFrame, coded: CodedIndex, k: int, qkey: str, exclude_self: bool, centers: np.ndarray,
+             bounded: bool) -> DataFrame:
+    """(qkey, hit_key, cell, score) that one scan of the visited cells' codes leaves."""
+    rows = coded.codes.join(chunks, "cell").withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+    schema = T.StructType([p.schema[qkey], T.StructField("hit_key", coded.codes.schema[coded.index.key].dataType),
+                           T.StructField("cell", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    g = ["cell", "part", "qchunk"]
+    scan = _scan_codes(qkey, coded.index.key, k, exclude_self, centers, coded.books, bounded)
+    return p.groupBy(*g).cogroup(rows.groupBy(*g)).applyInArrow(scan, schema)
+
+
+def _scored(found: DataFrame, queries: DataFrame, index: VectorIndex, qkey: str, qvec: str) -> DataFrame:
+    """(qkey, hit_key, score) of found rows by their vectors."""
+    whole = index.vectors.select(F.col(index.key).alias("hit_key"), "cell", F.col(index.vector).alias("_dvec"))
+    asked = queries.select(qkey, F.col(qvec).cast("array<double>").alias("_qvec"))
+    dot = F.aggregate(F.zip_with("_qvec", "_dvec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return whole.join(found, ["cell", "hit_key"]).join(asked, qkey).select(qkey, "hit_key", dot.alias("score"))
+
+
 def survivors(queries: DataFrame, coded: CodedIndex, k: int, nprobe: int, qkey: str, qvec: str, exclude_self: bool = False) -> DataFrame:
     """(qkey, hit_key, cell) of every row of the visited cells that its code does not rule out."""
     index, arrays = coded.index, coded.index.cell_arrays()
-    probes, chunks = _query_chunks(_probe(queries, qkey, qvec, arrays, index.cells, nprobe, 1), qkey, qvec)
-    rows = coded.codes.join(chunks, "cell").withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
-    schema = T.StructType([probes.schema[qkey], T.StructField("hit_key", coded.codes.schema[index.key].dataType),
-                           T.StructField("cell", T.IntegerType()), T.StructField("low", T.DoubleType()),
-                           T.StructField("high", T.DoubleType())])
-    g = ["cell", "part", "qchunk"]
-    scan = _scan_codes(qkey, index.key, k, exclude_self, arrays[0], coded.books)
-    kept = materialize(probes.groupBy(*g).cogroup(rows.groupBy(*g)).applyInPandas(scan, schema), "coded-candidates")
-    best = Window.partitionBy(qkey).orderBy(F.col("low").desc())
-    bound = kept.select(qkey, "low").withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= k) \
-        .groupBy(qkey).agg(F.when(F.count(F.lit(1)) >= k, F.min("low")).otherwise(F.lit(NO_THRESHOLD)).alias("_bound"))
-    return kept.join(bound, qkey).filter(F.col("high") >= F.col("_bound")).select(qkey, "hit_key", "cell")
+    p, chunks = _query_chunks(_probe(queries, qkey, qvec, arrays, index.cells, nprobe, 1), qkey, qvec)
+    likely = _top(_scanned(p, chunks, coded, k, qkey, exclude_self, arrays[0], False), qkey, k).select(qkey, "hit_key", "cell")
+    likely = materialize(likely, "coded-candidates")        # k rows a query
+    bound = _scored(likely, queries, index, qkey, qvec).groupBy(qkey).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(NO_THRESHOLD)).alias("_bound"))
+    p = p.join(materialize(bound, "coded-bounds"), qkey, "left").fillna({"_bound": NO_THRESHOLD})
+    return _scanned(p, chunks, coded, k, qkey, exclude_self, arrays[0], True).drop("score")
 
 
 def topk_coded(queries: DataFrame, coded: CodedIndex, k: int = 3, nprobe: int = 4, qkey: str = "qid", qvec: str = "qvec",
@@ -171,8 +192,5 @@ def topk_coded(queries: DataFrame, coded: CodedIndex, k: int = 3, nprobe: int =
     Output: qkey, rank, hit_key, score."""
     index = coded.index
     found = materialize(survivors(queries, coded, k, nprobe, qkey, qvec, exclude_self), "coded-survivors")
-    whole = index.vectors.select(F.col(index.key).alias("hit_key"), "cell", F.col(index.vector).alias("_dvec"))
-    asked = queries.select(qkey, F.col(qvec).cast("array<double>").alias("_qvec"))
-    dot = F.aggregate(F.zip_with("_qvec", "_dvec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = whole.join(found, ["cell", "hit_key"]).join(asked, qkey).select(qkey, "hit_key", dot.alias("score"))
+    scored = _scored(found, queries, index, qkey, qvec)
     return _top(scored, qkey, k).select(qkey, "rank", "hit_key", "score")
