@@ -6,7 +6,7 @@ are in every document (score 0).
 
 The index is written once and opened by any later search:
 
-* ``docs`` (doc, key, words): documents numbered inside the tasks that read them, in key order; the upper bits of a number
+* ``docs`` (doc, key): documents numbered inside the tasks that read them, in key order; the upper bits of a number
   are its range of ``RANGE_DOCS`` documents;
 * ``blocks`` (term, range, max_tf, docs, tfs), sorted by term: a term's postings of one range, with the largest count. A common
   word has one block a range, so no group gathers its postings;
@@ -21,10 +21,13 @@ range and chunk of questions, in numpy over whole blocks.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +53,51 @@ class KeywordIndex:
     key: str
 
 
+BLOCK = [T.StructField("term", T.StringType()), T.StructField("range", T.LongType()), T.StructField("max_tf", T.IntegerType()),
+         T.StructField("docs", T.ArrayType(T.IntegerType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))]
+
+
+def _range_blocks(bits: int):
+    """The blocks of each range of (doc, key, words) rows, which come in the order of their numbers, and a row without a
+    term that holds the range's keys."""
+    last = (1 << bits) - 1
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            while batch.num_rows:
+                # up to the end of the range that the first row is in
+                held.append(batch.slice(0, last + 1 - (batch.column("doc")[0].as_py() & last)))
+                batch = batch.slice(held[-1].num_rows)
+                if (held[-1].column("doc")[-1].as_py() & last) == last:
+                    yield _blocks_of(pa.Table.from_batches(held), bits)
+                    held = []
+        if held:
+            yield _blocks_of(pa.Table.from_batches(held), bits)
+    return make
+
+
+def _blocks_of(rows: pa.Table, bits: int) -> pa.RecordBatch:
+    keys, number = rows.column("key").combine_chunks(), rows.column("doc")[0].as_py() >> bits
+    words = rows.column("words").combine_chunks()
+    words = pc.if_else(keys.is_valid(), words, pa.scalar(None, words.type))         # a row without a key is never found
+    sizes = pc.list_value_length(words).fill_null(0).to_numpy()
+    terms = words.flatten().dictionary_encode()
+    code = terms.indices.to_numpy().astype(np.int64)
+    pair, tf = np.unique((code << bits) + np.repeat(np.arange(len(sizes)), sizes), return_counts=True)
+    term, first = np.unique(pair >> bits, return_index=True)
+    ends = pa.array(np.append(first, len(pair)).astype("int32"))
+    tf, n = tf.astype("int32"), len(term)
+    most = np.maximum.reduceat(tf, first) if n else tf
+    lists = [pa.ListArray.from_arrays(ends, v.astype("int32")) for v in (pair & ((1 << bits) - 1), tf)]
+    blocks = [terms.dictionary.take(pa.array(term)), pa.array(np.full(n, number)), pa.array(most), *lists,
+              pa.nulls(n, pa.list_(keys.type))]
+    own = [pa.nulls(1, blocks[0].type), pa.array([number]), *[pa.nulls(1, b.type) for b in blocks[2:5]],
+           pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)]
+    names = ["term", "range", "max_tf", "docs", "tfs", "keys"]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([b, o.cast(b.type)]) for b, o in zip(blocks, own)], names=names)
+
+
 def build_index(docs: DataFrame, key: str, text: str, path: str | None = None) -> KeywordIndex:
     """Index over (key, text) rows, written to ``path`` (opened if it is there already) or to a fresh folder.
 
@@ -58,24 +106,19 @@ def build_index(docs: DataFrame, key: str, text: str, path: str | None = None) -
     if path and path_exists(spark, f"{path}/terms/_SUCCESS"):
         return open_index(spark, path)
     folder = scratch_path(spark, "keyword-index")
-    # words are sorted once a row; the places where a new one begins give the counts
-    words = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("_text"))).sortWithinPartitions("key") \
-        .select(F.monotonically_increasing_id().alias("doc"), "key", F.sort_array(tokens("_text")).alias("_w"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("_w") - 1),
-                      lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", F.greatest(i - 1, F.lit(0)))))
-    counted = words.withColumn("_s", F.when(F.size("_w") > 0, starts)).select("doc", "key", F.transform("_s", lambda s, j: F.struct(
-        F.get("_w", s).alias("term"), (F.coalesce(F.get("_s", j + 1), F.size("_w")) - s).alias("tf"))).alias("words"))
-    counted.write.parquet(f"{folder}/docs")
-    written = spark.read.parquet(f"{folder}/docs")
-    n_docs = written.count()
-    post = written.where("key IS NOT NULL").select("doc", F.explode("words").alias("w")).select(
-        F.col("w.term").alias("term"), F.shiftright("doc", RANGE_BITS).alias("range"),
-        F.col("doc").bitwiseAND(RANGE_DOCS - 1).cast("int").alias("at"), F.col("w.tf").alias("tf"))
-    # one range partitioning serves the grouping, the sort order of the files and the split of common words
+    rows = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("_text"))).sortWithinPartitions("key") \
+        .select(F.monotonically_increasing_id().alias("doc"), "key", tokens("_text").alias("words"))
+    keys = T.StructField("keys", T.ArrayType(rows.schema["key"].dataType))
+    schema = T.StructType([*BLOCK, keys])
+    # a range lies in one task, so its blocks are made there, and no posting is shuffled on its own
+    rows.mapInArrow(_range_blocks(RANGE_BITS), schema).write.parquet(f"{folder}/ranges")
+    written = spark.read.schema(schema).parquet(f"{folder}/ranges")
+    numbered = written.where("term IS NULL").select("range", F.posexplode("keys").alias("at", "key"))
+    numbered.select((F.shiftleft("range", RANGE_BITS) + F.col("at")).alias("doc"), "key").write.parquet(f"{folder}/docs")
+    n_docs = spark.read.parquet(f"{folder}/docs").count()
+    # one range partitioning serves the sort order of the files and the split of common words
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = post.repartitionByRange(tasks, "term", "range").groupBy("term", "range").agg(
-        F.max("tf").alias("max_tf"), F.sort_array(F.collect_list(F.struct("at", "tf"))).alias("p"))
-    blocks.select("term", "range", "max_tf", F.col("p.at").alias("docs"), F.col("p.tf").alias("tfs")) \
+    written.where("term IS NOT NULL").drop("keys").repartitionByRange(tasks, "term", "range") \
         .sortWithinPartitions("term", "range").write.parquet(f"{folder}/blocks")
     df = spark.read.parquet(f"{folder}/blocks").groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
     df.withColumn("idf", F.log(F.lit(float(n_docs)) / F.col("df"))).write.parquet(f"{folder}/terms")
