@@ -30,23 +30,25 @@ def token_buckets(text: str | Column, dim: int = DEFAULT_DIM) -> Column:
         lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
 
 
+COUNT_ROWS = 256             # texts counted at once, so a batch of long texts is never held as numbers whole
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _unit_bincount(buckets: pd.Series, dim: pd.Series) -> pd.Series:
-    """Bucket histograms of a whole Arrow batch with one ``bincount`` (row offsets added to
+    """Bucket histograms of a block of an Arrow batch with one ``bincount`` (row offsets added to
     the bucket ids), then L2-normalised rows."""
     n = int(dim.iloc[0]) if len(dim) else DEFAULT_DIM
-    valid = buckets.notna().to_numpy()
-    arrs = [np.asarray(b, dtype=np.int64) for b in buckets[valid]]
-    rows = len(arrs)
-    lengths = np.fromiter((len(a) for a in arrs), dtype=np.int64, count=rows)
-    flat = np.concatenate(arrs) if rows and lengths.sum() else np.zeros(0, dtype=np.int64)
-    ids = np.repeat(np.arange(rows, dtype=np.int64), lengths) * n + flat
-    counts = np.bincount(ids, minlength=rows * n).astype(np.float64).reshape(rows, n)
-    norms = np.sqrt(np.sum(counts * counts, axis=1))
-    unit = np.divide(counts, norms[:, None], out=counts.copy(), where=norms[:, None] > 0)
-    out = [None] * len(buckets)
-    for j, i in enumerate(np.flatnonzero(valid)):
-        out[i] = unit[j]
+    out: list[np.ndarray | None] = [None] * len(buckets)
+    valid = np.flatnonzero(buckets.notna().to_numpy())
+    for at in range(0, len(valid), COUNT_ROWS):
+        block = valid[at:at + COUNT_ROWS]
+        arrs = [buckets.iloc[i] for i in block]
+        ids = np.repeat(np.arange(len(block), dtype=np.int64) * n, [len(a) for a in arrs]) + np.concatenate(arrs).astype(np.int64)
+        counts = np.bincount(ids, minlength=len(block) * n).astype(np.float64).reshape(len(block), n)
+        norms = np.sqrt(np.sum(counts * counts, axis=1))
+        unit = np.divide(counts, norms[:, None], out=counts.copy(), where=norms[:, None] > 0)
+        for j, i in enumerate(block):
+            out[i] = unit[j]
     return pd.Series(out)
 
 
