@@ -4,12 +4,11 @@ A coded row is ``(key, cell, part, code, err)``: the vector less its cell's cent
 components, each run replaced by the number of its nearest codebook entry (one byte), and the length of what the code
 leaves out. A scan shuffles these bytes in place of the vectors (64 doubles become 32 bytes).
 
-``topk_coded`` scans the codes of the visited cells twice. The first scan keeps the k best coded scores a query; the
-least of their true scores is the query's threshold. The second keeps what may still reach it, and only these survivors are scored
-by their vectors. What survives is not a number but a bound: a row's true score lies within ``|q| * err`` of its
-coded score, so a row whose upper end is below the threshold cannot be a hit, and as the threshold is known before the
-scan, no others leave a task. The result therefore equals ``vectors.topk_ann`` with the same cells; no candidate is lost to the
-codes. The survivors' vectors are read by a join on (cell, key).
+``topk_coded`` first scans the nearest cell of each query; its k-th best score there is the query's threshold. The other visited
+cells are then scanned with it: a row's true score lies within ``|q| * err`` of its coded score, so a row whose upper end is below the
+threshold cannot be a hit. What survives is not a number but a bound; survivors are scored by their vectors in the task that
+ruled out the others (the rows of a cell come with their codes and vectors), and only the k best of a query leave it, however many
+survive. The result equals ``vectors.topk_ann`` with the same cells; no candidate is lost to the codes.
 """
 
 from __future__ import annotations
@@ -20,16 +19,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .vectors import BOUND_SLACK, NO_THRESHOLD, QUERY_BLOCK, ROW_BLOCK, VectorIndex, _probe, _query_chunks, _top, best_rows, matrix, own_rows, tiles
+from .vectors import BOUND_SLACK, NO_THRESHOLD, QUERY_BLOCK, RANK_DECIMALS, ROW_BLOCK, VectorIndex, _asked, _query_chunks, _top, _visits, matrix, own_rows, tiles
 
 ENTRIES = 256                # a code of one part is one byte
 FIT_ROWS = 8192              # rows the codebooks are fitted on, at most; every row is coded
 FIT_ROUNDS = 8
+PAIRS = 1 << 14              # survivors whose vectors are gathered at once
+DENSE = 16                   # a tile of which more than one in so many rows survive is scored whole
 
 
 @dataclass
@@ -125,64 +127,110 @@ def decode(cells: np.ndarray, codes: pd.Series, centers: np.ndarray, books: list
     return centers[cells] + np.concatenate([book[code[:, run]] for run, book in enumerate(books)], axis=1)
 
 
-def _scan_codes(qkey: str, key: str, k: int, exclude_self: bool, centers: np.ndarray, books: list[np.ndarray], bounded: bool):
-    """A scan of one group of codes: the ``k`` best coded scores of every query, or (``bounded``) every row whose coded score and
-    error reach the query's ``_bound``."""
+def _upper(qm: np.ndarray, near: np.ndarray, err: np.ndarray, own):
+    """``tiles`` of the scores that rows may have at most: the coded score plus ``|q| * err``, as one more component."""
+    norm = np.sqrt((qm * qm).sum(axis=1))
+    return tiles(np.column_stack([qm, norm]), np.column_stack([near, err]), own)
+
+
+def _reaching(qm: np.ndarray, near: np.ndarray, err: np.ndarray, bound: np.ndarray, own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score that the row may have at most) of the rows that may reach the bound of their query."""
+    found = []
+    for q0, d0, most in _upper(qm, near, err, own):
+        r, c = np.nonzero(~(most < bound[q0:q0 + QUERY_BLOCK, None] - BOUND_SLACK))
+        found.append((r + q0, c + d0, most[r, c]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _dots(qm: np.ndarray, dm: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """True scores of (query, row) pairs of one tile."""
+    if len(rows) * DENSE > len(qm) * len(dm):
+        return (qm @ dm.T)[rows, cols]
+    return np.concatenate([np.zeros(0)] + [np.einsum("ij,ij->i", qm[rows[a:a + PAIRS]], dm[cols[a:a + PAIRS]]) for a in range(0, len(rows), PAIRS)])
+
+
+def _kth(qm: np.ndarray, dm: np.ndarray, most: np.ndarray, k: int) -> np.ndarray:
+    """The least true score of the ``k`` rows of a tile that may score most: a query has k rows that reach it."""
+    if most.shape[1] < k:
+        return np.full(len(most), NO_THRESHOLD)
+    cols = np.argpartition(most, most.shape[1] - k, axis=1)[:, -k:]
+    rows = np.repeat(np.arange(len(most)), k)
+    true = _dots(qm, dm, rows, cols.ravel()).reshape(-1, k)
+    return np.where((np.isfinite(true) & np.isfinite(np.take_along_axis(most, cols, 1))).all(axis=1), true.min(axis=1), NO_THRESHOLD)
+
+
+def best_coded(qm: np.ndarray, near: np.ndarray, err: np.ndarray, dm: np.ndarray, k: int, bound: np.ndarray,
+               own=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``vectors.best_rows`` of the rows that may reach their query's ``bound``: those that the codes do not rule out are scored by
+    ``dm``, and the k-th best score so far rules out more of the next ones."""
+    out = []
+    for q0, d0, most in _upper(qm, near, err, own):
+        if d0 == 0:
+            rows, cols, vals = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+            least = np.maximum(bound[q0:q0 + QUERY_BLOCK], _kth(qm[q0:q0 + QUERY_BLOCK], dm[:ROW_BLOCK], most, k))
+        r, c = np.nonzero(~(most < least[:, None] - BOUND_SLACK))
+        v = _dots(qm[q0:q0 + QUERY_BLOCK], dm[d0:d0 + ROW_BLOCK], r, c)
+        ok = np.isfinite(v)
+        rows, cols, vals = np.concatenate([rows, r[ok]]), np.concatenate([cols, c[ok] + d0]), np.concatenate([vals, v[ok]])
+        order = np.lexsort((cols, -np.round(vals, RANK_DECIMALS), rows))
+        nth = np.arange(len(rows)) - np.searchsorted(rows[order], rows[order])
+        order, nth = order[nth < k], nth[nth < k]
+        rows, cols, vals = rows[order], cols[order], vals[order]
+        last = rows[nth == k - 1]
+        least[last] = np.maximum(least[last], vals[nth == k - 1])
+        if d0 + ROW_BLOCK >= len(near):
+            out.append((rows + q0, cols, vals))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _scan_codes(qkey: str, key: str, k: int, exclude_self: bool, centers: np.ndarray, books: list[np.ndarray], scored: bool):
+    """A scan of one group: every row whose code reaches the query's ``_bound``, or (``scored``) the ``k`` best of them by their vectors."""
     def scan(q: pa.Table, d: pa.Table) -> pa.Table:
-        qk, dk = q.column(qkey), d.column(key)
+        qk, d = q.column(qkey), d.take(pc.sort_indices(d.column(key)))      # so that ties go to the smaller key
+        dk = d.column(key)
         if q.num_rows == 0 or d.num_rows == 0:
             rows = cols = np.zeros(0, int)
-            coded = np.zeros(0)
+            score = np.zeros(0)
         else:
             qm, near = matrix(q.column("qvec")), decode(d.column("cell").to_numpy(), d.column("code").to_pylist(), centers, books)
+            err, bound = d.column("err").to_numpy(), q.column("_bound").to_numpy()
             own = own_rows(qk, dk) if exclude_self else None
-            if bounded:
-                rows, cols, coded = _reaching(qm, near, d.column("err").to_numpy(), q.column("_bound").to_numpy(), own)
-            else:
-                rows, cols, coded = best_rows(qm, near, k, own)
+            rows, cols, score = best_coded(qm, near, err, matrix(d.column("_dvec")), k, bound, own) if scored else _reaching(qm, near, err, bound, own)
         at = pa.array(cols)
-        return pa.table({qkey: qk.take(pa.array(rows)), "hit_key": dk.take(at), "cell": d.column("cell").take(at), "score": pa.array(coded)})
+        return pa.table({qkey: qk.take(pa.array(rows)), "hit_key": dk.take(at), "cell": d.column("cell").take(at), "score": pa.array(score)})
     return scan
 
 
-def _reaching(qm: np.ndarray, near: np.ndarray, err: np.ndarray, bound: np.ndarray, own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score that the row may have at most) of the rows that may reach the bound of their query."""
-    norm, found = np.sqrt((qm * qm).sum(axis=1)), []
-    for q0, d0, score in tiles(qm, near, own):
-        score += norm[q0:q0 + QUERY_BLOCK, None] * err[None, d0:d0 + ROW_BLOCK]
-        r, c = np.nonzero((score >= bound[q0:q0 + QUERY_BLOCK, None] - BOUND_SLACK) & np.isfinite(score))
-        found.append((r + q0, c + d0, score[r, c]))
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def _scanned(p: DataFrame, chunks: DataFrame, coded: CodedIndex, k: int, qkey: str, exclude_self: bool, centers: np.ndarray,
-             bounded: bool) -> DataFrame:
-    """(qkey, hit_key, cell, score) that one scan of the visited cells' codes leaves."""
-    rows = coded.codes.join(chunks, "cell").withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
-    schema = T.StructType([p.schema[qkey], T.StructField("hit_key", coded.codes.schema[coded.index.key].dataType),
+def _scanned(asked: DataFrame, coded: CodedIndex, k: int, qkey: str, exclude_self: bool, centers: np.ndarray, scored: bool) -> DataFrame:
+    """(qkey, hit_key, cell, score) that a scan of the cells of ``asked`` (qkey, qvec, cells, _bound) leaves."""
+    index, rows = coded.index, coded.codes
+    p, chunks = _query_chunks(_visits(asked, index.cells), qkey, "qvec")
+    rows = rows.join(chunks, "cell")
+    if scored:
+        rows = rows.join(index.vectors.select("cell", index.key, F.col(index.vector).alias("_dvec")), ["cell", index.key])
+    rows = rows.withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+    schema = T.StructType([p.schema[qkey], T.StructField("hit_key", rows.schema[index.key].dataType),
                            T.StructField("cell", T.IntegerType()), T.StructField("score", T.DoubleType())])
     g = ["cell", "part", "qchunk"]
-    scan = _scan_codes(qkey, coded.index.key, k, exclude_self, centers, coded.books, bounded)
-    return p.groupBy(*g).cogroup(rows.groupBy(*g)).applyInArrow(scan, schema)
+    return p.groupBy(*g).cogroup(rows.groupBy(*g)).applyInArrow(_scan_codes(qkey, index.key, k, exclude_self, centers, coded.books, scored), schema)
 
 
-def _scored(found: DataFrame, queries: DataFrame, index: VectorIndex, qkey: str, qvec: str) -> DataFrame:
-    """(qkey, hit_key, score) of found rows by their vectors."""
-    whole = index.vectors.select(F.col(index.key).alias("hit_key"), "cell", F.col(index.vector).alias("_dvec"))
-    asked = queries.select(qkey, F.col(qvec).cast("array<double>").alias("_qvec"))
-    dot = F.aggregate(F.zip_with("_qvec", "_dvec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return whole.join(found, ["cell", "hit_key"]).join(asked, qkey).select(qkey, "hit_key", dot.alias("score"))
+def _bounded(queries: DataFrame, coded: CodedIndex, k: int, nprobe: int, qkey: str, qvec: str, exclude_self: bool) -> tuple[DataFrame, DataFrame]:
+    """The k best rows of each query's nearest cell, and the queries (qkey, qvec, cells, _bound, _nearest) with their k-th score there."""
+    arrays = coded.index.cell_arrays()
+    queries = queries.select(qkey, F.col(qvec).cast("array<double>").alias("qvec"))
+    nearest = materialize(_asked(queries, qkey, "qvec", arrays, 1, 1).withColumn("_bound", F.lit(NO_THRESHOLD)), "coded-nearest")
+    first = materialize(_top(_scanned(nearest, coded, k, qkey, exclude_self, arrays[0], True), qkey, k).drop("rank"), "coded-first")
+    bound = first.groupBy(qkey).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(NO_THRESHOLD)).alias("_bound"))
+    asked = _asked(queries, qkey, "qvec", arrays, nprobe, 1).join(bound, qkey, "left").fillna({"_bound": NO_THRESHOLD})
+    asked = asked.join(nearest.select(qkey, F.get("cells", 0).alias("_nearest")), qkey)
+    return first, materialize(asked, "coded-bounds")
 
 
 def survivors(queries: DataFrame, coded: CodedIndex, k: int, nprobe: int, qkey: str, qvec: str, exclude_self: bool = False) -> DataFrame:
     """(qkey, hit_key, cell) of every row of the visited cells that its code does not rule out."""
-    index, arrays = coded.index, coded.index.cell_arrays()
-    p, chunks = _query_chunks(_probe(queries, qkey, qvec, arrays, index.cells, nprobe, 1), qkey, qvec)
-    likely = _top(_scanned(p, chunks, coded, k, qkey, exclude_self, arrays[0], False), qkey, k).select(qkey, "hit_key", "cell")
-    likely = materialize(likely, "coded-candidates")        # k rows a query
-    bound = _scored(likely, queries, index, qkey, qvec).groupBy(qkey).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(NO_THRESHOLD)).alias("_bound"))
-    p = p.join(materialize(bound, "coded-bounds"), qkey, "left").fillna({"_bound": NO_THRESHOLD})
-    return _scanned(p, chunks, coded, k, qkey, exclude_self, arrays[0], True).drop("score")
+    asked = _bounded(queries, coded, k, nprobe, qkey, qvec, exclude_self)[1].drop("_nearest")
+    return _scanned(asked, coded, k, qkey, exclude_self, coded.index.cell_arrays()[0], False).drop("score")
 
 
 def topk_coded(queries: DataFrame, coded: CodedIndex, k: int = 3, nprobe: int = 4, qkey: str = "qid", qvec: str = "qvec",
@@ -190,7 +238,7 @@ def topk_coded(queries: DataFrame, coded: CodedIndex, k: int = 3, nprobe: int =
     """k best rows of the ``nprobe`` nearest cells by dot product, codes first, then the survivors by their vectors; the same
     rows as ``vectors.topk_ann``. Query keys are unique; queries without a vector have no hits.
     Output: qkey, rank, hit_key, score."""
-    index = coded.index
-    found = materialize(survivors(queries, coded, k, nprobe, qkey, qvec, exclude_self), "coded-survivors")
-    scored = _scored(found, queries, index, qkey, qvec)
-    return _top(scored, qkey, k).select(qkey, "rank", "hit_key", "score")
+    first, asked = _bounded(queries, coded, k, nprobe, qkey, qvec, exclude_self)
+    rest = asked.withColumn("cells", F.array_remove("cells", F.col("_nearest"))).drop("_nearest")
+    found = first.unionByName(_scanned(rest, coded, k, qkey, exclude_self, coded.index.cell_arrays()[0], True))
+    return _top(found, qkey, k).select(qkey, "rank", "hit_key", "score")

@@ -152,6 +152,9 @@ def build_index(df: DataFrame, key: str, vector: str = "vector", nlist: int = 16
     cells = spark.createDataFrame(cell_rows, CELLS_SCHEMA)
     if path:
         cells.write.mode("overwrite").parquet(f"{path}/cells")      # last: marks the index complete
+        cells = spark.read.schema(CELLS_SCHEMA).parquet(f"{path}/cells")
+    else:
+        cells = materialize(cells, "cells")     # its size is known then, so joins with it shuffle nothing
     return VectorIndex(vectors=_with_parts(assigned, key, cells), cells=cells, key=key, vector=vector)
 
 
@@ -222,15 +225,24 @@ def _probe_fn(qkey: str, qvec: str, cent: np.ndarray, rad: np.ndarray, nprobe: i
     return probe
 
 
-def _probe(queries: DataFrame, qkey: str, qvec: str, arrays, cells: DataFrame, nprobe: int, phase: int) -> DataFrame:
-    """(qkey, qvec, cell, _parts): one row per query and cell it visits, with the number of the cell's parts."""
+def _asked(queries: DataFrame, qkey: str, qvec: str, arrays, nprobe: int, phase: int) -> DataFrame:
+    """(qkey, qvec, cells): one row per query with the cells it visits."""
     cent, rad = arrays
     queries = queries.filter(F.col(qvec).isNotNull())       # no vector, nothing to search for
     fields = [queries.schema[qkey], queries.schema[qvec], T.StructField("cells", T.ArrayType(T.IntegerType()))]
     src = queries.select(qkey, qvec, *(["thr"] if phase == 2 else []))
-    p = src.mapInArrow(_probe_fn(qkey, qvec, cent, rad, nprobe, phase), T.StructType(fields))
-    p = p.select(qkey, qvec, F.explode("cells").alias("cell"))
-    return p.join(cells.select("cell", F.col("n_parts").alias("_parts")), "cell")
+    return src.mapInArrow(_probe_fn(qkey, qvec, cent, rad, nprobe, phase), T.StructType(fields))
+
+
+def _visits(asked: DataFrame, cells: DataFrame) -> DataFrame:
+    """One row per query and cell it visits, with the number of the cell's parts (``_parts``)."""
+    return asked.withColumn("cell", F.explode("cells")).drop("cells").join(cells.select("cell", F.col("n_parts").alias("_parts")), "cell")
+
+
+def _probe(queries: DataFrame, qkey: str, qvec: str, arrays, cells: DataFrame, nprobe: int, phase: int) -> DataFrame:
+    """(cell, qkey, qvec, _parts): one row per query and cell it visits."""
+    # read for the per-cell counts and for the scan: written once, a row per query and not per visit
+    return _visits(materialize(_asked(queries, qkey, qvec, arrays, nprobe, phase), "probes"), cells)
 
 
 QUERY_BLOCK = 512            # queries and
@@ -309,14 +321,13 @@ def _scan_fn(qkey: str, key: str, k: int, exclude_self: bool):
 
 
 def _query_chunks(probes: DataFrame, qkey: str, qvec: str) -> tuple[DataFrame, DataFrame]:
-    """Probes dealt into the parts of their cell and chunks of the cell's queries, and (cell, _chunks) of every visited cell."""
-    # probes feed both the per-cell count and the scan: materialise them once
-    probes = materialize(probes, "probes")
+    """Probes dealt into the parts of their cell and chunks of the cell's queries, and (cell, _chunks) of every visited cell.
+    Columns besides the query's stay."""
     visited = materialize(probes.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.max("_parts").alias("_parts")), "probe-counts")
     work = visited.agg(F.sum(F.col("_n") * F.col("_parts"))).first()[0] or 0
     rows = min(QUERY_CHUNK_ROWS, max(SMALL_CHUNK_ROWS, math.ceil(work / GROUPS)))
     chunks = visited.select("cell", F.ceil(F.col("_n") / rows).cast("int").alias("_chunks"))
-    p = probes.select(qkey, F.col(qvec).alias("qvec"), "cell", "_parts").join(chunks, "cell").withColumn(
+    p = probes.withColumnRenamed(qvec, "qvec").join(chunks, "cell").withColumn(
         "qchunk", F.pmod(F.xxhash64(F.col(qkey)), F.col("_chunks").cast("bigint")).cast("int"))
     p = p.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     return p.drop("_chunks", "_parts"), chunks
