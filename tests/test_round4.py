@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sparkqa.operators import quantised, vectors
+from sparkqa.operators import keyword, quantised, vectors
 
 
 def isotropic(n, dim=16, seed=5):
@@ -43,3 +43,41 @@ def test_scan_of_codes_equals_scan_of_vectors():
         assert np.allclose(vals[have], want[2][keep])
     rows, cols, _ = quantised.best_coded(q[:2], near[:2], err[:2], d[:2], 4, np.full(2, vectors.NO_THRESHOLD))
     assert sorted(zip(rows, cols)) == [(0, 0), (0, 1), (1, 0), (1, 1)]       # fewer rows than asked for
+
+
+def test_a_range_is_sent_once_for_many_questions(spark, monkeypatch):
+    monkeypatch.setattr(keyword, "RANGE_BITS", 4)
+    monkeypatch.setattr(keyword, "RANGE_DOCS", 16)
+    docs = spark.createDataFrame([(n, f"a{n % 50} b{n % 7} the") for n in range(700)], "key int, text string").coalesce(1)
+    questions = spark.createDataFrame([(n, f"a{n % 50} b{n % 7}") for n in range(5000)], "q int, text string")
+    index = keyword.build_index(docs, "key", "text")
+    written, keep = {}, keyword.materialize
+    monkeypatch.setattr(keyword, "materialize", lambda df, label: written.setdefault(label, []).append(keep(df, label)) or written[label][-1])
+    hits = keyword.search(questions, "q", "text", index, 1).collect()
+    ranges = index.blocks.select("range").distinct().count()
+    assert [b.count() for b in written["asked-blocks"]] == [ranges]         # one row a range, not one a word of it
+    assert max(v.count() for v in written["visited-ranges"]) <= ranges      # not once for every few questions
+    assert {r.q: r.key for r in hits} == {n: min(m for m in range(700) if m % 50 == n % 50 and m % 7 == n % 7) for n in range(5000)}
+
+
+def test_hits_of_a_range_equal_brute_force():
+    rng = np.random.default_rng(2)
+    tf = rng.integers(0, 3, (40, keyword.RANGE_DOCS)) * (rng.random((40, keyword.RANGE_DOCS)) < 0.02)
+    tf[5] = 1                                                               # a word of all documents
+    tf[7] = 0
+    idf = np.round(rng.random(40), 2)
+    idf[5] = 0.0
+    ids = np.flatnonzero(tf.any(axis=1)) * 3
+    word, doc = np.nonzero(tf)
+    sizes = np.bincount(word, minlength=40)[ids // 3]
+    asked = [[5], [5, 7], [7], [0, 1, 2, 39], [99], sorted(rng.choice(40, 12, replace=False))] * 30
+    terms = np.array([w * 3 for a in asked for w in a])
+    for k in (1, 4, 30):
+        found = keyword._range_hits(terms, np.array([len(a) for a in asked]), ids, idf[ids // 3], sizes, doc, tf[word, doc], k)
+        rows, cols, scores = (np.concatenate(x) for x in zip(*found))
+        for n, a in enumerate(asked):
+            own = [w for w in a if w < 40]
+            total, shared = (idf[own, None] * tf[own]).sum(axis=0), (tf[own] > 0).any(axis=0)
+            want = sorted(np.flatnonzero(shared), key=lambda j: (-round(total[j], 9), j))[:k]
+            assert sorted(cols[rows == n]) == sorted(want)
+            assert np.allclose(sorted(scores[rows == n]), sorted(total[want]))
