@@ -10,9 +10,13 @@ expressions: lower-case words of the whole text, bucket = first 8 hex digits of
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,16 +56,42 @@ def _unit_bincount(buckets: pd.Series, dim: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-# Marked nondeterministic so Catalyst never copies the call: a filter on the vector
-# (``vector IS NOT NULL``) would otherwise be pushed below the projection and the spread
-# repartition with the UDF inlined, embedding every text twice, once in the scan's tasks.
-_unit_bincount_once = _unit_bincount.asNondeterministic()
+def word_buckets(words: pa.Array, dim: int) -> np.ndarray:
+    """``token_buckets`` of an array of words, each distinct word hashed once."""
+    distinct = words.dictionary_encode()
+    digests = b"".join(md5(w, usedforsecurity=False).digest()[:4] for w in distinct.dictionary.cast(pa.binary()).to_pylist())
+    return (np.frombuffer(digests, ">u4").astype(np.int64) % dim)[distinct.indices.to_numpy()]
+
+
+def unit_counts(words: pa.Array, dim: int) -> pa.Array:
+    """Bucket histograms of lists of words, L2-normalised; no list, no vector."""
+    sizes = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, ids = np.cumsum(sizes), word_buckets(words.flatten(), dim).astype(np.int16 if dim < 1 << 15 else np.int64)
+    unit = np.zeros((len(sizes), dim))
+    for at in range(0, len(sizes), COUNT_ROWS):
+        n = sizes[at:at + COUNT_ROWS]
+        first = np.repeat(np.arange(len(n), dtype=np.int64) * dim, n)
+        counts = np.bincount(first + ids[ends[at] - n[0]:ends[at] - n[0] + n.sum()], minlength=len(n) * dim).astype(float).reshape(len(n), dim)
+        norms = np.sqrt(np.sum(counts * counts, axis=1))
+        np.divide(counts, norms[:, None], out=unit[at:at + COUNT_ROWS], where=norms[:, None] > 0)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype="int32") * dim), pa.array(unit.ravel()), mask=words.is_null())
+    return lists
+
+
+@cache
+def _unit_counts(dim: int):
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def count(words: pa.Array) -> pa.Array:
+        return unit_counts(words, dim)
+    # Marked nondeterministic so Catalyst never copies the call: a filter on the vector
+    # (``vector IS NOT NULL``) would otherwise be pushed below the projection and the spread
+    # repartition with the UDF inlined, embedding every text twice, once in the scan's tasks.
+    return count.asNondeterministic()
 
 
 def hashed_embedding(text: str | Column, dim: int = DEFAULT_DIM) -> Column:
-    """Unit bucket-count vector: md5 bucketing stays in the JVM; only the small int array
-    per row crosses to Python for the histogram."""
-    return _unit_bincount_once(token_buckets(text, dim), F.lit(dim))
+    """Unit bucket-count vector: words are cut in the JVM; each distinct word of an Arrow batch is hashed once."""
+    return _unit_counts(dim)(tokens(text))
 
 
 def _model_udf(embedder: Callable[[list[str]], list], dim: int):

@@ -25,13 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .vectors import BOUND_SLACK, NO_THRESHOLD, QUERY_BLOCK, RANK_DECIMALS, ROW_BLOCK, VectorIndex, _asked, _query_chunks, _top, _visits, matrix, own_rows, tiles
+from .vectors import BOUND_SLACK, NO_THRESHOLD, QUERY_BLOCK, RANK_DECIMALS, ROW_BLOCK, VectorIndex, _asked, _query_chunks, _top, _visits, dots, matrix, own_rows, \
+    reaching, rounded, slack, tiles
 
 ENTRIES = 256                # a code of one part is one byte
 FIT_ROWS = 8192              # rows the codebooks are fitted on, at most; every row is coded
 FIT_ROUNDS = 8
-PAIRS = 1 << 14              # survivors whose vectors are gathered at once
-DENSE = 16                   # a tile of which more than one in so many rows survive is scored whole
 
 
 @dataclass
@@ -128,25 +127,33 @@ def decode(cells: np.ndarray, codes: pd.Series, centers: np.ndarray, books: list
 
 
 def _upper(qm: np.ndarray, near: np.ndarray, err: np.ndarray, own):
-    """``tiles`` of the scores that rows may have at most: the coded score plus ``|q| * err``, as one more component."""
-    norm = np.sqrt((qm * qm).sum(axis=1))
-    return tiles(np.column_stack([qm, norm]), np.column_stack([near, err]), own)
+    """``tiles`` of the scores that rows may have at most: the coded score plus ``|q| * err``, as one more component, in single
+    precision; and how far those may be off, per query. A row whose code says nothing may have any score."""
+    known = np.isfinite(err) & np.isfinite(near).all(axis=1)
+    d, length = rounded(np.column_stack([np.where(known[:, None], near, 0.0), np.where(known, err, 0.0)]))
+    longest = length.max(initial=0)
+    q, qlen = rounded(np.column_stack([qm, np.sqrt((qm * qm).sum(axis=1))]), longest)
+
+    def marked():
+        for q0, d0, most in tiles(q, d.astype(q.dtype, copy=False), own):
+            if not known[d0:d0 + ROW_BLOCK].all():
+                most[(most > -np.inf) & ~known[d0:d0 + ROW_BLOCK]] = np.inf
+            yield q0, d0, most
+    return marked(), slack(qlen, longest, q.shape[1]) + BOUND_SLACK
 
 
 def _reaching(qm: np.ndarray, near: np.ndarray, err: np.ndarray, bound: np.ndarray, own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score that the row may have at most) of the rows that may reach the bound of their query."""
     found = []
-    for q0, d0, most in _upper(qm, near, err, own):
-        r, c = np.nonzero(~(most < bound[q0:q0 + QUERY_BLOCK, None] - BOUND_SLACK))
-        found.append((r + q0, c + d0, most[r, c]))
+    upper, off = _upper(qm, near, err, own)
+    for q0, d0, most in upper:
+        r, c = reaching(most, _below(bound[q0:q0 + QUERY_BLOCK], off[q0:q0 + QUERY_BLOCK]))
+        found.append((r + q0, c + d0, most[r, c].astype(float)))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _dots(qm: np.ndarray, dm: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """True scores of (query, row) pairs of one tile."""
-    if len(rows) * DENSE > len(qm) * len(dm):
-        return (qm @ dm.T)[rows, cols]
-    return np.concatenate([np.zeros(0)] + [np.einsum("ij,ij->i", qm[rows[a:a + PAIRS]], dm[cols[a:a + PAIRS]]) for a in range(0, len(rows), PAIRS)])
+def _below(bound: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return bound - off - np.finfo("float32").eps * np.abs(bound)
 
 
 def _kth(qm: np.ndarray, dm: np.ndarray, most: np.ndarray, k: int) -> np.ndarray:
@@ -155,7 +162,7 @@ def _kth(qm: np.ndarray, dm: np.ndarray, most: np.ndarray, k: int) -> np.ndarray
         return np.full(len(most), NO_THRESHOLD)
     cols = np.argpartition(most, most.shape[1] - k, axis=1)[:, -k:]
     rows = np.repeat(np.arange(len(most)), k)
-    true = _dots(qm, dm, rows, cols.ravel()).reshape(-1, k)
+    true = dots(qm, dm, rows, cols.ravel()).reshape(-1, k)
     return np.where((np.isfinite(true) & np.isfinite(np.take_along_axis(most, cols, 1))).all(axis=1), true.min(axis=1), NO_THRESHOLD)
 
 
@@ -164,12 +171,14 @@ def best_coded(qm: np.ndarray, near: np.ndarray, err: np.ndarray, dm: np.ndarray
     """``vectors.best_rows`` of the rows that may reach their query's ``bound``: those that the codes do not rule out are scored by
     ``dm``, and the k-th best score so far rules out more of the next ones."""
     out = []
-    for q0, d0, most in _upper(qm, near, err, own):
+    upper, off = _upper(qm, near, err, own)
+    for q0, d0, most in upper:
+        q, d = qm[q0:q0 + QUERY_BLOCK], dm[d0:d0 + ROW_BLOCK]
         if d0 == 0:
             rows, cols, vals = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-            least = np.maximum(bound[q0:q0 + QUERY_BLOCK], _kth(qm[q0:q0 + QUERY_BLOCK], dm[:ROW_BLOCK], most, k))
-        r, c = np.nonzero(~(most < least[:, None] - BOUND_SLACK))
-        v = _dots(qm[q0:q0 + QUERY_BLOCK], dm[d0:d0 + ROW_BLOCK], r, c)
+            least = np.maximum(bound[q0:q0 + QUERY_BLOCK], _kth(q, d, most, k))
+        r, c = reaching(most, _below(least, off[q0:q0 + QUERY_BLOCK]))
+        v = dots(q, d, r, c)
         ok = np.isfinite(v)
         rows, cols, vals = np.concatenate([rows, r[ok]]), np.concatenate([cols, c[ok] + d0]), np.concatenate([vals, v[ok]])
         order = np.lexsort((cols, -np.round(vals, RANK_DECIMALS), rows))

@@ -250,6 +250,8 @@ ROW_BLOCK = 2048             # index rows of one matrix multiply inside a task
 QUERY_CHUNK_ROWS = 65_536    # queries of a chunk of one cell at most: what a task holds of the queries
 SMALL_CHUNK_ROWS = 1024      # no chunk is cut smaller to give all tasks work
 GROUPS = 64                  # groups that keep the tasks busy: more of them only send the index more often
+PAIRS = 1 << 14              # (query, row) pairs whose vectors are gathered at once
+DENSE = 16                   # a tile of which more than one in so many pairs is asked for is scored whole
 RANK_DECIMALS = 10           # scores are ranked at this precision, so summation order never reorders ties
 
 
@@ -278,29 +280,74 @@ def tiles(qm: np.ndarray, dm: np.ndarray, own: tuple[np.ndarray, np.ndarray] | N
             yield q0, d0, score
 
 
+def rounded(m: np.ndarray, other: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in single precision, and their lengths; a row that is not finite becomes zero, of length 0. Double precision stays
+    where products with rows of length ``other`` could leave the range."""
+    fine = np.isfinite(m).all(axis=1)
+    m = m if fine.all() else np.where(fine[:, None], m, 0.0)
+    with np.errstate(over="ignore"):
+        length = np.sqrt((m * m).sum(axis=1))
+    return m.astype("float32" if length.max(initial=0) * max(other, 1.0) < 1e30 else float), length
+
+
+def slack(qlength: np.ndarray, longest: float, dim: int) -> np.ndarray:
+    """How far the product of rounded rows may lie from the product of the rows, per query."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        off = np.finfo("float32").eps * (dim + 8) * qlength * longest + 1e-30
+    return np.where(np.isnan(off), np.inf, off)
+
+
+def reaching(score: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the scores of a tile that are above the query's ``least``."""
+    some = np.flatnonzero(score.max(axis=1) > least)
+    at, cols = np.divmod(np.flatnonzero(score[some] > least[some, None]), score.shape[1])
+    return some[at], cols
+
+
+def dots(qm: np.ndarray, dm: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Scores of (query, row) pairs of one tile."""
+    if len(rows) * DENSE > len(qm) * len(dm):
+        return (qm @ dm.T)[rows, cols]
+    return np.concatenate([np.zeros(0)] + [np.einsum("ij,ij->i", qm[rows[a:a + PAIRS]], dm[cols[a:a + PAIRS]]) for a in range(0, len(rows), PAIRS)])
+
+
 def best_rows(qm: np.ndarray, dm: np.ndarray, k: int, own=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the ``k`` best rows per query, ties at ``RANK_DECIMALS`` to the earlier row."""
+    """(query, row, score) of the ``k`` best rows per query, ties at ``RANK_DECIMALS`` to the earlier row.
+
+    After the first tile only rows that may beat the k-th best score so far are scored: single precision, with its slack, finds them."""
     out, least = [], np.zeros(0)
     rows, cols, vals = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    for q0, d0, score in tiles(qm, dm, own):
+    d32, dlen = rounded(dm)
+    longest = dlen.max(initial=0)
+    q32, qlen = rounded(qm, longest)
+    off = slack(qlen, longest, qm.shape[1])
+    for q0, d0, rough in tiles(q32, d32.astype(q32.dtype, copy=False), own):
+        q, d = qm[q0:q0 + QUERY_BLOCK], dm[d0:d0 + ROW_BLOCK]
         if d0 == 0:
-            score[~np.isfinite(score)] = -np.inf
+            score = q @ d.T
+            score[~np.isfinite(score) | (rough == -np.inf)] = -np.inf
             at = max(score.shape[1] - k, 0)
             # rows of the first tile may tie with the k-th best; later ones tie only to lose
             least = np.partition(score, at, axis=1)[:, at] - 10.0 ** -RANK_DECIMALS
-        r, c = np.nonzero(score > least[:, None])
-        v = score[r, c]
+            r, c = np.nonzero(score > least[:, None])
+            v = score[r, c]
+        else:
+            r, c = reaching(rough, least - off[q0:q0 + QUERY_BLOCK] - np.finfo("float32").eps * np.abs(least, where=np.isfinite(least), out=np.zeros(len(least))))
+            v = dots(q, d, r, c)
+            beats = v > least[r]
+            r, c, v = r[beats], c[beats], v[beats]
         ok = np.isfinite(v)
-        rows, cols = np.concatenate([rows, r[ok]]), np.concatenate([cols, c[ok] + d0])
-        vals = np.concatenate([vals, v[ok]])
-        ranked = np.round(vals, RANK_DECIMALS)
-        order = np.lexsort((cols, -ranked, rows))
-        rows = rows[order]
-        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        order, rows, nth = order[nth < k], rows[nth < k], nth[nth < k]
-        cols, vals, ranked = cols[order], vals[order], ranked[order]
-        least[:] = -np.inf
-        least[rows[nth == k - 1]] = ranked[nth == k - 1] + 0.4 * 10.0 ** -RANK_DECIMALS
+        if ok.any() or d0 == 0:
+            rows, cols = np.concatenate([rows, r[ok]]), np.concatenate([cols, c[ok] + d0])
+            vals = np.concatenate([vals, v[ok]])
+            ranked = np.round(vals, RANK_DECIMALS)
+            order = np.lexsort((cols, -ranked, rows))
+            rows = rows[order]
+            nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            order, rows, nth = order[nth < k], rows[nth < k], nth[nth < k]
+            cols, vals, ranked = cols[order], vals[order], ranked[order]
+            least[:] = -np.inf
+            least[rows[nth == k - 1]] = ranked[nth == k - 1] + 0.4 * 10.0 ** -RANK_DECIMALS
         if d0 + ROW_BLOCK >= len(dm):
             out.append((rows + q0, cols, vals))
             rows, cols, vals = rows[:0], cols[:0], vals[:0]

@@ -1,8 +1,10 @@
 """What a search writes and sends: survivors of the codes, postings of the keyword index."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from sparkqa.operators import keyword, quantised, vectors
+from sparkqa.operators import embed, keyword, quantised, vectors
 
 
 def isotropic(n, dim=16, seed=5):
@@ -81,3 +83,39 @@ def test_hits_of_a_range_equal_brute_force():
             want = sorted(np.flatnonzero(shared), key=lambda j: (-round(total[j], 9), j))[:k]
             assert sorted(cols[rows == n]) == sorted(want)
             assert np.allclose(sorted(scores[rows == n]), sorted(total[want]))
+
+
+def test_single_precision_leaves_few_pairs_to_score(monkeypatch):
+    q, d = isotropic(600, 32, 7), isotropic(20_000, 32, 8)
+    pairs, dots = [], vectors.dots
+    monkeypatch.setattr(vectors, "dots", lambda qm, dm, rows, cols: pairs.append(len(rows)) or dots(qm, dm, rows, cols))
+    rows, cols, vals = vectors.best_rows(q, d, 3)
+    assert sum(pairs) < 0.01 * len(q) * len(d)
+    score = q @ d.T
+    want = np.argsort(-score, axis=1, kind="stable")[:, :3]
+    assert np.array_equal(cols.reshape(-1, 3), want) and np.allclose(vals.reshape(-1, 3), np.take_along_axis(score, want, 1), atol=1e-12)
+    far = vectors.best_rows(q * 1e30, d * 1e20, 3)                        # beyond single precision
+    assert np.array_equal(far[1].reshape(-1, 3), want)
+
+
+def test_each_distinct_word_is_hashed_once():
+    lists = [["the", "fox"], None, [], ["the", "the", "ü"], ["fox"] * 5] * 200
+    words = pa.array([["cut", "off"]] + lists, pa.list_(pa.string())).slice(1)
+    calls, md5 = [], embed.md5
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(embed, "md5", lambda w, **how: calls.append(w) or md5(w, **how))
+        got = embed.unit_counts(words, 64).to_pylist()
+    assert sorted(calls) == sorted(w.encode() for w in ("the", "fox", "ü"))
+    for n, texts in enumerate(lists):
+        want = None if texts is None else np.bincount([int(md5(w.encode()).hexdigest()[:8], 16) % 64 for w in texts], minlength=64).astype(float)
+        assert (got[n] is None) == (want is None)
+        assert want is None or np.allclose(got[n], want / max(np.linalg.norm(want), 1))
+
+
+def test_vectors_of_words_equal_their_buckets(spark):
+    texts = spark.createDataFrame([(1, "The fox, the Fox ÄÖ 7"), (2, None), (3, " -- "), (4, "a")], "id int, text string")
+    rows = texts.select("id", embed.hashed_embedding("text", 100).alias("v"), embed.token_buckets("text", 100).alias("b")).collect()
+    for r in rows:
+        want = None if r.b is None else np.bincount(np.array(r.b, int), minlength=100).astype(float)
+        assert (r.v is None) == (want is None)
+        assert want is None or np.allclose(r.v, want / max(np.linalg.norm(want), 1))
