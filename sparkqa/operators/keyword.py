@@ -41,7 +41,7 @@ PROBES = 2                   # ranges a question is scored on before its thresho
 FEW_RANGES = 24              # with no more ranges than that, all are scored at once
 CHUNK_QUESTIONS = 65_536     # questions that meet a range in one task, and
 CHUNK_WORDS = 1 << 22        # words they have, about
-BOUND_RANGES = 32            # ranges whose bounds one task adds up, about
+BOUND_RANGES = 16            # ranges whose bounds one task adds up, about
 SLICE = 1 << 22              # additions done at once
 FEW_HITS = 16                # no more hits a range than that are picked one by one
 BOUND_SLACK = 1e-6

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .vectors import BOUND_SLACK, NO_THRESHOLD, QUERY_BLOCK, RANK_DECIMALS, ROW_BLOCK, VectorIndex, _asked, _query_chunks, _top, _visits, dots, matrix, own_rows, \
+from .vectors import BOUND_SLACK, NO_THRESHOLD, QUERY_BLOCK, RANK_DECIMALS, ROW_BLOCK, VectorIndex, _asked, _dealt, _query_chunks, _top, _visits, dots, matrix, own_rows, \
     reaching, rounded, slack, tiles
 
 ENTRIES = 256                # a code of one part is one byte
@@ -214,10 +214,9 @@ def _scanned(asked: DataFrame, coded: CodedIndex, k: int, qkey: str, exclude_sel
     """(qkey, hit_key, cell, score) that a scan of the cells of ``asked`` (qkey, qvec, cells, _bound) leaves."""
     index, rows = coded.index, coded.codes
     p, chunks = _query_chunks(_visits(asked, index.cells), qkey, "qvec")
-    rows = rows.join(chunks, "cell")
     if scored:
         rows = rows.join(index.vectors.select("cell", index.key, F.col(index.vector).alias("_dvec")), ["cell", index.key])
-    rows = rows.withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+    rows = _dealt(rows, chunks, index.key)
     schema = T.StructType([p.schema[qkey], T.StructField("hit_key", rows.schema[index.key].dataType),
                            T.StructField("cell", T.IntegerType()), T.StructField("score", T.DoubleType())])
     g = ["cell", "part", "qchunk"]

@@ -235,12 +235,13 @@ def _asked(queries: DataFrame, qkey: str, qvec: str, arrays, nprobe: int, phase:
 
 
 def _visits(asked: DataFrame, cells: DataFrame) -> DataFrame:
-    """One row per query and cell it visits, with the number of the cell's parts (``_parts``)."""
-    return asked.withColumn("cell", F.explode("cells")).drop("cells").join(cells.select("cell", F.col("n_parts").alias("_parts")), "cell")
+    """One row per query and cell it visits, with the number of the cell's parts (``_parts``) and rows (``_rows``)."""
+    sized = cells.select("cell", F.col("n_parts").alias("_parts"), F.col("n").alias("_rows"))
+    return asked.withColumn("cell", F.explode("cells")).drop("cells").join(sized, "cell")
 
 
 def _probe(queries: DataFrame, qkey: str, qvec: str, arrays, cells: DataFrame, nprobe: int, phase: int) -> DataFrame:
-    """(cell, qkey, qvec, _parts): one row per query and cell it visits."""
+    """(cell, qkey, qvec, _parts, _rows): one row per query and cell it visits."""
     # read for the per-cell counts and for the scan: written once, a row per query and not per visit
     return _visits(materialize(_asked(queries, qkey, qvec, arrays, nprobe, phase), "probes"), cells)
 
@@ -368,16 +369,31 @@ def _scan_fn(qkey: str, key: str, k: int, exclude_self: bool):
 
 
 def _query_chunks(probes: DataFrame, qkey: str, qvec: str) -> tuple[DataFrame, DataFrame]:
-    """Probes dealt into the parts of their cell and chunks of the cell's queries, and (cell, _chunks) of every visited cell.
-    Columns besides the query's stay."""
-    visited = materialize(probes.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.max("_parts").alias("_parts")), "probe-counts")
+    """Probes dealt into the parts of their cell and chunks of the cell's queries, and (cell, _chunks, _splits) of every visited cell.
+    Columns besides the query's stay.
+
+    Where more groups than memory asks for keep the tasks busy, parts are split too (``_splits``), so that neither side is sent more often
+    than it saves the other."""
+    visited = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.max("_parts").alias("_parts"), F.max("_rows").alias("_rows"))
+    visited = materialize(visited, "probe-counts")
     work = visited.agg(F.sum(F.col("_n") * F.col("_parts"))).first()[0] or 0
     rows = min(QUERY_CHUNK_ROWS, max(SMALL_CHUNK_ROWS, math.ceil(work / GROUPS)))
-    chunks = visited.select("cell", F.ceil(F.col("_n") / rows).cast("int").alias("_chunks"))
+    wanted, needed = F.ceil(F.col("_n") / rows), F.ceil(F.col("_n") / QUERY_CHUNK_ROWS)
+    more = wanted / needed
+    splits = F.floor(F.greatest(F.lit(1.0), F.least(more, F.sqrt(more * needed * F.col("_rows") / (F.col("_n") * F.col("_parts"))))))
+    chunks = visited.select("cell", F.ceil(wanted / splits).cast("int").alias("_chunks"), splits.cast("int").alias("_splits"))
     p = probes.withColumnRenamed(qvec, "qvec").join(chunks, "cell").withColumn(
         "qchunk", F.pmod(F.xxhash64(F.col(qkey)), F.col("_chunks").cast("bigint")).cast("int"))
-    p = p.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    return p.drop("_chunks", "_parts"), chunks
+    p = p.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") * F.col("_splits") - 1)))
+    return p.drop("_chunks", "_splits", "_parts", "_rows"), chunks
+
+
+def _dealt(rows: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """Index rows (cell, part, ``key``, ...) of the visited cells, in the split of their part, once for every chunk of the cell's queries."""
+    # cells no query visits never enter the shuffle: the inner join leaves them out
+    split = F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.col("_splits").cast("bigint")).cast("int")
+    rows = rows.join(chunks, "cell").withColumn("part", F.col("part") * F.col("_splits") + split)
+    return rows.withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks", "_splits")
 
 
 def _candidates(probes: DataFrame, index: VectorIndex, qkey: str, qvec: str, exclude_self: bool,
@@ -388,9 +404,7 @@ def _candidates(probes: DataFrame, index: VectorIndex, qkey: str, qvec: str, exc
     Query chunks are sized from the probe counts (an aggregate by cell, joined to both sides), so an index part is
     replayed only as many times as its own cell's queries need, and a hot cell's queries are split over many tasks."""
     p, chunks = _query_chunks(probes, qkey, qvec)
-    v = index.vectors.select(index.key, F.col(index.vector).alias("_dvec"), "cell", "part")
-    # cells no query visits never enter the shuffle: the inner join leaves them out
-    v = v.join(chunks, "cell").withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+    v = _dealt(index.vectors.select(index.key, F.col(index.vector).alias("_dvec"), "cell", "part"), chunks, index.key)
     schema = T.StructType([probes.schema[qkey], T.StructField("hit_key", index.vectors.schema[index.key].dataType),
                            T.StructField("score", T.DoubleType())])
     g = ["cell", "part", "qchunk"]

@@ -119,3 +119,15 @@ def test_vectors_of_words_equal_their_buckets(spark):
         want = None if r.b is None else np.bincount(np.array(r.b, int), minlength=100).astype(float)
         assert (r.v is None) == (want is None)
         assert want is None or np.allclose(r.v, want / max(np.linalg.norm(want), 1))
+
+
+def test_many_rows_are_not_sent_once_per_few_queries(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SMALL_CHUNK_ROWS", 10)
+    monkeypatch.setattr(vectors, "GROUPS", 16)
+    idx = vectors.build_index(frame(spark, isotropic(3000, 4)), "id", nlist=1)
+    q = frame(spark, isotropic(100, 4, 6), "qid", "qvec")
+    p, chunks = vectors._query_chunks(vectors._probe(q, "qid", "qvec", idx.cell_arrays(), idx.cells, 1, 1), "qid", "qvec")
+    sent = vectors._dealt(idx.vectors.select("id", "cell", "part"), chunks, "id").count()
+    assert sent <= 2 * 3000 and p.count() <= 100 * 16       # 10 chunks of queries sent 30,000 rows
+    best = np.argsort(-(isotropic(100, 4, 6) @ isotropic(3000, 4).T), axis=1)[:, :3]
+    assert {(r.qid, r["rank"], r.hit_key) for r in vectors.topk_join(q, idx, 3).collect()} == {(i, j + 1, best[i, j]) for i in range(100) for j in range(3)}
